@@ -28,6 +28,15 @@ TAIL_UNIT = rf"[{CJK}]|[A-Za-z0-9_]+|[^\n]"
 LINE_END = r"\r\n|[\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 
+def once(value: Column) -> Column:
+    """``value`` computed in its own projection.
+
+    Catalyst copies a deterministic expression into every filter above it. For the long URL expressions
+    that would repeat the work and outgrow code generation, so they are tied to the partition id.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def strip(text: Column) -> Column:
     """Trim Unicode whitespace on both sides, as str.strip() does."""
     return F.btrim(text, F.lit(SPACE_CHARS))

@@ -43,9 +43,9 @@ def _cleaned(url: Column) -> Column:
 
 def url_parts(url: Column) -> UrlParts:
     """Scheme (lower case), host with port, path and query; '' where absent."""
-    clean = _cleaned(url)
-    scheme, netloc, path, query = (F.regexp_extract(clean, _URI, g) for g in (1, 2, 3, 4))
-    return UrlParts(F.lower(scheme), netloc, path, query)
+    # One regex pass for all parts; a cleaned URL holds no newline.
+    split = F.split(F.regexp_replace(_cleaned(url), _URI, "$1\n$2\n$3\n$4"), "\n", -1)
+    return UrlParts(F.lower(F.get(split, F.lit(0))), *(F.get(split, F.lit(i)) for i in (1, 2, 3)))
 
 
 def url_path(url: Column) -> Column:

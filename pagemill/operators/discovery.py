@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import candidate_link, path_allowed, prefix_of, url_allowed
-from ..functions.text import SPACE, lines, strip
+from ..functions.platforms import detect_platform
+from ..functions.text import SPACE, lines, once, strip
 from ..functions.urls import base_of, host_of, normalize_url, resolve_url, same_host, url_path
 from ..session import scratch_path, small_side, written
 from ..sources.sitemap import sitemap_locs
@@ -32,7 +33,6 @@ _MARKDOWN_LINK = rf"\[[^\]]*\]\(([^){SPACE}]+)\)"
 
 def site_platform(sites: DataFrame, resources: DataFrame) -> DataFrame:
     """Adds ``platform``: the explicit adapter, else detection on the start page, else generic."""
-    from ..functions.platforms import detect_platform
     home = (resources.filter(F.col("status") == 200)
             .select(F.col("url").alias("_home"), F.substring("html", 1, 4000).alias("_head")))
     found = detect_platform(F.col("_head"), F.col("url"))
@@ -125,7 +125,7 @@ def sitemap_tree(candidates: DataFrame, sites: DataFrame, resources: DataFrame,
         locs = written(level.join(bodies, "url").select("site", "file", sitemap_locs(F.col("html")).alias("locs")),
                        "locs")
         own = (locs.select("site", "file", F.posexplode("locs").alias("pos", "loc"))
-               .select("site", "file", "pos", normalize_url(F.col("loc")).alias("url"))
+               .select("site", "file", "pos", once(normalize_url(F.col("loc"))).alias("url"))
                .filter(F.col("url").isNotNull()).join(rules, "site")
                .filter(same_host(F.col("url"), F.col("origin"))).filter(_allowed("url")))
         found.append(own.select(
@@ -146,7 +146,6 @@ def _guarded(urls: DataFrame, guard: int) -> DataFrame:
     enter = counts.select("site", "file", F.col("file").alias("at"), F.lit(0).alias("n"))
     leave = counts.select("site", "file", F.concat("file", F.lit("1~")).alias("at"), "n")
     # One row per sitemap file, so a site's window is bounded by its file count.
-    from pyspark.sql import Window
     seen = F.sum("n").over(Window.partitionBy("site").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     skipped = (enter.withColumn("enter", F.lit(True)).unionByName(leave.withColumn("enter", F.lit(False)))
                .withColumn("seen", seen).filter(F.col("enter") & (F.col("seen") > guard)))
@@ -176,8 +175,8 @@ def expand_seeds(urls: DataFrame, sites: DataFrame, links: DataFrame,
     first = rank_rows(top_n(urls, ["site"], ["ord"], seeds), "seed")
     hops = (first.withColumnRenamed("url", "src_url").join(links, "src_url").join(rules, "site")
             .withColumn("prefix", prefix_of(F.col("src_url")))
-            .withColumn("url", candidate_link(strip(F.col("href")), F.col("dst_url"),
-                                              F.col("origin"), F.col("prefix")))
+            .withColumn("url", once(candidate_link(strip(F.col("href")), F.col("dst_url"),
+                                                   F.col("origin"), F.col("prefix"))))
             .filter(F.col("url").isNotNull() & (F.col("url") != F.col("src_url"))).filter(_allowed("url"))
             .groupBy("site", "seed", "url").agg(F.min("pos").alias("pos")))
     hops = written(hops, "hops")
@@ -194,7 +193,6 @@ def expand_seeds(urls: DataFrame, sites: DataFrame, links: DataFrame,
 
 def rank_rows(df: DataFrame, name: str) -> DataFrame:
     """Position by ``ord`` per site, for frames that hold only a few rows per site."""
-    from pyspark.sql import Window
     return df.withColumn(name, F.row_number().over(Window.partitionBy("site").orderBy("ord")))
 
 
@@ -238,8 +236,8 @@ def crawl_graph(sites: DataFrame, links: DataFrame, ranked: bool | None = None)
         hops = (done.withColumnRenamed("url", "src_url").join(rules, "site")
                 .filter((F.col("max_depth") == 0) | (F.col("max_depth") > depth))
                 .join(graph, "src_url")
-                .withColumn("url", candidate_link(strip(F.col("href")), F.col("dst_url"),
-                                                  F.col("origin"), F.col("prefix")))
+                .withColumn("url", once(candidate_link(strip(F.col("href")), F.col("dst_url"),
+                                                       F.col("origin"), F.col("prefix"))))
                 .filter(F.col("url").isNotNull()).filter(_allowed("url")))
         order = F.min(F.struct("rank", "pos")).alias("at") if ranked else F.lit(None).alias("at")
         level = hops.groupBy("site", "url").agg(order).join(seen.select("site", "url"), ["site", "url"], "left_anti")

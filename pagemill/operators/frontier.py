@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..functions.urls import normalize_url, url_path
 from ..session import small_side
 from .ranking import rank_in_group
@@ -12,7 +13,7 @@ from .ranking import rank_in_group
 
 def dedupe_urls(urls: DataFrame) -> DataFrame:
     """Canonical URLs, first occurrence by ``ord``; a hash aggregate with map-side combine."""
-    return (urls.withColumn("url", normalize_url(F.col("url"))).filter(F.col("url").isNotNull())
+    return (urls.withColumn("url", once(normalize_url(F.col("url")))).filter(F.col("url").isNotNull())
             .groupBy("site", "url").agg(F.min("ord").alias("ord")))
 
 
@@ -68,3 +69,17 @@ def frontier(urls: DataFrame, cache: DataFrame, fresh: bool = False) -> DataFram
     if fresh:
         return urls
     return urls.join(cache.filter(F.length("html") > 0).select("url"), "url", "left_anti")
+
+
+def first_pages(pages: DataFrame) -> DataFrame:
+    """Page rows, ``url`` canonical, without later copies of a URL (order: ``ord``); other URLs are dropped.
+
+    The body never takes part in the aggregate: the ids of the copies are found on narrow rows and removed
+    by an anti join, broadcast when the copies are few.
+    """
+    canonical = pages.withColumn("url", once(normalize_url(F.col("url")))).filter(F.col("url").isNotNull())
+    narrow = canonical.select("site", "url", "ord")
+    repeated = (narrow.groupBy("site", "url").agg(F.min("ord").alias("_kept"), F.count("*").alias("_n"))
+                .filter(F.col("_n") > 1).select("site", "url", "_kept"))
+    copies = narrow.join(repeated, ["site", "url"]).filter(F.col("ord") != F.col("_kept")).select("site", "ord")
+    return canonical.join(small_side(copies, "copies"), ["site", "ord"], "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import decode_entity_list, strip
+from ..functions.text import decode_entity_list, once, strip
 from ..functions.urls import UrlParts, normalize_url, resolve_from, url_parts
 
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
@@ -23,8 +23,8 @@ def extract_links(pages: DataFrame) -> DataFrame:
 def resolve_links(links: DataFrame) -> DataFrame:
     """Adds ``abs_url`` (resolved against the page) and ``dst_url`` (canonical, or null)."""
     return (links.withColumn("_b", _packed_parts())
-            .withColumn("abs_url", resolve_from(_unpacked("_b"), F.col("src_url"), strip(F.col("href"))))
-            .withColumn("dst_url", normalize_url(F.col("abs_url")))
+            .withColumn("abs_url", once(resolve_from(_unpacked("_b"), F.col("src_url"), strip(F.col("href")))))
+            .withColumn("dst_url", once(normalize_url(F.col("abs_url"))))
             .drop("_b"))
 
 
