@@ -31,8 +31,9 @@ LINE_END = r"\r\n|[\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 def once(value: Column) -> Column:
     """``value`` computed in its own projection.
 
-    Catalyst copies a deterministic expression into every filter above it. For the long URL expressions
-    that would repeat the work and outgrow code generation, so they are tied to the partition id.
+    Catalyst copies a deterministic expression into the filters above it (also the one it infers for
+    ``explode``) and into each place a later projection uses it. For long URL expressions, folds over nodes
+    and Python calls that would repeat the work, so they are tied to the partition id.
     """
     return F.when(F.spark_partition_id() >= 0, value)
 

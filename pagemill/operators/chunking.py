@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.packing import MAX_TOKENS, OVERLAP, chunks_of
-from ..functions.text import SPACE, strip, unify_lines
+from ..functions.text import SPACE, once, strip, unify_lines
 
 _BLANK = rf"[{SPACE}&&[^\n]]"
 
@@ -18,30 +18,34 @@ def split_blocks(markdown: Column) -> Column:
     it was cut from, which is the path a stack of open headings would give. Code fences are not special.
     """
     none = F.array().cast("array<string>")
-    parts = F.array(F.struct(none.alias("heading_path"), unify_lines(markdown).alias("text")))
+    whole = F.array(F.struct(none.alias("heading_path"), unify_lines(markdown).alias("text")))
+    parts = F.when(markdown != "", whole).otherwise(F.array().cast("array<struct<heading_path:array<string>,text:string>>"))
     for level in range(1, 7):
-        parts = F.flatten(F.transform(parts, lambda part, level=level: _split_level(part, level)))
-    blocks = F.transform(parts, lambda p: F.struct(p["heading_path"].alias("heading_path"), strip(p["text"]).alias("text")))
-    return F.when(markdown == "", F.slice(blocks, 1, 0)).otherwise(blocks)
+        parts = F.flatten(F.transform(parts, _level_splitter(level)))
+    return F.transform(parts, lambda p: F.struct(p["heading_path"].alias("heading_path"), strip(p["text"]).alias("text")))
 
 
-def _split_level(part: Column, level: int) -> Column:
+def _level_splitter(level: int):
     mark = "#" * level
 
-    def labelled(text: Column) -> Column:
-        title = strip(F.regexp_extract(text, rf"\A{mark}{_BLANK}+([^\n]*)", 1))
-        path = F.when(text.rlike(rf"\A{mark}{_BLANK}"), F.concat(part["heading_path"], F.array(title)))
-        return F.struct(path.otherwise(part["heading_path"]).alias("heading_path"), text.alias("text"))
+    def split(part: Column) -> Column:
+        def labelled(text: Column) -> Column:
+            title = strip(F.regexp_extract(text, rf"\A{mark}{_BLANK}+([^\n]*)", 1))
+            path = F.when(text.rlike(rf"\A{mark}{_BLANK}"), F.concat(part["heading_path"], F.array(title)))
+            return F.struct(path.otherwise(part["heading_path"]).alias("heading_path"), text.alias("text"))
 
-    split = F.transform(F.split(part["text"], rf"\n(?={mark}{_BLANK})", -1), labelled)
-    return F.when(part["text"].contains(mark), split).otherwise(F.array(part))
+        pieces = F.transform(F.split(part["text"], rf"\n(?={mark}{_BLANK})", -1), labelled)
+        return F.when(part["text"].contains(mark), pieces).otherwise(F.array(part))
+
+    return split
 
 
 def chunk_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
     """One row per chunk: all columns but ``markdown``, then ``seq`` from 0, ``heading_path, tokens, text``."""
     keep = [c for c in docs.columns if c != "markdown"]
-    chunks = chunks_of(split_blocks(F.col("markdown")), max_tokens, overlap)
-    return (docs.filter(F.col("markdown") != "").select(*keep, F.posexplode(chunks).alias("seq", "c"))
+    return (docs.filter(F.col("markdown") != "").withColumn("_blocks", once(split_blocks(F.col("markdown"))))
+            .withColumn("_chunks", once(chunks_of(F.col("_blocks"), max_tokens, overlap)))
+            .select(*keep, F.posexplode("_chunks").alias("seq", "c"))
             .select(*keep, "seq", "c.heading_path", "c.tokens", "c.text"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.html_nodes import html_nodes, selected_nodes
 from ..functions.pages import clean_title, page_meta, page_title
 from ..functions.platforms import selectors_of
-from ..functions.text import SPACE, strip
+from ..functions.text import SPACE, once, strip
 
 # Fixed value: anchor signs that documentation tools append to headings.
 _ANCHOR_SIGNS = rf"[\x{{b6}}\x{{a7}}\x{{200b}}]+[{SPACE}]*\z"
@@ -90,16 +90,19 @@ def markdown_of(nodes: Column) -> Column:
 
 def content_nodes(pages: DataFrame) -> DataFrame:
     """Adds ``nodes``: the main-content nodes; an empty array when the page has no prose."""
-    pages = pages.withColumn("nodes", html_nodes(F.col("html"))).withColumn("nodes", root_nodes(F.col("nodes")))
-    return pages.withColumn("nodes", F.when(has_prose(F.col("nodes")), F.col("nodes")).otherwise(F.slice("nodes", 1, 0)))
+    nodes = F.col("nodes")
+    pages = pages.withColumn("nodes", html_nodes(F.col("html"))).withColumn("nodes", once(root_nodes(nodes)))
+    return pages.withColumn("nodes", once(F.when(has_prose(nodes), nodes).otherwise(F.slice(nodes, 1, 0))))
 
 
 def extract_primary(pages: DataFrame) -> DataFrame:
-    """Adds ``markdown, toc, meta, title, raw_title`` from the content nodes."""
+    """Adds ``markdown, toc, meta, title, raw_title`` from the HTML."""
+    nodes = F.col("nodes")
+    pages = pages.withColumn("raw_title", once(page_title(F.col("html")))).withColumn(
+        "meta", once(page_meta(F.col("url"), F.col("html"))))
     return (content_nodes(pages)
-            .withColumn("markdown", markdown_of(F.col("nodes"))).withColumn("toc", toc_of(F.col("nodes")))
-            .withColumn("raw_title", page_title(F.col("html"))).withColumn("title", clean_title(F.col("raw_title")))
-            .withColumn("meta", page_meta(F.col("url"), F.col("html"))).drop("nodes"))
+            .withColumn("markdown", once(markdown_of(nodes))).withColumn("toc", once(toc_of(nodes)))
+            .withColumn("title", clean_title(F.col("raw_title"))).drop("nodes"))
 
 
 def extract_fallback(pages: DataFrame) -> DataFrame:

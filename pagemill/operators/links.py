@@ -15,8 +15,8 @@ _HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 def extract_links(pages: DataFrame) -> DataFrame:
     """``(src_url, pos, href)`` for every ``<a href>`` in document order, from 0."""
     hrefs = F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, ""), F.lit(_HREF), F.lit(1))
-    hrefs = decode_entity_list(hrefs)
-    return (pages.select(F.col("url").alias("src_url"), F.posexplode(hrefs).alias("pos", "href"))
+    return (pages.select(F.col("url").alias("src_url"), once(decode_entity_list(hrefs)).alias("hrefs"))
+            .select("src_url", F.posexplode("hrefs").alias("pos", "href"))
             .withColumn("href", F.regexp_replace("href", r"""^["']|["']\z""", "")))
 
 

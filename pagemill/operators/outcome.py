@@ -19,10 +19,10 @@ def page_outcome(pages: DataFrame) -> DataFrame:
 
     Only HTML bodies with status 200 reach the parser: for all other rows it gets a null.
     """
-    page = pages.withColumn("_body", F.coalesce("html", F.lit(""))).withColumn("_html", is_html(F.col("_body")))
-    ok, parse = F.col("status") == 200, (F.col("status") == 200) & F.col("_html")
+    page = pages.withColumn("_body", F.coalesce("html", F.lit(""))).withColumn("_is_html", is_html(F.col("_body")))
+    ok, parse = F.col("status") == 200, (F.col("status") == 200) & F.col("_is_html")
     page = extract_pages(page.withColumn("html", F.when(parse, F.col("_body"))))
-    text_page = ok & ~F.col("_html")
+    text_page = ok & ~F.col("_is_html")
     markdown = F.when(text_page, strip(F.col("_body"))).otherwise(F.coalesce("markdown", F.lit("")))
     none = F.create_map().cast("map<string,string>")
     return (page.withColumn("markdown", F.when(ok, markdown).otherwise(""))
@@ -32,7 +32,7 @@ def page_outcome(pages: DataFrame) -> DataFrame:
                         .when(ok, F.coalesce("meta", none)).otherwise(none))
             .withColumn("toc", F.coalesce("toc", F.array().cast("array<struct<level:int,title:string,anchor:string>>")))
             .withColumn("path", rel_path(F.col("url")))
-            .withColumn("error", outcome_error(F.col("status"), F.col("_html"), F.col("markdown")))
+            .withColumn("error", outcome_error(F.col("status"), F.col("_is_html"), F.col("markdown")))
             .withColumn("needs_render", (F.col("error") != "") & ok & is_shell(F.col("_body")))
             .select(*_COLUMNS))
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 _HOST = "split_part(url, '/', 3)"
 _BARE = "split_part(split_part(url, '?', 1), '#', 1)"
 _SECURE = "url LIKE 'https:%'"
@@ -158,9 +160,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for per-row work: spread over all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def derive(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     name = "documents" if "{documents}" in text else "pages"
-    return spark.sql(text, **{name: table(spark, sf_dir, name)})
+    return spark.sql(text, **{name: rows(spark, sf_dir, name)})
 
 
 def for_oracle(text: str) -> str:

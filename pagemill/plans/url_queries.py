@@ -87,9 +87,7 @@ _SQL_WRITTEN = f"(SELECT page_id, src_url, pos, {_WRITTEN} AS href FROM {o.ancho
 
 
 def written_links(spark, sf):
-    pages = d.table(spark, sf, "pages")
-    ids = pages.select("page_id", F.col("url").alias("src_url"))
-    found = pages.select(F.concat("page_id", F.lit(" "), "url").alias("url"), "html")   # keep repeated URLs apart
+    found = d.rows(spark, sf, "pages").select(F.concat("page_id", F.lit(" "), "url").alias("url"), "html")   # keep repeated URLs apart
     found = links.extract_links(found).select(
         F.substring_index("src_url", " ", 1).cast("bigint").alias("page_id"),
         F.expr("split_part(src_url, ' ', 2)").alias("src_url"), "pos", "href")
@@ -98,7 +96,7 @@ def written_links(spark, sf):
 
 @query("extract_links", f"SELECT src_url, pos::BIGINT AS pos, href FROM {o.anchors('pages')}")
 def extract_links(spark, sf):
-    return links.extract_links(d.table(spark, sf, "pages")).withColumn("pos", F.col("pos").cast("bigint"))
+    return links.extract_links(d.rows(spark, sf, "pages")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("resolve_links", f"SELECT page_id, pos::BIGINT AS pos, href, abs_url, dst_url FROM {o.with_resolved(_SQL_WRITTEN)}")

@@ -77,3 +77,9 @@ def small_side(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> Data
     """
     table = written(df, name)
     return F.broadcast(table) if table.count() <= max_rows else table
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table with at least one partition per core; only small inputs are shuffled for it."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
