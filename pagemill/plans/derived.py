@@ -124,8 +124,9 @@ SELECT page_id, 'https://docs.example.org/sitemap-' || CAST(page_id AS STRING) |
   '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://docs.example.org/'
   || split_part(url, '/', 4) || '/' || split_part({_BARE}, '/', 5) || '/</loc></url><url><loc>'
   || replace(url, '&', '&amp;') || '</loc></url><sitemap><loc>https://docs.example.org/sitemap-'
-  || CAST(2 * page_id + 1 AS STRING) || '.xml</loc></sitemap><sitemap><loc>https://docs.example.org/Sitemap-'
-  || CAST(2 * page_id + 2 AS STRING) || '.XML</loc></sitemap></urlset>' END AS html
+  || CAST(2 * page_id + 1 AS STRING) || '.xml</loc></sitemap><sitemap><loc>https://docs.example.org/'
+  || CASE WHEN page_id % 4 = 1 THEN 'Sitemap-' || CAST(2 * page_id + 2 AS STRING) || '.XML'
+  ELSE 'sitemap-' || CAST(2 * page_id + 2 AS STRING) || '.xml' END || '</loc></sitemap></urlset>' END AS html
 FROM {{pages}}"""
 
 # One site per page, with the text of its llms.txt and robots.txt.
@@ -155,6 +156,18 @@ SELECT doc_id, source AS site, 'https://' || source || '.example.org/d/' || CAST
     chr(10) || 'E', chr(10) || '# Entry' || chr(10) || 'E') AS markdown
 FROM {documents}"""
 
+# Documents as page rows of their source, with failures, empty pages and shared output paths.
+PAGE_ROWS = """
+SELECT source AS site, doc_id AS ord, 'https://' || source || '.example.org/d/' || CAST(doc_id AS STRING) AS url,
+  'd/' || CAST(CASE WHEN doc_id % 10 = 9 THEN doc_id - 1 ELSE doc_id END AS STRING) AS path,
+  'Doc: ' || lang || chr(10) || '---' AS title, CASE WHEN doc_id % 23 = 5 OR doc_id % 9 = 4 THEN '' ELSE text END AS markdown,
+  CASE WHEN doc_id % 9 = 4 THEN 'HTTP 404' ELSE '' END AS error, CAST(1700000000 + n_chars AS DOUBLE) AS fetched_at
+FROM {documents}"""
+
+# One site per document source.
+DOC_SITES = """
+SELECT DISTINCT source AS site, 'https://' || source || '.example.org/' AS url, 'generic' AS adapter FROM {documents}"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,9 +8,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import page_queries, url_queries
+from . import discovery_queries, page_queries, sink_queries, url_queries
 
-_MODULES = (url_queries, page_queries)
+_MODULES = (url_queries, discovery_queries, page_queries, sink_queries)
 
 
 def _tuned(fn: Callable) -> Callable:
