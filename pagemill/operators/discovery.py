@@ -1,7 +1,7 @@
 """Discovery: llms.txt, sitemap trees, one-hop expansion and the crawl graph, for all sites at once.
 
 ``sites`` rows follow ``schemas.SITES`` with ``platform`` added (the adapter in force); ``resources``
-rows follow ``schemas.RESOURCES``; ``links`` is the output of ``links.link_graph``.
+rows follow ``schemas.RESOURCES``, ``pages`` are its HTML rows, ``links`` is the output of ``links.link_graph``.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import candidate_link, path_allowed, prefix_of, url_allowed
+from ..functions.pages import is_html
 from ..functions.platforms import detect_platform
 from ..functions.text import SPACE, lines, once, strip
 from ..functions.urls import base_of, host_of, normalize_url, resolve_url, same_host, url_path
-from ..session import scratch_path, small_side, written
+from ..session import bucketed, scratch_path, small_side, written
 from ..sources.sitemap import sitemap_locs
 from .frontier import best_only, dedupe_urls, prefer_source, sort_urls, union_dedupe
+from .links import link_graph
 from .ranking import rank_in_group, top_n
 
 # Depth of sitemap recursion, children followed per file, URLs after which no file is entered.
@@ -33,10 +35,11 @@ _MARKDOWN_LINK = rf"\[[^\]]*\]\(([^){SPACE}]+)\)"
 
 def site_platform(sites: DataFrame, resources: DataFrame) -> DataFrame:
     """Adds ``platform``: the explicit adapter, else detection on the start page, else generic."""
-    home = (resources.filter(F.col("status") == 200)
-            .select(F.col("url").alias("_home"), F.substring("html", 1, 4000).alias("_head")))
+    starts = small_side(sites.select(F.col("url").alias("_home")).distinct(), "starts")
+    home = (resources.filter(F.col("status") == 200).join(starts, F.col("url") == F.col("_home"))
+            .select("_home", F.substring("html", 1, 4000).alias("_head")))
     found = detect_platform(F.col("_head"), F.col("url"))
-    return (sites.join(home, sites["url"] == home["_home"], "left")
+    return (sites.join(home, sites["url"] == F.col("_home"), "left")
             .withColumn("platform", F.when(F.col("adapter") != "auto", F.col("adapter"))
                         .otherwise(F.when(F.col("_home").isNull(), "generic").otherwise(found)))
             .drop("_home", "_head"))
@@ -52,6 +55,17 @@ def _allowed(url: str) -> Column:
     return url_allowed(F.col(url), F.col("platform"), F.col("include_re"), F.col("exclude_re"))
 
 
+def site_files(resources: DataFrame) -> DataFrame:
+    """The few resources discovery reads as text, written once: a URL-only filter over the scan.
+
+    Covers llms.txt, llms-full*, robots.txt and every file name a sitemap index may lead to.
+    """
+    name, lower = F.substring_index("url", "/", -1), F.lower("url")
+    wanted = (name.isin("llms.txt", "robots.txt") | name.startswith("llms-full")
+              | (lower.contains("sitemap") & lower.endswith(".xml")))
+    return written(resources.filter((F.col("status") == 200) & wanted).select("url", "status", "html"), "site-files")
+
+
 # llms.txt ------------------------------------------------------------------------------------------
 
 def llms_link_list(text: Column) -> tuple[Column, Column]:
@@ -165,15 +179,17 @@ def subtree_fallback(urls: DataFrame, sites: DataFrame) -> DataFrame:
     return best_only(tiered.unionByName(start), "tier").drop("tier")
 
 
-def expand_seeds(urls: DataFrame, sites: DataFrame, links: DataFrame,
+def expand_seeds(urls: DataFrame, sites: DataFrame, pages: DataFrame,
                  seeds: int = SEEDS, per_seed: int = LINKS_PER_SEED) -> DataFrame:
     """Links of the first ``seeds`` URLs of each site that pass all checks and were not found before.
 
-    Seeds are taken one after the other, because a link one seed has given is not counted for the next.
+    Only the seed pages are read for links. Seeds are taken one after the other, because a link one seed has given is not counted for the next.
     """
     rules = _rules(sites)
     first = rank_rows(top_n(urls, ["site"], ["ord"], seeds), "seed")
-    hops = (first.withColumnRenamed("url", "src_url").join(links, "src_url").join(rules, "site")
+    first = small_side(first.withColumnRenamed("url", "src_url").select("site", "seed", "src_url"), "seeds")
+    seen = pages.join(first.select(F.col("src_url").alias("url")).distinct(), "url", "left_semi")
+    hops = (first.join(link_graph(seen), "src_url").join(rules, "site")
             .withColumn("prefix", prefix_of(F.col("src_url")))
             .withColumn("url", once(candidate_link(strip(F.col("href")), F.col("dst_url"),
                                                    F.col("origin"), F.col("prefix"))))
@@ -196,11 +212,15 @@ def rank_rows(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy("site").orderBy("ord")))
 
 
-def sitemap_urls(sites: DataFrame, resources: DataFrame, links: DataFrame) -> DataFrame:
-    """Sorted URLs of all sites that have at least one sitemap URL."""
-    tree = sitemap_tree(robots_sitemaps(sites, resources), sites, resources)
+def sitemap_urls(sites: DataFrame, resources: DataFrame, files: DataFrame, pages: DataFrame) -> DataFrame:
+    """Sorted URLs of all sites that have at least one sitemap URL; ``files`` are the :func:`site_files`."""
+    candidates = written(robots_sitemaps(sites, files), "candidates")
+    odd = small_side(candidates.select("url").join(files, "url", "left_anti").distinct(), "odd")
+    if not odd.isEmpty():       # sitemaps robots.txt names freely need one more look at the resources
+        files = files.unionByName(written(resources.select("url", "status", "html").join(odd, "url", "left_semi"), "odd-files"))
+    tree = sitemap_tree(candidates, sites, files)
     urls = written(subtree_fallback(dedupe_urls(tree), sites), "subtree")
-    expanded = expand_seeds(urls, sites, links)
+    expanded = expand_seeds(urls, sites, pages)
     both = union_dedupe(urls, expanded.withColumn("ord", F.lpad(F.col("ord").cast("string"), 20, "0")))
     return sort_urls(both, sites).select("site", "ord", "url")
 
@@ -211,7 +231,7 @@ def crawl_graph(sites: DataFrame, links: DataFrame, ranked: bool | None = None)
     """``(site, url, depth, rank)`` reached from each start URL over ``links``, level by level.
 
     A level is written once and read back, so the plan stays small and a lost executor costs one level.
-    Links are hash-partitioned by source page once; each level moves only its frontier. ``rank`` is the
+    Links are stored once in buckets of their source page; each level moves only its frontier. ``rank`` is the
     queue position inside the level; it is kept only when some site caps its pages, as nothing else
     depends on it.
     """
@@ -222,31 +242,35 @@ def crawl_graph(sites: DataFrame, links: DataFrame, ranked: bool | None = None)
     starts = sites.select("site", start.alias("start"), host_of(F.col("url")).alias("origin"), "platform",
                           "include_re", "exclude_re", "max_depth", "max_pages")
     rules = small_side(starts.withColumn("prefix", prefix_of(F.col("start"))), "rules")
-    graph = written(links.repartition("src_url").sortWithinPartitions("src_url"), "graph")
     root, columns = scratch_path(spark, "crawl"), "site string, url string, rank bigint"
-
     level = rules.filter(_allowed("start")).select("site", F.col("start").alias("url"), F.lit(1).cast("bigint").alias("rank"))
-    depth, seen = 0, None
-    while True:
-        level.write.parquet(f"{root}/depth={depth}")
-        done = spark.read.schema(columns).parquet(f"{root}/depth={depth}")
-        seen = spark.read.schema(columns + ", depth int").option("basePath", root).parquet(f"{root}/depth=*")
-        if done.isEmpty():
-            return seen
-        hops = (done.withColumnRenamed("url", "src_url").join(rules, "site")
-                .filter((F.col("max_depth") == 0) | (F.col("max_depth") > depth))
-                .join(graph, "src_url")
-                .withColumn("url", once(candidate_link(strip(F.col("href")), F.col("dst_url"),
-                                                       F.col("origin"), F.col("prefix"))))
-                .filter(F.col("url").isNotNull()).filter(_allowed("url")))
-        order = F.min(F.struct("rank", "pos")).alias("at") if ranked else F.lit(None).alias("at")
-        level = hops.groupBy("site", "url").agg(order).join(seen.select("site", "url"), ["site", "url"], "left_anti")
-        if ranked:
-            level = rank_in_group(level.select("site", "url", "at.rank", "at.pos"), ["site"], ["rank", "pos"], "next")
-            level = _capped(level.select("site", "url", F.col("next").alias("rank")), seen, rules)
-        else:
-            level = level.select("site", "url", F.lit(None).cast("bigint").alias("rank"))
-        depth += 1
+    depth = 0
+    with bucketed(links, "src_url", "graph") as graph:
+        while True:
+            level.write.parquet(f"{root}/depth={depth}")
+            done = spark.read.schema(columns).parquet(f"{root}/depth={depth}")
+            seen = spark.read.schema(columns + ", depth int").option("basePath", root).parquet(f"{root}/depth=*")
+            if done.isEmpty():
+                return seen
+            level = _next_level(done, seen, graph, rules, depth, ranked)
+            depth += 1
+
+
+def _next_level(done: DataFrame, seen: DataFrame, graph: DataFrame, rules: DataFrame, depth: int,
+                ranked: bool) -> DataFrame:
+    """URLs first reached from the level ``done``, in queue order when ``ranked``."""
+    target = candidate_link(strip(F.col("href")), F.col("dst_url"), F.col("origin"), F.col("prefix"))
+    hops = (done.withColumnRenamed("url", "src_url").join(rules, "site")
+            .filter((F.col("max_depth") == 0) | (F.col("max_depth") > depth))
+            .join(graph, "src_url").withColumn("url", once(target))
+            .filter(F.col("url").isNotNull()).filter(_allowed("url")))
+    order = F.min(F.struct("rank", "pos")) if ranked else F.lit(None)
+    level = (hops.groupBy("site", "url").agg(order.alias("at"))
+             .join(seen.select("site", "url"), ["site", "url"], "left_anti"))
+    if not ranked:
+        return level.select("site", "url", F.lit(None).cast("bigint").alias("rank"))
+    level = rank_in_group(level.select("site", "url", "at.rank", "at.pos"), ["site"], ["rank", "pos"], "next")
+    return _capped(level.select("site", "url", F.col("next").alias("rank")), seen, rules)
 
 
 def _capped(level: DataFrame, seen: DataFrame, rules: DataFrame) -> DataFrame:
@@ -267,13 +291,22 @@ def crawl_urls(sites: DataFrame, links: DataFrame) -> DataFrame:
 
 # choice of source ----------------------------------------------------------------------------------
 
-def discover(sites: DataFrame, resources: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(site, ord, url, source)`` and the whole-site files; costlier sources run only for sites still open."""
-    listed, full = llms_urls(sites, resources)
+def discover(sites: DataFrame, resources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(site, ord, url, source)`` and the whole-site files; costlier sources run only for sites still open.
+
+    The crawl reads links only of pages on the hosts of sites that neither other source has settled.
+    """
+    files = site_files(resources)
+    pages = resources.filter((F.col("status") == 200) & is_html(F.col("html"))).select("url", "status", "html")
+    listed, full = llms_urls(sites, files)
     listed = written(listed.withColumn("source", F.lit("llms.txt")), "listed")
     settled = listed.select("site").union(full.select("site")).distinct()
     open_sites = written(sites.filter(F.col("adapter") != "llmstxt").join(settled, "site", "left_anti"), "open")
-    mapped = written(sitemap_urls(open_sites, resources, links).withColumn("source", F.lit("sitemap")), "mapped")
-    rest = open_sites.join(mapped.select("site").distinct(), "site", "left_anti")
-    walked = crawl_urls(rest, links).withColumn("source", F.lit("bfs"))
-    return prefer_source(listed.unionByName(mapped).unionByName(walked)), full
+    mapped = written(sitemap_urls(open_sites, resources, files, pages).withColumn("source", F.lit("sitemap")), "mapped")
+    found = listed.unionByName(mapped)
+    rest = written(open_sites.join(mapped.select("site").distinct(), "site", "left_anti"), "rest")
+    if not rest.isEmpty():
+        hosts = small_side(rest.select(host_of(F.col("url")).alias("host")).distinct(), "hosts")
+        ours = pages.withColumn("host", host_of(F.col("url"))).join(hosts, "host", "left_semi").drop("host")
+        found = found.unionByName(crawl_urls(rest, link_graph(ours)).withColumn("source", F.lit("bfs")))
+    return prefer_source(found), full

@@ -11,11 +11,12 @@ from ..functions.text import strip
 from ..functions.urls import rel_path, text_page_title
 from .extract import extract_pages
 
-_COLUMNS = ["site", "ord", "url", "path", "status", "title", "markdown", "toc", "meta", "error", "needs_render"]
+_COLUMNS = ["site", "ord", "url", "path", "status", "title", "markdown", "toc", "meta", "error", "needs_render",
+            "fetched_at"]
 
 
 def page_outcome(pages: DataFrame) -> DataFrame:
-    """Page rows for ``(site, ord, url, status, html, platform)``; ``error`` is '' for pages that made it.
+    """Page rows for ``(site, ord, url, status, html, fetched_at, platform)``; ``error`` is '' for pages that made it.
 
     Only HTML bodies with status 200 reach the parser: for all other rows it gets a null.
     """

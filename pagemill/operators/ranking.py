@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import small_side, written
 
-# Up to this rank Spark trims every map task to its own top rows before the shuffle.
+# Up to this rank every map task trims its rows per group before the shuffle; beyond it rows are ranked.
 _PARTIAL_TOP_N = 1000
+_SALTS = 64
 
 
 def rank_in_group(df: DataFrame, group: list[str], order: list[str | Column], name: str) -> DataFrame:
@@ -31,9 +32,17 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[str | Column], na
             .drop("_at", "_part", "_shift"))
 
 
-def top_n(df: DataFrame, group: list[str], order: list[str | Column], n: int) -> DataFrame:
-    """The first ``n`` rows of each group."""
+def top_n(df: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group; ``order`` must be unique per group.
+
+    Two rounds: first within salted parts of a group, then over at most 64 n survivors.
+    """
     if n > _PARTIAL_TOP_N:
         return rank_in_group(df, group, order, "_rank").filter(F.col("_rank") <= n).drop("_rank")
-    window = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= n).drop("_rank")
+
+    def trimmed(rows: DataFrame, keys: list[str]) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(_SALTS)))
+    return trimmed(trimmed(salted, [*group, "_salt"]), group).drop("_salt")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_side
 from .ranking import top_n
 
 SHOWN_FAILURES = 10
@@ -54,9 +55,13 @@ def inspect_full(full: DataFrame) -> DataFrame:
 
 
 def last_writer(pages: DataFrame) -> DataFrame:
-    """Of pages that share an output path the one written last, by ``ord``."""
-    winner = pages.groupBy("site", "path").agg(F.max("ord").alias("ord"))
-    return pages.join(winner, ["site", "path", "ord"], "left_semi")
+    """Of pages that share an output path the one written last, by ``ord``.
+
+    The overwritten pages are found on narrow rows and removed by an anti join, broadcast when they are few.
+    """
+    shared = path_collisions(pages).select("site", "path", "kept")
+    lost = pages.select("site", "path", "ord").join(shared, ["site", "path"]).filter(F.col("ord") < F.col("kept"))
+    return pages.join(small_side(lost.select("site", "path", "ord"), "overwritten"), ["site", "path", "ord"], "left_anti")
 
 
 def path_collisions(pages: DataFrame) -> DataFrame:

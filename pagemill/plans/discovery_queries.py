@@ -169,7 +169,7 @@ WITH links AS (SELECT * FROM {_SQL_SEED_LINKS}),
 SELECT site, url, (seed * 4294967296 + pos)::BIGINT AS ord FROM one UNION ALL SELECT site, url, (seed * 4294967296 + pos)::BIGINT FROM two""")
 def expand_seeds(spark, sf):
     urls = frontier.dedupe_urls(site_urls(spark, sf))
-    return discovery.expand_seeds(urls, d.derive(spark, sf, d.SITES), link_graph(_stored(spark, sf)), per_seed=_PER_SEED)
+    return discovery.expand_seeds(urls, d.derive(spark, sf, d.SITES), _stored(spark, sf), per_seed=_PER_SEED)
 
 
 # One crawl per language, from its first page; two of them are cut by depth.

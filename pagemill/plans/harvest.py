@@ -7,14 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pages import is_html
+from ..functions.text import strip
 from ..operators.chunking import corpus_rows
 from ..operators.discovery import discover, site_platform
 from ..operators.frontier import frontier, top_pages, undiscovered
-from ..operators.links import link_graph
 from ..operators.outcome import page_outcome
 from ..operators.reports import manifest, manifest_urls
-from ..session import written
+from ..schemas import TOC
+from ..session import small_side, written
 from ..sources import sinks
 from ..sources.resources import usable
 
@@ -34,9 +34,7 @@ class Harvest:
 def inspect_sites(sites: DataFrame, resources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Discovery only: sites with platform, URLs, whole-site files. Extraction is never planned."""
     sites = written(site_platform(sites, resources), "sites")
-    stored = resources.filter(F.col("status") == 200)
-    pages = stored.filter(is_html(F.col("html"))).select("url", "status", "html")
-    urls, full = discover(sites, resources, link_graph(pages))
+    urls, full = discover(sites, resources)
     return sites, written(urls, "urls"), full
 
 
@@ -44,15 +42,9 @@ def harvest(sites: DataFrame, resources: DataFrame) -> Harvest:
     """All tables of a run. Page rows are written once, so later outputs never parse HTML again."""
     sites, urls, full = inspect_sites(sites, resources)
     capped = top_pages(urls, sites)
-    found = (capped.join(usable(resources), "url").join(sites.select("site", "platform"), "site"))
-    outcomes = page_outcome(found).join(resources.select("url", "fetched_at"), "url", "left")
-    whole = full.join(sites.select("site", F.col("url").alias("start")), "site").select(
-        "site", F.lit(1).cast("bigint").alias("ord"), "url", F.lit("index").alias("path"), F.lit(200).alias("status"),
-        F.col("site").alias("title"), F.trim("text").alias("markdown"),
-        F.array().cast("array<struct<level:int,title:string,anchor:string>>").alias("toc"),
-        F.create_map(F.lit("url"), F.col("start"), F.lit("format"), F.lit("llms-full.txt")).alias("meta"),
-        F.lit("").alias("error"), F.lit(False).alias("needs_render"), F.lit(None).cast("double").alias("fetched_at"))
-    pages = written(outcomes.unionByName(whole), "pages")
+    wanted = small_side(capped.join(sites.select("site", "platform"), "site").drop("source"), "wanted")
+    outcomes = page_outcome(usable(resources).join(wanted, "url"))
+    pages = written(outcomes.unionByName(_whole_site_pages(full, sites)), "pages")
     source = urls.select("site", "source").distinct().union(
         full.select("site", F.lit("llms.txt").alias("source"))).distinct()
     return Harvest(
@@ -63,6 +55,17 @@ def harvest(sites: DataFrame, resources: DataFrame) -> Harvest:
         manifest_urls=manifest_urls(pages))
 
 
+def _whole_site_pages(full: DataFrame, sites: DataFrame) -> DataFrame:
+    """The single page of each site that serves its whole content as one file."""
+    starts = sites.select("site", F.col("url").alias("start"))
+    return full.join(starts, "site").select(
+        "site", F.lit(1).cast("bigint").alias("ord"), "url", F.lit("index").alias("path"), F.lit(200).alias("status"),
+        F.col("site").alias("title"), strip(F.col("text")).alias("markdown"),
+        F.array().cast(TOC).alias("toc"),
+        F.create_map(F.lit("url"), F.col("start"), F.lit("format"), F.lit("llms-full.txt")).alias("meta"),
+        F.lit("").alias("error"), F.lit(False).alias("needs_render"), F.lit(None).cast("double").alias("fetched_at"))
+
+
 def write_outputs(run: Harvest, out: str, generated_at: str) -> None:
     """Writes, per site, the formats its settings ask for."""
     def wanting(fmt: str) -> DataFrame:

@@ -134,7 +134,7 @@ SELECT page_id, status::BIGINT AS status, CASE WHEN status <> 200 THEN 'HTTP ' |
 FROM {_sql_article(f"(SELECT *, {_SQL_IS_HTML} AS is_html, instr(html, 'id=' || chr(34) || 'app') > 0 AS shell FROM {o.derived(_BODIES)})")}""")
 def page_outcome(spark, sf):
     found = d.derive(spark, sf, _BODIES).select(F.lit("all").alias("site"), F.col("page_id").alias("ord"), "url", "status",
-                                                "html", F.lit("generic").alias("platform"))
+                                                "html", "fetched_at", F.lit("generic").alias("platform"))
     return outcomes_of(found).select(F.col("ord").alias("page_id"), _long("status"), "error", "needs_render", "markdown")
 
 

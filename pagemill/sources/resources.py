@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RESOURCES
+from ..session import small_side
 
 
 def read_resources(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESOURCES).parquet(path)
 
 
+def save_resources(resources: DataFrame, name: str, path: str, buckets: int) -> None:
+    """Store resources as an external table bucketed by URL: joins on URL then move only the other side."""
+    (resources.write.mode("overwrite").bucketBy(buckets, "url").sortBy("url").option("path", path)
+     .saveAsTable(name))
+
+
 def usable(resources: DataFrame) -> DataFrame:
     """Rows a lookup may answer with: a body is there."""
     return resources.filter(F.length("html") > 0)
@@ -28,7 +35,7 @@ def upsert(cache: DataFrame, incoming: DataFrame) -> DataFrame:
     """Cache after storing ``incoming``: only status 200 is stored, the newest fetch of a URL wins.
 
     Stored bodies are not aggregated: the cache loses the rows the newest fetches replace (an anti join
-    on url, broadcast by AQE when the increment is small) and gains the winners. On a tie of
+    on url, broadcast when the increment is small) and gains the winners. On a tie of
     ``fetched_at`` the incoming row wins, and among incoming rows the greater body.
     """
     columns = ["url", "status", "html", "fetched_at"]
@@ -37,8 +44,8 @@ def upsert(cache: DataFrame, incoming: DataFrame) -> DataFrame:
            .select("url", "r.*"))
     c, n = cache.alias("c"), new.alias("n")
     same = F.col("c.url") == F.col("n.url")
-    kept = c.join(new.select("url", "fetched_at").alias("n"),
-                  same & (F.col("n.fetched_at") >= F.col("c.fetched_at")), "left_anti").select(*columns)
+    keys = small_side(new.select("url", "fetched_at"), "incoming")
+    kept = c.join(keys.alias("n"), same & (F.col("n.fetched_at") >= F.col("c.fetched_at")), "left_anti").select(*columns)
     fresh = n.join(cache.select("url", "fetched_at").alias("c"),
                    same & (F.col("c.fetched_at") > F.col("n.fetched_at")), "left_anti").select(*columns)
     return kept.unionByName(fresh)
