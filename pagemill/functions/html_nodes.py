@@ -83,6 +83,8 @@ class _Page:
         verbatim = self.kind == "code" or any(tag in ("code", "tt", "kbd") for tag, _, _ in self.marks)
         if not verbatim:
             text = _BLANKS.sub(" ", text)
+            if text[:1] == " " and self.parts and self.parts[-1][-1:].isspace():
+                text = text[1:]     # blanks also collapse across inline elements
         if any(tag == "a" for tag, _, _ in self.marks):
             self.linked += len(text.replace(" ", ""))
         self.parts.append(text)
@@ -119,6 +121,11 @@ class _Page:
         if "".join(self.parts[-1:]).strip():
             self.parts.append("\n")
 
+    def gap(self) -> None:
+        """Cells of a table inside a cell become words of that cell."""
+        if self.parts and not self.parts[-1][-1:].isspace():
+            self.parts.append(" ")
+
     def cell_done(self) -> None:
         while self.marks:
             self.close_mark(self.marks[-1][0])
@@ -166,8 +173,9 @@ class _Page:
     def open_in_table(self, tag: str, attrs: dict[str, str]) -> None:
         if tag == "table":
             self.tables += 1
+            self.gap()
         elif self.tables > 1 and tag in _BREAKS:
-            self.parts.append(" ")
+            self.gap()
         elif tag == "tr":
             self.cell_done()
             self.rows.append([])
@@ -192,9 +200,13 @@ class _Page:
                 self.tables -= 1
                 if not self.tables:
                     self.table_done()
+                else:
+                    self.gap()
             elif tag in _MARKS and any(m[0] == tag for m in self.marks):
                 self.close_mark(tag)
-            elif tag in ("td", "th", "tr") and self.tables == 1:
+            elif self.tables > 1 and tag in _BREAKS:
+                self.gap()
+            elif tag in ("td", "th", "tr"):
                 self.cell_done()
         elif tag in _MARKS:
             if any(m[0] == tag for m in self.marks):
