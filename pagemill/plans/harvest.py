@@ -72,7 +72,8 @@ def write_outputs(run: Harvest, out: str, generated_at: str) -> None:
         chosen = run.sites.filter(F.array_contains("formats", fmt)).select("site")
         return run.pages.join(chosen, "site", "left_semi")
 
-    chosen_json = run.sites.filter(F.array_contains("formats", "json")).withColumn("adapter", F.col("platform"))
+    chosen_json = (run.sites.filter(F.array_contains("formats", "json")).withColumn("adapter", F.col("platform"))
+                   .join(run.pages.select("site").distinct(), "site", "left_semi"))
     sinks.write_by_site(sinks.markdown_files(wanting("md"), run.sites), f"{out}/md", ["path"])
     sinks.write_by_site(sinks.page_json(wanting("json")), f"{out}/json", ["path"])
     sinks.write_site_documents(sinks.site_json(wanting("json"), chosen_json, generated_at), f"{out}/corpus_json")

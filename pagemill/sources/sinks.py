@@ -96,5 +96,6 @@ def read_manifests(spark: SparkSession, glob: str) -> DataFrame:
     """Manifest headers sorted by file path; unreadable files are skipped."""
     raw = (spark.read.schema(MANIFEST + ", _bad string").option("multiLine", True).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_bad").json(glob))
-    good = raw.select("*", F.col("_metadata.file_path").alias("file")).filter(F.col("_bad").isNull())
+    some = F.coalesce("name", "url", "out_dir", "source").isNotNull()
+    good = raw.select("*", F.col("_metadata.file_path").alias("file")).filter(F.col("_bad").isNull() & some)
     return good.drop("_bad").orderBy("file")
