@@ -264,7 +264,11 @@ def split_blocks(spark, sf):
         "doc_id", _long("block_no"), F.array_join("b.heading_path", " > ").alias("heading_path"), "b.text")
 
 
-@query("split_oversized")
+@query("split_oversized", f"""
+WITH RECURSIVE big AS MATERIALIZED (SELECT doc_id AS doc, 0 AS block, text FROM documents WHERE {o.tokens('text')} > 200),{o.cut_ctes(200)}
+SELECT doc_id, piece_no - 1 AS piece_no, {o.tokens('text')}::BIGINT AS tokens, text FROM (
+  SELECT doc AS doc_id, generate_subscripts(pieces, 1)::BIGINT AS piece_no, unnest(pieces) AS text FROM cut_pieces
+  UNION ALL SELECT doc_id, 1, text FROM documents WHERE {o.tokens('text')} <= 200)""")
 def split_oversized(spark, sf):
     pieces = d.rows(spark, sf, "documents").select("doc_id", F.posexplode(cut(F.col("text"), 200)).alias("piece_no", "text"))
     return pieces.select("doc_id", _long("piece_no"), token_estimate(F.col("text")).cast("bigint").alias("tokens"), "text")
@@ -275,7 +279,11 @@ def _chunks(spark, sf):
     return chunking.chunk_documents(docs.select("doc_id", "site", "url", "markdown"), 400, 40)
 
 
-@query("chunk_documents")
+_SQL_CHUNKS = "(" + o.chunks(f"(SELECT doc_id AS doc, block_no AS block, path, text FROM {_SQL_BLOCKS})", 400, 40) + ")"
+
+
+@query("chunk_documents", f"""
+SELECT doc AS doc_id, seq::BIGINT AS seq, array_to_string(path, ' > ') AS heading_path, tokens::BIGINT AS tokens, text FROM {_SQL_CHUNKS}""")
 def chunk_documents(spark, sf):
     return _chunks(spark, sf).select("doc_id", _long("seq"), F.array_join("heading_path", " > ").alias("heading_path"),
                                      _long("tokens"), "text")
@@ -283,7 +291,17 @@ def chunk_documents(spark, sf):
 
 # flagship ------------------------------------------------------------------------------------------
 
-@query("corpus")
+# The first page of every canonical URL and its markdown; a driver page is one block below its heading.
+_SQL_FIRST = f"""(SELECT * EXCLUDE (canonical, url), canonical AS url, row_number() OVER (ORDER BY page_id) AS doc FROM (
+  SELECT * FROM {o.with_canonical(_sql_article("pages"))} QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY page_id) = 1))"""
+_SQL_PAGE_BLOCKS = f"(SELECT doc, 0 AS block, [heading] AS path, {_SQL_MARKDOWN} AS text FROM {_SQL_FIRST})"
+
+
+@query("corpus", f"""
+SELECT split_part(url, '/', 3) AS site, url, regexp_replace(regexp_replace(url, '^https?://[^/]+/', ''), '\\.html$', '') AS path,
+  {_SQL_CLEAN} AS title, seq::BIGINT AS seq, array_to_string(c.path, ' > ') AS heading_path, tokens::BIGINT AS tokens, text
+FROM ({o.chunks(_SQL_PAGE_BLOCKS, 1500, 120)}) c JOIN (
+  SELECT doc, url, title, regexp_split_to_array(title, '\\s*[|·–—:-]\\s*') AS l FROM (SELECT doc, url, {_SQL_TITLE} AS title FROM {_SQL_FIRST})) USING (doc)""")
 def corpus(spark, sf):
     """Canonical, deduplicated pages as token-bounded chunks: the whole path from HTML to corpus rows."""
     pages = d.rows(spark, sf, "pages").select(F.expr("split_part(url, '/', 3)").alias("site"),

@@ -10,7 +10,7 @@ from ..session import scratch_path
 from ..sources import sinks
 from . import derived as d
 from . import oracle as o
-from .page_queries import _SQL_BLOCKS, _chunks
+from .page_queries import _SQL_BLOCKS, _SQL_CHUNKS, _chunks
 from .url_queries import _SQL_SORTED, _sorted
 
 QUERIES, ORACLE = {}, {}
@@ -75,7 +75,10 @@ def site_corpus_md(spark, sf):
     return sinks.site_markdown(page_rows(spark, sf)).select("site", "ord", "text")
 
 
-@query("corpus_jsonl")
+@query("corpus_jsonl", f"""
+SELECT site, url, 'd/' || doc AS path, site AS title, seq::BIGINT AS seq, array_to_string(path, ' > ') AS heading_path,
+  tokens::BIGINT AS tokens, text
+FROM {_SQL_CHUNKS} JOIN (SELECT doc_id AS doc, site, url FROM {o.derived(d.MARKDOWN)}) USING (doc)""")
 def corpus_jsonl(spark, sf):
     path = scratch_path(spark, "corpus-jsonl")
     chunks = _chunks(spark, sf).withColumn("path", F.concat(F.lit("d/"), "doc_id")).withColumn("title", F.col("site"))
