@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .platforms import NOISE
 from .text import strip
-from .urls import host_of, normalize_url, resolve_url, url_ext, url_path
+from .urls import host_of, normalize_url, path_ext, resolve_url, url_path
 
 # Extensions of static assets and data files.
 ASSET_EXTENSIONS = (
@@ -33,8 +33,8 @@ def contains_any(text: Column, parts) -> Column:
     return reduce(or_, (text.contains(p) for p in parts), F.lit(False))
 
 
-def is_asset(url: Column) -> Column:
-    return url_ext(url).isin(ASSET_EXTENSIONS)
+def is_asset(path: Column) -> Column:
+    return path_ext(path).isin(ASSET_EXTENSIONS)
 
 
 def is_noise(path: Column) -> Column:
@@ -53,12 +53,14 @@ def path_allowed(path: Column, include_re: Column, exclude_re: Column) -> Column
     return included & ~excluded
 
 
-def url_allowed(url: Column, adapter: Column, include_re: Column, exclude_re: Column,
+def path_passes(path: Column, adapter: Column, include_re: Column, exclude_re: Column,
                 allow_md: bool = False) -> Column:
-    """The composite check every discovered URL passes; ``allow_md`` skips the extension test."""
-    path = url_path(url)
+    """The composite check on the path of every discovered URL; ``allow_md`` skips the extension test.
+
+    ``path`` is named by some forty tests, so it should be a column and not an expression.
+    """
     keep = ~is_platform_noise(adapter, path) & ~is_noise(path) & path_allowed(path, include_re, exclude_re)
-    return keep if allow_md else keep & ~is_asset(url)
+    return keep if allow_md else keep & ~is_asset(path)
 
 
 def prefix_of(url: Column) -> Column:
@@ -67,18 +69,19 @@ def prefix_of(url: Column) -> Column:
     return F.when(path == "/", "").otherwise(path)
 
 
-def candidate_link(href: Column, canonical: Column, origin: Column, prefix: Column) -> Column:
-    """``canonical`` (the resolved, normalised href) when it stays on the host and in the subtree, else null.
+def in_subtree(href: Column, path: Column, prefix: Column) -> Column:
+    """True when a link with this ``path`` may be followed from within ``prefix``.
 
-    Links written relative may leave the prefix, except to the root page.
+    Links written absolute must stay below the prefix; links written relative may leave it, except to
+    the root page.
     """
-    path = url_path(canonical)
     written_absolute = href.startswith("http://") | href.startswith("https://")
-    inside = F.when(written_absolute, path.startswith(prefix)).otherwise((prefix == "") | (path != "/"))
-    return F.when((host_of(canonical) == F.lower(origin)) & inside, canonical)
+    return F.when(written_absolute, path.startswith(prefix)).otherwise((prefix == "") | (path != "/"))
 
 
 def candidate_from_href(href: Column, base: Column, origin: Column, prefix: Column) -> Column:
-    """One-call form of :func:`candidate_link`."""
+    """Canonical target of a link when it stays on the host and in the subtree, else null."""
     href = strip(href)
-    return candidate_link(href, normalize_url(resolve_url(base, href)), origin, prefix)
+    canonical = normalize_url(resolve_url(base, href))
+    same = host_of(canonical) == F.lower(origin)
+    return F.when(same & in_subtree(href, url_path(canonical), prefix), canonical)

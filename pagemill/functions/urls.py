@@ -91,7 +91,11 @@ def normalize_url(url: Column) -> Column:
 
 def url_ext(url: Column) -> Column:
     """Lower-case extension of the last path segment with its dot, or ''."""
-    return F.lower(F.regexp_extract(url_path(url), r"\.[^./]*\z", 0))
+    return path_ext(url_path(url))
+
+
+def path_ext(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.[^./]*\z", 0))
 
 
 def resolve_url(base: Column, href: Column) -> Column:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.filters import candidate_link, path_allowed, prefix_of, url_allowed
+from ..functions.filters import in_subtree, path_allowed, path_passes, prefix_of
 from ..functions.pages import is_html
 from ..functions.platforms import detect_platform
 from ..functions.text import SPACE, lines, once, strip
@@ -19,7 +19,7 @@ from ..functions.urls import base_of, host_of, normalize_url, resolve_url, same_
 from ..session import bucketed, scratch_path, small_side, written
 from ..sources.sitemap import sitemap_locs
 from .frontier import best_only, dedupe_urls, prefer_source, sort_urls, union_dedupe
-from .links import link_graph
+from .links import link_graph, with_host_path
 from .ranking import rank_in_group, top_n
 
 # Depth of sitemap recursion, children followed per file, URLs after which no file is entered.
@@ -51,8 +51,8 @@ def _rules(sites: DataFrame) -> DataFrame:
         "site", host_of(F.col("url")).alias("origin"), "platform", "include_re", "exclude_re"), "rules")
 
 
-def _allowed(url: str) -> Column:
-    return url_allowed(F.col(url), F.col("platform"), F.col("include_re"), F.col("exclude_re"))
+def _passes() -> Column:
+    return path_passes(F.col("path"), F.col("platform"), F.col("include_re"), F.col("exclude_re"))
 
 
 def site_files(resources: DataFrame) -> DataFrame:
@@ -140,8 +140,8 @@ def sitemap_tree(candidates: DataFrame, sites: DataFrame, resources: DataFrame,
                        "locs")
         own = (locs.select("site", "file", F.posexplode("locs").alias("pos", "loc"))
                .select("site", "file", "pos", once(normalize_url(F.col("loc"))).alias("url"))
-               .filter(F.col("url").isNotNull()).join(rules, "site")
-               .filter(same_host(F.col("url"), F.col("origin"))).filter(_allowed("url")))
+               .filter(F.col("url").isNotNull()))
+        own = with_host_path(own, "url").join(rules, "site").filter((F.col("host") == F.col("origin")) & _passes())
         found.append(own.select(
             "site", "file", F.concat("file", F.lit("1"), F.lpad(F.col("pos").cast("string"), 8, "0")).alias("ord"), "url"))
         child = F.filter("locs", lambda u: F.lower(u).contains("sitemap") & F.lower(u).endswith(".xml"))
@@ -189,11 +189,9 @@ def expand_seeds(urls: DataFrame, sites: DataFrame, pages: DataFrame,
     first = rank_rows(top_n(urls, ["site"], ["ord"], seeds), "seed")
     first = small_side(first.withColumnRenamed("url", "src_url").select("site", "seed", "src_url"), "seeds")
     seen = pages.join(first.select(F.col("src_url").alias("url")).distinct(), "url", "left_semi")
-    hops = (first.join(link_graph(seen), "src_url").join(rules, "site")
-            .withColumn("prefix", prefix_of(F.col("src_url")))
-            .withColumn("url", once(candidate_link(strip(F.col("href")), F.col("dst_url"),
-                                                   F.col("origin"), F.col("prefix"))))
-            .filter(F.col("url").isNotNull() & (F.col("url") != F.col("src_url"))).filter(_allowed("url"))
+    hops = (first.join(link_graph(seen).withColumnRenamed("dst_url", "url"), "src_url").join(rules, "site")
+            .filter((F.col("url") != F.col("src_url")) & (host_of(F.col("src_url")) == F.col("origin")))
+            .filter(in_subtree(F.col("href"), F.col("path"), prefix_of(F.col("src_url"))) & _passes())
             .groupBy("site", "seed", "url").agg(F.min("pos").alias("pos")))
     hops = written(hops, "hops")
     taken = None
@@ -241,9 +239,11 @@ def crawl_graph(sites: DataFrame, links: DataFrame, ranked: bool | None = None)
     start = F.coalesce(normalize_url(F.col("url")), F.col("url"))
     starts = sites.select("site", start.alias("start"), host_of(F.col("url")).alias("origin"), "platform",
                           "include_re", "exclude_re", "max_depth", "max_pages")
-    rules = small_side(starts.withColumn("prefix", prefix_of(F.col("start"))), "rules")
+    # A start URL may lose a default port; its links then never match the site's own host.
+    rules = small_side(starts.withColumn("prefix", prefix_of(F.col("start")))
+                       .withColumn("at_home", host_of(F.col("start")) == F.col("origin")), "rules")
     root, columns = scratch_path(spark, "crawl"), "site string, url string, rank bigint"
-    level = rules.filter(_allowed("start")).select("site", F.col("start").alias("url"), F.lit(1).cast("bigint").alias("rank"))
+    level = rules.withColumn("path", url_path(F.col("start"))).filter(_passes()).select("site", F.col("start").alias("url"), F.lit(1).cast("bigint").alias("rank"))
     depth = 0
     with bucketed(links, "src_url", "graph") as graph:
         while True:
@@ -259,11 +259,10 @@ def crawl_graph(sites: DataFrame, links: DataFrame, ranked: bool | None = None)
 def _next_level(done: DataFrame, seen: DataFrame, graph: DataFrame, rules: DataFrame, depth: int,
                 ranked: bool) -> DataFrame:
     """URLs first reached from the level ``done``, in queue order when ``ranked``."""
-    target = candidate_link(strip(F.col("href")), F.col("dst_url"), F.col("origin"), F.col("prefix"))
     hops = (done.withColumnRenamed("url", "src_url").join(rules, "site")
-            .filter((F.col("max_depth") == 0) | (F.col("max_depth") > depth))
-            .join(graph, "src_url").withColumn("url", once(target))
-            .filter(F.col("url").isNotNull()).filter(_allowed("url")))
+            .filter(((F.col("max_depth") == 0) | (F.col("max_depth") > depth)) & F.col("at_home"))
+            .join(graph, "src_url").withColumnRenamed("dst_url", "url")
+            .filter(in_subtree(F.col("href"), F.col("path"), F.col("prefix")) & _passes()))
     order = F.min(F.struct("rank", "pos")) if ranked else F.lit(None)
     level = (hops.groupBy("site", "url").agg(order.alias("at"))
              .join(seen.select("site", "url"), ["site", "url"], "left_anti"))

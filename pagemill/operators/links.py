@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_entity_list, once, strip
-from ..functions.urls import UrlParts, normalize_url, resolve_from, url_parts
+from ..functions.urls import UrlParts, host_of, normalize_url, resolve_from, url_parts, url_path
 
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 _HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
@@ -37,7 +37,18 @@ def _unpacked(name: str) -> UrlParts:
     return UrlParts(*(F.col(f"{name}.{field}") for field in UrlParts._fields))
 
 
+def with_host_path(df: DataFrame, url: str) -> DataFrame:
+    """Adds ``host`` and ``path`` of a URL column, computed once."""
+    parts = F.struct(host_of(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    return df.withColumn("_p", once(parts)).select("*", "_p.host", "_p.path").drop("_p")
+
+
 def link_graph(pages: DataFrame) -> DataFrame:
-    """``(src_url, pos, href, dst_url)`` for pages that were fetched with status 200."""
-    found = resolve_links(extract_links(pages.filter(F.col("status") == 200)))
-    return found.filter(F.col("dst_url").isNotNull()).select("src_url", "pos", "href", "dst_url")
+    """``(src_url, pos, href, dst_url, path)``: links between pages of one host.
+
+    Only pages fetched with status 200 count. ``path`` is that of ``dst_url``; links to other hosts never
+    become candidates, so they are not kept.
+    """
+    found = resolve_links(extract_links(pages.filter(F.col("status") == 200))).filter(F.col("dst_url").isNotNull())
+    return (with_host_path(found, "dst_url").filter(F.col("host") == host_of(F.col("src_url")))
+            .select("src_url", "pos", strip(F.col("href")).alias("href"), "dst_url", "path"))

@@ -33,10 +33,10 @@ def _long(name: str):
     return F.col(name).cast("bigint").alias(name)
 
 
-# The entities that occur in the data; the ampersand last.
+# The entities that occur in the data, the ampersand last; a cut-off text may lack the semicolon.
 def _decoded(text: str) -> str:
-    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
-        text = f"replace({text}, '{entity}', '{char}')"
+    for entity, char in (("&copy;?", "©"), ("&middot;?", "·"), ("&quot;?", '"'), ("&amp;?", "&")):
+        text = f"regexp_replace({text}, '{entity}', '{char}', 'g')"
     return text
 
 

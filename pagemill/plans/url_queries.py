@@ -121,8 +121,9 @@ WHERE {o.host_of('dst_url')} = {o.host_of('src_url')} AND CASE WHEN href LIKE 'h
 def candidate_links(spark, sf):
     found = links.resolve_links(written_links(spark, sf))
     prefix = F.concat(F.lit("/"), F.expr("split_part(src_url, '/', 4)"))
-    kept = filters.candidate_link(F.col("href"), F.col("dst_url"), urls.host_of(F.col("src_url")), prefix)
-    return found.withColumn("dst_url", kept).filter(F.col("dst_url").isNotNull()).select(
+    found = links.with_host_path(found.withColumn("src_host", urls.host_of(F.col("src_url"))), "dst_url")
+    inside = filters.in_subtree(F.col("href"), F.col("path"), prefix)
+    return found.filter((F.col("host") == F.col("src_host")) & inside).select(
         "page_id", F.col("pos").cast("bigint").alias("pos"), "href", "dst_url")
 
 
@@ -133,20 +134,19 @@ SELECT page_id, url, adapter, {o.asset('p')} AS asset, {o.noise('p')} AS noise,
   {o.kept('p', 'adapter')} AS keep, NOT ({o.platform_noise('adapter', 'p')} OR {o.noise('p')} OR {o.excluded('p')}) AS keep_md
 FROM (SELECT *, {o.path_of('url')} AS p FROM {o.derived(d.CHECKED_URLS)})""")
 def filter_urls(spark, sf):
-    url, adapter, none = F.col("url"), F.col("adapter"), F.lit(None).cast("string")
-    path = urls.url_path(url)
-    return d.derive(spark, sf, d.CHECKED_URLS).select(
-        "page_id", "url", "adapter", filters.is_asset(url).alias("asset"), filters.is_noise(path).alias("noise"),
+    path, adapter, none = F.col("path"), F.col("adapter"), F.lit(None).cast("string")
+    return links.with_host_path(d.derive(spark, sf, d.CHECKED_URLS), "url").select(
+        "page_id", "url", "adapter", filters.is_asset(path).alias("asset"), filters.is_noise(path).alias("noise"),
         filters.is_platform_noise(adapter, path).alias("platform_noise"),
-        filters.url_allowed(url, adapter, none, none).alias("keep"),
-        filters.url_allowed(url, adapter, none, none, allow_md=True).alias("keep_md"))
+        filters.path_passes(path, adapter, none, none).alias("keep"),
+        filters.path_passes(path, adapter, none, none, allow_md=True).alias("keep_md"))
 
 
 @query("platform_noise", f"""
 SELECT page_id, adapter, url FROM {o.derived(d.CHECKED_URLS)} WHERE NOT {o.platform_noise('adapter', o.path_of('url'))}""")
 def platform_noise(spark, sf):
-    return d.derive(spark, sf, d.CHECKED_URLS).filter(
-        ~filters.is_platform_noise(F.col("adapter"), urls.url_path(F.col("url")))).select("page_id", "adapter", "url")
+    checked = links.with_host_path(d.derive(spark, sf, d.CHECKED_URLS), "url")
+    return checked.filter(~filters.is_platform_noise(F.col("adapter"), F.col("path"))).select("page_id", "adapter", "url")
 
 
 _RULES = [
@@ -245,9 +245,9 @@ def source_priority(spark, sf):
 
 @query("undiscovered_sites", f"""
 SELECT site, url FROM {o.derived(d.SITES)} WHERE site NOT IN
-  (SELECT DISTINCT site FROM {_SQL_DEDUPED} WHERE {o.path_of('url')} LIKE '/fr/%')""")
+  (SELECT DISTINCT site FROM {_SQL_DEDUPED} WHERE {o.path_of('url')} LIKE '/fr/9%')""")
 def undiscovered_sites(spark, sf):
-    found = frontier.dedupe_urls(site_urls(spark, sf)).filter(urls.url_path(F.col("url")).startswith("/fr/"))
+    found = frontier.dedupe_urls(site_urls(spark, sf)).filter(urls.url_path(F.col("url")).startswith("/fr/9"))
     return frontier.undiscovered(d.derive(spark, sf, d.SITES), found).select("site", "url")
 
 
