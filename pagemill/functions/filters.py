@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -30,7 +31,7 @@ DEFAULT_EXCLUDES = (
 
 
 def contains_any(text: Column, parts) -> Column:
-    return reduce(or_, (text.contains(p) for p in parts), F.lit(False))
+    return text.rlike("|".join(map(re.escape, parts)))
 
 
 def is_asset(path: Column) -> Column:

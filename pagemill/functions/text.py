@@ -33,9 +33,10 @@ def once(value: Column) -> Column:
 
     Catalyst copies a deterministic expression into the filters above it (also the one it infers for
     ``explode``) and into each place a later projection uses it. For long URL expressions, folds over nodes
-    and Python calls that would repeat the work, so they are tied to the partition id.
+    and Python calls that would repeat the work, so they are tied to the partition id. An array lookup rather
+    than a condition does it, because common parts are shared only outside of conditions.
     """
-    return F.when(F.spark_partition_id() >= 0, value)
+    return F.get(F.array(value), F.least(F.spark_partition_id(), F.lit(0)))
 
 
 def strip(text: Column) -> Column:

@@ -38,7 +38,7 @@ class UrlParts(NamedTuple):
 
 
 def _cleaned(url: Column) -> Column:
-    return F.translate(F.ltrim(url, F.lit(_LEADING_CONTROLS)), "\t\r\n", "")
+    return F.regexp_replace(F.ltrim(url, F.lit(_LEADING_CONTROLS)), "[\t\r\n]+", "")
 
 
 def url_parts(url: Column) -> UrlParts:
@@ -68,24 +68,22 @@ def base_of(url: Column) -> Column:
 
 def _legal_netloc(netloc: Column) -> Column:
     bracket = netloc.contains("[") | netloc.contains("]")
-    return (~bracket | netloc.rlike(_IP_LITERAL)) & ~netloc.rlike(_SPOOF)
+    ascii_only = F.octet_length(netloc) == F.length(netloc)
+    return (~bracket | netloc.rlike(_IP_LITERAL)) & (ascii_only | ~netloc.rlike(_SPOOF))
 
 
 def normalize_url(url: Column) -> Column:
-    """Canonical http(s) URL, or null."""
+    """Canonical http(s) URL, or null. No costly part is named twice below the condition."""
     scheme, netloc, path, query = url_parts(strip(url))
-    host = F.lower(netloc)
-    host = (F.when(scheme == "http", F.regexp_replace(host, r":80\z", ""))
-            .otherwise(F.regexp_replace(host, r":443\z", "")))
+    origin = F.regexp_replace(F.concat(scheme, F.lit("://"), F.lower(netloc)),
+                              r"\A(http://.*):80\z|\A(https://.*):443\z", "$1$2")
     trimmed = F.rtrim(F.regexp_replace(path, r"/index\.(?:html?|md)\z", "/"), F.lit("/"))
     kept = F.regexp_extract_all(
-        F.concat(F.lit("&"), query), F.lit(f"&((?:{'|'.join(KEPT_QUERY_KEYS)})=[^&]+)"), F.lit(1))
-    kept = F.array_join(kept, "&")
+        F.concat(F.lit("&"), query), F.lit(f"(&(?:{'|'.join(KEPT_QUERY_KEYS)})=[^&]+)"), F.lit(1))
     return F.when(
         scheme.isin("http", "https") & (netloc != "") & _legal_netloc(netloc),
-        F.concat(scheme, F.lit("://"), host,
-                 F.when(trimmed == "", "/").otherwise(trimmed),
-                 F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept))),
+        # the greater of '/' and a path: '/' only for the empty one
+        F.concat(origin, F.greatest(trimmed, F.lit("/")), F.regexp_replace(F.array_join(kept, ""), r"\A&", "?")),
     )
 
 
@@ -99,40 +97,49 @@ def path_ext(path: Column) -> Column:
 
 
 def resolve_url(base: Column, href: Column) -> Column:
-    """Absolute form of ``href`` seen from the page ``base``."""
-    return resolve_from(url_parts(base), base, href)
-
-
-def resolve_from(base_parts: UrlParts, base: Column, href: Column) -> Column:
-    """As :func:`resolve_url` with the parts of the base already split (once per page, not per link)."""
-    b, h = base_parts, url_parts(href)
-    fragment = F.regexp_extract(_cleaned(href), r"(?s)#.+$", 0)
-    query = F.when(h.query == "", "").otherwise(F.concat(F.lit("?"), h.query))
-    base_query = F.when(b.query == "", "").otherwise(F.concat(F.lit("?"), b.query))
-    folder = F.regexp_replace(b.path, r"[^/]*\z", "")
-    merged = F.when(h.path.startswith("/"), h.path).otherwise(
-        F.regexp_replace(F.concat(folder, h.path), "/{2,}", "/"))
-    rooted = _rooted(
-        F.when(merged.rlike(r"(?:^|/)\.\.?(?:/|\z)"), _without_dots(merged)).otherwise(merged))
-    origin = F.concat(b.scheme, F.lit("://"), b.netloc)
-    return (F.when(href == "", base)
-            .when((h.scheme != "") & (h.scheme != b.scheme), href)
-            .when(h.netloc != "", F.concat(b.scheme, F.lit("://"), h.netloc, _rooted_or_empty(h.path),
-                                           query, fragment))
-            .when(h.path == "", F.concat(origin, b.path,
-                                         F.when(query == "", base_query).otherwise(query), fragment))
-            .otherwise(F.concat(origin, rooted, query, fragment)))
+    """Absolute form of ``href`` seen from the page ``base``.
 
+    One expression for few rows; ``operators.links.resolve`` takes the same steps column by column.
+    """
+    b, h = url_parts(base), url_parts(href)
+    path = joined_path(b, h)
+    return assembled(b, h, base, href, F.when(has_dots(path), without_dots(path)).otherwise(path))
 
-def _rooted(path: Column) -> Column:
-    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+
+def joined_path(base: UrlParts, href: UrlParts) -> Column:
+    """Path of a relative link below the folder of the base, dots still in it."""
+    folder = F.regexp_replace(base.path, r"[^/]*\z", "")
+    return F.when(href.path.startswith("/"), href.path).otherwise(
+        F.regexp_replace(F.concat(folder, href.path), "/{2,}", "/"))
+
+
+def has_dots(path: Column) -> Column:
+    return path.contains(".") & path.rlike(r"(?:^|/)\.\.?(?:/|\z)")
 
 
-def _rooted_or_empty(path: Column) -> Column:
-    return F.when(path == "", path).otherwise(_rooted(path))
+def assembled(base: UrlParts, href: UrlParts, base_url: Column, href_text: Column, path: Column) -> Column:
+    """The absolute URL from both parts and the joined path."""
+    def marked(query: Column) -> Column:
+        return F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))
+
+    fragment = F.when(href_text.contains("#"), F.regexp_extract(_cleaned(href_text), r"(?s)#.+", 0)).otherwise("")
+    tail = F.concat(marked(href.query), fragment)
+    origin = F.concat(base.scheme, F.lit("://"), base.netloc)
+    own_page = F.concat(origin, base.path, F.when(href.query == "", marked(base.query)).otherwise(marked(href.query)), fragment)
+    other_host = F.concat(base.scheme, F.lit("://"), href.netloc, F.when(href.path == "", "").otherwise(_rooted(href.path)), tail)
+    return (F.when(href_text == "", base_url)
+            .when((href.scheme != "") & (href.scheme != base.scheme), href_text)
+            .when(href.netloc != "", other_host)
+            .when(href.path == "", own_page)
+            .otherwise(F.concat(origin, _rooted(path), tail)))
+
+
+def _rooted(path: Column) -> Column:
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
 
 
-def _without_dots(path: Column) -> Column:
+def without_dots(path: Column) -> Column:
+    """``.`` and ``..`` segments folded away."""
     segments = F.split(path, "/", -1)
     folded = F.aggregate(
         segments, F.array().cast("array<string>"),

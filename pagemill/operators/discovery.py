@@ -244,6 +244,7 @@ def crawl_graph(sites: DataFrame, links: DataFrame, ranked: bool | None = None)
                        .withColumn("at_home", host_of(F.col("start")) == F.col("origin")), "rules")
     root, columns = scratch_path(spark, "crawl"), "site string, url string, rank bigint"
     level = rules.withColumn("path", url_path(F.col("start"))).filter(_passes()).select("site", F.col("start").alias("url"), F.lit(1).cast("bigint").alias("rank"))
+    follow = in_subtree(F.col("href"), F.col("path"), F.col("prefix")) & _passes()
     depth = 0
     with bucketed(links, "src_url", "graph") as graph:
         while True:
@@ -252,17 +253,16 @@ def crawl_graph(sites: DataFrame, links: DataFrame, ranked: bool | None = None)
             seen = spark.read.schema(columns + ", depth int").option("basePath", root).parquet(f"{root}/depth=*")
             if done.isEmpty():
                 return seen
-            level = _next_level(done, seen, graph, rules, depth, ranked)
+            level = _next_level(done, seen, graph, rules, follow, depth, ranked)
             depth += 1
 
 
-def _next_level(done: DataFrame, seen: DataFrame, graph: DataFrame, rules: DataFrame, depth: int,
+def _next_level(done: DataFrame, seen: DataFrame, graph: DataFrame, rules: DataFrame, follow: Column, depth: int,
                 ranked: bool) -> DataFrame:
     """URLs first reached from the level ``done``, in queue order when ``ranked``."""
     hops = (done.withColumnRenamed("url", "src_url").join(rules, "site")
             .filter(((F.col("max_depth") == 0) | (F.col("max_depth") > depth)) & F.col("at_home"))
-            .join(graph, "src_url").withColumnRenamed("dst_url", "url")
-            .filter(in_subtree(F.col("href"), F.col("path"), F.col("prefix")) & _passes()))
+            .join(graph, "src_url").withColumnRenamed("dst_url", "url").filter(follow))
     order = F.min(F.struct("rank", "pos")) if ranked else F.lit(None)
     level = (hops.groupBy("site", "url").agg(order.alias("at"))
              .join(seen.select("site", "url"), ["site", "url"], "left_anti"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_entity_list, once, strip
-from ..functions.urls import UrlParts, host_of, normalize_url, resolve_from, url_parts, url_path
+from ..functions.urls import (UrlParts, assembled, has_dots, host_of, joined_path, normalize_url, url_parts, url_path,
+                              without_dots)
 
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 _HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
@@ -22,15 +23,27 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
 def resolve_links(links: DataFrame) -> DataFrame:
     """Adds ``abs_url`` (resolved against the page) and ``dst_url`` (canonical, or null)."""
-    return (links.withColumn("_b", _packed_parts())
-            .withColumn("abs_url", once(resolve_from(_unpacked("_b"), F.col("src_url"), strip(F.col("href")))))
-            .withColumn("dst_url", once(normalize_url(F.col("abs_url"))))
-            .drop("_b"))
+    links = resolve(links.withColumn("_href", strip(F.col("href"))), "src_url", "_href", "abs_url").drop("_href")
+    return links.withColumn("dst_url", once(normalize_url(F.col("abs_url"))))
 
 
-def _packed_parts():
-    parts = url_parts(F.col("src_url"))
-    return F.struct(*(c.alias(n) for n, c in zip(UrlParts._fields, parts)))
+def resolve(df: DataFrame, base: str, href: str, out: str) -> DataFrame:
+    """Adds ``out``: the URL column ``href`` made absolute against the URL column ``base``.
+
+    Each step is a column of its own, so that no step repeats an earlier one, and only the fold over dot
+    segments leaves generated code.
+    """
+    b, h, path = _unpacked("_b"), _unpacked("_h"), F.col("_path")
+    return (df.withColumn("_b", once(_packed(base))).withColumn("_h", once(_packed(href)))
+            .withColumn("_path", once(joined_path(b, h)))
+            .withColumn("_dotted", once(F.when(has_dots(path), path)))
+            .withColumn("_path", once(F.coalesce(without_dots(F.col("_dotted")), path)))
+            .withColumn(out, once(assembled(b, h, F.col(base), F.col(href), path)))
+            .drop("_b", "_h", "_path", "_dotted"))
+
+
+def _packed(url: str) -> Column:
+    return F.struct(*(part.alias(name) for name, part in zip(UrlParts._fields, url_parts(F.col(url)))))
 
 
 def _unpacked(name: str) -> UrlParts:
