@@ -306,9 +306,18 @@ def text_content(text: str) -> str:
     return "".join(entities.unescape(t["text"]) for t in _TOKEN.finditer(text) if t["text"])
 
 
+def nodes_or_error(text: str) -> list[dict]:
+    """Nodes of a page; one page that cannot be read becomes an ``error`` node and fails alone."""
+    try:
+        return page_nodes(text)
+    except Exception as error:
+        return [{"kind": "error", "level": 0, "ordinal": 0, "list_no": 0, "in_root": False,
+                 "text": f"{type(error).__name__}: {error}", "linked": 0, "rows": None}]
+
+
 @F.arrow_udf(from_arrow_type(_NODES_ARROW))
 def html_nodes(html: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else page_nodes(v) for v in html.to_pylist()], _NODES_ARROW)
+    return pa.array([None if v is None else nodes_or_error(v) for v in html.to_pylist()], _NODES_ARROW)
 
 
 @F.arrow_udf(from_arrow_type(_MATCHES_ARROW))
@@ -317,5 +326,5 @@ def selected_nodes(html: pa.Array, selectors: pa.Array) -> pa.Array:
     out = []
     for text, wanted in zip(html.to_pylist(), selectors.to_pylist()):
         found = [subtree(text or "", s) for s in wanted or []]
-        out.append([{"nodes": page_nodes(f), "content": text_content(f)} for f in found if f is not None])
+        out.append([{"nodes": nodes_or_error(f), "content": text_content(f)} for f in found if f is not None])
     return pa.array(out, _MATCHES_ARROW)

@@ -48,8 +48,8 @@ def is_html(body: Column) -> Column:
     return head.contains(_HTML_MARKS[0]) | head.contains(_HTML_MARKS[1]) | head.contains(_HTML_MARKS[2])
 
 
-def outcome_error(status: Column, html_page: Column, markdown: Column) -> Column:
-    """'' for a page that made it, else the reason it failed."""
+def outcome_error(status: Column, html_page: Column, markdown: Column, failure: Column) -> Column:
+    """'' for a page that made it, else the reason it failed; ``failure`` is an unexpected error or null."""
     return (F.when(status != 200, F.concat(F.lit("HTTP "), status.cast("string")))
-            .when(html_page & (markdown == ""), EMPTY_EXTRACTION)
+            .when(html_page & (markdown == ""), F.coalesce(failure, F.lit(EMPTY_EXTRACTION)))
             .otherwise(""))

@@ -55,14 +55,17 @@ def _passes() -> Column:
     return path_passes(F.col("path"), F.col("platform"), F.col("include_re"), F.col("exclude_re"))
 
 
+def _sitemap_name(url: Column) -> Column:
+    return F.lower(url).contains("sitemap") & F.lower(url).endswith(".xml")
+
+
 def site_files(resources: DataFrame) -> DataFrame:
     """The few resources discovery reads as text, written once: a URL-only filter over the scan.
 
     Covers llms.txt, llms-full*, robots.txt and every file name a sitemap index may lead to.
     """
-    name, lower = F.substring_index("url", "/", -1), F.lower("url")
-    wanted = (name.isin("llms.txt", "robots.txt") | name.startswith("llms-full")
-              | (lower.contains("sitemap") & lower.endswith(".xml")))
+    name = F.substring_index("url", "/", -1)
+    wanted = name.isin("llms.txt", "robots.txt") | name.startswith("llms-full") | _sitemap_name(F.col("url"))
     return written(resources.filter((F.col("status") == 200) & wanted).select("url", "status", "html"), "site-files")
 
 
@@ -144,7 +147,7 @@ def sitemap_tree(candidates: DataFrame, sites: DataFrame, resources: DataFrame,
         own = with_host_path(own, "url").join(rules, "site").filter((F.col("host") == F.col("origin")) & _passes())
         found.append(own.select(
             "site", "file", F.concat("file", F.lit("1"), F.lpad(F.col("pos").cast("string"), 8, "0")).alias("ord"), "url"))
-        child = F.filter("locs", lambda u: F.lower(u).contains("sitemap") & F.lower(u).endswith(".xml"))
+        child = F.filter("locs", _sitemap_name)
         level = (locs.select("site", "file", F.posexplode(F.slice(child, 1, SITEMAP_CHILDREN)).alias("pos", "url"))
                  .select("site", F.concat("file", F.lit("0"), F.lpad(F.col("pos").cast("string"), 2, "0")).alias("file"),
                          "url"))
@@ -213,7 +216,7 @@ def rank_rows(df: DataFrame, name: str) -> DataFrame:
 def sitemap_urls(sites: DataFrame, resources: DataFrame, files: DataFrame, pages: DataFrame) -> DataFrame:
     """Sorted URLs of all sites that have at least one sitemap URL; ``files`` are the :func:`site_files`."""
     candidates = written(robots_sitemaps(sites, files), "candidates")
-    odd = small_side(candidates.select("url").join(files, "url", "left_anti").distinct(), "odd")
+    odd = small_side(candidates.select("url").filter(~_sitemap_name(F.col("url"))).distinct(), "odd")
     if not odd.isEmpty():       # sitemaps robots.txt names freely need one more look at the resources
         files = files.unionByName(written(resources.select("url", "status", "html").join(odd, "url", "left_semi"), "odd-files"))
     tree = sitemap_tree(candidates, sites, files)

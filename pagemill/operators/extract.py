@@ -26,7 +26,7 @@ def root_nodes(nodes: Column) -> Column:
 
 def has_prose(nodes: Column) -> Column:
     """False for pages of nothing but headings and links: those go to the selector fallback."""
-    return F.exists(nodes, lambda n: (n["kind"] != "heading") & (
+    return F.exists(nodes, lambda n: ~n["kind"].isin("heading", "error") & (
         F.length(F.regexp_replace(n["text"], f"[{SPACE}]", "")) > _link_room(n)))
 
 
@@ -89,14 +89,16 @@ def markdown_of(nodes: Column) -> Column:
 
 
 def content_nodes(pages: DataFrame) -> DataFrame:
-    """Adds ``nodes``: the main-content nodes; an empty array when the page has no prose."""
+    """Adds ``nodes``: the main-content nodes, none when the page has no prose, and ``failure``: why a page
+    could not be read, or null."""
     nodes = F.col("nodes")
-    pages = pages.withColumn("nodes", html_nodes(F.col("html"))).withColumn("nodes", once(root_nodes(nodes)))
+    pages = (pages.withColumn("nodes", html_nodes(F.col("html"))).withColumn("nodes", once(root_nodes(nodes)))
+             .withColumn("failure", F.get(F.filter(nodes, lambda n: n["kind"] == "error"), F.lit(0))["text"]))
     return pages.withColumn("nodes", once(F.when(has_prose(nodes), nodes).otherwise(F.slice(nodes, 1, 0))))
 
 
 def extract_primary(pages: DataFrame) -> DataFrame:
-    """Adds ``markdown, toc, meta, title, raw_title`` from the HTML."""
+    """Adds ``markdown, toc, meta, title, raw_title, failure`` from the HTML."""
     nodes = F.col("nodes")
     pages = pages.withColumn("raw_title", once(page_title(F.col("html")))).withColumn(
         "meta", once(page_meta(F.col("url"), F.col("html"))))

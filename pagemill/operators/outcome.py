@@ -33,7 +33,7 @@ def page_outcome(pages: DataFrame) -> DataFrame:
                         .when(ok, F.coalesce("meta", none)).otherwise(none))
             .withColumn("toc", F.coalesce("toc", F.array().cast("array<struct<level:int,title:string,anchor:string>>")))
             .withColumn("path", rel_path(F.col("url")))
-            .withColumn("error", outcome_error(F.col("status"), F.col("_is_html"), F.col("markdown")))
+            .withColumn("error", outcome_error(F.col("status"), F.col("_is_html"), F.col("markdown"), F.col("failure")))
             .withColumn("needs_render", (F.col("error") != "") & ok & is_shell(F.col("_body")))
             .select(*_COLUMNS))
 

@@ -16,14 +16,13 @@ from ..operators.reports import manifest, manifest_urls
 from ..schemas import TOC
 from ..session import small_side, written
 from ..sources import sinks
-from ..sources.resources import usable
 
 
 @dataclass
 class Harvest:
-    sites: DataFrame        # with the platform in force
+    sites: DataFrame        # adapter: the one in force
     urls: DataFrame         # site, ord, url, source
-    todo: DataFrame         # discovered URLs without a stored page
+    todo: DataFrame         # discovered URLs that still need a good fetch
     undiscovered: DataFrame
     pages: DataFrame        # written page rows, failed ones included
     chunks: DataFrame
@@ -43,15 +42,17 @@ def harvest(sites: DataFrame, resources: DataFrame) -> Harvest:
     sites, urls, full = inspect_sites(sites, resources)
     capped = top_pages(urls, sites)
     wanted = small_side(capped.join(sites.select("site", "platform"), "site").drop("source"), "wanted")
-    outcomes = page_outcome(usable(resources).join(wanted, "url"))
+    outcomes = page_outcome(resources.join(wanted, "url"))
     pages = written(outcomes.unionByName(_whole_site_pages(full, sites)), "pages")
     source = urls.select("site", "source").distinct().union(
         full.select("site", F.lit("llms.txt").alias("source"))).distinct()
+    whole = full.select("site", F.lit("llmstxt").alias("_whole"))
+    named = sites.join(whole, "site", "left").withColumn("adapter", F.coalesce("_whole", "platform")).drop("_whole")
     return Harvest(
-        sites=sites, urls=urls, todo=frontier(capped, resources),
+        sites=named, urls=urls, todo=frontier(capped, resources.filter(F.col("status") == 200)),
         undiscovered=undiscovered(sites, urls.select("site").union(full.select("site"))),
         pages=pages, chunks=corpus_rows(pages),
-        manifest=manifest(pages, sites.withColumn("adapter", F.col("platform")), source),
+        manifest=manifest(pages, named, source),
         manifest_urls=manifest_urls(pages))
 
 
@@ -72,7 +73,7 @@ def write_outputs(run: Harvest, out: str, generated_at: str) -> None:
         chosen = run.sites.filter(F.array_contains("formats", fmt)).select("site")
         return run.pages.join(chosen, "site", "left_semi")
 
-    chosen_json = (run.sites.filter(F.array_contains("formats", "json")).withColumn("adapter", F.col("platform"))
+    chosen_json = (run.sites.filter(F.array_contains("formats", "json"))
                    .join(run.pages.select("site").distinct(), "site", "left_semi"))
     sinks.write_by_site(sinks.markdown_files(wanting("md"), run.sites), f"{out}/md", ["path"])
     sinks.write_by_site(sinks.page_json(wanting("json")), f"{out}/json", ["path"])

@@ -24,7 +24,7 @@ def article(title, *hrefs):
 
 SITES = [
     SiteConfig("https://map.org/docs/", formats=["all"]), SiteConfig("https://walk.org/", name="walk", formats=["md", "json"], max_pages=2),
-    SiteConfig("https://full.org/", adapter="llmstxt", formats=["jsonl"]), SiteConfig("https://list.org/", formats=["md"]),
+    SiteConfig("https://full.org/", formats=["jsonl"]), SiteConfig("https://list.org/", formats=["md"]),
     SiteConfig("https://gone.org/", adapter="llmstxt"),
 ]
 FETCHED = {
@@ -35,13 +35,13 @@ FETCHED = {
     "https://map.org/docs/b.html": article("Beta"), "https://map.org/docs/more": "plain text body\n",
     "https://walk.org/": article("Walk", "/one", "two", "/three"), "https://walk.org/one": article("One"), "https://walk.org/two": article("Two"),
     "https://full.org/llms.txt": "- [all](/llms-full.txt)\n- [x](/x.md)", "https://full.org/llms-full.txt": " # Full\nwhole site \n",
-    "https://list.org/llms.txt": "[a](/a.md) [b](https://other.org/b)\n[f](/llms-full.txt)", "https://list.org/a.md": "# A\nlisted",
+    "https://list.org/llms.txt": "[a](/a.md) [c](/gone.md) [d](/new.md) [b](https://other.org/b)\n[f](/llms-full.txt)", "https://list.org/a.md": "# A\nlisted",
 }
 
 
 def resources(spark):
     rows = [(u, 200, h, 100.0 + i) for i, (u, h) in enumerate(FETCHED.items())]
-    return spark.createDataFrame(rows + [("https://walk.org/three", 500, "x", 1.0)], RESOURCES)
+    return spark.createDataFrame(rows + [("https://walk.org/three", 500, "x", 1.0), ("https://list.org/gone.md", 404, "", 1.0)], RESOURCES)
 
 
 def test_many_sites_end_to_end(spark, tmp_path):
@@ -52,16 +52,16 @@ def test_many_sites_end_to_end(spark, tmp_path):
     assert found == {
         ("map.org", "sitemap"): ["https://map.org/docs/a", "https://map.org/docs/b.html", "https://map.org/docs/more"],
         ("walk", "bfs"): ["https://walk.org/", "https://walk.org/one"],
-        ("list.org", "llms.txt"): ["https://list.org/a.md"],
+        ("list.org", "llms.txt"): ["https://list.org/a.md", "https://list.org/gone.md", "https://list.org/new.md"],
     }
     assert [r.site for r in run.undiscovered.collect()] == ["gone.org"]
-    assert run.todo.isEmpty()
+    assert sorted(r.url for r in run.todo.collect()) == ["https://list.org/gone.md", "https://list.org/new.md"]
     pages = {r.url: r for r in run.pages.collect()}
     assert pages["https://map.org/docs/a"].title == "Alpha" and pages["https://map.org/docs/more"].markdown == "plain text body"
     assert pages["https://full.org/llms-full.txt"].path == "index" and pages["https://full.org/llms-full.txt"].markdown == "# Full\nwhole site"
     manifest = {r.name: (r.pages, r.failed, r.source, r.adapter) for r in run.manifest.collect()}
     assert manifest == {"map.org": (3, 0, "sitemap", "generic"), "walk": (2, 0, "bfs", "generic"),
-                        "full.org": (1, 0, "llms.txt", "llmstxt"), "list.org": (1, 0, "llms.txt", "generic")}
+                        "full.org": (1, 0, "llms.txt", "llmstxt"), "list.org": (1, 1, "llms.txt", "generic")}
 
     out = str(tmp_path / "out")
     write_outputs(run, out, "2026-01-01T00:00:00")
@@ -112,7 +112,7 @@ def test_bucketed_store_needs_no_shuffle(spark, tmp_path):
         joined = spark.table("stored_resources").join(urls, "url")
         assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-        assert read_resources(spark, str(tmp_path / "store")).count() == len(FETCHED) + 1
+        assert read_resources(spark, str(tmp_path / "store")).count() == len(FETCHED) + 2
     finally:
         spark.sql("DROP TABLE stored_resources")
 

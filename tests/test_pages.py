@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import pages as p
 from pagemill.functions import platforms
-from pagemill.functions.html_nodes import page_nodes, subtree
+from pagemill.functions.html_nodes import nodes_or_error, page_nodes, subtree
 from pagemill.operators import extract
 from pagemill.operators.outcome import page_outcome
 
@@ -150,3 +150,10 @@ def test_table_cells(spark):
     frame = spark.createDataFrame([([["a|b", " c\n d "], ["e"], ["f", "g", "h"]],)], "rows array<array<string>>")
     assert frame.select(extract.table_markdown(F.col("rows"))).first()[0] == (
         "| a\\|b | c d |  |\n| --- | --- | --- |\n| e |  |  |\n| f | g | h |")
+
+
+def test_unreadable_page_fails_alone(spark):
+    node, = nodes_or_error(b"bytes")
+    assert node["kind"] == "error" and node["text"].startswith("TypeError: ")
+    error = p.outcome_error(F.lit(200), F.lit(True), F.lit(""), F.lit(node["text"]))
+    assert one(spark, ["x"], error) == [node["text"]]
