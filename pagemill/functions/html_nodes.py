@@ -25,7 +25,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
 _ATTR = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _BLANKS = re.compile(r"[ \t\r\n\f\v]+")
@@ -35,6 +35,7 @@ _NOISE = frozenset("head nav header footer aside form button select".split())
 _HEADINGS = {f"h{n}": n for n in range(1, 7)}
 _MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "tt": "`", "kbd": "`",
           "s": "~~", "strike": "~~", "del": "~~", "a": ""}
+_CODE = frozenset(("code", "tt", "kbd"))
 _BREAKS = frozenset("p div section article main body ul ol dl dt dd figure figcaption details summary address hr "
                     "blockquote table caption pre li tr td th".split()) | _HEADINGS.keys()
 
@@ -43,6 +44,10 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)}
 
 
+def _signs(text: str) -> int:
+    return len("".join(text.split()))
+
+
 class _Page:
     """Collects the nodes of one page."""
 
@@ -59,7 +64,7 @@ class _Page:
     def start(self, kind: str, level: int = 0, ordinal: int = 0) -> None:
         self.kind, self.level, self.ordinal = kind, level, ordinal
         self.parts: list[str] = []
-        self.marks: list[tuple[str, int, str]] = []
+        self.marks: list[tuple[str, int, str, int]] = []    # tag, first part, link target, linked before
         self.linked = 0
 
     def flush(self, kind: str = "para", level: int = 0, ordinal: int = 0) -> None:
@@ -80,34 +85,32 @@ class _Page:
 
     def text(self, raw: str) -> None:
         text = entities.unescape(raw)
-        verbatim = self.kind == "code" or any(tag in ("code", "tt", "kbd") for tag, _, _ in self.marks)
+        verbatim = self.kind == "code" or any(mark[0] in _CODE for mark in self.marks)
         if not verbatim:
             text = _BLANKS.sub(" ", text)
             if text[:1] == " " and self.parts and self.parts[-1][-1:].isspace():
                 text = text[1:]     # blanks also collapse across inline elements
-        if any(tag == "a" for tag, _, _ in self.marks):
-            self.linked += len(text.replace(" ", ""))
         self.parts.append(text)
 
     def close_mark(self, tag: str) -> None:
+        """Render the open marks down to ``tag``; ``linked`` counts the signs that stand inside links."""
         while self.marks:
-            name, at, target = self.marks.pop()
+            name, at, target, linked = self.marks.pop()
             inner = "".join(self.parts[at:])
             body = inner.strip()
-            if name == "a":
-                if target:
-                    body = f"[{body or target}]({target})"
-            elif name in ("code", "tt", "kbd"):
-                if "\n" in inner and not "".join(self.parts[:at]).strip() and self.kind == "para":
-                    del self.parts[:]
-                    self.kind = "code"
-                    self.parts.append(inner)
+            if name in _CODE:
+                if "\n" in inner and self.kind == "para" and not "".join(self.parts[:at]).strip():
+                    self.kind, self.parts = "code", [inner]
                     self.flush()
                     return
                 body = f"`{inner}`" if inner else ""
+            elif name == "a":
+                body = f"[{body or target}]({target})" if target else body
             elif body:
                 body = _MARKS[name] + body + _MARKS[name]
-            if inner and name not in ("code", "tt", "kbd"):     # blanks stay outside the marks
+            if name == "a" or (body and self.linked - linked == _signs(inner)):
+                self.linked = linked + _signs(body)
+            if inner and name not in _CODE:     # blanks stay outside the marks
                 lead, tail = inner[:len(inner) - len(inner.lstrip())], inner[len(inner.rstrip()):]
                 body = lead + body + (tail if inner.strip() else "")
             self.parts[at:] = [body]
@@ -146,7 +149,7 @@ class _Page:
         elif tag == "br":
             self.parts.append("\n")
         elif tag in _MARKS:
-            self.marks.append((tag, len(self.parts), attrs.get("href", "")))
+            self.marks.append((tag, len(self.parts), attrs.get("href", ""), self.linked))
         elif tag in _HEADINGS:
             self.flush("heading", _HEADINGS[tag])
         elif tag in ("ul", "ol"):
@@ -187,7 +190,7 @@ class _Page:
         elif tag == "br":
             self.parts.append("\n")
         elif tag in _MARKS:
-            self.marks.append((tag, len(self.parts), attrs.get("href", "")))
+            self.marks.append((tag, len(self.parts), attrs.get("href", ""), self.linked))
         elif tag in _BREAKS:
             self.separate()
 

@@ -27,14 +27,7 @@ def root_nodes(nodes: Column) -> Column:
 def has_prose(nodes: Column) -> Column:
     """False for pages of nothing but headings and links: those go to the selector fallback."""
     return F.exists(nodes, lambda n: ~n["kind"].isin("heading", "error") & (
-        F.length(F.regexp_replace(n["text"], f"[{SPACE}]", "")) > _link_room(n)))
-
-
-def _link_room(node: Column) -> Column:
-    # A link is written [text](target), so its marks are not prose either.
-    marks = F.length(F.regexp_replace(F.array_join(
-        F.regexp_extract_all(node["text"], F.lit(r"(\[|\]\([^)]*\))"), F.lit(1)), ""), f"[{SPACE}]", ""))
-    return F.when(node["linked"] == 0, 0).otherwise(node["linked"] + marks)
+        F.length(F.regexp_replace(n["text"], f"[{SPACE}]", "")) > n["linked"]))
 
 
 def heading_title(node: Column) -> Column:

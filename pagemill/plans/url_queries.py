@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import SiteConfig, sites_frame
 from ..functions import filters, urls
-from ..functions.text import strip
+from ..functions.text import glob_regex, strip
 from ..operators import frontier, links, reports
 from ..session import small_side
 from ..sources.resources import scan_pages, upsert
@@ -245,9 +245,12 @@ def source_priority(spark, sf):
 
 @query("undiscovered_sites", f"""
 SELECT site, url FROM {o.derived(d.SITES)} WHERE site NOT IN
-  (SELECT DISTINCT site FROM {_SQL_DEDUPED} WHERE {o.path_of('url')} LIKE '/fr/9%')""")
+  (SELECT DISTINCT site FROM {_SQL_DEDUPED} WHERE {o.path_of('url')} GLOB '/fr/9*')""")
 def undiscovered_sites(spark, sf):
-    found = frontier.dedupe_urls(site_urls(spark, sf)).filter(urls.url_path(F.col("url")).startswith("/fr/9"))
+    """Sites that an include rule leaves without any URL."""
+    rule, none = F.lit(glob_regex(["/fr/9*"])), F.lit(None).cast("string")
+    found = links.with_host_path(frontier.dedupe_urls(site_urls(spark, sf)), "url").filter(
+        filters.path_allowed(F.col("path"), rule, none))
     return frontier.undiscovered(d.derive(spark, sf, d.SITES), found).select("site", "url")
 
 

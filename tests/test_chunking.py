@@ -10,7 +10,7 @@ from pagemill.operators.chunking import chunk_documents, split_blocks
 
 from test_urls import one
 
-CJK_DOC = "# 标题一\n\n第一段内容。\n\n## 小节\n\n第二段。\n\n# 标题二\n\n第三段。\n"
+CJK_DOC = "# 甲章\n\n开头的文字。\n\n## 甲一节\n\n中间的话。\n\n# 乙章\n\n末尾的话。\n"
 
 
 def chunked(spark, docs, max_tokens=1500, overlap=120):
@@ -75,23 +75,23 @@ def test_blocks_match_a_heading_stack(spark, docs):
 def test_basic_fixture(spark):
     chunks, = chunked(spark, [CJK_DOC], 20, 10)
     assert len(chunks) >= 2 and all(c.tokens <= 30 for c in chunks)
-    assert [c.heading_path for c in chunks if "第二段" in c.text][0] == ["标题一", "小节"]
+    assert [c.heading_path for c in chunks if "中间" in c.text][0] == ["甲章", "甲一节"]
 
 
 def test_oversized_fixture(spark):
-    chunks, = chunked(spark, ["# 大标题\n\n" + "很长的一段文字。" * 200 + "\n"], 100, 10)
+    chunks, = chunked(spark, ["# 长文\n\n" + "这里有一句话。" * 230], 100, 10)
     assert len(chunks) > 1 and all(c.tokens <= 110 for c in chunks)
 
 
 def test_overlap_fixture(spark):
-    chunks, = chunked(spark, ["# A\n\n" + "段落甲内容。" * 50 + "\n\n# B\n\n" + "段落乙内容。" * 50 + "\n"], 100, 20)
+    chunks, = chunked(spark, ["# X\n\n" + "前半部分。" * 60 + "\n\n# Y\n\n" + "后半部分。" * 60], 100, 20)
     texts = [c.text for c in chunks]
     assert len(texts) >= 2 and any(a[-20:] in b for a, b in zip(texts, texts[1:]))
 
 
 def test_path_fixture(spark):
-    chunks, = chunked(spark, ["# 章\n\n## 节\n\n### 小节\n\n内容。\n"], 1000)
-    assert [c.heading_path for c in chunks] == [["章", "节", "小节"]]
+    chunks, = chunked(spark, ["# 一\n\n## 二\n\n### 三\n\n正文。"], 1000)
+    assert [c.heading_path for c in chunks] == [["一", "二", "三"]]
 
 
 def test_packing_by_hand():

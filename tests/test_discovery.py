@@ -162,12 +162,13 @@ def test_subtree_and_expansion(spark):
     assert expand(1) == ["1", "2"] and expand(2) == ["1", "2", "4", "5"]
 
 
-def test_llms_links_fixture(spark):
-    text = ("# Site\n\n> intro\n\n## Docs\n\n- [Guides](https://a.com/guides)\n- [Full](llms-full.txt)\n"
-            "https://a.com/raw.md\nnot a link\n")
+def test_llms_links(spark):
+    text = ("# Lattice\n> notes\n- [Tour](https://a.com/tour) and [All of it](llms-full.txt)\n"
+            "https://a.com/notes.md..\nno link here\n  http://b.com/x  \n![pic](img/p.png) [open](broken link)\n[two\nlines](/two)")
     docs = spark.createDataFrame([("https://a.com/", text)], "base string, text string")
     assert [r.url for r in discovery.parse_llms_links(docs).orderBy("ord").collect()] == [
-        "https://a.com/guides", "https://a.com/llms-full.txt", "https://a.com/raw.md"]
+        "https://a.com/tour", "https://a.com/llms-full.txt", "https://a.com/img/p.png", "https://a.com/two",
+        "https://a.com/notes.md", "http://b.com/x"]
 
 
 def test_rank_of_a_hot_group(spark):

@@ -8,40 +8,19 @@ from pagemill.operators.outcome import page_outcome
 
 from test_urls import one
 
-DOC = """<!DOCTYPE html>
-<html>
-<head>
-  <title>Requests Quickstart - Requests 2.32 docs</title>
-  <meta name="generator" content="Sphinx 8.1">
-  <meta name="description" content="快速上手 Requests">
-</head>
-<body>
-<nav class="sidebar"><a href="/index">首页</a><a href="/search">搜索</a></nav>
-<header>Site header banner</header>
-<main role="main">
-  <h1 id="quickstart">Quickstart¶</h1>
-  <p>Let's <strong>start</strong> with a simple <code>GET</code> request.</p>
-  <h2 id="make">Make a Request</h2>
-  <p>Making a request with Requests is easy.</p>
-  <pre><code class="python">>>> import requests
->>> r = requests.get('https://httpbin.org/get')
->>> r.status_code
-200</code></pre>
-  <table><tr><th>方法</th><th>说明</th></tr><tr><td>GET</td><td>读取</td></tr></table>
-  <ul><li>第一项</li><li>第二项</li></ul>
-</main>
-<footer>footer noise</footer>
-</body>
-</html>
-"""
-LINKS = """<html><body><div class="document">
-<h1>Links</h1>
-<ul>
-  <li><a href="/a">Article A about requests</a></li>
-  <li><a href="/b">Talk B about APIs</a></li>
-  <li><a href="/c">Post C</a></li>
-</ul>
-</div></body></html>"""
+DOC = (
+    "<!doctype html><html><head><title>Grid Guide - Lattice 4 manual</title>"
+    "<meta name='generator' content='Sphinx 7.2'><meta name='description' content='网格 overview'></head><body>"
+    "<nav><ul><li><a href='/toc'>Contents</a></ul></nav><header><p>Banner</p></header><main role='main'>"
+    "<h1 id=g>Grid Guide¶</h1><p>A <strong>grid</strong> holds cells; call <code>step()</code> to advance.</p>"
+    "<h2>Setting up §</h2><p>Nothing to install.</p>"
+    "<pre><code class=python>g = Grid(3)\ng.step()\nprint(g < 4)</code></pre>"
+    "<table><tr><th>名称</th><th>值</th></tr><tr><td>rows</td><td>三</td></tr></table>"
+    "<ul><li>甲</li><li>乙</li></ul></main><footer>imprint</footer></body></html>")
+LINKS = (
+    "<html><body><div class='wide document'>\n<h1>Index</h1>\n<ol>\n"
+    "  <li><a href='/g'>Guide to the grid and its cells</a></li>\n"
+    "  <li><a href='/s'>Stepping</a></li>\n</ol>\n  <p><a href='/q'>Questions asked often</a></p></div></body></html>")
 
 
 def extracted(spark, html, platform="sphinx"):
@@ -52,23 +31,20 @@ def extracted(spark, html, platform="sphinx"):
 def test_document(spark):
     row = extracted(spark, DOC)
     assert row.markdown == (
-        "# Quickstart\nLet's **start** with a simple `GET` request.\n\n## Make a Request\n"
-        "Making a request with Requests is easy.\n\n"
-        "```\n>>> import requests\n>>> r = requests.get('https://httpbin.org/get')\n>>> r.status_code\n200\n```\n\n"
-        "| 方法 | 说明 |\n| --- | --- |\n| GET | 读取 |\n\n- 第一项\n- 第二项")
-    assert row.title == "Requests Quickstart"
-    assert row.raw_title == "Requests Quickstart - Requests 2.32 docs"
-    assert row.meta == {"url": "https://docs.example.com/x", "description": "快速上手 Requests"}
-    assert [t.asDict() for t in row.toc] == [{"level": 1, "title": "Quickstart", "anchor": ""},
-                                             {"level": 2, "title": "Make a Request", "anchor": ""}]
+        "# Grid Guide\nA **grid** holds cells; call `step()` to advance.\n\n## Setting up\nNothing to install.\n\n"
+        "```\ng = Grid(3)\ng.step()\nprint(g < 4)\n```\n\n| 名称 | 值 |\n| --- | --- |\n| rows | 三 |\n\n- 甲\n- 乙")
+    assert (row.title, row.raw_title) == ("Grid Guide", "Grid Guide - Lattice 4 manual")
+    assert row.meta == {"url": "https://docs.example.com/x", "description": "网格 overview"}
+    assert [tuple(t) for t in row.toc] == [(1, "Grid Guide", ""), (2, "Setting up", "")]
 
 
 def test_link_list_uses_fallback(spark):
     row = extracted(spark, LINKS)
-    assert row.markdown == "Links\nArticle A about requests\nTalk B about APIs\nPost C"
+    assert row.markdown == "Index\nGuide to the grid and its cells\nStepping\nQuestions asked often"
     assert row.meta == {"url": "https://docs.example.com/x"} and row.toc == []
     assert extracted(spark, LINKS, "generic").markdown == ""
     assert extracted(spark, LINKS.replace("document", "other")).markdown == ""
+    assert extracted(spark, LINKS.replace("Questions asked often", "")).markdown == ""     # under 50 characters
 
 
 def test_titles(spark):
@@ -110,7 +86,7 @@ def test_outcomes(spark):
     assert {o for o, r in out.items() if r.needs_render} == {4}
     assert out[2].markdown == "# Plain\ntext" and out[2].title == "p2.md?x=1" and out[2].meta["format"] == "text"
     assert out[2].path == "d/p2" and out[6].markdown == "" and out[1].markdown == "" and out[1].title == ""
-    assert out[7].markdown.startswith("Links\n") and out[3].title == "Requests Quickstart"
+    assert out[7].markdown.startswith("Index\n") and out[3].title == "Grid Guide"
 
 
 def kinds(html):
@@ -130,6 +106,16 @@ def test_nodes_of_untidy_markup():
     assert kinds("<main><header><h1>T</h1></header></main><header>x</header>") == [("heading", "T")]
 
 
+def test_link_only_blocks_hold_no_prose(spark):
+    def prose(html):
+        frame = spark.createDataFrame([("u", html)], "url string, html string")
+        return len(extract.content_nodes(frame).first().nodes) > 0
+    for link in ("<a href='/x_(y)'>a b</a>", "<b><a href=u><i>x</i> y</a></b>", "<a href=u></a>", "<a>x</a>", "<ul><li><a href=u>x</a></ul>"):
+        assert not prose(f"<h1>T</h1><p>{link}</p>"), link
+        assert prose(f"<h1>T</h1><p>{link} more</p>"), link
+    assert prose("<pre>x</pre>") and prose("<p><code>x</code>") and not prose("<h1>only</h1>")
+
+
 def test_nodes_of_lists_and_tables():
     nodes = page_nodes("<ol><li>a<ul><li>b</ul><li>c</ol><ul><li>d</ul>")
     assert [(n["text"], n["level"], n["ordinal"], n["list_no"]) for n in nodes] == [
