@@ -296,7 +296,8 @@ SELECT url, status::BIGINT AS status, html, fetched_at FROM (
     UNION ALL SELECT url, status, html, fetched_at, 1 AS incoming FROM {_SQL_FETCHES}
       WHERE event_type <> 'view' AND status = 200)) WHERE k = 1""")
 def cache_upsert(spark, sf):
-    seconds = "unix_micros(CAST(ts AS TIMESTAMP)) / 1000000.0D"
+    # plain clock arithmetic, free of the session time zone
+    seconds = "CAST(CAST(CAST(ts - TIMESTAMP_NTZ '1970-01-01 00:00:00' AS INTERVAL SECOND) AS DECIMAL(20, 6)) AS DOUBLE)"
     log = spark.sql(_FETCHES.replace("{seconds}", seconds), events=d.table(spark, sf, "events"))
     empty = log.limit(0).drop("event_type")
     cache = upsert(empty, log.filter("event_type = 'view'").drop("event_type"))

@@ -20,8 +20,9 @@ RUNTIME_DEFAULTS = {
 }
 _ARROW_STOCK_BATCH = "10000"
 
-# A table may be broadcast below this row count (a few columns of short strings each).
+# A written table may be broadcast below both bounds.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -85,13 +86,14 @@ def bucketed(df: DataFrame, key: str, name: str) -> Iterator[DataFrame]:
 
 
 def small_side(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Write a join side, count it from the file footers, and broadcast it only when it is small.
+    """Write a join side, take its size from the files, and broadcast it only when it is small.
 
-    Beyond ``max_rows`` the written table is returned without a hint, so that Spark shuffles and
-    AQE splits skewed partitions.
+    Beyond ``max_rows`` or ``BROADCAST_BYTES`` the written table is returned without a hint, so that Spark
+    shuffles and AQE splits skewed partitions.
     """
     table = written(df, name)
-    return F.broadcast(table) if table.count() <= max_rows else table
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(table) if size <= BROADCAST_BYTES and table.count() <= max_rows else table
 
 
 def spread(table: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pagemill.config import SiteConfig, sites_frame
 from pagemill.operators.reports import inspect_full
 from pagemill.plans.harvest import harvest, write_outputs
 from pagemill.schemas import RESOURCES
-from pagemill.session import scratch_path, shared_folder
+from pagemill.session import scratch_path, shared_folder, small_side
 from pagemill.sources import sinks
 from pagemill.sources.resources import read_resources, save_resources
 from pagemill.streaming.cache_stream import read_cache, stream_upsert
@@ -131,5 +131,11 @@ def test_streaming_upsert(spark, tmp_path):
     assert fetch(("a", 200, "late", 2.0)) == [("a", "a3"), ("c", "c1")]
 
 
+def test_broadcast_is_size_checked(spark):
+    def hinted(rows, **kw):
+        return "broadcast" in small_side(spark.range(rows), "side", **kw)._jdf.queryExecution().logical().toString()
+    assert hinted(10) and not hinted(11, max_rows=10)
+
+
 def test_shared_folder_is_the_configured_one(spark):
     assert scratch_path(spark, "x").startswith(shared_folder(spark)) and spark.sparkContext.getCheckpointDir()
