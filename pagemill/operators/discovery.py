@@ -197,12 +197,14 @@ def expand_seeds(urls: DataFrame, sites: DataFrame, pages: DataFrame,
             .filter(in_subtree(F.col("href"), F.col("path"), prefix_of(F.col("src_url"))) & _passes())
             .groupBy("site", "seed", "url").agg(F.min("pos").alias("pos")))
     hops = written(hops, "hops")
+    in_page = Window.partitionBy("site").orderBy("pos")     # one seed at a time: the links of one page
     taken = None
     for number in range(1, seeds + 1):
         new = hops.filter(F.col("seed") == number)
         if taken is not None:
             new = new.join(taken.select("site", "url"), ["site", "url"], "left_anti")
-        new = written(top_n(new, ["site"], ["pos"], per_seed), "seed")
+        new = new.withColumn("rank", F.row_number().over(in_page)).filter(F.col("rank") <= per_seed).drop("rank")
+        new = written(new, "seed")
         taken = new if taken is None else taken.unionByName(new)
     ord_ = F.col("seed").cast("bigint") * F.lit(1 << 32) + F.col("pos")
     return taken.select("site", ord_.alias("ord"), "url")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.platforms import known_adapter
 from ..operators import discovery, frontier
 from ..operators.links import link_graph
+from ..operators.ranking import rank_in_group
 from ..sources.sitemap import sitemap_locs as locs_of
 from . import derived as d
 from . import oracle as o
@@ -194,3 +195,35 @@ def link_bfs(spark, sf):
     graph = link_graph(d.derive(spark, sf, d.GRAPH_PAGES))
     return discovery.crawl_graph(d.derive(spark, sf, _CRAWLS), graph).select(
         "site", "url", F.col("depth").cast("bigint").alias("depth"))
+
+
+# the whole discovery -------------------------------------------------------------------------------
+
+# Half of the sites have a sitemap robots.txt names; all have a start page with links.
+_SITE_FILES = """SELECT base || '/maps/' || CAST(page_id AS STRING) || '.xml' AS url, 200 AS status,
+  CASE WHEN page_id % 2 = 0 THEN '<urlset><loc>' || base || '/docs/a/</loc><loc>' || base || '/blog/x</loc><loc>' || base
+    || '/docs/b.html</loc></urlset>' ELSE 'not a sitemap' END AS html FROM {bases}
+UNION ALL SELECT base || '/docs', 200, '<html><body><a href="/docs/one">1</a><a href="two">2</a><a href="/search/x">s</a></body></html>'
+FROM {bases}"""
+_SQL_OPEN = f"""(SELECT site, page_id, 'https://' || split_part(url, '/', 3) AS base FROM
+  (SELECT *, substr(site, 2)::BIGINT AS page_id FROM {o.derived(d.TEXT_SITES)})
+  WHERE adapter = 'sphinx' OR (adapter = 'auto' AND page_id % 4 = 1))"""
+
+
+@query("discover", f"""
+SELECT site, 'llms.txt' AS source, row_number() OVER (PARTITION BY site ORDER BY min(no)) AS ord, canonical AS url
+FROM {o.with_canonical(_SQL_LLMS)} WHERE adapter <> 'sphinx' AND {o.host_of('canonical')} = {o.host_of('base')}
+  AND {o.path_of('canonical')} <> '/search' AND canonical NOT LIKE '%/llms-full.txt' AND site NOT IN (SELECT site FROM {_SQL_FULL})
+  GROUP BY site, canonical
+UNION ALL SELECT site, 'sitemap', unnest([1, 2]), base || unnest(['/docs/a', '/docs/b.html']) FROM {_SQL_OPEN} WHERE page_id % 2 = 0
+UNION ALL SELECT site, 'bfs', unnest([1, 2, 3]), base || unnest(['/docs/one', '/docs', '/two']) FROM {_SQL_OPEN} WHERE page_id % 2 = 1
+UNION ALL SELECT site, 'llms-full', 1, url FROM {_SQL_FULL}""")
+def discover(spark, sf):
+    """All sources for all sites in one run, whole-site files included."""
+    sites, texts = _text_sites(spark, sf)
+    bases = sites.select(F.regexp_replace("url", "/docs/$", "").alias("base"), F.expr("CAST(substr(site, 2) AS BIGINT)").alias("page_id"))
+    resources = texts.unionByName(spark.sql(_SITE_FILES, bases=bases))
+    urls, full = discovery.discover(sites, discovery.written(resources, "resources"))
+    urls = rank_in_group(urls, ["site"], ["ord"], "pos")
+    return urls.select("site", "source", F.col("pos").alias("ord"), "url").unionByName(
+        full.select("site", F.lit("llms-full").alias("source"), F.lit(1).cast("bigint").alias("ord"), "url"))
