@@ -25,10 +25,8 @@ HASHES = ROWS * BANDS
 # falls below MISS.
 BATCH = 40
 MISS = 1e-5
-# A bucket with more unconnected members than this is parted by further bands before pairs are made; a pair at the
-# threshold shares none of them with probability (1 - 0.75^3)^24 = 2e-6 per level.
-CROWDED = 64
-SUB_ROWS, SUB_BANDS, LEVELS = 3, 24, 3
+# Before the last round, a bucket's members are compared inside cells of about this many.
+CELL = 4
 SEED = 7
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -94,23 +92,21 @@ def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, sig binary")
 
 
-def _band_rows(signed: DataFrame, rows: int, bands: int, order_seed: int | None) -> DataFrame:
-    """``(key, doc_id)`` per band; the first column of ``signed`` seeds the keys. ``order_seed`` shuffles the signature."""
-    order = np.arange(HASHES) if order_seed is None else np.random.default_rng(order_seed).permutation(HASHES)
-    order = order[:rows * bands].reshape(bands, rows)
+def _band_rows(signed: DataFrame) -> DataFrame:
+    """``(key, doc_id)`` per band of ``signed (doc_id, sig)``."""
+    places = np.arange(HASHES).reshape(BANDS, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sigs = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, HASHES).astype(np.uint64)
-            base = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)
-            keys = base[:, None] ^ ((np.arange(bands, dtype=np.uint64) + np.uint64(1)) * _MIX)
-            for step in range(rows):
-                keys = (keys ^ sigs[:, order[:, step]]) * _MIX
+            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, HASHES).astype(np.uint64)
+            keys = np.repeat(((np.arange(len(places), dtype=np.uint64) + np.uint64(1)) * _MIX)[None, :], len(sigs), 0)
+            for step in range(places.shape[1]):
+                keys = (keys ^ sigs[:, places[:, step]]) * _MIX
                 keys ^= keys >> np.uint64(31)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(np.asarray(batch.column(1)), bands))],
+                [pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(np.asarray(batch.column(0)), len(places)))],
                 names=["key", "doc_id"])
 
     return signed.mapInArrow(run, "key bigint, doc_id bigint")
@@ -164,73 +160,118 @@ def prune(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a bigint, b bigint")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold, from ``texts (doc_id, text)``."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_s"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_t"))
+def sets_of(texts: DataFrame) -> DataFrame:
+    """``(doc_id, items)``: the sorted set of each text, eight bytes a shingle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [items.astype("<u8").tobytes() for group in text_groups(batch.column(1)) for items in shingle_sets(group)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["doc_id", "items"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, items binary")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose full shingle sets reach the threshold."""
+    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("_s"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = []
             for at in range(batch.num_rows):
-                one, two = shingle_sets([batch.column(i)[at].as_py().encode() for i in (2, 3)])
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                held.append(100 * common >= SHARE * (len(one) + len(two) - common))
+                one, two = (np.frombuffer(batch.column(i)[at].as_buffer(), "<u8") for i in (2, 3))
+                both = np.concatenate([one, two])
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                held.append(100 * common >= SHARE * (len(both) - common))
             yield batch.select([0, 1]).filter(pa.array(held, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_s", "_t").mapInArrow(run, "a bigint, b bigint")
 
 
-def _crossing(members: DataFrame, found: DataFrame | None, sigs: DataFrame) -> DataFrame:
+def _mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows ``(key, doc_id)`` of keys that hold several components, with ``comp``, ``outside`` (not in the key's
+    largest component), ``outsiders`` and ``n`` per key."""
+    known = small_side(found.select(F.col("id").alias("doc_id"), F.col("component").alias("_c")), "found")
+    rows = rows.select("key", "doc_id").join(known, "doc_id", "left").select("key", "doc_id", F.coalesce("_c", "doc_id").alias("comp"))
+    sizes = written(rows.groupBy("key", "comp").agg(F.count("*").alias("_n")), "sizes")
+    largest = (sizes.groupBy("key").agg(F.max_by("comp", F.struct("_n", "comp")).alias("_most"), F.sum("_n").alias("n"),
+                                        F.max("_n").alias("_top"), F.count("*").alias("_comps"))
+               .filter("_comps > 1").select("key", "_most", "n", (F.col("n") - F.col("_top")).alias("outsiders")))
+    return written(rows.join(small_side(largest, "mixed"), "key")
+                   .select("key", "doc_id", "comp", (F.col("comp") != F.col("_most")).alias("outside"), "outsiders", "n"), "mixed_rows")
+
+
+def _pairs(rows: DataFrame, keys: list[str], outside: bool) -> DataFrame:
+    """Distinct pairs of different components that share the keys; with ``outside`` only those of an outsider.
+
+    ``n_shingles`` and ``shareable`` bound the similarity: no pair has more in common than either can share.
+    """
+    one = (rows.filter("outside") if outside else rows).select(
+        *keys, F.col("doc_id").alias("_x"), F.col("comp").alias("_cx"), F.col("n_shingles").alias("_m"), F.col("shareable").alias("_p"))
+    two = rows.select(*keys, F.col("doc_id").alias("_y"), F.col("comp").alias("_cy"), F.col("outside").alias("_o"),
+                      F.col("n_shingles").alias("_n"), F.col("shareable").alias("_q"))
+    once = (F.col("_x") < F.col("_y")) | ~F.col("_o") if outside else F.col("_x") < F.col("_y")
+    fits = F.least("_p", "_q") * (100 + SHARE) >= SHARE * (F.col("_m") + F.col("_n"))
+    return (one.join(two, keys).filter((F.col("_cx") != F.col("_cy")) & once & fits)
+            .select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct())
+
+
+def shareable(sets: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, shareable)``: how many shingles of each document some other of them has too.
+
+    A shingle's documents are counted with partial sums, so one that all of them hold is a row per task.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(v.as_buffer(), "<i8") for v in batch.column(1)]
+            if held:
+                owner = np.repeat(np.asarray(batch.column(0)), [len(h) for h in held])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(owner)], names=["item", "doc_id"])
+
+    own = (sets.mapInArrow(run, "item bigint, doc_id bigint").groupBy("item")
+           .agg(F.count("*").alias("_n"), F.min("doc_id").alias("doc_id")).filter("_n = 1")
+           .groupBy("doc_id").agg(F.count("*").alias("_own")))
+    size = F.octet_length("items") / 8
+    return (sets.select("doc_id", size.cast("bigint").alias("n_shingles")).join(small_side(own, "own"), "doc_id", "left")
+            .select("doc_id", "n_shingles", (F.col("n_shingles") - F.coalesce("_own", F.lit(0))).alias("shareable")))
+
+
+def _cell_pairs(members: DataFrame, found: DataFrame) -> DataFrame:
+    """A few partners for every member of a mixed bucket: pairs inside small random cells of it, linear in its size."""
+    rows = _mixed(members, found)
+    cell = F.pmod(F.xxhash64("key", "doc_id"), F.ceil(F.col("n") / CELL))
+    rows = rows.withColumn("_cell", cell).withColumn("n_shingles", F.lit(1)).withColumn("shareable", F.lit(1))
+    return _pairs(rows, ["key", "_cell"], False)
+
+
+def _crossing(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of bucket members in different components, at least one of them outside the bucket's largest.
 
-    Members of one component need no comparison, so a group of near copies costs its outsiders only. Buckets crowded with
-    outsiders are parted by further bands, level by level, before any pair is made.
+    Members of one component need no comparison, so a group of near copies costs its outsiders only. Where many unlike
+    documents meet, as those that share a common passage do, most of their shingles are their own: what a document
+    shares with any other bounds its similarity to all, and those that can reach the threshold with no member go
+    before pairs are made.
     """
-    def with_component(rows: DataFrame) -> DataFrame:
-        if found is None:
-            return rows.withColumn("comp", F.col("doc_id"))
-        known = small_side(found.select(F.col("id").alias("doc_id"), F.col("component").alias("_c")), "found")
-        return rows.join(known, "doc_id", "left").withColumn("comp", F.coalesce("_c", "doc_id")).drop("_c")
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Rows of keys with several components, with ``outside`` (not in the largest) and ``outsiders`` per key."""
-        sizes = written(rows.groupBy("key", "comp").agg(F.count("*").alias("_n")), "sizes")
-        largest = (sizes.groupBy("key").agg(F.max_by("comp", F.struct("_n", "comp")).alias("_most"), F.sum("_n").alias("_all"),
-                                            F.max("_n").alias("_top"), F.count("*").alias("_comps"))
-                   .filter("_comps > 1").select("key", "_most", (F.col("_all") - F.col("_top")).alias("outsiders")))
-        return written(rows.join(small_side(largest, "mixed"), "key")
-                       .select("key", "doc_id", "comp", (F.col("comp") != F.col("_most")).alias("outside"), "outsiders"), "mixed_rows")
-
-    rows = mixed(with_component(members.select("key", "doc_id")))
-    ready = []
-    for level in range(LEVELS):
-        ready.append(rows.filter(F.col("outsiders") <= CROWDED))
-        crowded = rows.filter(F.col("outsiders") > CROWDED)
-        if not crowded.take(1):
-            rows = None
-            break
-        again = crowded.select("key", "doc_id").join(sigs.select("doc_id", "sig"), "doc_id").select("key", "doc_id", "sig")
-        rows = mixed(with_component(_band_rows(again, SUB_ROWS, SUB_BANDS, SEED + 1 + level).distinct()))
-    if rows is not None:
-        ready.append(rows)
-    pairs = None
-    for part in ready:
-        one = part.filter("outside").select("key", F.col("doc_id").alias("_x"), F.col("comp").alias("_cx"))
-        two = part.select("key", F.col("doc_id").alias("_y"), F.col("comp").alias("_cy"), F.col("outside").alias("_o"))
-        met = (one.join(two, "key").filter((F.col("_cx") != F.col("_cy")) & (~F.col("_o") | (F.col("_x") < F.col("_y"))))
-               .select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct())
-        pairs = met if pairs is None else pairs.union(met)
-    return pairs.distinct()
+    rows = _mixed(members, found)
+    docs = small_side(rows.select("doc_id").distinct(), "mixed_docs")
+    bounds = small_side(shareable(sets.join(docs, "doc_id", "left_semi")), "bounds")
+    rows = rows.join(bounds, "doc_id")
+    least = rows.groupBy("key").agg(F.min("n_shingles").alias("_least"))
+    rows = rows.join(small_side(least, "least"), "key")
+    partner = F.greatest(F.col("_least"), F.ceil(F.col("n_shingles") * SHARE / 100))
+    rows = written(rows.filter(F.col("shareable") * (100 + SHARE) >= SHARE * (F.col("n_shingles") + partner)).drop("_least"), "able")
+    return _pairs(rows, ["key"], True)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_shingles, component_id, kept)`` for every row; ids are integers.
 
     Documents are linked when their sets of five-word shingles have a similarity of at least 0.75. Equal sets
-    are one class from the start, represented by its smallest id. Classes meet in band buckets. First every class is compared
-    with the leader it shares most bands with; then, inside buckets that still hold several components, what is outside the
-    largest one is compared with the rest. Signatures prune by posterior, survivors are confirmed on full sets.
+    are one class from the start, represented by its smallest id. Classes meet in band buckets. First every class is
+    compared with the leader it shares most bands with, then, where a bucket still holds several components, with a
+    few members of its cell there; last, in buckets that are still mixed, what is outside the largest component is
+    compared with all the rest. Signatures prune by posterior, survivors are confirmed on full sets.
 
     Null and empty texts have no shingles and link with nothing, as do rows with a null id, which are kept. Rows
     that repeat an id are one node. An empty table gives an empty result. Other columns are ignored.
@@ -240,8 +281,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = (signed.filter("set_key is not null and doc_id is not null").groupBy("set_key")
                .agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last")).filter("rep <> _last").select("set_key", "rep"))
     member = signed.join(small_side(classes, "classes"), "set_key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    lone = member.filter("set_key is not null and doc_id = rep").select(F.lit(0).cast("bigint").alias("_seed"), "doc_id", "sig")
-    members = written(_shared(_band_rows(lone, ROWS, BANDS, None)), "members")
+    lone = member.filter("set_key is not null and doc_id = rep").select("doc_id", "sig")
+    members = written(_shared(_band_rows(lone)), "members")
 
     wanted = small_side(members.select("doc_id").distinct(), "wanted")
     sigs = signed.filter("set_key is not null").join(wanted, "doc_id", "left_semi").select("doc_id", "n_shingles", "sig")
@@ -249,19 +290,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     if signed.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").take(1):  # repeated rows: one of each suffices
         sigs, texts = sigs.distinct(), texts.distinct()
     sigs = written(sigs, "member_sigs")
+    sets = written(sets_of(texts), "member_sets")
 
     def links(pairs: DataFrame) -> DataFrame:
-        left = written(prune(pairs, sigs), "survivors")
-        need = small_side(left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct(), "needed")
-        return written(confirm(left, texts.join(need, "doc_id", "left_semi")).distinct(), "links")
+        return written(confirm(prune(pairs, sigs), sets).distinct(), "links")
 
     stars = members.filter("doc_id <> leader").groupBy("leader", "doc_id").agg(F.count("*").alias("_n"))
     stars = stars.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("leader", F.struct("_n", "leader")).alias("a"))
-    first = links(stars.select("a", "b"))
-    found = components(first)
-    second = links(_crossing(members, found, sigs))
-    if second.take(1):
-        found = components(first.union(second))
+    known = links(stars.select("a", "b"))
+    found = components(known)
+    known = known.union(links(_cell_pairs(members, found)))
+    found = components(known)
+    last = links(_crossing(members, found, sets))
+    if last.take(1):
+        found = components(known.union(last))
     found = small_side(found.select(F.col("id").alias("rep"), "component"), "components")
     return (member.join(found, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
             .select(F.col("doc_id").alias(key), "n_shingles", "component_id",

@@ -317,12 +317,13 @@ def sample_group(texts: list[str], keys: np.ndarray, lattice: Lattice, samples:
             used = taken.setdefault((t, int(source[t]), at), [int(path.edges[at])])
             all_edges = np.arange(lattice.first[place], lattice.first[place + 1])
             chance = np.exp(lattice.log[all_edges])
-            chance[np.isin(all_edges, used)] = 0.0
+            for edge in used:
+                chance[edge - all_edges[0]] = 0.0
             running = np.cumsum(chance)
             choice = int(all_edges[min(np.searchsorted(running, pick[t] * running[-1], side="right"), len(running) - 1)])
             used.append(choice)
             with np.errstate(divide="ignore"):
-                chance[all_edges == choice] = 0.0
+                chance[choice - all_edges[0]] = 0.0
                 rest = np.log(chance.sum())
                 # the branch stays open for what it still holds, now below the value just given out
                 path.leave[at] = -np.inf if not chance.any() else float(_below(
