@@ -104,6 +104,10 @@ def fingerprint_string(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
+def _halve(cuts: Column, step: int):
+    return lambda at: F.when(F.col("doc_id") >= F.get(cuts, at + step - 1), at + step).otherwise(at)
+
+
 def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
     """``(doc_id, text, _range, _tie, _extra)``: rows in ranges of ids, each range ending with the first row of the next.
 
@@ -119,7 +123,7 @@ def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
     place = F.lit(0)
     step = 1 << max(0, len(bounds).bit_length() - 1) if bounds else 0
     while step:
-        place = _let(place, lambda at, s=step: F.when(F.col("doc_id") >= F.get(cuts, at + s - 1), at + s).otherwise(at))
+        place = _let(place, _halve(cuts, step))
         step >>= 1
     ranged = docs.withColumn("_range", F.coalesce(place, F.lit(0)).cast("int"))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("_tie").alias("tie"))
