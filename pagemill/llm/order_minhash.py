@@ -90,7 +90,7 @@ def sketches(text: Column, k: int = K, bits: int = SKETCH_BITS, per: int = PER_S
 
         return F.filter(F.transform(items, hashed), lambda x: x.isNotNull())
 
-    return _let(numbered(kmer_hashes(text, k)), pick)
+    return F.coalesce(_let(numbered(kmer_hashes(text, k)), pick), F.array().cast("array<bigint>"))
 
 
 def likeness(one: Column, two: Column, bits: int = SKETCH_BITS) -> Column:
