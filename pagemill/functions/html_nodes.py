@@ -25,13 +25,13 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
 _ATTR = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _BLANKS = re.compile(r"[ \t\r\n\f\v]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_NOISE = frozenset("head nav header footer aside form button select".split())
+_NOISE = frozenset("head nav header footer aside button select".split())
 _HEADINGS = {f"h{n}": n for n in range(1, 7)}
 _MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "tt": "`", "kbd": "`",
           "s": "~~", "strike": "~~", "del": "~~", "a": ""}
@@ -143,7 +143,7 @@ class _Page:
             return
         if tag in ("main", "article") or attrs.get("role") == "main":
             self.flush()
-            self.roots.append(tag)
+            self.roots.append([tag, 1])
         elif self.rows is not None:
             self.open_in_table(tag, attrs)
         elif tag == "br":
@@ -222,9 +222,11 @@ class _Page:
             self.separate()
         elif tag in _BREAKS:
             self.flush()
-        if self.roots and tag == self.roots[-1]:
-            self.flush()
-            self.roots.pop()
+        if self.roots and tag == self.roots[-1][0]:
+            self.roots[-1][1] -= 1
+            if not self.roots[-1][1]:
+                self.flush()
+                self.roots.pop()
 
     def table_done(self) -> None:
         self.cell_done()
@@ -243,7 +245,7 @@ class _Page:
 
 def page_nodes(text: str) -> list[dict]:
     """Content nodes of an HTML text in document order."""
-    page = _Page()
+    page, inside = _Page(), 0
     for token in _TOKEN.finditer(text):
         tag = token["tag"]
         if tag is None:
@@ -252,20 +254,28 @@ def page_nodes(text: str) -> list[dict]:
             continue
         tag, end = tag.lower(), token["end"]
         if page.noise:
-            if tag in ("body", "main") and not end:
+            root = page.roots[-1][0] if page.roots else None
+            if not end and (tag in ("body", "main", "article") or "role" in token["attrs"] and _attributes(token["attrs"]).get("role") == "main"):
+                page.noise.clear()
+            elif end and tag == root and not inside:  # noise that was never closed ends with the element around it
                 page.noise.clear()
             elif tag in page.noise:
                 page.noise.remove(tag) if end else page.noise.append(tag)
                 continue
             else:
+                inside += (-1 if end else 1) * (tag == root)
                 continue
         if end:
             page.close(tag)
-        elif tag in _NOISE and not (page.roots and tag in ("header", "form")):
+        elif tag in _NOISE and not (page.roots and tag == "header"):
             page.flush()
             page.noise.append(tag)
+            inside = 0
         else:
+            roots = len(page.roots)
             page.open(tag, _attributes(token["attrs"]) if token["attrs"] else {})
+            if page.roots and len(page.roots) == roots and tag == page.roots[-1][0]:
+                page.roots[-1][1] += 1  # an element of the root's own kind inside it
     return page.finish()
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import in_subtree, path_allowed, path_passes, prefix_of
-from ..functions.pages import is_html
 from ..functions.platforms import detect_platform
 from ..functions.text import SPACE, lines, once, strip
 from ..functions.urls import base_of, host_of, normalize_url, resolve_url, same_host, url_path
@@ -301,8 +300,9 @@ def discover(sites: DataFrame, resources: DataFrame) -> tuple[DataFrame, DataFra
     The crawl reads links only of pages on the hosts of sites that neither other source has settled.
     """
     files = site_files(resources)
-    pages = resources.filter((F.col("status") == 200) & is_html(F.col("html"))).select("url", "status", "html")
+    pages = resources.filter(F.col("status") == 200).select("url", "status", "html")
     listed, full = llms_urls(sites, files)
+    listed = rank_in_group(listed, ["site"], ["ord"], "_pos").withColumn("ord", F.col("_pos")).drop("_pos")
     listed = written(listed.withColumn("source", F.lit("llms.txt")), "listed")
     settled = listed.select("site").union(full.select("site")).distinct()
     open_sites = written(sites.filter(F.col("adapter") != "llmstxt").join(settled, "site", "left_anti"), "open")

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import approx_tokens
 from ..operators import chunking, reports
 from ..session import scratch_path
 from ..sources import sinks
 from . import derived as d
 from . import oracle as o
-from .page_queries import _SQL_BLOCKS, _SQL_CHUNKS, _chunks
+from .page_queries import _SQL_CHUNKS, _chunks
 from .url_queries import _SQL_SORTED, _sorted
 
 QUERIES, ORACLE = {}, {}
@@ -89,10 +88,10 @@ def corpus_jsonl(spark, sf):
 
 
 @query("corpus_stats", f"""
-SELECT site, count(*)::BIGINT AS chunks, sum({o.tokens('text')})::BIGINT AS tokens FROM {_SQL_BLOCKS} GROUP BY site""")
+SELECT site, count(*)::BIGINT AS chunks, sum(tokens)::BIGINT AS tokens
+FROM {_SQL_CHUNKS} JOIN (SELECT doc_id AS doc, site FROM {o.derived(d.MARKDOWN)}) USING (doc) GROUP BY site""")
 def corpus_stats(spark, sf):
-    blocks = d.derive(spark, sf, d.MARKDOWN).select("site", F.explode(chunking.split_blocks(F.col("markdown"))).alias("b"))
-    return chunking.corpus_stats(blocks.select("site", approx_tokens(F.col("b.text")).alias("tokens")))
+    return chunking.corpus_stats(_chunks(spark, sf).select("site", "tokens"))
 
 
 _SQL_MANIFEST = f"""SELECT site AS name, url, adapter, site AS out_dir, count(*) FILTER (error = '')::BIGINT AS pages,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,7 +52,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder: ``spark.checkpoint.dir``; a temp folder only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # one process; not a local cluster
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="pagemill-")
         spark.sparkContext.setCheckpointDir(folder)

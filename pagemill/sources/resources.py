@@ -44,8 +44,9 @@ def upsert(cache: DataFrame, incoming: DataFrame) -> DataFrame:
            .select("url", "r.*"))
     c, n = cache.alias("c"), new.alias("n")
     same = F.col("c.url") == F.col("n.url")
+    stored, fetched = (F.coalesce(f"{side}.fetched_at", F.lit(float("-inf"))) for side in "cn")  # no time is before any time
     keys = small_side(new.select("url", "fetched_at"), "incoming")
-    kept = c.join(keys.alias("n"), same & (F.col("n.fetched_at") >= F.col("c.fetched_at")), "left_anti").select(*columns)
+    kept = c.join(keys.alias("n"), same & (fetched >= stored), "left_anti").select(*columns)
     fresh = n.join(cache.select("url", "fetched_at").alias("c"),
-                   same & (F.col("c.fetched_at") > F.col("n.fetched_at")), "left_anti").select(*columns)
+                   same & (stored > fetched), "left_anti").select(*columns)
     return kept.unionByName(fresh)
