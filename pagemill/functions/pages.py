@@ -11,8 +11,11 @@ from .text import SPACE, decode_entities, strip
 _TITLE_SEPARATOR = rf"[{SPACE}]*[|\x{{b7}}\x{{2013}}\x{{2014}}:\-][{SPACE}]*"
 _DESCRIPTION = r"""(?i)<meta[^>]+name=["']description["'][^>]+content=["']([^"']+)"""
 
-# A body whose head holds none of these is plain text.
+# A body with one of these among its first characters is HTML.
 _HTML_MARKS = ("<html", "<!doctype", "<head")
+_MARK_CHARS = 512
+# One of them behind blanks, comments and processing instructions of any length.
+_OPENING = rf"(?is)\A(?:[{SPACE}\x{{feff}}]++|<!--.*?-->|<\?.*?>)*+(?:{'|'.join(_HTML_MARKS)})"
 
 EMPTY_EXTRACTION = "empty extraction"
 
@@ -32,9 +35,10 @@ def clean_title(title: Column) -> Column:
     return F.when((n > 1) & (F.length(last) <= 40) & suffix, strip(first)).otherwise(title)
 
 
-def description(html: Column) -> Column:
-    """First 300 characters of the description tag, or null."""
-    return F.nullif(F.substring(F.regexp_extract(html, _DESCRIPTION, 1), 1, 300), F.lit(""))
+def description(html: Column, limit: int | None = None) -> Column:
+    """Content of the description tag (its first ``limit`` characters where given), or null."""
+    found = F.regexp_extract(html, _DESCRIPTION, 1)
+    return F.nullif(found if limit is None else F.substring(found, 1, limit), F.lit(""))
 
 
 def page_meta(url: Column, html: Column) -> Column:
@@ -44,8 +48,9 @@ def page_meta(url: Column, html: Column) -> Column:
 
 
 def is_html(body: Column) -> Column:
-    head = F.lower(F.substring(body, 1, 512))
-    return head.contains(_HTML_MARKS[0]) | head.contains(_HTML_MARKS[1]) | head.contains(_HTML_MARKS[2])
+    """A mark stands among the first characters, or opens the body after comments. Marks further on may be quoted text."""
+    head = F.lower(F.substring(body, 1, _MARK_CHARS))
+    return body.rlike(_OPENING) | head.contains(_HTML_MARKS[0]) | head.contains(_HTML_MARKS[1]) | head.contains(_HTML_MARKS[2])
 
 
 def outcome_error(status: Column, html_page: Column, markdown: Column, failure: Column) -> Column:

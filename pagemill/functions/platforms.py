@@ -49,14 +49,18 @@ _DOM_HINTS = (
     ("vuepress", ('class="theme-default-content"',)),
     ("sphinx", ("data-content_root", 'class="document"', "[role='main']")),
 )
-_HEAD_CHARS = 4000
+_BODY = "(?i)<body"
 _GENERATOR = r"""(?i)<meta[^>]+name=["']generator["'][^>]+content=["']([^"']+)"""
 
 
-def detect_platform(html: Column, url: Column) -> Column:
-    """Adapter name from the generator tag, else from DOM hints, else ``generic``."""
-    head, where = F.substring(html, 1, _HEAD_CHARS), F.lower(url)
-    generator = F.lower(F.regexp_extract(head, _GENERATOR, 1))
+def detect_platform(html: Column, url: Column, limit: int | None = None) -> Column:
+    """Adapter name from the generator tag, else from DOM hints, else ``generic``.
+
+    The whole page is read, or its first ``limit`` characters; a host's name counts only before the body.
+    """
+    page, where = html if limit is None else F.substring(html, 1, limit), F.lower(url)
+    head = F.get(F.split(page, _BODY, 2), F.lit(0))
+    generator = F.lower(F.regexp_extract(page, _GENERATOR, 1))
     hosted = where.contains("readthedocs") | where.contains("rtd")
     rules = []
     for word, adapter in _GENERATORS:
@@ -64,7 +68,7 @@ def detect_platform(html: Column, url: Column) -> Column:
         rules.append((generator.contains(word), result))
     rules.append((head.contains("readthedocs") | where.contains("readthedocs"), F.lit("readthedocs")))
     for adapter, marks in _DOM_HINTS:
-        rules.append((reduce(lambda a, b: a | b, (head.contains(m) for m in marks)), F.lit(adapter)))
+        rules.append((reduce(lambda a, b: a | b, (page.contains(m) for m in marks)), F.lit(adapter)))
     case = F.when(*rules[0])
     for condition, result in rules[1:]:
         case = case.when(condition, result)

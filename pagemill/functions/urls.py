@@ -27,7 +27,6 @@ KEPT_QUERY_KEYS = ("hl", "lang", "version")
 
 # Device names Windows reserves.
 _DEVICE_NAMES = "CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9]"
-_MAX_SEGMENT = 180
 
 
 class UrlParts(NamedTuple):
@@ -151,7 +150,7 @@ def without_dots(path: Column) -> Column:
 
 
 def rel_path(url: Column) -> Column:
-    """Output path, without extension, that mirrors the URL path; every segment is a safe file name."""
+    """Output path, without extension, that mirrors the URL path; every segment is a safe file name, uncut."""
     path = F.regexp_replace(url_path(url), r"(?i)\.(?:html?|md|xhtml|txt)\z", "")
     path = F.btrim(F.regexp_replace(path, "/{2,}", "/"), F.lit("/"))
     path = F.regexp_replace(path, r"(?i)(?<=[^/])/index(?:\.htm)?\z", "")
@@ -159,8 +158,7 @@ def rel_path(url: Column) -> Column:
     path = F.regexp_replace(path, f"(?<![^/])[{SPACE}]+|[{SPACE}]+(?![^/])", "")
     path = F.regexp_replace(path, r"[. ]+(?![^/])", "")
     path = F.regexp_replace(path, r"(?<![^/])(?![^/])", "index")
-    path = F.regexp_replace(path, rf"(?i)(?<![^/])(?=(?:{_DEVICE_NAMES})(?![^/]))", "_")
-    return F.regexp_replace(path, rf"([^/]{{{_MAX_SEGMENT}}})[^/]+", "$1")
+    return F.regexp_replace(path, rf"(?i)(?<![^/])(?=(?:{_DEVICE_NAMES})(?![^/]))", "_")
 
 
 def site_name(name: Column, url: Column) -> Column:

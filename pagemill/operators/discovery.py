@@ -21,27 +21,30 @@ from .frontier import best_only, dedupe_urls, prefer_source, sort_urls, union_de
 from .links import link_graph, with_host_path
 from .ranking import rank_in_group, top_n
 
-# Depth of sitemap recursion, children followed per file, URLs after which no file is entered.
-SITEMAP_DEPTH = 3
-SITEMAP_CHILDREN = 60
-SITEMAP_GUARD = 100_000
-# Pages expanded by one hop, and new links taken from each.
+# Pages per site that are expanded by one hop.
 SEEDS = 2
-LINKS_PER_SEED = 5000
+# Digits of a position inside an order key.
+_DIGITS = 10
 
 _MARKDOWN_LINK = rf"\[[^\]]*\]\(([^){SPACE}]+)\)"
 
 
 def site_platform(sites: DataFrame, resources: DataFrame) -> DataFrame:
-    """Adds ``platform``: the explicit adapter, else detection on the start page, else generic."""
-    starts = small_side(sites.select(F.col("url").alias("_home")).distinct(), "starts")
-    home = (resources.filter(F.col("status") == 200).join(starts, F.col("url") == F.col("_home"))
-            .select("_home", F.substring("html", 1, 4000).alias("_head")))
-    found = detect_platform(F.col("_head"), F.col("url"))
-    return (sites.join(home, sites["url"] == F.col("_home"), "left")
+    """Adds ``platform``: the explicit adapter, else detection on the start page, else generic.
+
+    The start page is the one stored under the start URL as written, else under its canonical form.
+    """
+    canonical = F.coalesce(normalize_url(F.col("url")), F.col("url"))
+    starts = small_side(sites.select(F.explode(F.array("url", canonical)).alias("_home")).distinct(), "starts")
+    home = resources.filter(F.col("status") == 200).join(starts, F.col("url") == F.col("_home"))
+    home = written(home.select("_home", detect_platform(F.col("html"), F.col("_home")).alias("_found")), "home")
+    home = home.dropDuplicates(["_home"])
+    return (sites.withColumn("_canonical", canonical)
+            .join(home.select(F.col("_home").alias("_raw_home"), F.col("_found").alias("_raw")), F.col("url") == F.col("_raw_home"), "left")
+            .join(home, F.col("_canonical") == F.col("_home"), "left")
             .withColumn("platform", F.when(F.col("adapter") != "auto", F.col("adapter"))
-                        .otherwise(F.when(F.col("_home").isNull(), "generic").otherwise(found)))
-            .drop("_home", "_head"))
+                        .otherwise(F.coalesce("_raw", "_found", F.lit("generic"))))
+            .drop("_canonical", "_raw_home", "_raw", "_home", "_found"))
 
 
 def _rules(sites: DataFrame) -> DataFrame:
@@ -125,33 +128,48 @@ def robots_sitemaps(sites: DataFrame, resources: DataFrame) -> DataFrame:
     return dedupe_urls(default.unionByName(named))
 
 
-def sitemap_tree(candidates: DataFrame, sites: DataFrame, resources: DataFrame,
-                 guard: int = SITEMAP_GUARD) -> DataFrame:
+def _digits(position: Column) -> Column:
+    return F.lpad(position.cast("string"), _DIGITS, "0")
+
+
+def sitemap_tree(candidates: DataFrame, sites: DataFrame, resources: DataFrame, guard: int | None = None,
+                 children: int | None = None, depth: int | None = None) -> DataFrame:
     """``(site, ord, url)`` of all sitemap files reachable from ``candidates``.
 
     One join of the current level with ``resources`` per depth. ``ord`` is a text key that sorts in visit
-    order: a file's children ('0' + child number) come before its own URLs ('1' + position). A file is not
-    entered once more than ``guard`` URLs were collected before it.
+    order: a file's children ('0' + child number) come before its own URLs ('1' + position). Every file is read
+    once per site, where it is met first, level by level; so cycles end and nothing is left out.
+
+    The limits are off unless asked for: ``children`` followed per file, ``depth`` of the recursion (a file may
+    then be read again on another way), and ``guard``: no file is entered once more URLs were collected before it.
     """
     rules = _rules(sites)
     bodies = resources.filter((F.col("status") == 200) & (F.length("html") > 0)).select("url", "html")
-    level = candidates.select("site", F.lpad(F.col("ord").cast("string"), 6, "0").alias("file"), "url")
-    found = []
-    for depth in range(SITEMAP_DEPTH + 1):
-        locs = written(level.join(bodies, "url").select("site", "file", sitemap_locs(F.col("html")).alias("locs")),
+    level = candidates.select("site", _digits(F.col("ord")).alias("file"), "url")
+    found, read, at = [], None, 0
+    while depth is None or at <= depth:
+        if depth is None:
+            level = level.groupBy("site", "url").agg(F.min("file").alias("file"))
+            level = level if read is None else level.join(read, ["site", "url"], "left_anti")
+        locs = written(level.join(bodies, "url").select("site", "file", "url", sitemap_locs(F.col("html")).alias("locs")),
                        "locs")
         own = (locs.select("site", "file", F.posexplode("locs").alias("pos", "loc"))
                .select("site", "file", "pos", once(normalize_url(F.col("loc"))).alias("url"))
                .filter(F.col("url").isNotNull()))
         own = with_host_path(own, "url").join(rules, "site").filter((F.col("host") == F.col("origin")) & _passes())
         found.append(own.select(
-            "site", "file", F.concat("file", F.lit("1"), F.lpad(F.col("pos").cast("string"), 8, "0")).alias("ord"), "url"))
+            "site", "file", F.concat("file", F.lit("1"), _digits(F.col("pos"))).alias("ord"), "url"))
+        if locs.isEmpty():
+            break
+        done = locs.select("site", "url")
+        read = done if read is None else read.unionByName(done)
         child = F.filter("locs", _sitemap_name)
-        level = (locs.select("site", "file", F.posexplode(F.slice(child, 1, SITEMAP_CHILDREN)).alias("pos", "url"))
-                 .select("site", F.concat("file", F.lit("0"), F.lpad(F.col("pos").cast("string"), 2, "0")).alias("file"),
-                         "url"))
+        child = child if children is None else F.slice(child, 1, children)
+        level = (locs.select("site", "file", F.posexplode(child).alias("pos", "url"))
+                 .select("site", F.concat("file", F.lit("0"), _digits(F.col("pos"))).alias("file"), "url"))
+        at += 1
     urls = written(reduce(DataFrame.unionByName, found), "sitemap")
-    return _guarded(urls, guard).select("site", "ord", "url")
+    return (urls if guard is None else _guarded(urls, guard)).select("site", "ord", "url")
 
 
 def _guarded(urls: DataFrame, guard: int) -> DataFrame:
@@ -182,10 +200,11 @@ def subtree_fallback(urls: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def expand_seeds(urls: DataFrame, sites: DataFrame, pages: DataFrame,
-                 seeds: int = SEEDS, per_seed: int = LINKS_PER_SEED) -> DataFrame:
+                 seeds: int = SEEDS, per_seed: int | None = None) -> DataFrame:
     """Links of the first ``seeds`` URLs of each site that pass all checks and were not found before.
 
-    Only the seed pages are read for links. Seeds are taken one after the other, because a link one seed has given is not counted for the next.
+    Only the seed pages are read for links. With ``per_seed`` each gives so many new links at most; seeds are then
+    taken one after the other, because a link one seed has given is not counted for the next.
     """
     rules = _rules(sites)
     first = rank_rows(top_n(urls, ["site"], ["ord"], seeds), "seed")
@@ -195,6 +214,9 @@ def expand_seeds(urls: DataFrame, sites: DataFrame, pages: DataFrame,
             .filter((F.col("url") != F.col("src_url")) & (host_of(F.col("src_url")) == F.col("origin")))
             .filter(in_subtree(F.col("href"), F.col("path"), prefix_of(F.col("src_url"))) & _passes())
             .groupBy("site", "seed", "url").agg(F.min("pos").alias("pos")))
+    ord_ = F.col("seed").cast("bigint") * F.lit(1 << 32) + F.col("pos")
+    if per_seed is None:
+        return hops.groupBy("site", "url").agg(F.min(ord_).alias("ord")).select("site", "ord", "url")
     hops = written(hops, "hops")
     in_page = Window.partitionBy("site").orderBy("pos")     # one seed at a time: the links of one page
     taken = None
@@ -205,7 +227,6 @@ def expand_seeds(urls: DataFrame, sites: DataFrame, pages: DataFrame,
         new = new.withColumn("rank", F.row_number().over(in_page)).filter(F.col("rank") <= per_seed).drop("rank")
         new = written(new, "seed")
         taken = new if taken is None else taken.unionByName(new)
-    ord_ = F.col("seed").cast("bigint") * F.lit(1 << 32) + F.col("pos")
     return taken.select("site", ord_.alias("ord"), "url")
 
 
@@ -214,32 +235,34 @@ def rank_rows(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy("site").orderBy("ord")))
 
 
-def sitemap_urls(sites: DataFrame, resources: DataFrame, files: DataFrame, pages: DataFrame) -> DataFrame:
-    """Sorted URLs of all sites that have at least one sitemap URL; ``files`` are the :func:`site_files`."""
+def sitemap_urls(sites: DataFrame, resources: DataFrame, files: DataFrame, pages: DataFrame, seeds: int = SEEDS,
+                 per_seed: int | None = None, **limits: int | None) -> DataFrame:
+    """Sorted URLs of all sites that have at least one sitemap URL; ``files`` are the :func:`site_files`.
+
+    ``limits`` are those of :func:`sitemap_tree`, ``seeds`` and ``per_seed`` those of :func:`expand_seeds`.
+    """
     candidates = written(robots_sitemaps(sites, files), "candidates")
     odd = small_side(candidates.select("url").filter(~_sitemap_name(F.col("url"))).distinct(), "odd")
     if not odd.isEmpty():       # sitemaps robots.txt names freely need one more look at the resources
         files = files.unionByName(written(resources.select("url", "status", "html").join(odd, "url", "left_semi"), "odd-files"))
-    tree = sitemap_tree(candidates, sites, files)
+    tree = sitemap_tree(candidates, sites, files, **limits)
     urls = written(subtree_fallback(dedupe_urls(tree), sites), "subtree")
-    expanded = expand_seeds(urls, sites, pages)
+    expanded = expand_seeds(urls, sites, pages, seeds, per_seed)
     both = union_dedupe(urls, expanded.withColumn("ord", F.lpad(F.col("ord").cast("string"), 20, "0")))
     return sort_urls(both, sites).select("site", "ord", "url")
 
 
 # crawl graph ---------------------------------------------------------------------------------------
 
-def crawl_graph(sites: DataFrame, links: DataFrame, ranked: bool | None = None) -> DataFrame:
+def crawl_graph(sites: DataFrame, links: DataFrame) -> DataFrame:
     """``(site, url, depth, rank)`` reached from each start URL over ``links``, level by level.
 
     A level is written once and read back, so the plan stays small and a lost executor costs one level.
     Links are stored once in buckets of their source page; each level moves only its frontier. ``rank`` is the
-    queue position inside the level; it is kept only when some site caps its pages, as nothing else
-    depends on it.
+    queue position inside the level for sites that cap their pages, and null for all others, whatever sites run along.
     """
     spark = sites.sparkSession
-    if ranked is None:
-        ranked = not sites.filter(F.col("max_pages") > 0).isEmpty()
+    ranked = not sites.filter(F.col("max_pages") > 0).isEmpty()
     start = F.coalesce(normalize_url(F.col("url")), F.col("url"))
     starts = sites.select("site", start.alias("start"), host_of(F.col("url")).alias("origin"), "platform",
                           "include_re", "exclude_re", "max_depth", "max_pages")
@@ -263,17 +286,22 @@ def crawl_graph(sites: DataFrame, links: DataFrame, ranked: bool | None = None)
 
 def _next_level(done: DataFrame, seen: DataFrame, graph: DataFrame, rules: DataFrame, follow: Column, depth: int,
                 ranked: bool) -> DataFrame:
-    """URLs first reached from the level ``done``, in queue order when ``ranked``."""
+    """URLs first reached from the level ``done``, in queue order where a site is capped (none is unless ``ranked``)."""
     hops = (done.withColumnRenamed("url", "src_url").join(rules, "site")
             .filter(((F.col("max_depth") == 0) | (F.col("max_depth") > depth)) & F.col("at_home"))
             .join(graph, "src_url").withColumnRenamed("dst_url", "url").filter(follow))
     order = F.min(F.struct("rank", "pos")) if ranked else F.lit(None)
-    level = (hops.groupBy("site", "url").agg(order.alias("at"))
+    capped = F.max("max_pages") > 0
+    level = (hops.groupBy("site", "url").agg(order.alias("at"), capped.alias("capped"))
              .join(seen.select("site", "url"), ["site", "url"], "left_anti"))
+    unranked = F.lit(None).cast("bigint").alias("rank")
     if not ranked:
-        return level.select("site", "url", F.lit(None).cast("bigint").alias("rank"))
-    level = rank_in_group(level.select("site", "url", "at.rank", "at.pos"), ["site"], ["rank", "pos"], "next")
-    return _capped(level.select("site", "url", F.col("next").alias("rank")), seen, rules)
+        return level.select("site", "url", unranked)
+    level = written(level, "level")
+    free = level.filter(~F.col("capped")).select("site", "url", unranked)
+    queued = level.filter("capped").select("site", "url", "at.rank", "at.pos")
+    queued = rank_in_group(queued, ["site"], ["rank", "pos"], "next").select("site", "url", F.col("next").alias("rank"))
+    return free.unionByName(_capped(queued, seen, rules))
 
 
 def _capped(level: DataFrame, seen: DataFrame, rules: DataFrame) -> DataFrame:
@@ -294,19 +322,20 @@ def crawl_urls(sites: DataFrame, links: DataFrame) -> DataFrame:
 
 # choice of source ----------------------------------------------------------------------------------
 
-def discover(sites: DataFrame, resources: DataFrame) -> tuple[DataFrame, DataFrame]:
+def discover(sites: DataFrame, resources: DataFrame, **limits: int | None) -> tuple[DataFrame, DataFrame]:
     """``(site, ord, url, source)`` and the whole-site files; costlier sources run only for sites still open.
 
-    The crawl reads links only of pages on the hosts of sites that neither other source has settled.
+    ``limits`` are those of :func:`sitemap_urls`; without them nothing is left out. The crawl reads links only of pages on the hosts of sites that neither other source has settled.
     """
     files = site_files(resources)
-    pages = resources.filter(F.col("status") == 200).select("url", "status", "html")
+    pages = resources.filter(F.col("status") == 200).select(
+        "url", "status", "html", *(c for c in resources.columns if c == "final_url"))
     listed, full = llms_urls(sites, files)
     listed = rank_in_group(listed, ["site"], ["ord"], "_pos").withColumn("ord", F.col("_pos")).drop("_pos")
     listed = written(listed.withColumn("source", F.lit("llms.txt")), "listed")
     settled = listed.select("site").union(full.select("site")).distinct()
     open_sites = written(sites.filter(F.col("adapter") != "llmstxt").join(settled, "site", "left_anti"), "open")
-    mapped = written(sitemap_urls(open_sites, resources, files, pages).withColumn("source", F.lit("sitemap")), "mapped")
+    mapped = written(sitemap_urls(open_sites, resources, files, pages, **limits).withColumn("source", F.lit("sitemap")), "mapped")
     found = listed.unionByName(mapped)
     rest = written(open_sites.join(mapped.select("site").distinct(), "site", "left_anti"), "rest")
     if not rest.isEmpty():

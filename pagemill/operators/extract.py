@@ -16,7 +16,8 @@ from ..functions.text import SPACE, once, strip
 
 # Fixed value: anchor signs that documentation tools append to headings.
 _ANCHOR_SIGNS = rf"[\x{{b6}}\x{{a7}}\x{{200b}}]+[{SPACE}]*\z"
-_MIN_RAW_TEXT = 50
+# Raw text of a selector counts from so many characters on.
+MIN_RAW_TEXT = 50
 
 
 def root_nodes(nodes: Column) -> Column:
@@ -100,23 +101,23 @@ def extract_primary(pages: DataFrame) -> DataFrame:
             .withColumn("title", clean_title(F.col("raw_title"))).drop("nodes"))
 
 
-def extract_fallback(pages: DataFrame) -> DataFrame:
+def extract_fallback(pages: DataFrame, min_raw_text: int = MIN_RAW_TEXT) -> DataFrame:
     """Replaces ``markdown`` by that of the first adapter selector that gives any.
 
     Selectors are tried in order; a match counts with its own nodes, else with its raw text when that has
-    at least 50 characters. ``pages`` needs ``html`` and ``platform``.
+    at least ``min_raw_text`` characters. ``pages`` needs ``html`` and ``platform``.
     """
     def result(match: Column) -> Column:
         raw = strip(F.regexp_replace(match["content"], f"[{SPACE}]*\n[{SPACE}]*", "\n"))
         return F.when(has_prose(match["nodes"]), markdown_of(match["nodes"])).when(
-            F.length(raw) >= _MIN_RAW_TEXT, raw).otherwise("")
+            F.length(raw) >= min_raw_text, raw).otherwise("")
 
     found = pages.withColumn("_matches", selected_nodes(F.col("html"), selectors_of(F.col("platform"))))
     texts = F.filter(F.transform("_matches", result), lambda text: text != "")
     return found.withColumn("markdown", F.coalesce(F.get(texts, F.lit(0)), F.lit(""))).drop("_matches")
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, min_raw_text: int = MIN_RAW_TEXT) -> DataFrame:
     """Primary extraction, then the selector fallback inside the same rows for pages left empty.
 
     The fallback call gets a null HTML for pages that are done, so they cost no second parse and no
@@ -125,7 +126,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     done = extract_primary(pages)
     empty = F.col("markdown") == ""
     retry = extract_fallback(done.withColumn("_html", F.col("html")).withColumn("_first", F.col("markdown"))
-                             .withColumn("html", F.when(empty, F.col("html"))))
+                             .withColumn("html", F.when(empty, F.col("html"))), min_raw_text)
     missing = F.col("_first") == ""
     return (retry.withColumn("markdown", F.when(missing, F.col("markdown")).otherwise(F.col("_first")))
             .withColumn("toc", F.when(missing, F.slice("toc", 1, 0)).otherwise(F.col("toc")))

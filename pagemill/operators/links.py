@@ -10,20 +10,29 @@ from ..functions.urls import (UrlParts, assembled, has_dots, host_of, joined_pat
                               without_dots)
 
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+# Attributes are walked one by one, quoted values whole, up to the first href.
+_OTHER = r"""(?!href[\s=>/])[^\s=>/"'<]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?+"""
+_HREF = rf"""(?is)<a(?=[\s/])(?:[\s/]*+{_OTHER})*+[\s/]*+href\s*+=\s*+("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """``(src_url, pos, href)`` for every ``<a href>`` in document order, from 0."""
+    """``(src_url, pos, href)`` for every ``<a href>`` in document order, from 0.
+
+    Pages that were redirected name their last address in ``final_url``, which may be null; it is passed on.
+    """
+    moved = [c for c in pages.columns if c == "final_url"]
     hrefs = F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, ""), F.lit(_HREF), F.lit(1))
-    return (pages.select(F.col("url").alias("src_url"), once(decode_entity_list(hrefs)).alias("hrefs"))
-            .select("src_url", F.posexplode("hrefs").alias("pos", "href"))
+    return (pages.select(F.col("url").alias("src_url"), *moved, once(decode_entity_list(hrefs)).alias("hrefs"))
+            .select("src_url", *moved, F.posexplode("hrefs").alias("pos", "href"))
             .withColumn("href", F.regexp_replace("href", r"""^["']|["']\z""", "")))
 
 
 def resolve_links(links: DataFrame) -> DataFrame:
-    """Adds ``abs_url`` (resolved against the page) and ``dst_url`` (canonical, or null)."""
-    links = resolve(links.withColumn("_href", strip(F.col("href"))), "src_url", "_href", "abs_url").drop("_href")
+    """Adds ``abs_url`` (resolved against the page's last address) and ``dst_url`` (canonical, or null)."""
+    links, base = links.withColumn("_href", strip(F.col("href"))), "src_url"
+    if "final_url" in links.columns:
+        links, base = links.withColumn("_base", F.coalesce("final_url", "src_url")).drop("final_url"), "_base"
+    links = resolve(links, base, "_href", "abs_url").drop("_href", "_base")
     return links.withColumn("dst_url", once(normalize_url(F.col("abs_url"))))
 
 

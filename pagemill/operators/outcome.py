@@ -36,11 +36,3 @@ def page_outcome(pages: DataFrame) -> DataFrame:
             .withColumn("error", outcome_error(F.col("status"), F.col("_is_html"), F.col("markdown"), F.col("failure")))
             .withColumn("needs_render", (F.col("error") != "") & ok & is_shell(F.col("_body")))
             .select(*_COLUMNS))
-
-
-def good_pages(outcomes: DataFrame) -> DataFrame:
-    return outcomes.filter(F.col("error") == "")
-
-
-def failed_pages(outcomes: DataFrame) -> DataFrame:
-    return outcomes.filter(F.col("error") != "")

@@ -114,11 +114,11 @@ _SITEMAP_SITES = """SELECT 'p' || CAST(page_id AS STRING) AS site, page_id, 'htt
 
 
 @query("sitemap_tree", f"""
-WITH RECURSIVE f AS (SELECT 'p' || page_id AS site, page_id AS id, '000000' AS file, 0 AS depth FROM pages
-  UNION ALL SELECT f.site, c.page_id, f.file || '0' || lpad((c.page_id - 2 * f.id - 1)::VARCHAR, 2, '0'), depth + 1
+WITH RECURSIVE f AS (SELECT 'p' || page_id AS site, page_id AS id, repeat('0', 10) AS file FROM pages
+  UNION ALL SELECT f.site, c.page_id, f.file || '0' || lpad((c.page_id - 2 * f.id - 1)::VARCHAR, 10, '0')
   FROM f JOIN pages c ON c.page_id = 2 * f.id + 1 OR (c.page_id = 2 * f.id + 2 AND f.id % 4 <> 1)
-  WHERE depth < 3 AND f.id % 19 <> 18)
-SELECT site, file || '100000000' AS ord, canonical AS url FROM f JOIN {o.with_canonical(
+  WHERE f.id % 19 <> 18)
+SELECT site, file || '1' || repeat('0', 10) AS ord, canonical AS url FROM f JOIN {o.with_canonical(
   "(SELECT page_id AS id, 'https://docs.example.org/' || split_part(url, '/', 4) || '/' || "
   "split_part(split_part(split_part(url, '?', 1), '#', 1), '/', 5) || '/' AS loc FROM pages)", 'loc')} USING (id)
 WHERE id % 19 <> 18 AND {o.kept(o.path_of('canonical'), "'generic'")}""")

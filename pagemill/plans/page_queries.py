@@ -62,7 +62,7 @@ def clean_title(spark, sf):
 
 
 @query("page_meta", f"""
-SELECT page_id, url, nullif(left(regexp_extract(html, '<meta name="description" content="([^"]*)"', 1), 300), '') AS description
+SELECT page_id, url, nullif(regexp_extract(html, '<meta name="description" content="([^"]*)"', 1), '') AS description
 FROM {o.derived(d.HEAD_PAGES)}""")
 def page_meta(spark, sf):
     meta = page_fns.page_meta(F.col("url"), F.col("html"))
@@ -70,13 +70,13 @@ def page_meta(spark, sf):
         "page_id", meta["url"].alias("url"), meta["description"].alias("description"))
 
 
-_SQL_GENERATOR = "lower(regexp_extract(left(html, 4000), '(?i)name=.generator. content=.([^\"'']+)', 1))"
+_SQL_GENERATOR = "lower(regexp_extract(html, '(?i)name=.generator. content=.([^\"'']+)', 1))"
 _SQL_PLATFORM = """CASE WHEN g LIKE 'docusaurus%' THEN 'docusaurus' WHEN g LIKE 'gitbook%' THEN 'gitbook'
   WHEN g LIKE 'mkdocs%' THEN 'mkdocs' WHEN g LIKE 'sphinx%' AND instr(url, 'readthedocs') > 0 THEN 'readthedocs'
   WHEN g LIKE 'sphinx%' THEN 'sphinx' WHEN g LIKE 'vuepress%' THEN 'vuepress' WHEN g LIKE 'hugo%' THEN 'hugo'
   WHEN g LIKE 'jupyter-book%' THEN 'sphinx' WHEN instr(url, 'readthedocs') > 0 THEN 'readthedocs'
-  WHEN instr(left(html, 4000), 'class="md-content__inner"') > 0 THEN 'mkdocs'
-  WHEN instr(left(html, 4000), 'class="theme-default-content"') > 0 THEN 'vuepress' ELSE 'generic' END"""
+  WHEN instr(html, 'class="md-content__inner"') > 0 THEN 'mkdocs'
+  WHEN instr(html, 'class="theme-default-content"') > 0 THEN 'vuepress' ELSE 'generic' END"""
 _SQL_DETECTED = f"(SELECT *, {_SQL_PLATFORM} AS platform FROM (SELECT *, {_SQL_GENERATOR} AS g FROM {o.derived(d.HEAD_PAGES)}))"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import SiteConfig, sites_frame
+from ..config import site_rules as rules_of
 from ..functions import filters, urls
 from ..functions.text import glob_regex, strip
 from ..operators import frontier, links, reports
@@ -57,10 +58,10 @@ def _sql_rel_path(source: str, keep: str) -> str:
     cut = f"regexp_replace({o.path_of('url')}, '(?i)\\.(html?|md|xhtml|txt)$', '')"
     reserved = "regexp_matches(upper(s), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$')"
     return f"""
-SELECT {keep}, array_to_string(list_transform(list_transform(list_transform(
+SELECT {keep}, array_to_string(list_transform(list_transform(
     CASE WHEN len(l) = 0 THEN ['index'] WHEN len(l) > 1 AND lower(l[-1]) IN ('index', 'index.htm') THEN l[:-2] ELSE l END,
     lambda s: coalesce(nullif({_SEGMENT}, ''), 'index')),
-    lambda s: CASE WHEN {reserved} THEN '_' || s ELSE s END), lambda s: substr(s, 1, 180)), '/') AS path
+    lambda s: CASE WHEN {reserved} THEN '_' || s ELSE s END), '/') AS path
 FROM (SELECT *, list_filter(string_split({cut}, '/'), lambda s: s <> '') AS l FROM {source})"""
 
 
@@ -312,10 +313,10 @@ SELECT site, coalesce(nullif(name, ''), replace(split_part(split_part(url, '://'
 FROM (SELECT *, CASE length(site) % 3 WHEN 0 THEN site || '-docs' WHEN 1 THEN '' END AS name,
         CASE length(site) % 2 WHEN 0 THEN ['all'] ELSE ['md', 'json'] END AS formats FROM {o.derived(d.SITES)})""")
 def site_rules(spark, sf):
-    """Settings of every site of the pages; each row is one validated ``SiteConfig`` in table form."""
-    sites = d.derive(spark, sf, d.SITES)
+    """Settings of every site of the pages, completed as those of a site file are."""
+    sites = d.derive(spark, sf, d.SITES).withColumn("key", F.col("site"))
     name = F.expr("CASE length(site) % 3 WHEN 0 THEN site || '-docs' WHEN 1 THEN '' END")
     wanted = F.expr("CASE length(site) % 2 WHEN 0 THEN array('all') ELSE array('md', 'json') END")
-    formats = F.when(F.array_contains(wanted, "all"), F.array(*map(F.lit, ("md", "json", "jsonl", "pdf")))).otherwise(wanted)
-    return sites.select("site", urls.site_name(name, F.col("url")).alias("name"), "url",
-                        F.array_join(formats, ",").alias("formats"), F.array_contains(formats, "jsonl").alias("wants_jsonl"))
+    rules = rules_of(sites.withColumn("formats", wanted).withColumn("site", name))
+    return rules.select(F.col("key").alias("site"), F.col("site").alias("name"), "url", F.array_join("formats", ",").alias("formats"),
+                        F.array_contains("formats", "jsonl").alias("wants_jsonl"))

@@ -3,10 +3,7 @@
 SITES = ("site string, url string, adapter string, formats array<string>, include_re string, exclude_re string, "
          "max_pages int, max_depth int")
 RESOURCES = "url string, status int, html string, fetched_at double"
-URLS = "site string, ord bigint, url string, source string"
 TOC = "array<struct<level:int,title:string,anchor:string>>"
-PAGES = (f"site string, ord bigint, url string, path string, status int, title string, markdown string, "
-         f"toc {TOC}, meta map<string,string>, error string")
 CHUNKS = ("site string, url string, path string, title string, seq int, heading_path array<string>, "
           "tokens int, text string")
 MANIFEST = ("name string, url string, adapter string, out_dir string, pages bigint, failed bigint, "

@@ -19,7 +19,6 @@ RUNTIME_DEFAULTS = {
     # HTML rows are large: small Arrow batches keep Python workers inside their memory.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
-_ARROW_STOCK_BATCH = "10000"
 
 # A written table may be broadcast below both bounds.
 BROADCAST_ROWS = 200_000
@@ -28,12 +27,9 @@ BROADCAST_BYTES = 32 << 20
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime defaults that the user has not set."""
+    own = spark.conf.getAll     # only what was set, not Spark's own defaults
     for key, value in RUNTIME_DEFAULTS.items():
-        current = spark.conf.get(key, None)
-        if key.endswith("maxRecordsPerBatch"):
-            if current in (None, _ARROW_STOCK_BATCH):
-                spark.conf.set(key, value)
-        elif current is None:
+        if key not in own:
             spark.conf.set(key, value)
     return spark
 

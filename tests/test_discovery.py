@@ -57,9 +57,11 @@ def test_crawl_is_breadth_first(spark, seed):
     # the start path is a prefix for links written absolute, so write them relative to the host
     hrefs = {u: [x.removeprefix("https://a.com") for x in links] for u, links in graph.items()}
     got = discovery.crawl_graph(sites, link_graph(pages_of(spark, hrefs))).collect()
+    assert all((r.rank is None) == (limits[r.site][1] == 0) for r in got if r.depth)
     for name, (depth, cap) in limits.items():
-        mine = [(r.url, r.depth) for r in sorted((r for r in got if r.site == name), key=lambda r: (r.depth, r.rank))]
-        assert mine == queue_crawl(graph, start, depth, cap), name
+        mine = [(r.url, r.depth) for r in sorted((r for r in got if r.site == name), key=lambda r: (r.depth, r.rank or 0, r.url))]
+        want = queue_crawl(graph, start, depth, cap)
+        assert mine == (want if cap else sorted(want, key=lambda x: (x[1], x[0]))), name
     free = discovery.crawl_graph(sites.filter("max_pages = 0"), link_graph(pages_of(spark, hrefs)))
     assert sorted(r.url for r in free.filter("site = 'all'").collect()) == sorted(u for u, _ in queue_crawl(graph, start, 0, 0))
 
@@ -93,6 +95,27 @@ def test_links_of_odd_markup(spark):
             "<a data-href='/no' href=\"/3?a=1&amp;b=&#50;\"><area href=/no><abbr href=/no><a name=x><a\nhref=''>e")
     frame = spark.createDataFrame([("https://a.com", html)], "url string, html string")
     assert [r.href for r in extract_links(frame).orderBy("pos").collect()] == ["/1", "/2", "/3?a=1&b=2", ""]
+    html = ("""<a title="p>q" href="/4">x</a><a title="not href='/no' here" href=/5 rel=x>y</a><a class="k"href='/6'>z</a>"""
+            """<a hidden href = "/7"><a/href=/8><a download title='<b' href="/9?x='1'"><a title="/no" <a href="/10">""")
+    frame = spark.createDataFrame([("https://a.com", html)], "url string, html string")
+    assert [r.href for r in extract_links(frame).orderBy("pos").collect()] == ["/4", "/5", "/6", "/7", "/8", "/9?x='1'", "/10"]
+
+
+def test_links_of_a_redirected_page(spark):
+    rows = [("https://a.com/old", "https://a.com/new/", 200, "<a href='x'>x</a>"), ("https://a.com/d/e", None, 200, "<a href='x'>x</a>")]
+    graph = link_graph(spark.createDataFrame(rows, "url string, final_url string, status int, html string"))
+    assert sorted((r.src_url, r.dst_url) for r in graph.collect()) == [
+        ("https://a.com/d/e", "https://a.com/d/x"), ("https://a.com/old", "https://a.com/new/x")]
+
+
+def test_platform_of_a_start_page_stored_under_its_canonical_url(spark):
+    head = "<html><head>" + "<!-- x -->" * 600 + '<meta name="generator" content="{}">'
+    stored = spark.createDataFrame([("https://rtd.org/en", 200, head.format("Sphinx")), ("https://b.org/d/", 200, head.format("Hugo")),
+                                    ("https://b.org/d", 200, head.format("GitBook"))], "url string, status int, html string")
+    sites = site_rows(spark, ("r", "https://rtd.org/en/", 0, 0, "auto"), ("b", "https://b.org/d/", 0, 0, "auto"),
+                      ("none", "https://c.org/", 0, 0, "auto"), ("own", "https://b.org/d/", 0, 0, "vuepress")).drop("platform")
+    assert {r.site: r.platform for r in discovery.site_platform(sites, stored).collect()} == {
+        "r": "readthedocs", "b": "hugo", "none": "generic", "own": "vuepress"}
 
 
 def sitemap(*locs):
@@ -124,11 +147,14 @@ def test_sitemap_order_and_guard(spark, guard):
     candidates = spark.createDataFrame([("s", 0, f"{host}/sitemap.xml"), ("s", 1, f"{host}/broken.xml"), ("s", 2, f"{host}/other.xml")],
                                        "site string, ord int, url string")
     sites = site_rows(spark, ("s", f"{host}/", 0, 0, "auto"))
-    got = discovery.sitemap_tree(candidates, sites, resources, guard).orderBy("ord").collect()
+    got = discovery.sitemap_tree(candidates, sites, resources, guard, 60, 3).orderBy("ord").collect()
     want = []
     for u in (f"{host}/sitemap.xml", f"{host}/other.xml"):
         walk(files, u, guard, want)
     assert [r.url for r in got] == want
+    # without limits every file is read once, although one leads back to the first
+    free = discovery.sitemap_tree(candidates, sites, resources).collect()
+    assert sorted(r.url for r in free) == sorted(u for locs in files.values() for u in locs if not u.endswith(".xml"))
 
 
 def test_sitemap_children_are_capped(spark):
@@ -137,8 +163,9 @@ def test_sitemap_children_are_capped(spark):
     files |= {f"{host}/sitemap{i}.xml": [f"{host}/p{i}"] for i in range(70)}
     resources = spark.createDataFrame([(u, 200, sitemap(*locs)) for u, locs in files.items()], "url string, status int, html string")
     candidates = spark.createDataFrame([("s", 0, f"{host}/sitemap.xml")], "site string, ord int, url string")
-    got = discovery.sitemap_tree(candidates, site_rows(spark, ("s", host, 0, 0, "auto")), resources)
-    assert [r.url for r in got.orderBy("ord").collect()] == [f"{host}/p{i}" for i in range(60)]
+    for children, count in ((60, 60), (None, 70)):
+        got = discovery.sitemap_tree(candidates, site_rows(spark, ("s", host, 0, 0, "auto")), resources, children=children)
+        assert [r.url for r in got.orderBy("ord").collect()] == [f"{host}/p{i}" for i in range(count)]
 
 
 def test_subtree_and_expansion(spark):
@@ -158,7 +185,7 @@ def test_subtree_and_expansion(spark):
     def expand(per_seed):
         got = discovery.expand_seeds(seeds, site_rows(spark, ("s", "https://a.com/d/", 0, 0, "auto")), pages, per_seed=per_seed)
         return [r.url.removeprefix("https://a.com/d/") for r in got.orderBy("ord").collect()]
-    assert expand(5000) == ["1", "2", "3", "4", "5", "6"]
+    assert expand(None) == expand(5000) == ["1", "2", "3", "4", "5", "6"]
     assert expand(1) == ["1", "2"] and expand(2) == ["1", "2", "4", "5"]
 
 
@@ -230,3 +257,8 @@ def test_reports(spark):
 def test_sites_table(spark):
     rows = sites_frame(spark, [SiteConfig("https://a.com", include=["/d/*"], max_pages=3)]).collect()
     assert rows[0].max_pages == 3 and rows[0].exclude_re is None and rows[0].include_re
+    en, fr = SiteConfig("https://a.com/en", include=["/en/*"]), SiteConfig("https://a.com/fr", include=["/fr/*"])
+    with pytest.raises(ValueError):
+        sites_frame(spark, [en, fr])
+    en.name, fr.name = "en", "fr"
+    assert sorted(r.site for r in sites_frame(spark, [en, fr]).collect()) == ["en", "fr"]

@@ -64,9 +64,12 @@ def test_platforms(spark):
         return f'<meta name="generator" content="{name}">'
     cases = {generator("Docusaurus v3"): "docusaurus", generator("Sphinx 8"): "sphinx", generator("jupyter-book 1"): "sphinx",
              generator("hugo") + "theme-doc-x": "hugo", "x theme-doc-y": "docusaurus", '<div class="rst-content">': "readthedocs",
-             '<div class="document">': "sphinx", "nothing": "generic", "x" * 4000 + generator("hugo"): "generic",
+             '<div class="document">': "sphinx", "nothing": "generic", "x" * 4000 + generator("hugo"): "hugo",
+             "<body><p>built by readthedocs": "generic", "<link href=//readthedocs.x><body>": "readthedocs",
              '<meta content="hugo" name="generator">': "generic"}
     assert one(spark, cases, platforms.detect_platform(F.col("v"), F.lit("https://a.com"))) == list(cases.values())
+    late = ["x" * 4000 + generator("hugo")]
+    assert one(spark, late, platforms.detect_platform(F.col("v"), F.lit("https://a.com"), 4000)) == ["generic"]
     rtd = platforms.detect_platform(F.lit(generator("Sphinx")), F.col("v"))
     assert one(spark, ["https://x.RTD.io", "https://a.com"], rtd) == ["readthedocs", "sphinx"]
     assert one(spark, ['<div id="root"></div><script src="app.js"></script>', "<article><p>content</p></article>"],
@@ -143,3 +146,15 @@ def test_unreadable_page_fails_alone(spark):
     assert node["kind"] == "error" and node["text"].startswith("TypeError: ")
     error = p.outcome_error(F.lit(200), F.lit(True), F.lit(""), F.lit(node["text"]))
     assert one(spark, ["x"], error) == [node["text"]]
+
+
+def test_html_behind_comments(spark):
+    cases = {"<!-- " + "x" * 600 + " -->\n<?xml version='1.0'?> <html>": True, "\ufeff <!DOCTYPE html>": True, "x" * 505 + "<head>": True,
+             "x" * 600 + "<html>": False, "# Pages\n" + "y" * 600 + "\n```\n<!doctype html>\n```": False, "": False}
+    assert one(spark, cases, p.is_html(F.col("v"))) == list(cases.values())
+
+
+def test_descriptions_are_whole(spark):
+    html = ['<meta name="description" content="' + "d" * 700 + '">']
+    assert one(spark, html, p.description(F.col("v"))) == ["d" * 700]
+    assert one(spark, html, p.description(F.col("v"), 300)) == ["d" * 300]
