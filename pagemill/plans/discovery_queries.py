@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.platforms import known_adapter
-from ..operators import discovery, frontier
+from ..operators import discovery, frontier, reports
 from ..operators.links import link_graph
 from ..operators.ranking import rank_in_group
 from ..sources.sitemap import sitemap_locs as locs_of
 from . import derived as d
 from . import oracle as o
-from .page_queries import _SQL_DETECTED
+from .harvest import harvest as harvest_of
+from .harvest import inspect_sites
+from .page_queries import _SQL_CLEAN, _SQL_DETECTED, _SQL_TITLE
 from .url_queries import _SQL_DEDUPED, _STORED, _stored, site_urls
 
 QUERIES, ORACLE = {}, {}
@@ -179,7 +181,7 @@ _CRAWLS = """SELECT split_part(url, '/', 4) AS site, 'https://docs.example.org/p
   CASE split_part(url, '/', 4) WHEN 'de' THEN 3 WHEN 'es' THEN 2 ELSE 0 END AS max_depth FROM {pages} GROUP BY 1"""
 
 
-@query("link_bfs", f"""
+_SQL_CRAWLED = f"""(
 WITH RECURSIVE edges AS (SELECT DISTINCT src_url, dst_url FROM {o.with_resolved(o.anchors(f"(SELECT * FROM {o.derived(d.GRAPH_PAGES)} WHERE status = 200)"))}
     WHERE {o.host_of('dst_url')} = 'docs.example.org' AND {o.kept(o.path_of('dst_url'), "'generic'")}
       AND {o.path_of('dst_url')} <> '/'),
@@ -190,7 +192,10 @@ WITH RECURSIVE edges AS (SELECT DISTINCT src_url, dst_url FROM {o.with_resolved(
     UNION SELECT site, dst_url, start, max_depth, depth + 1 FROM crawl JOIN hops ON src_url = crawl.url
     WHERE (max_depth = 0 OR depth < max_depth) AND depth < 16
       AND (NOT only_absolute OR starts_with({o.path_of('dst_url')}, {o.path_of('start')})))
-SELECT site, url, min(depth)::BIGINT AS depth FROM crawl GROUP BY site, url""")
+SELECT site, url, start, min(depth)::BIGINT AS depth FROM crawl GROUP BY site, url, start)"""
+
+
+@query("link_bfs", f"SELECT site, url, depth FROM {_SQL_CRAWLED}")
 def link_bfs(spark, sf):
     graph = link_graph(d.derive(spark, sf, d.GRAPH_PAGES))
     return discovery.crawl_graph(d.derive(spark, sf, _CRAWLS), graph).select(
@@ -227,3 +232,39 @@ def discover(spark, sf):
     urls = rank_in_group(urls, ["site"], ["ord"], "pos")
     return urls.select("site", "source", F.col("pos").alias("ord"), "url").unionByName(
         full.select("site", F.lit("llms-full").alias("source"), F.lit(1).cast("bigint").alias("ord"), "url"))
+
+
+def _text_site_settings(sites):
+    return sites.select("site", "url", "adapter", "include_re", "exclude_re", "max_pages", "max_depth",
+                        F.array(F.lit("md")).alias("formats"))
+
+
+@query("inspect_full", f"SELECT site, url, length(text)::BIGINT AS chars FROM {_SQL_FULL}")
+def inspect_full(spark, sf):
+    """Preview of the sites that one whole-site file serves."""
+    sites, texts = _text_sites(spark, sf)
+    return reports.inspect_full(inspect_sites(_text_site_settings(sites), discovery.written(texts, "resources"))[2])
+
+
+# the whole run -------------------------------------------------------------------------------------
+
+@query("harvest", f"""
+SELECT c.site, c.url, 'bfs' AS source, row_number() OVER (PARTITION BY c.site ORDER BY
+    CASE WHEN starts_with({o.path_of('c.url')}, {o.path_of('c.start')}) THEN 0 ELSE 1 END,
+    len(string_split({o.path_of('c.url')}, '/')), {o.path_of('c.url')}) AS ord,
+  g.status::BIGINT AS status, CASE WHEN g.status <> 200 THEN 'HTTP ' || g.status WHEN g.status = 200 THEN '' END AS error,
+  CASE WHEN g.status <> 200 THEN '' WHEN g.status = 200 THEN g.cleaned END AS title, coalesce(g.status, 0) <> 200 AS todo
+FROM {_SQL_CRAWLED} c LEFT JOIN (SELECT url, status, {_SQL_CLEAN} AS cleaned FROM (
+  SELECT *, regexp_split_to_array(title, '\\s*[|·–—:-]\\s*') AS l FROM (
+    SELECT url, status, {_SQL_TITLE} AS title FROM {o.derived(d.GRAPH_PAGES)}))) g ON g.url = c.url""")
+def harvest(spark, sf):
+    """Every URL the whole run discovers, with the outcome of its page and whether it still needs a fetch."""
+    sites = d.derive(spark, sf, _CRAWLS).drop("platform").withColumn("adapter", F.lit("auto")).withColumn(
+        "formats", F.array(F.lit("md")))
+    stored = d.derive(spark, sf, d.GRAPH_PAGES).withColumn("fetched_at", F.lit(0.0))
+    run = harvest_of(sites, discovery.written(stored, "resources"))
+    pages = run.pages.select("site", "url", F.col("status").cast("bigint").alias("status"), "error", "title")
+    todo = run.todo.select("site", "url", F.lit(True).alias("todo"))
+    return (run.urls.join(pages, ["site", "url"], "left").join(todo, ["site", "url"], "left")
+            .select("site", "url", "source", F.col("ord").cast("bigint").alias("ord"), "status", "error", "title",
+                    F.coalesce("todo", F.lit(False)).alias("todo")))
