@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small_side, written
-from .common import components
+from .common import components, roots
 from .subword_classifier import coded_words, text_groups
 
 WORDS = 5
@@ -27,6 +27,8 @@ BATCH = 40
 MISS = 1e-5
 # Before the last round, a bucket's members are compared inside cells of about this many.
 CELL = 4
+# In the last round a bucket is compared in tiles of about this many shingles a side.
+TILE = 1 << 16
 SEED = 7
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -191,30 +193,15 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Rows ``(key, doc_id)`` of keys that hold several components, with ``comp``, ``outside`` (not in the key's
-    largest component), ``outsiders`` and ``n`` per key."""
+    largest component) and ``n`` per key."""
     known = small_side(found.select(F.col("id").alias("doc_id"), F.col("component").alias("_c")), "found")
     rows = rows.select("key", "doc_id").join(known, "doc_id", "left").select("key", "doc_id", F.coalesce("_c", "doc_id").alias("comp"))
     sizes = written(rows.groupBy("key", "comp").agg(F.count("*").alias("_n")), "sizes")
     largest = (sizes.groupBy("key").agg(F.max_by("comp", F.struct("_n", "comp")).alias("_most"), F.sum("_n").alias("n"),
-                                        F.max("_n").alias("_top"), F.count("*").alias("_comps"))
-               .filter("_comps > 1").select("key", "_most", "n", (F.col("n") - F.col("_top")).alias("outsiders")))
+                                        F.count("*").alias("_comps"))
+               .filter("_comps > 1").select("key", "_most", "n"))
     return written(rows.join(small_side(largest, "mixed"), "key")
-                   .select("key", "doc_id", "comp", (F.col("comp") != F.col("_most")).alias("outside"), "outsiders", "n"), "mixed_rows")
-
-
-def _pairs(rows: DataFrame, keys: list[str], outside: bool) -> DataFrame:
-    """Distinct pairs of different components that share the keys; with ``outside`` only those of an outsider.
-
-    ``n_shingles`` and ``shareable`` bound the similarity: no pair has more in common than either can share.
-    """
-    one = (rows.filter("outside") if outside else rows).select(
-        *keys, F.col("doc_id").alias("_x"), F.col("comp").alias("_cx"), F.col("n_shingles").alias("_m"), F.col("shareable").alias("_p"))
-    two = rows.select(*keys, F.col("doc_id").alias("_y"), F.col("comp").alias("_cy"), F.col("outside").alias("_o"),
-                      F.col("n_shingles").alias("_n"), F.col("shareable").alias("_q"))
-    once = (F.col("_x") < F.col("_y")) | ~F.col("_o") if outside else F.col("_x") < F.col("_y")
-    fits = F.least("_p", "_q") * (100 + SHARE) >= SHARE * (F.col("_m") + F.col("_n"))
-    return (one.join(two, keys).filter((F.col("_cx") != F.col("_cy")) & once & fits)
-            .select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct())
+                   .select("key", "doc_id", "comp", (F.col("comp") != F.col("_most")).alias("outside"), "n"), "mixed_rows")
 
 
 def shareable(sets: DataFrame) -> DataFrame:
@@ -239,19 +226,64 @@ def shareable(sets: DataFrame) -> DataFrame:
 
 def _cell_pairs(members: DataFrame, found: DataFrame) -> DataFrame:
     """A few partners for every member of a mixed bucket: pairs inside small random cells of it, linear in its size."""
-    rows = _mixed(members, found)
     cell = F.pmod(F.xxhash64("key", "doc_id"), F.ceil(F.col("n") / CELL))
-    rows = rows.withColumn("_cell", cell).withColumn("n_shingles", F.lit(1)).withColumn("shareable", F.lit(1))
-    return _pairs(rows, ["key", "_cell"], False)
+    rows = _mixed(members, found).select("key", cell.alias("_cell"), "doc_id", "comp")
+    one, two = rows.toDF("key", "_cell", "a", "_ca"), rows.toDF("key", "_cell", "b", "_cb")
+    return one.join(two, ["key", "_cell"]).filter("a < b and _ca <> _cb").select("a", "b").distinct()
+
 
+def _tile_links(outsiders: pa.Table, members: pa.Table) -> pa.Table:
+    """Links of a tile's outsiders with its members, as a spanning forest ``(a, b)`` of the components they join.
 
-def _crossing(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of bucket members in different components, at least one of them outside the bucket's largest.
+    Each outsider passes the members through the bounds and the signature batches; the full sets of those left are
+    intersected with its own.
+    """
+    names, bounds = ["a", "b"], least_matches()
+    if not outsiders.num_rows or not members.num_rows:
+        return pa.table([pa.array([], pa.int64())] * 2, names=names)
+
+    def numbers(table: pa.Table, name: str) -> np.ndarray:
+        return np.asarray(table.column(name)).astype(np.int64)
+
+    def joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+    items = [joined(t, "items", "<u8") for t in (outsiders, members)]
+    distinct, codes = np.unique(np.concatenate(items), return_inverse=True)
+    own, other = codes[:len(items[0])], codes[len(items[0]):]
+    m, n = (np.array([len(v.as_buffer()) // 8 for v in t.column("items")]) for t in (outsiders, members))
+    ends, starts = np.cumsum(m), np.cumsum(n) - n
+    x, y = (joined(t, "sig", "<u4").reshape(-1, HASHES) for t in (outsiders, members))
+    (cx, p), (cy, q) = ((numbers(t, "comp"), numbers(t, "shareable")) for t in (outsiders, members))
+    held, froms, tos = np.zeros(len(distinct), np.int32), [], []
+    for i in range(len(m)):
+        alive = np.flatnonzero((cy != cx[i]) & (np.minimum(p[i], q) * (100 + SHARE) >= SHARE * (m[i] + n)))
+        matches = np.zeros(len(alive), np.int64)
+        for count, least in bounds.items():
+            matches += (y[alive, count - BATCH:count] == x[i, count - BATCH:count]).sum(1)
+            alive, matches = alive[matches >= least], matches[matches >= least]
+        if len(alive):
+            mine = own[ends[i] - m[i]:ends[i]]
+            held[mine] = 1
+            common = np.add.reduceat(held[other], starts)[alive]
+            held[mine] = 0
+            linked = np.unique(cy[alive[100 * common >= SHARE * (m[i] + n[alive] - common)]])
+            froms.append(np.full(len(linked), cx[i]))
+            tos.append(linked)
+    ids, place = np.unique(np.concatenate([np.empty(0, np.int64), *froms, *tos]), return_inverse=True)
+    root = roots(len(ids), place[:len(place) // 2], place[len(place) // 2:])
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return pa.table([ids[root[moved]], ids[moved]], names=names)
+
+
+def _crossing(members: DataFrame, found: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` of components that meet in a bucket: what is outside its largest is compared with all of it.
 
     Members of one component need no comparison, so a group of near copies costs its outsiders only. Where many unlike
     documents meet, as those that share a common passage do, most of their shingles are their own: what a document
     shares with any other bounds its similarity to all, and those that can reach the threshold with no member go
-    before pairs are made.
+    first. A bucket is dealt to tiles of bounded size, outsiders by members, and only a tile's links leave it: no pair
+    becomes a row.
     """
     rows = _mixed(members, found)
     docs = small_side(rows.select("doc_id").distinct(), "mixed_docs")
@@ -260,8 +292,24 @@ def _crossing(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFram
     least = rows.groupBy("key").agg(F.min("n_shingles").alias("_least"))
     rows = rows.join(small_side(least, "least"), "key")
     partner = F.greatest(F.col("_least"), F.ceil(F.col("n_shingles") * SHARE / 100))
-    rows = written(rows.filter(F.col("shareable") * (100 + SHARE) >= SHARE * (F.col("n_shingles") + partner)).drop("_least"), "able")
-    return _pairs(rows, ["key"], True)
+    rows = written(rows.filter(F.col("shareable") * (100 + SHARE) >= SHARE * (F.col("n_shingles") + partner))
+                   .select("key", "doc_id", "comp", "outside", "n_shingles", "shareable"), "able")
+    tiles = (rows.groupBy("key").agg(F.ceil(F.sum("n_shingles") / TILE).cast("int").alias("_members"),
+                                     F.ceil(F.sum(F.when(F.col("outside"), F.col("n_shingles"))) / TILE).cast("int").alias("_outsiders"))
+             .filter("_outsiders > 0"))
+    rows = rows.join(small_side(tiles, "tiles"), "key")
+    held = sigs.select("doc_id", "sig").join(sets, "doc_id")
+
+    def dealt(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        """Each row in its own part of the bucket, once per part of the other side."""
+        df = (df.withColumn(mine, F.pmod(F.xxhash64("doc_id"), F.col(own)))
+              .withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))))
+        df = df.select("key", F.col("_x").cast("int"), F.col("_y").cast("int"), "doc_id", "comp", "shareable").join(held, "doc_id")
+        return df.toDF(*df.columns).groupBy("key", "_x", "_y")  # columns of its own, for both sides stem from one table
+
+    asks = dealt(rows.filter("outside"), "_outsiders", "_members", "_x", "_y")
+    holds = dealt(rows, "_members", "_outsiders", "_y", "_x")
+    return asks.cogroup(holds).applyInArrow(_tile_links, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -301,7 +349,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = components(known)
     known = known.union(links(_cell_pairs(members, found)))
     found = components(known)
-    last = links(_crossing(members, found, sets))
+    last = written(_crossing(members, found, sigs, sets), "links")
     if last.take(1):
         found = components(known.union(last))
     found = small_side(found.select(F.col("id").alias("rep"), "component"), "components")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +90,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges = written(moved_edges.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct(),
                         "edges")
     return result
+
+
+def roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest node reachable over the pairs, per node."""
+    root = np.arange(size)
+    while True:
+        before = root.copy()
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        root = root[root]
+        if np.array_equal(before, root):
+            return root

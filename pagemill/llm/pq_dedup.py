@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small_side, written
-from .common import components
+from .common import components, roots
 
 COSINE = 0.93
 # The index is fitted on at most this many vectors, those with the smallest hashed ids; every vector is indexed.
@@ -124,19 +124,6 @@ def _assign(rows: DataFrame, index: Index, dim: int, cosine: float, probes: int)
     return rows.mapInArrow(run, schema)
 
 
-def _roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest node reachable over the pairs, per node."""
-    root = np.arange(size)
-    while True:
-        before = root.copy()
-        least = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, least)
-        np.minimum.at(root, b, least)
-        root = root[root]
-        if np.array_equal(before, root):
-            return root
-
-
 def _tile_links(dim: int, index: Index, cosine: float):
     """Function of a tile: link counts of its queries, and a spanning forest of its links."""
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
@@ -166,11 +153,11 @@ def _tile_links(dim: int, index: Index, cosine: float):
             other = q_id[i] != r_id[j]
             i, j = i[other], j[other]
             links += np.bincount(i, counts[j], len(q)).astype(np.int64)
-            root = _roots(len(ids), q_at[i], r_at[j])
+            root = roots(len(ids), q_at[i], r_at[j])
             moved = np.flatnonzero(root != np.arange(len(ids)))
             froms.append(moved)
             tos.append(root[moved])
-        root = _roots(len(ids), np.concatenate(froms), np.concatenate(tos))
+        root = roots(len(ids), np.concatenate(froms), np.concatenate(tos))
         moved = np.flatnonzero(root != np.arange(len(ids)))
         told = np.flatnonzero(links)
         return pa.table([np.concatenate([q_id[told], ids[moved]]), np.concatenate([links[told], np.zeros(len(moved), np.int64)]),

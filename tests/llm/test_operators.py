@@ -305,6 +305,22 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r.n_shingles == len(sets[i]) and r.kept == (comp[i] == i) for i, r in got.items())
 
 
+def test_last_round_alone_finds_every_component(spark, monkeypatch):
+    monkeypatch.setattr(bayes_dedup, "TILE", 500)  # several tiles a side
+    base, other = prose(1, 100), prose(2, 100)
+    texts = [*(edited(base, s, 0.015) for s in range(60)), *(edited(other, s, 0.03) for s in range(30)), *(prose(300 + s, 30) for s in range(5))]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    members = df.select(F.lit(1).cast("long").alias("key"), "doc_id")
+    sigs = bayes_dedup.sign(df, "doc_id", "text").select("doc_id", "n_shingles", "sig")
+    found = spark.createDataFrame([], "id long, component long")
+    links = bayes_dedup._crossing(members, found, sigs, bayes_dedup.sets_of(df))
+    got = {r.id: r.component for r in components(links).collect()}
+    comp = brute_components(rows)[1]
+    assert {i: got.get(i, i) for i in comp} == comp and 1 < len(set(comp.values())) < len(comp) - 10
+    assert links.count() < 1000  # forests of tiles, not pairs
+
+
 def test_near_duplicates_of_odd_rows(docs, none):
     rows = bayes_dedup.near_duplicates(docs).collect()
     assert len(rows) == docs.count() and bayes_dedup.near_duplicates(none).count() == 0
