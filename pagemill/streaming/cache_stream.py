@@ -1,45 +1,78 @@
-"""Optional streaming form of the cache upsert: a stream of fetched resources merged batch by batch."""
+"""Optional streaming form of the cache upsert: a stream of fetched resources merged batch by batch.
+
+A version holds the buckets of URLs that its batch touched; the cache is the newest complete copy of every bucket.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schemas import RESOURCES
+from ..session import written
 from ..sources.resources import upsert
 
+# Buckets of URLs of a cache; a batch rewrites those it touches.
+BUCKETS = 64
+
+
+def _paths(spark: SparkSession, pattern: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [s.getPath().toString() for s in found or []]
+
+
+def _number(path: str, name: str) -> int:
+    return int(path.rpartition(f"{name}=")[2].partition("/")[0])
 
-def read_cache(spark: SparkSession, root: str) -> DataFrame:
-    """The newest complete version below ``root``; empty before the first batch."""
-    version = latest_version(spark, root)
-    if version is None:
-        return spark.createDataFrame([], RESOURCES)
-    return spark.read.schema(RESOURCES).parquet(f"{root}/version={version}")
+
+def _versions(spark: SparkSession, root: str) -> set[int]:
+    """Complete versions only: those whose write left its mark."""
+    return {_number(p, "version") for p in _paths(spark, f"{root}/version=*/_SUCCESS")}
 
 
 def latest_version(spark: SparkSession, root: str) -> int | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    versions = [int(s.getPath().getParent().getName().partition("=")[2]) for s in found or []]
-    return max(versions, default=None)
+    return max(_versions(spark, root), default=None)
 
 
-def merge_batch(root: str):
-    """``foreachBatch`` function: writes version ``batch_id``. A repeated batch rewrites its own version
-    from the one before it, so a restart gives the same cache; late rows lose by ``fetched_at``."""
+def read_cache(spark: SparkSession, root: str, before: int | None = None, buckets: set[int] | None = None) -> DataFrame:
+    """The newest complete copy of every bucket, or of ``buckets``, in versions ``before`` one; empty before the first batch."""
+    complete, newest = _versions(spark, root), {}
+    for path in _paths(spark, f"{root}/version=*/bucket=*"):
+        version, bucket = _number(path, "version"), _number(path, "bucket")
+        if version in complete and (before is None or version < before) and (buckets is None or bucket in buckets):
+            newest[bucket] = max(newest.get(bucket, (version, path)), (version, path))
+    if not newest:
+        return spark.createDataFrame([], RESOURCES)
+    return spark.read.schema(RESOURCES).parquet(*(path for _, path in newest.values()))
+
+
+def merge_batch(root: str, first: int = 0):
+    """``foreachBatch`` function: batch n writes the touched buckets of version ``first + n``. A repeated batch rewrites
+    its own version from the ones before it, so a restart gives the same cache; late rows lose by ``fetched_at``."""
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        previous = latest_version(spark, root)
-        if previous is not None and previous >= batch_id:
-            previous = batch_id - 1 if batch_id else None
-        cache = (spark.createDataFrame([], RESOURCES) if previous is None
-                 else spark.read.schema(RESOURCES).parquet(f"{root}/version={previous}"))
-        upsert(cache, batch).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        spark, version = batch.sparkSession, first + batch_id
+        bucket = F.pmod(F.xxhash64("url"), F.lit(BUCKETS)).cast("int")
+        batch = written(batch.filter(F.col("status") == 200), "batch")
+        touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # at most BUCKETS numbers
+        merged = upsert(read_cache(spark, root, version, touched), batch).withColumn("bucket", bucket)
+        (merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/version={version}"))
     return merge
 
 
+def _first_version(spark: SparkSession, root: str, checkpoint: str) -> int:
+    """The version of batch 0, kept beside the checkpoint's own files: a new checkpoint goes on after what ``root`` holds."""
+    kept = f"{checkpoint}/first_version"
+    if not _paths(spark, f"{kept}/_SUCCESS"):
+        latest = latest_version(spark, root)
+        first = 0 if latest is None else latest + 1
+        spark.range(first, first + 1).write.mode("overwrite").parquet(kept)
+    return spark.read.parquet(kept).head()[0]
+
+
 def stream_upsert(spark: SparkSession, incoming: str, root: str, checkpoint: str) -> StreamingQuery:
     """Consumes all resource files waiting in ``incoming`` and stops."""
     stream = spark.readStream.schema(RESOURCES).option("maxFilesPerTrigger", 64).parquet(incoming)
-    return (stream.writeStream.foreachBatch(merge_batch(root)).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    return (stream.writeStream.foreachBatch(merge_batch(root, _first_version(spark, root, checkpoint)))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -129,6 +129,12 @@ def test_streaming_upsert(spark, tmp_path):
     assert fetch(("a", 200, "a1", 1.0), ("b", 404, "", 1.0)) == [("a", "a1")]
     assert fetch(("a", 200, "a3", 3.0), ("c", 200, "c1", 1.0)) == [("a", "a3"), ("c", "c1")]
     assert fetch(("a", 200, "late", 2.0)) == [("a", "a3"), ("c", "c1")]
+    # a new checkpoint reads all files again and goes on after the versions that are there
+    checkpoint = str(tmp_path / "another")
+    assert fetch(("d", 200, "d1", None)) == [("a", "a3"), ("c", "c1"), ("d", "d1")]
+    assert fetch(("d", 200, "d2", 1.0)) == [("a", "a3"), ("c", "c1"), ("d", "d2")]
+    newest = max((p for p in (tmp_path / "cache").iterdir()), key=lambda p: int(p.name.partition("=")[2]))
+    assert len([p for p in newest.iterdir() if p.name.startswith("bucket=")]) == 1  # only what the batch touched
 
 
 def test_broadcast_is_size_checked(spark):

@@ -35,3 +35,12 @@ def test_upsert_with_unknown_times(spark):
     stored = spark.createDataFrame([("a", 200, "old", None), ("b", 200, "old", 5.0)], schema)
     came = spark.createDataFrame([("a", 200, "new", None), ("b", 200, "new", None)], schema)
     assert sorted((r.url, r.html) for r in upsert(stored, came).collect()) == [("a", "new"), ("b", "old")]
+
+
+def test_upsert_of_tied_times(spark):
+    schema = "url string, status int, html string, fetched_at double"
+    stored = spark.createDataFrame([("a", 200, "old", 1.0), ("b", 200, "keep", 9.0), ("z", 200, "z", None)], schema)
+    came = spark.createDataFrame([("a", 200, "x", 1.0), ("a", 200, "y", 1.0), ("a", 200, "z", 0.0), ("b", 200, "late", 2.0), ("c", 200, "c", 1.0),
+                                  ("c", 200, "c", 1.0), ("d", 200, "p", None), ("d", 200, "q", None), ("e", 500, "no", 3.0)], schema)
+    got = sorted((r.url, r.html, r.fetched_at) for r in upsert(stored, came).collect())
+    assert got == [("a", "y", 1.0), ("b", "keep", 9.0), ("c", "c", 1.0), ("d", "q", None), ("z", "z", None)]
