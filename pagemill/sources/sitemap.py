@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-from xml.etree import ElementTree
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _locs(text: str | None) -> list[str]:
-    try:
-        root = ElementTree.fromstring((text or "").encode("utf-8", "replace"))
-    except ElementTree.ParseError:
-        return []
-    namespace = root.tag[:root.tag.rfind("}") + 1]
-    return [node.text for node in root.iter(f"{namespace}loc") if node.text]
-
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _parse(values: pa.Array) -> pa.Array:
-    return pa.array([_locs(v) for v in values.to_pylist()], pa.list_(pa.string()))
+_ENTRIES = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>"
+# A file that can't be parsed gives null entries instead of failing the job.
+_OPTIONS = {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
 
 
 def sitemap_locs(body: Column) -> Column:
-    """Array of loc values in the root element's namespace; empty for malformed XML.
+    """Array of the loc values of a URL set or an index, in file order and without surrounding blanks.
 
-    Spark's ``xpath`` fails the whole job on malformed input, so an XML parser runs per value.
+    Locs inside other elements, as those of images, are none of the page's. Empty for null, empty and malformed files.
     """
-    return _parse(body)
+    entries = F.from_xml(body, _ENTRIES, _OPTIONS)
+    none = F.array().cast("array<struct<loc:string>>")
+    both = F.concat(F.coalesce(entries["url"], none), F.coalesce(entries["sitemap"], none))
+    return F.filter(F.transform(both, lambda e: F.trim(e["loc"])), lambda loc: F.length(loc) > 0)
