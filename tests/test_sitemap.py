@@ -8,12 +8,14 @@ from pagemill.sources.sitemap import sitemap_locs
 
 _NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
 _FILES = [
-    (f'<?xml version="1.0"?><urlset {_NS} xmlns:image="i"><url><loc> https://s.org/1?a=1&amp;b=2 </loc><image:image>'
+    (f'<?xml version="1.0"?><urlset {_NS} xmlns:image="i"><url><loc>https://s.org/1?a=1&amp;b=2</loc><image:image>'
      "<image:loc>https://s.org/p.png</image:loc></image:image></url><url/><url><loc/></url><url><loc>https://s.org/2</loc></url></urlset>",
      ["https://s.org/1?a=1&b=2", "https://s.org/2"]),
     (f"<sitemapindex {_NS}><sitemap><loc>https://s.org/a.xml</loc></sitemap></sitemapindex>", ["https://s.org/a.xml"]),
     ("<urlset><url><loc><![CDATA[https://s.org/?x&y]]></loc></url></urlset>", ["https://s.org/?x&y"]),
     ('<s:urlset xmlns:s="n"><s:url><s:loc>https://s.org/3</s:loc></s:url></s:urlset>', ["https://s.org/3"]),
+    ("<urlset><loc>https://s.org/6</loc><loc>https://s.org/7</loc></urlset>", ["https://s.org/6", "https://s.org/7"]),
+    ("<urlset><url><loc>https://s.org/8</loc><loc>https://s.org/9</loc></url></urlset>", ["https://s.org/8", "https://s.org/9"]),
     (f"<urlset {_NS}><url><loc>https://s.org/4</loc></url><url><loc>", []),
     ("<loc>", []), ("", []), (None, []), ("plain text", []), ("<html><body><p>404</p></body></html>", []),
     ('<!DOCTYPE x [<!ENTITY e "v">]><urlset><url><loc>&e;&unknown;</loc></url></urlset>', None),
