@@ -17,10 +17,10 @@ COSINE = 0.93
 # The index is fitted on at most this many vectors, those with the smallest hashed ids; every vector is indexed.
 SAMPLE = 16_384
 SUBSPACES, CODES = 8, 256
-# A query probes the lists that can hold a link of it, nearest first, up to this many.
-PROBES = 16
-# Lists meet queries in tiles of about this many rows and queries.
+# Zones of lists meet queries in tiles of about this many rows and queries.
 TILE_ROWS, TILE_QUERIES = 2048, 4096
+# So many exact cosines at a time.
+PAIRS = 65_536
 SEED = 5
 
 
@@ -30,6 +30,11 @@ class Index:
 
     centroids: np.ndarray
     words: np.ndarray  # subspace, code, dimension
+    before: np.ndarray  # share of the sample in earlier lists
+
+    def zones(self, lists: np.ndarray, count: int) -> np.ndarray:
+        """Zone of each list where ``count`` zones of about equal size are cut."""
+        return np.floor(self.before[lists] * count).astype(np.int64)
 
     def residual_parts(self, vectors: np.ndarray, lists: np.ndarray) -> np.ndarray:
         rest = vectors - self.centroids[lists]
@@ -64,9 +69,16 @@ def _k_means(vectors: np.ndarray, count: int, rng: np.random.Generator, rounds:
 def fit(sample: np.ndarray, lists: int) -> Index:
     rng = np.random.default_rng(SEED)
     centroids = _k_means(sample, lists, rng)
+    # along the longest axis, so that a zone of lists is near each other
+    axis = np.linalg.svd(centroids - centroids.mean(0), full_matrices=False)[2][0]
+    centroids = centroids[np.argsort(centroids @ axis, kind="stable")]
+    near = _nearest(sample, centroids)
+    size = np.bincount(near, minlength=len(centroids))
     width = -(-sample.shape[1] // SUBSPACES)
-    index = Index(centroids, np.zeros((SUBSPACES, 1, width)))
-    parts = index.residual_parts(sample, _nearest(sample, centroids))
+    # an empty list at the end has all before it: kept below 1, for a zone of its own would not exist
+    before = np.minimum((np.cumsum(size) - size) / len(sample), 1 - 1e-9)
+    index = Index(centroids, np.zeros((SUBSPACES, 1, width)), before)
+    parts = index.residual_parts(sample, near)
     index.words = np.stack([_k_means(parts[:, m], CODES, rng) for m in range(SUBSPACES)])
     return index
 
@@ -79,20 +91,26 @@ def encode(vectors: np.ndarray, lists: np.ndarray, index: Index) -> tuple[np.nda
     return codes.astype(np.uint8), np.sqrt((left_out ** 2).sum((1, 2)))
 
 
-def probed_lists(queries: np.ndarray, index: Index, cosine: float, probes: int) -> list[np.ndarray]:
-    """Lists that may hold a link: the query is within reach of the border between its own list and theirs."""
+def reachable(queries: np.ndarray, own: np.ndarray, lists: np.ndarray, index: Index, cosine: float) -> np.ndarray:
+    """Which of ``lists`` may hold a link of each query: it is within reach of the border between its own list and theirs.
+
+    Every list that holds a link is among them; there is no limit to their number.
+    """
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
-    c = index.centroids
-    gap = np.sqrt(np.maximum((c ** 2).sum(1)[:, None] + (c ** 2).sum(1) - 2 * c @ c.T, 0))
+    c, mine = index.centroids[lists], index.centroids[own]
+    square, mine_square = (c ** 2).sum(1), (mine ** 2).sum(1)
+    gap = np.sqrt(np.maximum(mine_square[:, None] + square - 2 * mine @ c.T, 0))
+    border = square - mine_square[:, None] - 2 * (queries @ c.T - (queries * mine).sum(1)[:, None])
+    return border <= 2 * reach * gap + 1e-9
+
+
+def asked_zones(queries: np.ndarray, own: np.ndarray, counts: np.ndarray, index: Index, cosine: float) -> list[np.ndarray]:
+    """Zones with a list that may hold a link, of each query; ``counts`` has the number of its label's zones."""
     out = []
     for at in range(0, len(queries), 1024):
-        block = queries[at:at + 1024]
-        square = (block ** 2).sum(1)[:, None] + (c ** 2).sum(1) - 2 * block @ c.T
-        own = np.argmin(square, 1)
-        border = square - square[np.arange(len(block)), own][:, None]
-        ok = border <= 2 * reach * gap[own] + 1e-9
-        order = np.argsort(square, 1, kind="stable")
-        out.extend(row[keep[row]][:probes] for row, keep in zip(order, ok))
+        part = slice(at, at + 1024)
+        ok = reachable(queries[part], own[part], np.arange(len(index.centroids)), index, cosine)
+        out.extend(np.unique(index.zones(np.flatnonzero(row), n)) for row, n in zip(ok, counts[part]))
     return out
 
 
@@ -107,21 +125,23 @@ def _usable(embedding: Column) -> Column:
     return numbers & F.exists(embedding, lambda x: x != 0)
 
 
-def _assign(rows: DataFrame, index: Index, dim: int, cosine: float, probes: int) -> DataFrame:
+def _assign(rows: DataFrame, index: Index, dim: int, cosine: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = _stack(batch.column(3), dim)
+            vectors, counts = _stack(batch.column(3), dim), np.asarray(batch.column(4))
             lists = _nearest(vectors, index.centroids)
             codes, error = encode(vectors, lists, index)
+            zones = np.floor(index.before[lists] * counts)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
-                 pa.array(probed_lists(vectors, index, cosine, probes), pa.list_(pa.int32()))],
-                names=[*batch.schema.names, "list", "codes", "error", "probes"])
+                [*batch.columns[:4], pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
+                 pa.array(zones.astype(np.int32)), pa.array(asked_zones(vectors, lists, counts, index, cosine), pa.list_(pa.int32()))],
+                names=[*batch.schema.names[:4], "list", "codes", "error", "zone", "asked"])
 
-    schema = "id bigint, label string, n bigint, vec array<double>, list int, codes binary, error double, probes array<int>"
-    return rows.mapInArrow(run, schema)
+    schema = ("id bigint, label string, n bigint, vec array<double>, list int, codes binary, error double, zone int, "
+              "asked array<int>")
+    return rows.select("id", "label", "n", "vec", "zones").mapInArrow(run, schema)
 
 
 def _tile_links(dim: int, index: Index, cosine: float):
@@ -130,11 +150,12 @@ def _tile_links(dim: int, index: Index, cosine: float):
         names, empty = ["id", "links", "root"], pa.table({n: pa.array([], pa.int64()) for n in ("id", "links", "root")})
         if not queries.num_rows or not rows.num_rows:
             return empty
+        queries = queries.sort_by("list")  # a block of queries then reaches much the same lists
         q_id, r_id = (np.asarray(t.column("id")).astype(np.int64) for t in (queries, rows))
         q, r = _stack(queries.column("vec"), dim), _stack(rows.column("vec"), dim)
-        counts, error = np.asarray(rows.column("n")), np.asarray(rows.column("error"))
+        own, counts, error = (np.asarray(c) for c in (queries.column("list"), rows.column("n"), rows.column("error")))
         codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(r), -1).astype(np.int64)
-        centroid = index.centroids[rows.column("list")[0].as_py()]
+        lists, list_at = np.unique(np.asarray(rows.column("list")), return_inverse=True)
         width = index.words.shape[2]
         padded = np.pad(q, ((0, 0), (0, len(index.words) * width - dim))).reshape(len(q), len(index.words), width)
         ids, place = np.unique(np.concatenate([q_id, r_id]), return_inverse=True)
@@ -142,13 +163,18 @@ def _tile_links(dim: int, index: Index, cosine: float):
         links, froms, tos = np.zeros(len(q), np.int64), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for at in range(0, len(q), 256):
             part = slice(at, at + 256)
-            near = np.repeat((q[part] @ centroid)[:, None], len(r), 1)
+            held = np.flatnonzero(reachable(q[part], own[part], lists, index, cosine).any(0)[list_at])
+            if not len(held):
+                continue
+            near = (q[part] @ index.centroids[lists].T)[:, list_at[held]]
             for m in range(len(index.words)):
-                near += (padded[part, m] @ index.words[m].T)[:, codes[:, m]]
+                near += (padded[part, m] @ index.words[m].T)[:, codes[held, m]]
             # what the codes leave out moves a cosine by its length at most: nothing above the threshold is lost
-            i, j = np.nonzero(near + error >= cosine - 1e-9)
-            i += at
-            exact = np.einsum("ij,ij->i", q[i], r[j]) >= cosine
+            i, j = np.nonzero(near + error[held] >= cosine - 1e-9)
+            i, j = i + at, held[j]
+            # in parts, for in a dense group all pairs come so far
+            exact = np.concatenate([np.einsum("ij,ij->i", q[i[k:k + PAIRS]], r[j[k:k + PAIRS]]) >= cosine
+                                    for k in range(0, len(i), PAIRS)] or [np.empty(0, bool)])
             i, j = i[exact], j[exact]
             other = q_id[i] != r_id[j]
             i, j = i[other], j[other]
@@ -166,36 +192,38 @@ def _tile_links(dim: int, index: Index, cosine: float):
     return run
 
 
-def _links_of(classes: DataFrame, dim: int, cosine: float, probes: int, sample: int) -> DataFrame:
+def _links_of(classes: DataFrame, dim: int, cosine: float, sample: int) -> DataFrame:
     """``(id, links, root)`` rows of one dimension; ``classes`` has ``id, label, n, vec``."""
     total = classes.count()
     lists = max(1, min(4096, int(math.sqrt(total))))
     chosen = classes.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toArrow()
     index = fit(_stack(chosen.column(0), dim), lists)
-    indexed = written(_assign(classes, index, dim, cosine, probes), "indexed")
-    # how many tiles each list is cut into, by its rows and by the queries that probe it
-    keys = ["label", "list"]
-    by_list = indexed.groupBy(*keys).agg(F.count("*").alias("_r"))
-    asked = indexed.select("label", F.explode("probes").alias("list")).groupBy(*keys).agg(F.count("*").alias("_q"))
-    tiles = small_side(by_list.join(asked, keys).select(
+    # a label's lists lie in zones of about a tile's rows; a query goes once to each zone that can hold a link
+    zones = classes.groupBy("label").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("zones"))
+    indexed = written(_assign(classes.join(small_side(zones, "zones"), "label"), index, dim, cosine), "indexed")
+    # how many tiles each zone is cut into, by its rows and by the queries that ask it
+    keys = ["label", "zone"]
+    by_zone = indexed.groupBy(*keys).agg(F.count("*").alias("_r"))
+    asked = indexed.select("label", F.explode("asked").alias("zone")).groupBy(*keys).agg(F.count("*").alias("_q"))
+    tiles = small_side(by_zone.join(asked, keys).select(
         *keys, F.ceil(F.col("_r") / TILE_ROWS).cast("int").alias("_rows"),
         F.ceil(F.col("_q") / TILE_QUERIES).cast("int").alias("_queries")), "tiles")
 
     def dealt(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
-        """Each row in its own part of the list, once per part of the other side."""
+        """Each row in its own part of the zone, once per part of the other side."""
         return (df.join(tiles, keys).withColumn(mine, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
                 .withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_rows", "_queries"))
 
-    asks = dealt(indexed.select("id", "label", "vec", F.explode("probes").alias("list")), "_queries", "_rows", "_qt", "_rt")
-    holds = dealt(indexed.select("id", "label", "n", "vec", "list", "codes", "error"), "_rows", "_queries", "_rt", "_qt")
+    asks = dealt(indexed.select("id", "label", "vec", "list", F.explode("asked").alias("zone")), "_queries", "_rows", "_qt", "_rt")
+    holds = dealt(indexed.select("id", "label", "n", "vec", "list", "zone", "codes", "error"), "_rows", "_queries", "_rt", "_qt")
     holds = holds.toDF(*holds.columns)  # columns of its own, for both sides stem from one table
-    tile = ["label", "list", "_rt", "_qt"]
+    tile = ["label", "zone", "_rt", "_qt"]
     return asks.groupBy(*tile).cogroup(holds.groupBy(*tile)).applyInArrow(
         _tile_links(dim, index, cosine), "id bigint, links bigint, root bigint")
 
 
 def linked_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label",
-                   cosine: float = COSINE, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+                   cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
     """``(key, n_links, component_id, kept)`` for every vector.
 
     Vectors are linked when their labels are equal and their cosine, in double precision, is at least ``cosine``.
@@ -203,8 +231,8 @@ def linked_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "em
     non-finite components, link with nothing; neither do vectors of different lengths. Rows with a null id are kept and link with
     nothing; rows that repeat an id with the same vector count once. An empty table gives an empty result.
 
-    Within the probed lists nothing is lost: the lookup distance is compared with the threshold less what its
-    codes leave out. A list is cut into tiles of bounded size; a tile returns counts and a spanning forest of its
+    No link is lost: every list that can hold one is probed, and the lookup distance is compared with the threshold less
+    what its codes leave out. Lists are gathered in zones, a zone is cut into tiles of bounded size; a tile returns counts and a spanning forest of its
     links, never all pairs.
     """
     vec = F.col(embedding).cast("array<double>")
@@ -219,7 +247,7 @@ def linked_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "em
                       "representatives")
     found = None
     for (dim,) in classes.select(F.size("vec")).distinct().collect():
-        part = _links_of(classes.filter(F.size("vec") == dim), dim, cosine, probes, sample)
+        part = _links_of(classes.filter(F.size("vec") == dim), dim, cosine, sample)
         found = part if found is None else found.union(part)
     if found is None:
         found = classes.select("id", F.lit(0).cast("bigint").alias("links"), F.col("id").alias("root")).limit(0)

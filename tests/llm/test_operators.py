@@ -374,6 +374,23 @@ def test_links_match_brute_force(spark):
     assert pq_dedup.linked_vectors(df.limit(0)).count() == 0
 
 
+def test_a_dense_group_keeps_every_link(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=64)
+    dense = centre + rng.normal(size=(1500, 64)) * 0.25 * np.linalg.norm(centre) / 8
+    other = rng.normal(size=(300, 64))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([dense, other]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    v = pq_dedup.unit(np.concatenate([dense, other]))
+    links = v @ v.T >= 0.93
+    np.fill_diagonal(links, False)
+    assert links.sum() > 100_000
+    a, b = np.nonzero(links)
+    root = pq_dedup.roots(len(v), a, b)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pq_dedup.linked_vectors(df).collect()}
+    assert got == {i: (links[i].sum(), root[i]) for i in range(len(v))}
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 def brute_targets(sizes):
