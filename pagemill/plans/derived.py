@@ -86,7 +86,7 @@ TITLES = """
 SELECT page_id, CASE page_id % 7 WHEN 1 THEN t || ' | Docs' WHEN 2 THEN t || ' - Guide - Example Site'
   WHEN 3 THEN 'API: ' || t WHEN 4 THEN 'A' || ' · ' || t WHEN 5 THEN t || ' — ' || t
   WHEN 6 THEN 'real-time systems' ELSE t END AS title
-FROM (SELECT page_id, substr(split_part(split_part(html, '<h1>', 2), '</h1>', 1), 1, 30) AS t FROM {pages}) s"""
+FROM (SELECT page_id, split_part(split_part(html, '<h1>', 2), '</h1>', 1) AS t FROM {pages}) s"""
 
 # Articles closed by one block of every kind; the texts come from the page.
 RICH_PAGES = """

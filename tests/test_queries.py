@@ -49,3 +49,16 @@ def test_plans(spark):
     # dedupe is a partial and a final hash aggregate around one shuffle
     plan = plan_of(spark, "dedupe_urls")
     assert plan.count("HashAggregate") == 2 and plan.count("Exchange hashpartitioning") == 1
+
+
+def texts_of(spark, name, column):
+    rows = entry_point.queries()[name](spark, SF).select("page_id", column).collect()
+    return {r.page_id: r[column] for r in rows}, {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+
+
+@needs_data
+def test_titles_hold_whole_headings(spark):
+    titles, pages = texts_of(spark, "clean_title", "title")
+    headings = {i: html.split("<h1>")[1].split("</h1>")[0] for i, html in pages.items()}
+    assert any(len(h) > 30 for h in headings.values())
+    assert all(headings[i] in t for i, t in titles.items() if i % 7 != 6)
