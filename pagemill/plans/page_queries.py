@@ -93,9 +93,15 @@ def spa_pages(spark, sf):
     return d.derive(spark, sf, d.HEAD_PAGES).filter(platforms.is_shell(F.col("html"))).select("page_id", "url")
 
 
+# The whole text of a page's article; the driver's articles hold these tags and entities.
+_ARTICLE_TEXT = "split_part(split_part(html, '<article>', 2), '</article>', 1)"
+for _mark, _text in (("<h1>", "''"), ("</h1>", "chr(10)"), ("<p>", "chr(10)"), ("</p>", "''"), ("<br>", "chr(10)"), ("<b>", "''"),
+                     ("&quot;", "'\"'"), ("&amp;", "'&'")):
+    _ARTICLE_TEXT = f"replace({_ARTICLE_TEXT}, '{_mark}', {_text})"
+
 # Every third page is served as the plain text of its article.
-_BODIES = """SELECT page_id, url, status, fetched_at, CASE page_id % 3
-  WHEN 1 THEN '  ' || split_part(split_part(html, '<h1>', 2), '</h1>', 1) || chr(10)
+_BODIES = f"""SELECT page_id, url, status, fetched_at, CASE page_id % 3
+  WHEN 1 THEN '  ' || {_ARTICLE_TEXT} || chr(10)
   WHEN 2 THEN CASE WHEN page_id % 5 = 0 THEN '<html><div id="app"></div></html>' ELSE html END
   ELSE html END AS html FROM (""" + d.RESOURCES + ") r"
 _SQL_IS_HTML = "regexp_matches(lower(left(html, 512)), '<html|<!doctype|<head')"

@@ -1,4 +1,6 @@
+import html
 import os
+import re
 
 import pytest
 
@@ -53,12 +55,25 @@ def test_plans(spark):
 
 def texts_of(spark, name, column):
     rows = entry_point.queries()[name](spark, SF).select("page_id", column).collect()
-    return {r.page_id: r[column] for r in rows}, {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    return {r.page_id: r[column] for r in rows}, {r.page_id: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
 
 
 @needs_data
 def test_titles_hold_whole_headings(spark):
     titles, pages = texts_of(spark, "clean_title", "title")
-    headings = {i: html.split("<h1>")[1].split("</h1>")[0] for i, html in pages.items()}
+    headings = {i: page.split("<h1>")[1].split("</h1>")[0] for i, page in pages.items()}
     assert any(len(h) > 30 for h in headings.values())
     assert all(headings[i] in t for i, t in titles.items() if i % 7 != 6)
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["page_kind", "page_outcome"])
+def test_plain_pages_hold_whole_articles(spark, name):
+    texts, pages = texts_of(spark, name, "markdown")
+    failed = {3, 7} if name == "page_outcome" else set()
+    plain = [i for i in pages if i % 3 == 1 and i % 10 not in failed]
+    assert plain
+    for i in plain:
+        article = pages[i].split("<article>")[1].split("</article>")[0]
+        words = html.unescape(re.sub("<[^>]*>", " ", article)).split()
+        assert "".join(texts[i].split()) == "".join(words)
