@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..functions.urls import resolve_url
 from ..session import small_side, written
 from .common import ascii_lower, components
@@ -45,21 +46,22 @@ def canonical_form(url: Column) -> Column:
     return F.when(url.contains("://"), form)
 
 
-def stated_target(html: Column, url: Column) -> Column:
-    """Absolute URL a page names as its own: a refresh redirect, else its canonical link; null if none."""
-    refresh = F.regexp_extract(html, r"""(?is)<meta\s[^>]*http-equiv\s*=\s*["']?refresh\b[^>]*?url\s*=\s*["']?([^"'\s>]+)""", 1)
-    link = F.regexp_extract(html, r"""(?is)<link\s[^>]*?\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    link = F.when(link == "", F.regexp_extract(html, r"""(?is)<link\s[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)).otherwise(link)
-    link = F.regexp_extract(link, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
+def stated_targets(html: Column) -> Column:
+    """What a page names as its own URLs, as it stands there: every refresh redirect and every canonical link."""
     some = F.lower(html).contains("refresh") | F.lower(html).contains("canonical")
-    target = F.when(some, F.coalesce(F.nullif(refresh, F.lit("")), F.nullif(link, F.lit(""))))
-    return F.when(target.isNotNull() & (target != ""), resolve_url(url, target))
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:meta|link)\s[^>]*>"), F.lit(0))
+    refresh = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?is)^<meta\s.*\bhttp-equiv\s*=\s*["']?refresh\b""")), lambda t: F.regexp_extract(
+        t, r"""(?is)(?<![\w-])content\s*=.*?(?<![\w-])url\s*=\s*["']?([^"'\s>]+)""", 1))
+    link = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?is)^<link\s.*\brel\s*=\s*["']?canonical\b""")), lambda t: F.regexp_extract(
+        t, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
+    return F.when(some, F.array_distinct(F.filter(F.concat(refresh, link), lambda t: t != "")))
 
 
 def url_edges(pages: DataFrame) -> DataFrame:
-    """``(url, target)`` of pages that redirect or state a canonical URL."""
+    """``(url, target)`` of pages that redirect or state a canonical URL, a row for each absolute target."""
     return (pages.filter(F.col("url").isNotNull() & F.col("html").isNotNull())
-            .select("url", stated_target(F.col("html"), F.col("url")).alias("target")).filter("target is not null"))
+            .select("url", F.explode(once(stated_targets(F.col("html")))).alias("_stated"))
+            .select("url", resolve_url(F.col("url"), F.col("_stated")).alias("target")).filter("target is not null"))
 
 
 def judge_urls(urls: DataFrame, edges: DataFrame, rules=RULES, key: str = "page_id") -> DataFrame:
