@@ -90,7 +90,7 @@ def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     reach = F.sequence(F.floor(F.greatest(F.col("start") - scope, F.lit(0)) / width), F.floor((F.col("end") + scope) / width))
     wide = parts.filter("weak").withColumn("_block", F.explode(reach))
     near = parts.select("_row", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("role").alias("_role"),
-                        F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("_block"))
+                        F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_block"))
     met = wide.join(near, ["_row", "_block"]).filter(
         (F.col("role") != F.col("_role")) & (F.col("_s") <= F.col("end") + scope) & (F.col("start") <= F.col("_e") + scope))
     by_part = met.groupBy("_row", "start", "kind", "end", "role").agg(

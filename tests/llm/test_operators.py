@@ -145,6 +145,13 @@ def test_weak_parts_need_their_complement(spark):
     assert got == {0: ["endpoint", "ident", "key"], 1: [], 2: [], 3: [], 4: [], 5: ["ident", "key"]}
 
 
+def test_parts_meet_at_the_limit_of_the_scope(spark):
+    rows = [(n, n + 370, 0, n + 400, "secret", False) for n in range(400)] + [(n, n + 600, 3, n + 610, "identifier", True) for n in range(400)]
+    rows += [(n + 400, n + 370, 0, n + 400, "secret", False) for n in range(400)] + [(n + 400, n + 601, 3, n + 611, "identifier", True) for n in range(400)]
+    parts = spark.createDataFrame(rows, "_row long, start int, kind int, end int, role string, weak boolean")
+    assert sorted(r._row for r in secret_links.linked_parts(parts).collect()) == list(range(400))
+
+
 def test_exclusive_sums_over_blocks(spark):
     row = spark.range(1).select(secret_links.exclusive_sums(F.sequence(F.lit(0).cast("int"), F.lit(999).cast("int"))).alias("s")).head()
     assert row.s == [sum(range(i)) for i in range(1000)]
