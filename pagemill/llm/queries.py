@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import (bayes_dedup, lattice_sampling, length_histogram, order_minhash, pq_dedup, secret_links, site_lines,
-               subword_classifier, url_aliases, weighted_mix)
+from . import (ball_tree, bayes_dedup, lattice_sampling, length_histogram, order_minhash, pq_dedup, secret_links, site_lines,
+               subword_classifier, turn_repair, url_aliases, weighted_mix)
 from .common import table
 
 
@@ -76,8 +76,17 @@ def op10_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_mix.mix_sources(table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op12_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations")), copy="_copy", dropped="_dropped")
+
+
 _QUERIES = (op1_url_aliases, op2_secret_links, op3_order_minhash, op4_length_histogram, op5_subword_classifier,
-            op6_lattice_sampling, op7_bayes_dedup, op8_site_lines, op9_pq_dedup, op10_weighted_mix)
+            op6_lattice_sampling, op7_bayes_dedup, op8_site_lines, op9_pq_dedup, op10_weighted_mix, op12_ball_tree,
+            op13_turn_repair)
 
 # The tables' pages name no redirects and no canonical links, so only URL forms make aliases here.
 _ORACLE_1 = """
@@ -120,6 +129,22 @@ reach AS (SELECT vec_id AS v, vec_id AS r FROM embeddings UNION SELECT link.b, r
 SELECT v AS vec_id, (SELECT count(*) FROM link WHERE a = v) AS n_links, min(r) AS component_id, min(r) = v AS kept
 FROM reach GROUP BY v"""
 
+_ORACLE_12 = r"""
+WITH term(t) AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+d AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, (SELECT t FROM term))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                               'abcdefghijklmnopqrstuvwxyz') AS term FROM documents),
+q AS (SELECT item_id, translate(unnest(regexp_extract_all(text, (SELECT t FROM term))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                'abcdefghijklmnopqrstuvwxyz') AS term FROM benchmark),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM n),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s GROUP BY term, docs),
+v AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // l))) AS v
+      FROM tf JOIN n USING (doc_id) JOIN w USING (term), s),
+r AS (SELECT item_id, doc_id, sum(v)::BIGINT AS score FROM q JOIN v USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 20"""
+
 
 def _tuned(fn: Callable) -> Callable:
     @wraps(fn)
@@ -133,4 +158,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_aliases": _ORACLE_1, "op8_site_lines": _ORACLE_8, "op9_pq_dedup": _ORACLE_9}
+    return {"op1_url_aliases": _ORACLE_1, "op8_site_lines": _ORACLE_8, "op9_pq_dedup": _ORACLE_9,
+            "op12_ball_tree": _ORACLE_12}
