@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 from . import (ball_tree, bayes_dedup, lattice_sampling, length_histogram, order_minhash, pq_dedup, secret_links, site_lines,
-               subword_classifier, turn_repair, url_aliases, weighted_mix)
+               subword_classifier, suffix_dedup, turn_repair, url_aliases, weighted_mix)
 from .common import table
 
 
@@ -76,6 +76,13 @@ def op10_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_mix.mix_sources(table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = lambda s: s["end"] - s["start"]
+    return suffix_dedup.drop_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + size(s)).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -85,8 +92,8 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (op1_url_aliases, op2_secret_links, op3_order_minhash, op4_length_histogram, op5_subword_classifier,
-            op6_lattice_sampling, op7_bayes_dedup, op8_site_lines, op9_pq_dedup, op10_weighted_mix, op12_ball_tree,
-            op13_turn_repair)
+            op6_lattice_sampling, op7_bayes_dedup, op8_site_lines, op9_pq_dedup, op10_weighted_mix, op11_suffix_dedup,
+            op12_ball_tree, op13_turn_repair)
 
 # The tables' pages name no redirects and no canonical links, so only URL forms make aliases here.
 _ORACLE_1 = """
@@ -129,6 +136,25 @@ reach AS (SELECT vec_id AS v, vec_id AS r FROM embeddings UNION SELECT link.b, r
 SELECT v AS vec_id, (SELECT count(*) FROM link WHERE a = v) AS n_links, min(r) AS component_id, min(r) = v AS kept
 FROM reach GROUP BY v"""
 
+_ORACLE_11 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+block AS (SELECT doc_id, at, substr(h, 2 * at + 1, 298) AS h
+          FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 100)) AS at FROM d WHERE length(h) >= 100)),
+w AS MATERIALIZED (SELECT doc_id, at + p AS p, substr(h, 2 * p + 1, 100) AS s
+      FROM (SELECT doc_id, at, h, unnest(range(least(100, length(h) // 2 - 49))) AS p FROM block)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+hit AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE doc_id > m),
+island AS (SELECT doc_id, p, sum(CASE WHEN p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS i
+           FROM (SELECT doc_id, p, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), p) AS q FROM hit)),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM island GROUP BY doc_id, i),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM span),
+kept AS (SELECT doc_id, count(*) AS n, sum(b - a)::BIGINT AS r, max(b) AS z,
+                string_agg(substr(h, (2 * e + 1)::BIGINT, (2 * (a - e))::BIGINT), '' ORDER BY a) AS k
+         FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(coalesce(k || substr(h, 2 * z + 1), h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
 _ORACLE_12 = r"""
 WITH term(t) AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
 d AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, (SELECT t FROM term))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -159,4 +185,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_url_aliases": _ORACLE_1, "op8_site_lines": _ORACLE_8, "op9_pq_dedup": _ORACLE_9,
-            "op12_ball_tree": _ORACLE_12}
+            "op11_suffix_dedup": _ORACLE_11, "op12_ball_tree": _ORACLE_12}
