@@ -138,10 +138,10 @@ FROM reach GROUP BY v"""
 
 _ORACLE_11 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-block AS (SELECT doc_id, at, substr(h, 2 * at + 1, 298) AS h
-          FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 100)) AS at FROM d WHERE length(h) >= 100)),
-w AS MATERIALIZED (SELECT doc_id, at + p AS p, substr(h, 2 * p + 1, 100) AS s
-      FROM (SELECT doc_id, at, h, unnest(range(least(100, length(h) // 2 - 49))) AS p FROM block)),
+block AS (SELECT doc_id, o, substr(h, 2 * o + 1, 298) AS h
+          FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 100)) AS o FROM d WHERE length(h) >= 100)),
+w AS MATERIALIZED (SELECT doc_id, o + p AS p, substr(h, 2 * p + 1, 100) AS s
+      FROM (SELECT doc_id, o, h, unnest(range(least(100, length(h) // 2 - 49))) AS p FROM block)),
 f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
 hit AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE doc_id > m),
 island AS (SELECT doc_id, p, sum(CASE WHEN p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS i
