@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +34,16 @@ WIDTH = 50
 # Fixed by the recursion on triples: a name of three levels, and the sampled suffixes' prefix that leaves shifts 0 to 2 room.
 GRAM, PREFIX = 27, WIDTH - 2
 # Texts are worked on in batches of about so many bytes; longer ones are cut, with the overlap that windows need.
-BATCH = 1 << 21
+BATCH = 1 << 20
 # A range of names holds what comes of about so many bytes of text.
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 8 << 20
+
+# Not a place: a text with this mark holds some of its strings several times, and has asked for them once.
+AGAIN = (1 << 32) - 1
 
 _SEEN = np.dtype([("lo", "<u4"), ("hi", "u1")])
 _SPAN = np.dtype([("at", "<u4"), ("to", "<u4")])
-_RUN = np.dtype([("a", "<u8"), ("b", "<u4"), ("at", "<u4"), ("to", "<u4")])
+_RUN = np.dtype([("a", "<u8"), ("b", "<u4"), ("at", "<u4"), ("size", "u1")])
 _SUFFIX = np.dtype([("a", "<u8"), ("b", "<u4"), ("context", "<u4"), ("valid", "u1"), ("at", "<u4")])
 # What is known of one text: its id, a hash that parts texts of one id, and records.
 _EXCHANGED = "part int, told boolean, ids binary, hashes binary, counts binary, records binary"
@@ -69,11 +73,23 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def grams(data: np.ndarray, seed: int = 0) -> np.ndarray:
+def nines(data: np.ndarray) -> np.ndarray:
+    """The name of the 9 bytes at every position: three triples of bytes."""
+    bytes_ = data.astype(np.uint32)
+    triples = bytes_[:-2] << np.uint32(16)
+    triples |= bytes_[1:-1] << np.uint32(8)
+    triples |= bytes_[2:]
+    return _triple(triples.astype(np.uint64), 3, 11)
+
+
+def grams(data: np.ndarray) -> np.ndarray:
     """The name of the 27 bytes at every position, by three levels of triples."""
-    bytes_ = data.astype(np.uint64)
-    triples = bytes_[:-2] << np.uint64(16) | bytes_[1:-1] << np.uint64(8) | bytes_[2:]
-    return _triple(_triple(triples, 3, 11 + seed), 9, 13 + seed)
+    return _triple(nines(data), 9, 13)
+
+
+def prints(names: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """One name for the bytes that the names at ``at`` and ``to`` cover together."""
+    return _pair(names[at], names[to])
 
 
 def least_grams(names: np.ndarray) -> np.ndarray:
@@ -92,17 +108,39 @@ class Pieces:
         self.offset = np.array([p[1] for p in parts], np.int64)
         self.at = np.concatenate([[0], np.cumsum([len(p[2]) for p in parts])]).astype(np.int64)
         self.data = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
-        self.part = np.repeat(np.arange(len(parts)), np.diff(self.at))
 
-    def windows(self) -> np.ndarray:
-        """Places in ``data`` where a window of its part begins."""
-        starts = np.arange(max(len(self.data) - WIDTH + 1, 0))
-        return starts[self.part[starts] == self.part[starts + WIDTH - 1]]
+    def part(self, of: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.at, of, "right") - 1
 
-    def places(self, of: np.ndarray) -> np.ndarray:
+    def places(self, of: np.ndarray, part: np.ndarray) -> np.ndarray:
         """Where these places of ``data`` lie in their texts."""
-        part = self.part[of]
-        return of - self.at[part] + self.offset[part]
+        return of + (self.offset - self.at[:-1])[part]
+
+    def whole(self, length: int) -> np.ndarray:
+        """Whether so many bytes of one part begin at each place where they could."""
+        inside = np.ones(len(self.data), bool)
+        ends = self.at[1:, None] - np.arange(1, length)
+        inside[np.maximum(ends, self.at[:-1, None]).ravel()] = False  # no part is empty
+        return inside[:len(self.data) - length + 1]
+
+    def runs(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(start, size, least name)`` of runs of at most ``WIDTH`` windows, one after another, with one least name.
+
+        Two windows that lie at most ``WIDTH`` apart cover all between them, so the first and the last stand for a run.
+        """
+        least, whole = least_grams(names), self.whole(WIDTH)
+        new = whole.copy()
+        new[1:] &= (least[1:] != least[:-1]) | ~whole[:-1]
+        stop = whole.copy()
+        stop[:-1] &= new[1:] | ~whole[1:]
+        start, last = np.flatnonzero(new), np.flatnonzero(stop)
+        size = last - start + 1
+        if len(size) and size.max() > WIDTH:
+            times = -(-size // WIDTH)
+            turn = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            size = np.minimum(np.repeat(size, times) - turn * WIDTH, WIDTH)
+            start = np.repeat(start, times) + turn * WIDTH
+        return start, size, least[start]
 
 
 def parts_of(texts: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -123,33 +161,65 @@ def parts_of(texts: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, int
         yield held
 
 
-def _runs(windows: np.ndarray, values: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """Where runs begin: windows one after another in one part with one value."""
-    new = np.ones(len(windows), bool)
-    new[1:] = (np.diff(windows) != 1) | (values[1:] != values[:-1]) | (part[windows[1:]] != part[windows[:-1]])
-    return np.flatnonzero(new)
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def _sorted_by(key: np.ndarray) -> np.ndarray:
+    """An order by the high bits of 64, equal ones by place: numbers in one array sort much faster than an argsort."""
+    bits = np.uint64(max(len(key) - 1, 1).bit_length())
+    packed = key >> bits << bits
+    packed |= np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    return (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+def _in_order(part: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """An order by part, then row, then place; all small numbers."""
+    bits = [np.uint64(max(int(x.max()) if len(x) else 0, 1).bit_length()) for x in (row, np.arange(len(part)))]
+    key = part.astype(np.uint64) << bits[0] | row.astype(np.uint64)
+    packed = key << bits[1] | np.arange(len(part), dtype=np.uint64)
+    packed.sort()
+    return (packed & ((np.uint64(1) << bits[1]) - np.uint64(1))).astype(np.int64)
 
 
 # ---- questions that texts put to ranges of names, and answers that come back per text ----
 
+def _packed(records: np.ndarray) -> bytes:
+    """Records byte plane by byte plane, compressed: places and neighbours shrink, names do not."""
+    planes = records.view(np.uint8).reshape(len(records), records.itemsize).T
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, count: int, kind: np.dtype) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, count * kind.itemsize, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, count).T).view(kind).ravel()
+
+
 def _dealt(part: np.ndarray, row: np.ndarray, records: np.ndarray, ids: np.ndarray, hashes: np.ndarray, told: bool) -> list[tuple]:
     """Rows to exchange: per part the records in order of their texts, with the texts and how many each has."""
-    order = np.lexsort((row, part))
+    if not len(part):
+        return []
+    order = _in_order(part, row)
     part, row, records = part[order], row[order], records[order]
+    edges = np.append(np.flatnonzero(_changes(part)), len(part))
     out = []
-    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else []
     for lo, hi in zip(edges[:-1], edges[1:]):
-        first = np.flatnonzero(np.concatenate([[True], row[lo + 1:hi] != row[lo:hi - 1]]))
+        first = np.flatnonzero(_changes(row[lo:hi]))
         who = row[lo:hi][first]
         out.append((int(part[lo]), told, ids[who].tobytes(), hashes[who].tobytes(),
-                    np.diff(np.append(first, hi - lo)).astype("<i4").tobytes(), records[lo:hi].tobytes()))
+                    np.diff(np.append(first, hi - lo)).astype("<i4").tobytes(), _packed(records[lo:hi])))
     return out
 
 
+_COLUMNS = ("part", "told", "ids", "hashes", "counts", "records")
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 4)
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
-                                      names=["part", "told", "ids", "hashes", "counts", "records"])
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=_COLUMNS)
 
 
 def _slot(ids: np.ndarray, hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -165,11 +235,12 @@ def _questions(part: np.ndarray, row: np.ndarray, records: np.ndarray, ids: np.n
                   + _dealt(_slot(ids[known], hashes[known], parts), known, answers, ids, hashes, True))
 
 
-def _held(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Records of exchanged rows, with the id and hash of each one's text."""
-    join = lambda name, k: np.frombuffer(b"".join(table[name].to_pylist()), k)
-    counts = join("counts", "<i4")
-    return np.repeat(join("ids", "<i8"), counts), np.repeat(join("hashes", "<i8"), counts), join("records", kind)
+def _held(rows: list[dict], kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(ids, hashes, counts, records)`` of exchanged rows: texts, records per text, and the records end to end."""
+    ids, hashes, counts = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in
+                           (("ids", "<i8"), ("hashes", "<i8"), ("counts", "<i4")))
+    records = [_unpacked(r["records"], int(np.frombuffer(r["counts"], "<i4").sum()), kind) for r in rows]
+    return ids, hashes, counts, np.concatenate(records)
 
 
 def _answered(asked: DataFrame, kind: np.dtype, reply: np.dtype, decide: Callable, merge: Callable, parts: int) -> DataFrame:
@@ -179,93 +250,90 @@ def _answered(asked: DataFrame, kind: np.dtype, reply: np.dtype, decide: Callabl
     ``merge`` makes the final records of all answers to one text.
     """
     def ranged(table: pa.Table) -> pa.Table:
-        told = table.column("told").to_numpy(zero_copy_only=False).astype(bool)
+        told = table.filter(table.column("told"))  # lies in the slot it goes to
+        open_rows = table.filter(pa.compute.invert(table.column("told"))).to_pylist()
         rows = []
-        ids, hashes, records = _held(table.filter(pa.array(~told)), kind)
-        if len(records):
-            which, answers = decide(ids, records)
-            rows += _gathered(ids[which], hashes[which], answers)
-        ids, hashes, records = _held(table.filter(pa.array(told)), reply)
-        if len(records):
-            rows += _gathered(ids, hashes, records)
-        return pa.Table.from_batches([_batch(rows)])
-
-    def _gathered(ids: np.ndarray, hashes: np.ndarray, answers: np.ndarray) -> list[tuple]:
-        order = np.lexsort((hashes, ids))
-        ids, hashes, answers = ids[order], hashes[order], answers[order]
-        new = np.ones(len(ids), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])
-        row = np.cumsum(new) - 1
-        return _dealt(_slot(ids, hashes, parts), row, answers, ids[new], hashes[new], True)
+        if open_rows:
+            ids, hashes, counts, records = _held(open_rows, kind)
+            del open_rows
+            text = np.repeat(np.arange(len(ids)), counts)
+            which, answers = decide(ids[text], records)
+            rows = _dealt(_slot(ids, hashes, parts)[text[which]], text[which], answers, ids, hashes, True)
+        return pa.concat_tables([told, pa.Table.from_batches([_batch(rows)]).cast(told.schema)])
 
     def gathered(table: pa.Table) -> pa.Table:
-        ids, hashes, records = _held(table, reply)
+        ids, hashes, counts, records = _held(table.to_pylist(), reply)
+        ends = np.cumsum(counts, dtype=np.int64)
         order = np.lexsort((hashes, ids))
-        ids, hashes, records = ids[order], hashes[order], records[order]
-        edges = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])])) if len(ids) else []
-        edges = np.append(edges, len(ids)).astype(np.int64)
-        return pa.table([pa.array(ids[edges[:-1]]), pa.array(hashes[edges[:-1]]),
-                         pa.array([merge(records[lo:hi]).tobytes() for lo, hi in zip(edges[:-1], edges[1:])], pa.binary())],
+        edges = np.append(np.flatnonzero(_changes(ids[order], hashes[order])), len(order))
+        merged = [merge(np.concatenate([records[ends[i] - counts[i]:ends[i]] for i in order[lo:hi]])).tobytes()
+                  for lo, hi in zip(edges[:-1], edges[1:])]
+        first = order[edges[:-1]]
+        return pa.table([pa.array(ids[first]), pa.array(hashes[first]), pa.array(merged, pa.binary())],
                         names=["_id", "_hash", "_records"])
 
     replies = asked.groupBy("part").applyInArrow(ranged, _EXCHANGED)
     return replies.groupBy("part").applyInArrow(gathered, _FOUND)
 
 
+def _range(names: np.ndarray, parts: int) -> np.ndarray:
+    """The range a name lies in, of ranges of equal width."""
+    return ((names >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
 def _first_ids(order: np.ndarray, new: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Per sorted record the id of its group's first record."""
-    return ids[order][new][np.cumsum(new) - 1]
+    """Per sorted record the smallest id of its group."""
+    return np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
 
 
-def _changes(*keys: np.ndarray) -> np.ndarray:
-    new = np.ones(len(keys[0]), bool)
-    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return new
+def _groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(order, new)`` of records by name."""
+    order = np.argsort(a)
+    if ((a[order][1:] == a[order][:-1]) & (b[order][1:] != b[order][:-1])).any():
+        order = np.lexsort((b, a))
+    return order, _changes(a[order], b[order])
 
 
 def _in_several(ids: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least names that stand in more than one document."""
     key = records["hi"].astype(np.uint64) << np.uint64(32) | records["lo"]
-    order = np.lexsort((ids, key))
+    order = np.argsort(key)
     new = _changes(key[order])
-    last = np.append(np.flatnonzero(new)[1:], len(key)) - 1
-    several = ids[order][new] != ids[order][last]
+    heads = np.flatnonzero(new)
+    several = np.minimum.reduceat(ids[order], heads) != np.maximum.reduceat(ids[order], heads)
     which = order[several[np.cumsum(new) - 1]]
     return which, records[which]
 
 
 def _earlier_runs(ids: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs that a document with a smaller id holds too."""
-    a, b = records["a"], records["b"]
-    order = np.lexsort((ids, b, a))
-    new = _changes(a[order], b[order])
+    order, new = _groups(records["a"], records["b"])
     which = order[ids[order] > _first_ids(order, new, ids)]
-    return which, _spans(records["at"][which], records["to"][which])
+    return which, _spans(records["at"][which], records["at"][which] + records["size"][which] - np.uint32(1))
 
 
 def _earlier_windows(ids: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows at shift 0, 1 and 2 of sorted suffixes that a document with a smaller id holds too."""
-    order = np.argsort(records["a"], kind="stable")
-    new = _changes(records["a"][order])
-    group = np.cumsum(new) - 1
+    order, new = _groups(records["a"], records["b"])
     heads = np.flatnonzero(new)
-    alone = (np.minimum.reduceat(ids[order], heads) == np.maximum.reduceat(ids[order], heads))[group]
-    order = order[~alone]  # a suffix that no other document shares is done
-    found, places = [], []
+    shared = np.minimum.reduceat(ids[order], heads) != np.maximum.reduceat(ids[order], heads)
+    group = np.cumsum(new) - 1
+    kept = shared[group]  # a suffix that no other document shares is done
+    order, group = order[kept], group[kept].astype(np.uint64)
+    valid, context, at, ids = records["valid"][order], records["context"][order], records["at"][order], ids[order]
+    found, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
     for shift in range(3):
-        rows = order[(records["valid"][order] >> shift & 1).astype(bool)]
+        rows = np.flatnonzero(valid >> shift & 1)
         if not len(rows):
             continue
-        a, b = records["a"][rows], records["b"][rows]
-        beside = records["context"][rows] >> np.uint32(8 * shift) & np.uint32(0xFFFF)
-        inner = np.lexsort((ids[rows], beside, b, a))
-        new = _changes(a[inner], b[inner], beside[inner])
-        which = rows[inner[ids[rows][inner] > _first_ids(inner, new, ids[rows])]]
-        found.append(which)
-        places.append(records["at"][which] - np.uint32(shift))
-    which = np.concatenate(found) if found else np.zeros(0, np.int64)
-    place = np.concatenate(places) if places else np.zeros(0, np.uint32)
-    return which, _spans(place, place)
+        key = group[rows] << np.uint64(16) | (context[rows] >> np.uint32(8 * shift) & np.uint32(0xFFFF))
+        inner = np.argsort(key)
+        later = ids[rows[inner]] > _first_ids(inner, _changes(key[inner]), ids[rows])
+        which = rows[inner[later]]
+        found.append(order[which])
+        places.append(at[which] - np.uint32(shift))
+    place = np.concatenate(places)
+    return np.concatenate(found), _spans(place, place)
 
 
 def _spans(at: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -275,11 +343,11 @@ def _spans(at: np.ndarray, to: np.ndarray) -> np.ndarray:
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
-    """Spans of windows in order, those that meet as one."""
+    """Spans of windows in order, those that meet as one; ``AGAIN`` stays apart, last."""
     spans = spans[np.argsort(spans["at"], kind="stable")]
     until = np.maximum.accumulate(spans["to"].astype(np.int64))
     new = np.ones(len(spans), bool)
-    new[1:] = spans["at"][1:] > until[:-1] + 1
+    new[1:] = (spans["at"][1:] > until[:-1] + 1) | ((spans["at"][1:] == AGAIN) & (until[:-1] != AGAIN))
     heads = np.flatnonzero(new)
     return _spans(spans["at"][heads], until[np.append(heads[1:], len(spans)) - 1])
 
@@ -290,57 +358,69 @@ def _distinct(records: np.ndarray) -> np.ndarray:
 
 # ---- the passes over texts ----
 
-def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Ids, hashes, and the third column as bytes."""
-    return (np.asarray(batch.column(0)).astype(np.int64), np.asarray(batch.column(1)).astype(np.int64),
-            batch.column(2).cast(pa.binary()))
+def _rebatched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches put together up to ``BATCH`` bytes, so that more of what repeats is met in one, in order of (id, hash)."""
+    held: list[pa.RecordBatch] = []
 
+    def together() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        held.clear()
+        if table.num_rows:
+            yield table.sort_by([("_id", "ascending"), ("_hash", "ascending")]).combine_chunks().to_batches()[0]
 
-def _rebatched(batches: Iterator[pa.RecordBatch], size: int = BATCH) -> Iterator[pa.RecordBatch]:
-    """Small batches put together up to ``size`` bytes, so that more of what repeats is met in one."""
-    held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.nbytes for b in held) >= size:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
-    if held and sum(b.num_rows for b in held):
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        if sum(b.nbytes for b in held) >= BATCH:
+            yield from together()
+    if held:
+        yield from together()
+
+
+def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(batch.column(0)).astype(np.int64), np.asarray(batch.column(1)).astype(np.int64)
+
 
+def _bodies(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+    return ((i, t.as_py()) for i, t in enumerate(batch.column(2)))
 
-def _leaving(ids: np.ndarray, order: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Of sorted records (by key, then id): those whose document is not the first of its key."""
-    return ids[order] > _first_ids(order, new, ids)
+
+def _first_and_later(order: np.ndarray, new: np.ndarray, row: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of records in order of key, then text: those to ask for, those whose document comes after their key's first, and
+    those that repeat a record of their own text."""
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = ids[row[order]] > ids[row[order[head]]]
+    again = ~new & ~_changes(row[order])
+    return order[~later & ~again], order[later], order[~later & again]
 
 
 def _ask_names(parts: int):
     """First pass: the least names of each text, those of one batch once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _rebatched(batches):
-            ids, hashes, texts = _texts(batch)
-            for group in parts_of((i, t.as_py() or b"") for i, t in enumerate(texts)):
+            ids, hashes = _keys(batch)
+            for group in parts_of(_bodies(batch)):
                 pieces = Pieces(group)
-                windows = pieces.windows()
-                least = least_grams(grams(pieces.data))[windows]
-                heads = _runs(windows, least, pieces.part)
-                name, row = least[heads], pieces.row[pieces.part[windows[heads]]]
-                order = np.lexsort((row, ids[row], name))
+                start, _, name = pieces.runs(grams(pieces.data))
+                row = pieces.row[pieces.part(start)]
+                name = name >> np.uint64(24) << np.uint64(24)
+                order = _sorted_by(name)
                 order = order[_changes(name[order], row[order])]
                 name, row = name[order], row[order]
                 new = _changes(name)
                 records = np.empty(len(name), _SEEN)
                 records["lo"], records["hi"] = name >> np.uint64(24) & np.uint64(0xFFFFFFFF), name >> np.uint64(56)
                 # in two documents of this batch: known to all of them, and asked for others by the first
-                of = ids[row]
-                last = np.append(np.flatnonzero(new)[1:], len(name)) - 1
-                known = (of[new] != of[last])[np.cumsum(new) - 1]
-                yield _questions((name[new] % np.uint64(parts)).astype(np.int64), row[new], records[new], ids, hashes,
-                                 (row[known], records[known]), parts)
+                head = np.flatnonzero(new)
+                last = np.append(head[1:], len(name)) - 1
+                known = (ids[row[head]] != ids[row[last]])[np.cumsum(new) - 1]
+                yield _questions(_range(name[new], parts), row[new], records[new], ids, hashes, (row[known], records[known]), parts)
 
     return run
 
 
 _CANDIDATES = "_id bigint, _hash bigint, _bytes binary, _starts binary, _sizes binary"
+# Candidates are looked up in a table of bits: one that is hit by chance costs work and changes nothing.
+_TABLE_BITS = 23
 
 
 def _cut_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,38 +428,34 @@ def _cut_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     Cut from parts of texts, so two may overlap or meet; windows and suffixes in both are asked for twice, which changes nothing.
     """
+    mask = np.uint64((1 << _TABLE_BITS) - 1)
     for batch in _rebatched(batches):
-        ids, hashes, texts = _texts(batch)
+        ids, hashes = _keys(batch)
         known = [np.frombuffer(r.as_py(), _SEEN) for r in batch.column(3)]
-        for group in parts_of((i, t.as_py() or b"") for i, t in enumerate(texts)):
+        for group in parts_of(_bodies(batch)):
             pieces = Pieces(group)
-            windows = pieces.windows()
-            least = least_grams(grams(pieces.data))[windows]
-            heads = _runs(windows, least, pieces.part)
-            name, row = least[heads] >> np.uint64(24), pieces.row[pieces.part[windows[heads]]]
-            # per text its known names are few; one sorted array of (text, name) finds them all
+            start, size, name = pieces.runs(grams(pieces.data))
+            part = pieces.part(start)
             used = np.unique(pieces.row)
-            sizes = [len(known[r]) for r in used]
             flat = np.concatenate([known[r] for r in used])
-            of = np.repeat(used, sizes).astype(np.uint64)
-            wanted = (flat["hi"].astype(np.uint64) << np.uint64(32) | flat["lo"]) ^ of * _M1
-            hit = np.isin(name ^ row.astype(np.uint64) * _M1, wanted)
-            run = np.cumsum(np.bincount(heads, minlength=len(windows)).astype(np.int64)) - 1
-            windows = windows[hit[run]]
-            if not len(windows):
+            wanted = flat["hi"].astype(np.uint64) << np.uint64(32) | flat["lo"]
+            table = np.zeros(1 << _TABLE_BITS, bool)
+            table[_pair(wanted, np.repeat(used, [len(known[r]) for r in used]).astype(np.uint64)) & mask] = True
+            hit = np.flatnonzero(table[_pair(name >> np.uint64(24), pieces.row[part].astype(np.uint64)) & mask])
+            if not len(hit):
                 continue
-            new = _changes(windows - np.arange(len(windows)), pieces.part[windows])
-            first = windows[new]
-            last = windows[np.append(np.flatnonzero(new)[1:], len(windows)) - 1]
-            part = pieces.part[first]
-            start = np.maximum(first - 2, pieces.at[part])
+            first, last, part = start[hit], start[hit] + size[hit] - 1, part[hit]
+            new = np.ones(len(hit), bool)
+            new[1:] = (first[1:] != last[:-1] + 1) | (part[1:] != part[:-1])
+            head = np.flatnonzero(new)
+            first, last, part = first[head], last[np.append(head[1:], len(hit)) - 1], part[head]
+            begin = np.maximum(first - 2, pieces.at[part])
             stop = np.minimum(last + WIDTH + 2, pieces.at[part + 1])
-            row = pieces.row[part]
-            place = pieces.places(start)
-            edges = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]]))
+            row, place = pieces.row[part], pieces.places(begin, part)
+            edges = np.append(np.flatnonzero(_changes(row)), len(row))
             view = pieces.data.tobytes()
-            out = [(b"".join(view[a:b] for a, b in zip(start[lo:hi].tolist(), stop[lo:hi].tolist())), place[lo:hi].astype("<i8").tobytes(),
-                    (stop - start)[lo:hi].astype("<i4").tobytes()) for lo, hi in zip(edges[:-1], edges[1:])]
+            out = [(b"".join(view[a:b] for a, b in zip(begin[lo:hi].tolist(), stop[lo:hi].tolist())), place[lo:hi].astype("<i8").tobytes(),
+                    (stop - begin)[lo:hi].astype("<i4").tobytes()) for lo, hi in zip(edges[:-1], edges[1:])]
             who = row[edges[:-1]]
             yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(hashes[who]),
                                               *(pa.array([o[i] for o in out], pa.binary()) for i in range(3))],
@@ -402,119 +478,126 @@ def _cut_parts(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, bytes]]]:
         yield held
 
 
+def _again(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts that ask once for what they hold several times."""
+    rows = np.unique(rows)
+    mark = np.full(len(rows), AGAIN, np.uint32)
+    return rows, _spans(mark, mark)
+
+
 def _ask_runs(parts: int):
     """Third pass: a fingerprint per run of windows with one least name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _rebatched(batches):
-            ids, hashes = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1))
+            ids, hashes = _keys(batch)
             for group in _cut_parts(batch):
                 pieces = Pieces(group)
-                windows = pieces.windows()
-                names, others = grams(pieces.data), grams(pieces.data, 7)
-                least = least_grams(names)[windows]
-                heads = _runs(windows, least, pieces.part)
-                sizes = np.diff(np.append(heads, len(windows)))
-                turn = np.arange(len(windows)) - np.repeat(heads, sizes)
-                odd = (2 * turn + 1).astype(np.uint64)
-                prints = [_pair(np.add.reduceat(_pair(n[windows], n[windows + WIDTH - GRAM]) * odd, heads), sizes.astype(np.uint64))
-                          for n in (names, others)]
-                row = pieces.row[pieces.part[windows[heads]]]
-                records = np.empty(len(heads), _RUN)
-                records["a"], records["b"] = prints[0], prints[1] >> np.uint64(32)
-                records["at"] = pieces.places(windows[heads])
-                records["to"] = records["at"] + sizes.astype(np.uint32) - 1
-                order = np.lexsort((records["at"], hashes[row], ids[row], records["b"], records["a"]))
-                new = _changes(records["a"][order], records["b"][order])
-                later = _leaving(ids[row], order, new)
-                asked = order[~later & _changes(records["a"][order], records["b"][order], row[order])]
-                yield _questions((records["a"][asked] % np.uint64(parts)).astype(np.int64), row[asked], records[asked], ids, hashes,
-                                 (row[order[later]], _spans(records["at"][order[later]], records["to"][order[later]])), parts)
+                nine = nines(pieces.data)
+                names, others = _triple(nine, 9, 13), _triple(nine, 9, 17)
+                start, size, _ = pieces.runs(names)
+                part, last, beyond = pieces.part(start), start + size - 1, WIDTH - GRAM
+                a, b = (_pair(_pair(prints(n, start, start + beyond), prints(n, last, last + beyond)), size.astype(np.uint64))
+                        for n in (names, others))
+                row = pieces.row[part]
+                records = np.empty(len(start), _RUN)
+                records["a"], records["b"] = a, b >> np.uint64(32)
+                records["at"], records["size"] = pieces.places(start, part), size
+                order = _sorted_by(a)
+                new = _changes(a[order], records["b"][order])
+                asked, later, _ = _first_and_later(order, new, row, ids)  # the last pass asks for what repeats in a text
+                at = records["at"][later]
+                yield _questions(_range(a[asked], parts), row[asked], records[asked], ids, hashes,
+                                 (row[later], _spans(at, at + records["size"][later] - np.uint32(1))), parts)
 
     return run
 
 
+def _open_windows(pieces: Pieces, settled: list[np.ndarray]) -> np.ndarray:
+    """Places where windows begin that no span of their text settles."""
+    is_open = np.zeros(len(pieces.data), bool)
+    whole = pieces.whole(WIDTH)
+    is_open[:len(whole)] = whole
+    for row, lo, offset, upto in zip(pieces.row.tolist(), pieces.at[:-1].tolist(), pieces.offset.tolist(), pieces.at[1:].tolist()):
+        spans = settled[row]
+        if len(spans):
+            upto += offset - lo
+            for at, to in spans[np.searchsorted(spans["to"], offset):np.searchsorted(spans["at"], upto)].tolist():
+                is_open[lo + max(at - offset, 0):lo + min(to + 1, upto) - offset] = False
+    return is_open
+
+
 def _ask_suffixes(parts: int):
     """Fourth pass: sampled suffixes beside windows that are not settled, with two bytes on either side of their prefix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _rebatched(batches):
-            ids, hashes = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1))
+            ids, hashes = _keys(batch)
             settled = [np.frombuffer(r.as_py() or b"", _SPAN) for r in batch.column(5)]
             for group in _cut_parts(batch):
                 pieces = Pieces(group)
                 data, end = pieces.data, len(pieces.data)
-                starts = np.arange(end - PREFIX + 1)
-                place = pieces.places(starts)
-                whole = pieces.part[starts] == pieces.part[starts + PREFIX - 1]
-                # an open window of a part counts for the three suffixes that begin in its first bytes
-                windows = pieces.windows()
-                is_open = np.zeros(end, bool)
-                is_open[windows] = True
-                for part in range(len(pieces.row)):
-                    lo, offset = pieces.at[part], pieces.offset[part]
-                    spans = settled[pieces.row[part]]
-                    upto = pieces.at[part + 1] - lo + offset
-                    a, b = np.searchsorted(spans["to"], offset), np.searchsorted(spans["at"], upto)
-                    for s in spans[a:b].tolist():
-                        is_open[lo + max(s[0] - offset, 0):lo + min(s[1] + 1, upto) - offset] = False
+                is_open = _open_windows(pieces, settled)
                 beside = is_open.copy()
                 beside[1:] |= is_open[:-1]
                 beside[2:] |= is_open[:-2]
-                at = starts[whole & (place % 3 != 0) & beside[:len(starts)]]
+                whole = pieces.whole(PREFIX)
+                at = np.flatnonzero(beside[:len(whole)] & whole)
+                part = pieces.part(at)
+                place = pieces.places(at, part)
+                sampled = place % 3 != 0
+                at, part, place = at[sampled], part[sampled], place[sampled]
                 if not len(at):
                     continue
-                part = pieces.part[at]
                 left, right = at - pieces.at[part], pieces.at[part + 1] - at - PREFIX
-                valid = ((right >= 2) | ((left >= 1) & (right >= 1)) << 1 | (left >= 2) << 2).astype(np.uint8)
-                byte = lambda i, ok: np.where(ok, data[np.clip(i, 0, end - 1)], 0).astype(np.uint32)  # noqa: E731, B023
                 records = np.empty(len(at), _SUFFIX)
-                names, others = grams(data), grams(data, 7)
-                records["a"] = _pair(names[at], names[at + PREFIX - GRAM])
-                records["b"] = _pair(others[at], others[at + PREFIX - GRAM]) >> np.uint64(32)
-                records["context"] = (byte(at - 2, left >= 2) << np.uint32(24) | byte(at - 1, left >= 1) << np.uint32(16)
-                                      | byte(at + PREFIX, right >= 1) << np.uint32(8) | byte(at + PREFIX + 1, right >= 2))
-                records["valid"], records["at"] = valid, place[at]
+                records["valid"] = (right >= 2) | ((left >= 1) & (right >= 1)) << 1 | (left >= 2) << 2
+                records["at"] = place
+                context = np.zeros(len(at), np.uint32)
+                for step, ok, bits in ((-2, left >= 2, 24), (-1, left >= 1, 16), (PREFIX, right >= 1, 8), (PREFIX + 1, right >= 2, 0)):
+                    context |= np.where(ok, data[np.clip(at + step, 0, end - 1)], 0).astype(np.uint32) << np.uint32(bits)
+                records["context"] = context
+                nine = nines(data)
+                a = prints(_triple(nine, 9, 13), at, at + PREFIX - GRAM)
+                records["a"], records["b"] = a, prints(_triple(nine, 9, 17), at, at + PREFIX - GRAM) >> np.uint64(32)
                 row = pieces.row[part]
-                keys = [records[k] for k in ("a", "b", "context", "valid")]
-                order = np.lexsort((records["at"], hashes[row], ids[row], *keys[::-1]))
-                sorted_keys = [k[order] for k in keys]
-                later = _leaving(ids[row], order, _changes(*sorted_keys))
-                asked = order[~later & _changes(*sorted_keys, row[order])]
-                known, answers = [], []
-                for shift in range(3):
-                    which = order[later]
-                    which = which[(records["valid"][which] >> shift & 1).astype(bool)]
-                    known.append(row[which])
-                    answers.append(_spans(records["at"][which] - np.uint32(shift), records["at"][which] - np.uint32(shift)))
-                yield _questions((records["a"][asked] % np.uint64(parts)).astype(np.int64), row[asked], records[asked], ids, hashes,
+                order = _sorted_by(_pair(a, context.astype(np.uint64) | records["valid"].astype(np.uint64) << np.uint64(32)))
+                new = _changes(*(records[k][order] for k in ("a", "b", "context", "valid")))
+                asked, later, again = _first_and_later(order, new, row, ids)
+                known, answers = zip(_again(row[again]), *(
+                    (row[which], _spans(place[which] - shift, place[which] - shift)) for shift, which in
+                    ((shift, later[(records["valid"][later] >> shift & 1).astype(bool)]) for shift in range(3))))
+                yield _questions(_range(a[asked], parts), row[asked], records[asked], ids, hashes,
                                  (np.concatenate(known), np.concatenate(answers)), parts)
 
     return run
 
 
+def _window_names(body: bytes) -> np.ndarray:
+    names = grams(np.frombuffer(body, np.uint8))
+    return _pair(names[:len(body) - WIDTH + 1], names[WIDTH - GRAM:])
+
+
+def with_equals(text: bytes, spans: np.ndarray) -> np.ndarray:
+    """Windows of ``spans`` and all others of the text that equal one of them, in blocks of a long text."""
+    starts = [(begin, min(to + 1, begin + BATCH)) for at, to in spans.tolist() for begin in range(at, to + 1, BATCH)]
+    marked = np.unique(np.concatenate([_window_names(text[a:b + WIDTH - 1]) for a, b in starts]))
+    found = [np.flatnonzero(np.isin(_window_names(text[a:a + BATCH + WIDTH - 1]), marked)) + a
+             for a in range(0, len(text) - WIDTH + 1, BATCH)]
+    place = np.concatenate(found).astype(np.uint32)
+    return _merged(_spans(place, place))
+
+
 def covered(text: bytes, spans: np.ndarray) -> list[tuple[int, int]]:
-    """Byte ranges that the windows of ``spans`` cover, and equal windows of the same text, as maximal (start, end)."""
-    size = len(text)
-    hit = np.zeros(size + 1, np.int32)
-    for start in range(0, size, BATCH):
-        data = np.frombuffer(text[start:start + BATCH + WIDTH - 1], np.uint8)
-        if len(data) < WIDTH:
-            break
-        names = grams(data)
-        window = _pair(names[:len(data) - WIDTH + 1], names[WIDTH - GRAM:])
-        if start == 0:
-            marked = [np.zeros(0, np.uint64)]
-            for at, to in spans.tolist():
-                for begin in range(at, to + 1, BATCH):
-                    body = np.frombuffer(text[begin:min(to + 1, begin + BATCH) + WIDTH - 1], np.uint8)
-                    inner = grams(body)
-                    marked.append(_pair(inner[:len(body) - WIDTH + 1], inner[WIDTH - GRAM:]))
-            marked = np.unique(np.concatenate(marked))
-        found = np.flatnonzero(np.isin(window, marked)) + start
-        np.add.at(hit, found, 1)
-        np.add.at(hit, found + WIDTH, -1)
-    inside = np.concatenate([[False], np.cumsum(hit[:-1]) > 0, [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+    """Byte ranges that the windows of ``spans`` cover, as maximal (start, end)."""
+    if spans["at"][-1] == AGAIN:
+        spans = spans[:-1]
+        spans = with_equals(text, spans) if len(spans) else spans
+    out: list[tuple[int, int]] = []
+    for at, to in spans.tolist():
+        if out and at <= out[-1][1]:
+            out[-1] = (out[-1][0], to + WIDTH)
+        else:
+            out.append((at, to + WIDTH))
+    return out
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -522,9 +605,9 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         width = batch.num_columns - 2
         spans, kept = [], []
-        for text, marks in zip(batch.column(width).cast(pa.binary()), batch.column(width + 1)):
+        for text, marks in zip(batch.column(width), batch.column(width + 1)):
             text, marks = text.as_py() or b"", marks.as_py()
-            cut = covered(text, np.frombuffer(marks, _SPAN)) if marks else []
+            cut = covered(text, _merged(np.frombuffer(marks, _SPAN))) if marks else []
             spans.append(cut)
             at, left = 0, []
             for start, end in cut:
