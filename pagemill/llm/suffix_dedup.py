@@ -11,8 +11,8 @@ two positions one of the shifts 0, 1, 2 brings both into it. So it is enough to
 * **Merge.** A suffix that is not sampled lies one or two bytes before one that is. Each sampled suffix brings the two
   bytes before and the two behind its 48; neighbours agree on the ``WIDTH`` bytes at shift 0, 1 or 2 where these do.
 
-Three things keep the sorted suffixes few. Windows are sampled by the least name of 27 bytes inside them, and only those whose
-least name stands in two documents go on (equal windows have equal least names, so none is lost). Runs of windows with one least
+Three things keep the sorted suffixes few. Windows are sampled by the least name of 27, then of 41 bytes inside them, and only
+those whose least name stands in two documents go on (equal windows have equal least names, so none is lost). Runs of windows with one least
 name that an earlier document holds whole are settled by one fingerprint for all of the run. And what one batch of texts holds
 several times leaves it once.
 """
@@ -33,6 +33,8 @@ from .common import text_of
 WIDTH = 50
 # Fixed by the recursion on triples: a name of three levels, and the sampled suffixes' prefix that leaves shifts 0 to 2 room.
 GRAM, PREFIX = 27, WIDTH - 2
+# A second look at what is left takes longer names, which fewer windows share by chance or by a part of themselves.
+LONG_GRAM = 41
 # Texts are worked on in batches of about so many bytes; longer ones are cut, with the overlap that windows need.
 BATCH = 1 << 20
 # A range of names holds what comes of about so many bytes of text.
@@ -49,19 +51,24 @@ _SUFFIX = np.dtype([("a", "<u8"), ("b", "<u4"), ("context", "<u4"), ("valid", "u
 _EXCHANGED = "part int, told boolean, ids binary, hashes binary, counts binary, records binary"
 _FOUND = "_id bigint, _hash bigint, _records binary"
 
+_BLOCK = 1 << 15
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 def _triple(x: np.ndarray, step: int, seed: int) -> np.ndarray:
-    """Names of three equal parts that lie ``step`` apart."""
-    out = (x[:len(x) - 2 * step] ^ np.uint64(seed)) * _M1
-    out ^= out >> np.uint64(29)
-    out ^= x[step:len(x) - step]
-    out *= _M2
-    out ^= out >> np.uint64(31)
-    out ^= x[2 * step:]
-    out *= _M3
-    out ^= out >> np.uint64(30)
+    """Names of three equal parts that lie ``step`` apart; in blocks that fit a core's cache."""
+    size = len(x) - 2 * step
+    out, spare = np.empty(size, np.uint64), np.empty(min(size, _BLOCK), np.uint64)
+    for lo in range(0, size, _BLOCK):
+        hi = min(lo + _BLOCK, size)
+        part, shifted = out[lo:hi], spare[:hi - lo]
+        np.bitwise_xor(x[lo:hi], np.uint64(seed), out=part)
+        for factor, shift, beyond in ((_M1, 29, step), (_M2, 31, 2 * step), (_M3, 30, 0)):
+            part *= factor
+            np.right_shift(part, np.uint64(shift), out=shifted)
+            part ^= shifted
+            if beyond:
+                part ^= x[lo + beyond:hi + beyond]
     return out
 
 
@@ -92,12 +99,23 @@ def prints(names: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
     return _pair(names[at], names[to])
 
 
-def least_grams(names: np.ndarray) -> np.ndarray:
+def long_grams(data: np.ndarray) -> np.ndarray:
+    """The name of the 41 bytes at every position: two overlapping names of 27."""
+    names = grams(data)
+    return _pair(names[:len(names) - (LONG_GRAM - GRAM)], names[LONG_GRAM - GRAM:])
+
+
+def least_grams(names: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """The least name inside the window at every position."""
-    least, held, inside = names, 1, WIDTH - GRAM + 1
-    while 2 * held <= inside:
-        least, held = np.minimum(least[:-held], least[held:]), 2 * held
-    return np.minimum(least[:len(least) - (inside - held)], least[inside - held:])
+    inside = WIDTH - gram + 1
+    out = np.empty(len(names) - inside + 1, np.uint64)
+    for lo in range(0, len(out), _BLOCK):
+        hi, held = min(lo + _BLOCK, len(out)), 1
+        least = names[lo:hi + inside - 1]
+        while 2 * held <= inside:
+            least, held = np.minimum(least[:-held], least[held:]), 2 * held
+        np.minimum(least[:hi - lo], least[inside - held:inside - held + hi - lo], out=out[lo:hi])
+    return out
 
 
 class Pieces:
@@ -123,12 +141,12 @@ class Pieces:
         inside[np.maximum(ends, self.at[:-1, None]).ravel()] = False  # no part is empty
         return inside[:len(self.data) - length + 1]
 
-    def runs(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def runs(self, names: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(start, size, least name)`` of runs of at most ``WIDTH`` windows, one after another, with one least name.
 
         Two windows that lie at most ``WIDTH`` apart cover all between them, so the first and the last stand for a run.
         """
-        least, whole = least_grams(names), self.whole(WIDTH)
+        least, whole = least_grams(names, gram), self.whole(WIDTH)
         new = whole.copy()
         new[1:] &= (least[1:] != least[:-1]) | ~whole[:-1]
         stop = whole.copy()
@@ -380,10 +398,6 @@ def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(batch.column(0)).astype(np.int64), np.asarray(batch.column(1)).astype(np.int64)
 
 
-def _bodies(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-    return ((i, t.as_py()) for i, t in enumerate(batch.column(2)))
-
-
 def _first_and_later(order: np.ndarray, new: np.ndarray, row: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of records in order of key, then text: those to ask for, those whose document comes after their key's first, and
     those that repeat a record of their own text."""
@@ -393,14 +407,20 @@ def _first_and_later(order: np.ndarray, new: np.ndarray, row: np.ndarray, ids: n
     return order[~later & ~again], order[later], order[~later & again]
 
 
-def _ask_names(parts: int):
-    """First pass: the least names of each text, those of one batch once."""
+def _groups_of(batch: pa.RecordBatch, cut: bool) -> Iterator[list[tuple[int, int, bytes]]]:
+    return _cut_parts(batch) if cut else parts_of((i, t.as_py()) for i, t in enumerate(batch.column(2)))
+
+
+def _ask_names(parts: int, cut: bool):
+    """The least names of each text, those of one batch once: of whole texts, then longer ones of the parts cut of them."""
+    name_of, gram = (long_grams, LONG_GRAM) if cut else (grams, GRAM)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _rebatched(batches):
             ids, hashes = _keys(batch)
-            for group in parts_of(_bodies(batch)):
+            for group in _groups_of(batch, cut):
                 pieces = Pieces(group)
-                start, _, name = pieces.runs(grams(pieces.data))
+                start, _, name = pieces.runs(name_of(pieces.data), gram)
                 row = pieces.row[pieces.part(start)]
                 name = name >> np.uint64(24) << np.uint64(24)
                 order = _sorted_by(name)
@@ -423,43 +443,48 @@ _CANDIDATES = "_id bigint, _hash bigint, _bytes binary, _starts binary, _sizes b
 _TABLE_BITS = 23
 
 
-def _cut_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Second pass: of each text the parts whose windows have a name that stands elsewhere, with two bytes on either side.
+def _cut_candidates(cut: bool):
+    """Of each text the parts whose windows have a least name that stands elsewhere, with two bytes on either side.
 
     Cut from parts of texts, so two may overlap or meet; windows and suffixes in both are asked for twice, which changes nothing.
     """
+    name_of, gram = (long_grams, LONG_GRAM) if cut else (grams, GRAM)
     mask = np.uint64((1 << _TABLE_BITS) - 1)
-    for batch in _rebatched(batches):
-        ids, hashes = _keys(batch)
-        known = [np.frombuffer(r.as_py(), _SEEN) for r in batch.column(3)]
-        for group in parts_of(_bodies(batch)):
-            pieces = Pieces(group)
-            start, size, name = pieces.runs(grams(pieces.data))
-            part = pieces.part(start)
-            used = np.unique(pieces.row)
-            flat = np.concatenate([known[r] for r in used])
-            wanted = flat["hi"].astype(np.uint64) << np.uint64(32) | flat["lo"]
-            table = np.zeros(1 << _TABLE_BITS, bool)
-            table[_pair(wanted, np.repeat(used, [len(known[r]) for r in used]).astype(np.uint64)) & mask] = True
-            hit = np.flatnonzero(table[_pair(name >> np.uint64(24), pieces.row[part].astype(np.uint64)) & mask])
-            if not len(hit):
-                continue
-            first, last, part = start[hit], start[hit] + size[hit] - 1, part[hit]
-            new = np.ones(len(hit), bool)
-            new[1:] = (first[1:] != last[:-1] + 1) | (part[1:] != part[:-1])
-            head = np.flatnonzero(new)
-            first, last, part = first[head], last[np.append(head[1:], len(hit)) - 1], part[head]
-            begin = np.maximum(first - 2, pieces.at[part])
-            stop = np.minimum(last + WIDTH + 2, pieces.at[part + 1])
-            row, place = pieces.row[part], pieces.places(begin, part)
-            edges = np.append(np.flatnonzero(_changes(row)), len(row))
-            view = pieces.data.tobytes()
-            out = [(b"".join(view[a:b] for a, b in zip(begin[lo:hi].tolist(), stop[lo:hi].tolist())), place[lo:hi].astype("<i8").tobytes(),
-                    (stop - begin)[lo:hi].astype("<i4").tobytes()) for lo, hi in zip(edges[:-1], edges[1:])]
-            who = row[edges[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(hashes[who]),
-                                              *(pa.array([o[i] for o in out], pa.binary()) for i in range(3))],
-                                             names=["_id", "_hash", "_bytes", "_starts", "_sizes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _rebatched(batches):
+            ids, hashes = _keys(batch)
+            known = [np.frombuffer(r.as_py(), _SEEN) for r in batch.column(batch.num_columns - 1)]
+            for group in _groups_of(batch, cut):
+                pieces = Pieces(group)
+                start, size, name = pieces.runs(name_of(pieces.data), gram)
+                part = pieces.part(start)
+                used = np.unique(pieces.row)
+                flat = np.concatenate([known[r] for r in used])
+                wanted = flat["hi"].astype(np.uint64) << np.uint64(32) | flat["lo"]
+                table = np.zeros(1 << _TABLE_BITS, bool)
+                table[_pair(wanted, np.repeat(used, [len(known[r]) for r in used]).astype(np.uint64)) & mask] = True
+                hit = np.flatnonzero(table[_pair(name >> np.uint64(24), pieces.row[part].astype(np.uint64)) & mask])
+                if not len(hit):
+                    continue
+                first, last, part = start[hit], start[hit] + size[hit] - 1, part[hit]
+                new = np.ones(len(hit), bool)
+                new[1:] = (first[1:] != last[:-1] + 1) | (part[1:] != part[:-1])
+                head = np.flatnonzero(new)
+                first, last, part = first[head], last[np.append(head[1:], len(hit)) - 1], part[head]
+                begin = np.maximum(first - 2, pieces.at[part])
+                stop = np.minimum(last + WIDTH + 2, pieces.at[part + 1])
+                row, place = pieces.row[part], pieces.places(begin, part)
+                edges = np.append(np.flatnonzero(_changes(row)), len(row))
+                view = pieces.data.tobytes()
+                out = [(b"".join(view[a:b] for a, b in zip(begin[lo:hi].tolist(), stop[lo:hi].tolist())), place[lo:hi].astype("<i8").tobytes(),
+                        (stop - begin)[lo:hi].astype("<i4").tobytes()) for lo, hi in zip(edges[:-1], edges[1:])]
+                who = row[edges[:-1]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(hashes[who]),
+                                                  *(pa.array([o[i] for o in out], pa.binary()) for i in range(3))],
+                                                 names=["_id", "_hash", "_bytes", "_starts", "_sizes"])
+
+    return run
 
 
 def _cut_parts(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -486,7 +511,7 @@ def _again(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ask_runs(parts: int):
-    """Third pass: a fingerprint per run of windows with one least name."""
+    """A fingerprint per run of windows with one least name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _rebatched(batches):
             ids, hashes = _keys(batch)
@@ -527,7 +552,7 @@ def _open_windows(pieces: Pieces, settled: list[np.ndarray]) -> np.ndarray:
 
 
 def _ask_suffixes(parts: int):
-    """Fourth pass: sampled suffixes beside windows that are not settled, with two bytes on either side of their prefix."""
+    """Sampled suffixes beside windows that are not settled, with two bytes on either side of their prefix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _rebatched(batches):
             ids, hashes = _keys(batch)
@@ -625,7 +650,7 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """``(key, n_bytes, spans, kept)`` per row: byte ranges that repeat an earlier document, and the bytes left.
 
     A byte goes when a string of 50 bytes over it also starts in a document with a smaller id; strings are those of the whole
-    texts as they came, in UTF-8. Four passes over texts or what is left of them put questions to ranges of names; the
+    texts as they came, in UTF-8. Five passes over texts or what is left of them put questions to ranges of names; the
     answers come back per text. No task meets more than a range of names, a batch of texts or the answers to a share of texts,
     and a string that stands everywhere leaves each batch once. What is broadcast is checked for its size.
 
@@ -643,11 +668,13 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         right = right.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "_records")
         return left.join(right, (F.col("_id") == F.col("_i")) & (F.col("_hash") == F.col("_h")), how).drop("_i", "_h")
 
-    names = _answered(known.mapInArrow(_ask_names(parts), _EXCHANGED), _SEEN, _SEEN, _in_several, _distinct, parts)
-    parted = written(join(known, small_side(names, "names"), "inner").mapInArrow(_cut_candidates, _CANDIDATES), "candidates")
+    parted = known
+    for cut in (False, True):  # not broadcast: the names of all texts grow with them
+        names = _answered(parted.mapInArrow(_ask_names(parts, cut), _EXCHANGED), _SEEN, _SEEN, _in_several, _distinct, parts)
+        parted = written(join(parted, names, "inner").mapInArrow(_cut_candidates(cut), _CANDIDATES), "candidates")
     runs = _answered(parted.mapInArrow(_ask_runs(parts), _EXCHANGED), _RUN, _SPAN, _earlier_runs, _merged, parts)
     runs = written(runs, "runs")
-    asked = join(parted, small_side(runs, "settled"), "left").mapInArrow(_ask_suffixes(parts), _EXCHANGED)
+    asked = join(parted, runs, "left").mapInArrow(_ask_suffixes(parts), _EXCHANGED)
     suffixes = _answered(asked, _SUFFIX, _SPAN, _earlier_windows, _merged, parts)
     marks = runs.unionByName(suffixes).groupBy("_id", "_hash").agg(F.collect_list("_records").alias("_all"))
     marks = marks.select("_id", "_hash", F.expr("aggregate(_all, X'', (a, b) -> concat(a, b))").alias("_records"))
