@@ -142,7 +142,7 @@ class Pieces:
         return inside[:len(self.data) - length + 1]
 
     def runs(self, names: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(start, size, least name)`` of runs of at most ``WIDTH`` windows, one after another, with one least name.
+        """``(start, size, name)`` of runs of at most ``WIDTH`` windows, one after another, with one least name.
 
         Two windows that lie at most ``WIDTH`` apart cover all between them, so the first and the last stand for a run.
         """
@@ -158,7 +158,8 @@ class Pieces:
             turn = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
             size = np.minimum(np.repeat(size, times) - turn * WIDTH, WIDTH)
             start = np.repeat(start, times) + turn * WIDTH
-        return start, size, least[start]
+        least = least[start]  # least names are small numbers, so they are mixed anew before they are dealt to ranges
+        return start, size, _pair(least, least >> np.uint64(7))
 
 
 def parts_of(texts: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
