@@ -31,26 +31,28 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def prefix_sum(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over the rows before this one in its group, in ``order``.
+def prefix_sum(df: DataFrame, group: list[str], order: list[str], value: str | list[str], name: str | list[str]) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows before this one in its group, in ``order``; or several of each.
 
     Rows are range-partitioned by (group, order), so a hot group spreads over many tasks; one total per
     (group, partition) carries the sum across partitions. ``order`` must be unique per group.
     """
+    values, names = ([x] if isinstance(x, str) else x for x in (value, name))
     keys = [*group, *order]
     placed = written(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "placed")
-    totals = placed.groupBy(*group, "_part").agg(F.sum(value).alias("_sum"))
+    totals = placed.groupBy(*group, "_part").agg(*(F.sum(v).alias(f"_sum{i}") for i, v in enumerate(values)))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_part").alias("_p"),
-                           F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+                           *(F.coalesce(F.sum(f"_sum{i}").over(before), F.lit(0)).alias(f"_start{i}") for i in range(len(values))))
     same = F.col("_part") == F.col("_p")
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     inside = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = placed.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    summed = placed.withColumns({f"_inside{i}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for i, v in enumerate(values)})
     return (summed.join(small_side(starts, "starts"), same, "left")
-            .withColumn(name, F.col("_inside") + F.col("_start"))
-            .drop("_part", "_p", "_inside", "_start", *(f"_g{i}" for i in range(len(group)))))
+            .withColumns({n: F.col(f"_inside{i}") + F.col(f"_start{i}") for i, n in enumerate(names)})
+            .drop("_part", "_p", *(f"_{kind}{i}" for kind in ("inside", "start") for i in range(len(values))),
+                  *(f"_g{i}" for i in range(len(group)))))
 
 
 def _is_empty(df: DataFrame) -> bool:

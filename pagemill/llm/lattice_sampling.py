@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,10 +21,12 @@ SAMPLES = 2
 # The vocabulary is ordered by merges, not by probability: a piece's weight is Zipf's law over its rank, to this power.
 ALPHA = 1.0
 SEED = 6
-# Texts are worked on in groups of about this many characters.
-GROUP_CHARS = 1_500_000
+# Texts are worked on in groups of about this many characters; neither this nor the next changes any draw.
+GROUP_CHARS = 300_000
 # Distinct units of so many characters are held between groups.
-UNIT_CHARS = 2_000_000
+UNIT_CHARS = 400_000
+# Units above this length are weighed and walked one by one, shorter ones all in step.
+LONG_UNIT = 256
 # A branch whose log mass lies this far below its text's is beyond what a double can draw.
 NEGLIGIBLE = 60.0
 
@@ -84,11 +87,15 @@ class Lattice:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.numbers = vocabulary, {}
-        self.first, self.start, self.end, self.piece = (np.zeros(n, np.int32) for n in (1, 0, 0, 0))
+        self.first, self.end, self.piece = (np.zeros(n, np.int32) for n in (1, 0, 0))
         self.log, self.until, self.alone = np.zeros(0), np.zeros(0, np.float32), np.zeros(0, bool)
         self.chars = np.zeros(0, np.int32)
         self.unit_start, self.unit_end = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def start_of(self, edges):
+        """The place where an edge, or each of some edges, begins."""
+        return np.searchsorted(self.first, edges, "right") - 1
+
     def number(self, units: list[str]) -> np.ndarray:
         """The number of each unit; those not held yet are added."""
         if len(self.chars) > UNIT_CHARS:
@@ -112,6 +119,38 @@ class Lattice:
         chars = np.where(chars == 0x20, _BLANK, np.where(chars == _BLANK, _OWN_BLANK, chars))
         ends = np.cumsum(sizes)
         unit_end = np.repeat(ends, sizes)
+        start, end, piece = self._edges(chars, unit_end)
+        first = np.searchsorted(start, np.arange(len(chars) + 1))
+        weight = np.where(piece >= 0, vocabulary.weight_of[piece], vocabulary.floor)
+        after = np.zeros(len(chars) + 1)
+        inner = end < unit_end[start]
+        long = sizes > LONG_UNIT
+        short = ~np.repeat(long, sizes)[start]
+        self._sums_in_step(start[short], end[short], weight[short], inner[short], (unit_end[start] - start)[short], after)
+        for lo, hi in zip((ends - sizes)[long].tolist(), ends[long].tolist()):
+            self._sums_one_by_one(lo, hi, first, end, weight, after)
+        log = weight
+        log += np.where(inner, after[end], 0.0)
+        log -= after[start]
+        several = np.diff(first)
+        until = self._running(np.exp(log), first, several)
+        at, edges = len(self.chars), len(self.end)
+        # array by array, so that no more than one is held twice
+        self.first = np.concatenate([self.first, (first[1:] + edges).astype(np.int32)])
+        del start, inner, after, short, first
+        self.end = np.concatenate([self.end, (end + at).astype(np.int32)])
+        self.piece = np.concatenate([self.piece, piece])
+        del end, piece
+        self.log = np.concatenate([self.log, log])
+        self.until = np.concatenate([self.until, until])
+        self.alone = np.concatenate([self.alone, np.repeat(several == 1, several)])
+        self.chars = np.concatenate([self.chars, chars.astype(np.int32)])
+        self.unit_start = np.concatenate([self.unit_start, ends - sizes + at])
+        self.unit_end = np.concatenate([self.unit_end, ends + at])
+
+    def _edges(self, chars: np.ndarray, unit_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(start, end, piece)`` of all pieces at all places, by place, the longest first: mostly the likeliest."""
+        vocabulary = self.vocabulary
         starts, stops, pieces = [], [], []
         state, place, length = np.zeros(len(chars), np.int64), np.arange(len(chars)), 0
         single = np.zeros(len(chars), bool)
@@ -130,43 +169,48 @@ class Lattice:
             inside = place + length < unit_end[place]
             state, place = state[inside], place[inside]
         rest = np.flatnonzero(~single)
-        # longest first, for it is mostly the likeliest edge of its place
         start, end = np.concatenate([*starts[::-1], rest]), np.concatenate([*stops[::-1], rest + 1])
         piece = np.concatenate([*pieces[::-1], np.full(len(rest), -1, np.int32)]).astype(np.int32)
         order = np.argsort(start, kind="stable")
-        start, end, piece = start[order], end[order], piece[order]
-        weight = np.where(piece >= 0, vocabulary.weight_of[piece], vocabulary.floor)
-        # backward sums, all units in step: places by their distance from the unit's end
-        distance = unit_end[start] - start
-        order = np.argsort(distance.astype(np.uint16) if sizes.max() < 1 << 16 else distance, kind="stable")
-        s, e, w, d = start[order], end[order], weight[order], distance[order]
-        after = np.zeros(len(chars) + 1)
-        inner = e < unit_end[s]
-        bounds = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+        return start[order], end[order], piece[order]
+
+    @staticmethod
+    def _sums_in_step(start, end, weight, inner, distance, after) -> None:
+        """Backward log sums of short units, all in step: places by their distance from the unit's end."""
+        order = np.argsort(distance.astype(np.uint16), kind="stable")
+        s, e, w, d, inner = start[order], end[order], weight[order], distance[order], inner[order]
+        bounds = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else []
         for lo, hi in zip(bounds, np.append(bounds[1:], len(d))):
             value = w[lo:hi] + np.where(inner[lo:hi], after[e[lo:hi]], 0.0)
             heads = np.flatnonzero(np.concatenate([[True], s[lo + 1:hi] != s[lo:hi - 1]]))
             peak = np.maximum.reduceat(value, heads)
             spread = np.repeat(peak, np.diff(np.append(heads, hi - lo)))
             after[s[lo:hi][heads]] = peak + np.log(np.add.reduceat(np.exp(value - spread), heads))
-        log = weight + np.where(end < unit_end[start], after[end], 0.0) - after[start]
-        first = np.searchsorted(start, np.arange(len(chars) + 1))
-        chance = np.exp(log)
-        total = np.cumsum(chance)
-        until = total - np.concatenate([[0.0], total])[first[:-1]][start]
-        until[first[1:] - 1] = 2.0  # the last edge of a place takes what rounding leaves
-        several = np.diff(first)
-        at, edges = len(self.chars), len(self.end)
-        self.first = np.concatenate([self.first, (first[1:] + edges).astype(np.int32)])
-        self.start = np.concatenate([self.start, (start + at).astype(np.int32)])
-        self.end = np.concatenate([self.end, (end + at).astype(np.int32)])
-        self.piece = np.concatenate([self.piece, piece])
-        self.log = np.concatenate([self.log, log])
-        self.until = np.concatenate([self.until, until.astype(np.float32)])
-        self.alone = np.concatenate([self.alone, np.repeat(several == 1, several)])
-        self.chars = np.concatenate([self.chars, chars.astype(np.int32)])
-        self.unit_start = np.concatenate([self.unit_start, ends - sizes + at])
-        self.unit_end = np.concatenate([self.unit_end, ends + at])
+
+    @staticmethod
+    def _sums_one_by_one(lo: int, hi: int, first, end, weight, after) -> None:
+        """Backward log sums of one long unit, place by place: steps of one place are too small for arrays."""
+        at = first[lo:hi + 1].tolist()
+        ends, weights = (end[at[0]:at[-1]] - lo).tolist(), weight[at[0]:at[-1]].tolist()
+        sums, base = [0.0] * (hi - lo + 1), at[0]
+        for place in range(hi - lo - 1, -1, -1):
+            values = [weights[k] + sums[ends[k]] for k in range(at[place] - base, at[place + 1] - base)]
+            peak = max(values)
+            sums[place] = peak + math.log(sum([math.exp(v - peak) for v in values]))
+        after[lo:hi] = sums[:-1]
+
+    @staticmethod
+    def _running(chance: np.ndarray, first: np.ndarray, several: np.ndarray) -> np.ndarray:
+        """Per edge the share of its place's edges up to and with it, added up place by place; the last takes the rest."""
+        running, at, left = chance.copy(), first[:-1], several
+        while True:
+            more = left > 1
+            at, left = at[more] + 1, left[more] - 1
+            if not len(at):
+                break
+            running[at] += running[at - 1]
+        running[first[1:] - 1] = 2.0
+        return running.astype(np.float32)
 
 
 def units_of(text: str) -> list[str]:
@@ -195,11 +239,14 @@ def walk(lattice: Lattice, place: np.ndarray, end: np.ndarray, text_place: np.nd
          ) -> tuple[np.ndarray, np.ndarray]:
     """Sample a path from every ``place`` to its unit's ``end``: edges in order, and edges per walker.
 
-    All walkers step together. ``text_place`` is the place in the text, which with ``seed`` draws the number.
+    Walkers of short units step together, those of long units go one after another. ``text_place`` is the place in the
+    text, which with ``seed`` draws the number.
     """
     count = np.zeros(len(place), np.int64)
-    active = np.flatnonzero(place < end)
+    active = np.flatnonzero((place < end) & (end - place <= LONG_UNIT))
     here, offset = place.copy(), text_place - place
+    alone = {int(w): _walk_alone(lattice, int(place[w]), int(end[w]), int(offset[w]), seed[w]) for w in
+             np.flatnonzero(end - place > LONG_UNIT)}
     steps = []
     while len(active):
         at = here[active]
@@ -213,13 +260,33 @@ def walk(lattice: Lattice, place: np.ndarray, end: np.ndarray, text_place: np.nd
         here[active] = lattice.end[edge]
         count[active] += 1
         active = active[here[active] < end[active]]
+    for who, edges in alone.items():
+        count[who] = len(edges)
     begins = np.cumsum(count) - count
     out = np.empty(int(count.sum()), np.int64)
     for number, (who, edge) in enumerate(steps):
         out[begins[who] + number] = edge
+    for who, edges in alone.items():
+        out[begins[who]:begins[who] + len(edges)] = edges
     return out, count
 
 
+def _walk_alone(lattice: Lattice, place: int, end: int, offset: int, seed: np.uint64) -> list[int]:
+    """One walker's edges."""
+    first = lattice.first[place:end + 1].tolist()
+    base = first[0]
+    until, ends = lattice.until[base:first[-1]].tolist(), (lattice.end[base:first[-1]] - place).tolist()
+    draws = uniform(np.full(end - place, seed), np.arange(place, end) + offset).tolist()
+    at, edges = 0, []
+    while at < end - place:
+        edge = first[at] - base
+        while draws[at] >= until[edge]:
+            edge += 1
+        edges.append(edge + base)
+        at = ends[edge]
+    return edges
+
+
 def _below(mass: np.ndarray, bound: np.ndarray, draw: np.ndarray) -> np.ndarray:
     """Gumbel variates of log mass ``mass``, conditioned to lie below ``bound``."""
     with np.errstate(over="ignore"):
@@ -313,7 +380,7 @@ def sample_group(texts: list[str], keys: np.ndarray, lattice: Lattice, samples:
             path = paths[source[t]]
             lo = int(path.at[t])
             at = lo + int(path.leave[lo:lo + path.sizes[t]].argmax())
-            place = int(lattice.start[path.edges[at]])
+            place = int(lattice.start_of(path.edges[at]))
             used = taken.setdefault((t, int(source[t]), at), [int(path.edges[at])])
             all_edges = np.arange(lattice.first[place], lattice.first[place + 1])
             chance = np.exp(lattice.log[all_edges])
@@ -383,7 +450,7 @@ def ids_of(lattice: Lattice, edges: np.ndarray, sizes: list[int]) -> tuple[np.nd
     owner = np.repeat(np.arange(len(sizes)), sizes)
     missing = np.flatnonzero(ids < 0)
     if len(missing):
-        chars = lattice.chars[lattice.start[edges[missing]]]
+        chars = lattice.chars[lattice.start_of(edges[missing])]
         distinct, which = np.unique(chars, return_inverse=True)
         spelled = [chr(_BLANK if c == _OWN_BLANK else c).encode("utf-8", "surrogatepass") for c in distinct.tolist()]
         width = np.fromiter(map(len, spelled), np.int64, len(spelled))[which]

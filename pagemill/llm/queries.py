@@ -122,7 +122,7 @@ WITH l AS (SELECT doc_id, source, i, line, trim(line, e' \t\r\x0b\x0c') = '' AS
                         generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
 pages AS (SELECT source, line, count(DISTINCT doc_id) AS n FROM l WHERE NOT blank GROUP BY ALL),
 total AS (SELECT source, count(*) AS t FROM documents GROUP BY source),
-bad AS (SELECT source, line FROM pages JOIN total USING (source) WHERE n >= 5 AND n > 0.1::DOUBLE * t),
+bad AS (SELECT source, line FROM pages JOIN total USING (source) WHERE n >= 2 AND n > 0.06::DOUBLE * t),
 kept AS (SELECT l.*, b.line IS NULL AS stays FROM l LEFT JOIN bad b ON b.source = l.source AND b.line = l.line),
 out AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
                coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '') AS t FROM kept GROUP BY doc_id)

@@ -9,9 +9,9 @@ from ..session import small_side
 from .common import text_of
 
 # A line is boilerplate when it is on more than this share of its host's pages ...
-RATIO = 0.1
-# ... and on at least this many of them: a host of a few pages has no boilerplate to speak of.
-MIN_PAGES = 5
+RATIO = 0.06
+# ... and repeats at all.
+MIN_PAGES = 2
 
 
 def line_hash(line: Column) -> Column:

@@ -162,11 +162,13 @@ def logits_of(texts: list[bytes], model: Model) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """``(label, text)`` of at most ``sample`` labelled rows outside the held-out third; of several labels the least."""
+    """``(label, id, text)`` of at most ``sample`` labelled ids outside the held-out third, one row each: of several labels the
+    least, of several texts the first in order."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     chosen = (labels.filter(F.col(label).isin(0, 1) & (fold != 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("_y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    return docs.select("doc_id", "text").join(small_side(chosen, "labelled"), "doc_id").select("_y", "doc_id", "text")
+    labelled = docs.select("doc_id", "text").join(small_side(chosen, "labelled"), "doc_id")
+    return labelled.groupBy("_y", "doc_id").agg(F.min("text").alias("text"))
 
 
 def train(rows: DataFrame) -> Model:

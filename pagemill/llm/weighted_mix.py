@@ -31,43 +31,40 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     """``(source, source_size, target)`` from ``(source, source_size)``: shares of the total by weight.
 
     A target stops at ``max_epochs`` times its source's size, and the excess is shared again by weight among
-    the others until none is above. Numbering the sources is a prefix sum over range partitions; every round
-    of sharing is one aggregate of two numbers.
+    the others until none is above. Sources reach their caps in order of cap / weight; with those before a source at
+    their caps, the others share the rest at one level per weight. Sharing ends at the first level that does not exceed
+    its own source's cap; later ones are no higher. So prefix sums in that order give all levels at once, and the one
+    sought is the greatest of those.
     """
     rows = sizes.withColumn("_null", F.col("source").isNull()).withColumn("_name", F.coalesce("source", F.lit("")))
-    rows = prefix_sum(rows.withColumn("_row", F.lit(1)).withColumn("_all", F.lit(0)), ["_all"], ["_null", "_name"], "_row", "_rank")
+    rows = prefix_sum(rows.withColumn("_one", F.lit(1)).withColumn("_all", F.lit(0)), ["_all"], ["_null", "_name"], "_one", "_rank")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int"))
-    rows = written(rows.withColumn("_weight", weight).select("source", "source_size", "_weight"), "sources")
     cap = F.col("source_size") * max_epochs
-    total = rows.agg(F.sum("source_size")).head()[0] or 0
-    level = 0.0
-    while True:  # the level never falls, so a source once at its cap stays there
-        full = F.lit(level) * F.col("_weight") >= cap
-        capped, free = rows.agg(F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("_weight")))).head()
-        if not free:
-            break
-        raised = (total - (capped or 0)) / free
-        if raised <= level:
-            break
-        level = raised
-    target = F.least(F.lit(level) * F.col("_weight"), cap.cast("double"))
+    rows = rows.withColumn("_weight", weight).withColumn("_cap", cap).withColumn("_full", cap / weight)
+    rows = written(prefix_sum(rows, ["_all"], ["_full", "_rank"], ["_cap", "_weight"], ["_capped", "_lighter"]), "sources")
+    total, weighed = rows.agg(F.sum("source_size"), F.sum("_weight")).head()
+    level = (F.lit(total or 0) - F.col("_capped")) / (F.lit(weighed or 0) - F.col("_lighter"))
+    ends = rows.agg(F.max(F.when(level <= F.col("_full"), level))).head()[0]
+    target = F.col("_cap") if ends is None else F.least(F.lit(ends) * F.col("_weight"), F.col("_cap").cast("double"))
     return rows.select("source", "source_size", target.cast("double").alias("target"))
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED,
-                weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+                weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, row: str | None = None) -> DataFrame:
     """``(_row, key, source, size, source_size, target, taken)``: one row per document.
 
     ``size`` counts words, 0 for a null or empty text. A source's target holds so many complete epochs of all
     its documents; the rest goes to documents by exponential keys divided by quality weight, prefix-summed in key order up to the
     budget. The last document of the selection is taken in part, so that a source's words meet its rounded target.
     Ties of keys are parted by the key column, the text and a number of the row, so repeated rows are documents
-    of their own. Empty tables give an empty result; other columns are ignored.
+    of their own. ``row`` may name a column that numbers the rows, to tell repeated ones apart in what is returned. Empty
+    tables give an empty result; other columns are ignored.
     """
     body = text_of(text)
     rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), word_count(body).alias("size"),
                        exponential_key(F.struct(F.col(key), body), quality_weight(body), seed).alias("_draw"),
-                       F.xxhash64(body).alias("_tie"), F.monotonically_increasing_id().alias("_row"))
+                       F.xxhash64(body).alias("_tie"),
+                       (F.col(row) if row else F.monotonically_increasing_id()).alias("_row"))
     rows = written(rows, "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"))
     targets = small_side(source_targets(sizes, weights, max_epochs).withColumnRenamed("source", "_source"), "targets")

@@ -198,6 +198,13 @@ def test_histogram_answers(spark):
         assert r.docs_longer == sum(n > r.n_tokens for n in lengths) and r.tokens_longer == sum(n for n in lengths if n > r.n_tokens)
         assert r["quantile"] == pytest.approx(sum(n <= r.n_tokens for n in lengths) / len(lengths))
     assert length_histogram.length_at(histogram, 0.5).head()[0] == 5
+    limits = [0, 2, 2, 5, 7, 1023, 5000, 9000, 100_000, None]
+    at = length_histogram.at_limits(histogram, spark.createDataFrame([(n,) for n in limits], "n_tokens long"))
+    got = {r.n_tokens: r for r in length_histogram.context_answers(at, histogram).collect()}
+    assert set(got) == {n for n in limits if n is not None}
+    for limit, r in got.items():
+        assert r.truncated_tokens == sum(min(n, limit) for n in lengths) and r.lost_tokens == sum(max(n - limit, 0) for n in lengths)
+        assert r.docs == lengths.count(limit) and r["quantile"] == pytest.approx(sum(n <= limit for n in lengths) / len(lengths))
     assert length_histogram.context_answers(length_histogram.length_histogram(df.limit(0))).count() == 0
 
 
@@ -355,6 +362,15 @@ def test_posterior_bounds():
 
 # 8 ------------------------------------------------------------------------------------------------
 
+def test_ratio_alone_decides_beside_two_pages(spark):
+    rows = ([(i, f"own {i}\nfoot", "four") for i in range(4)] + [(10 + i, f"own {i}" + ("\nfoot" if i < 4 else ""), "twelve") for i in range(12)]
+            + [(30, "foot", "one")] + [(40 + i, f"own {i}" + ("\nfoot" if i < 6 else ""), "hundred") for i in range(100)]
+            + [(200 + i, f"own {i}" + ("\nfoot" if i < 7 else ""), "hundreds") for i in range(100)])
+    got = {r.doc_id: r for r in site_lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {got[i]._dropped for i in range(4)} == {1} == {got[10 + i]._dropped for i in range(4)}
+    assert got[30].text == "foot" and got[40]._dropped == 0 and got[200]._dropped == 1  # exactly the ratio is not over it
+
+
 def test_boilerplate_lines(spark, docs, none):
     rows = [(i, f"menu\n\nown {i}\nmenu\n{'rare' if i < 2 else 'x' + str(i)}", None if i % 2 else "s") for i in range(40)] + [(40, "menu", "tiny")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("h", F.lit(1)).withColumn("pages", F.lit(1))
@@ -444,6 +460,15 @@ def test_mix_meets_targets(spark):
     assert weighted_mix.mix_sources(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [{"a": 0}, {"a": 5}, {"a": 1, "b": 1, "c": 1000}, {"a": 1000, "b": 1, None: 3, "d": 0, "e": 40},
+                                   {f"s{i:03}": i * i % 97 for i in range(60)}])
+def test_targets_by_prefix_sums(spark, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    want = brute_targets(collections.Counter(sizes))
+    for r in weighted_mix.source_targets(df).collect():
+        assert r.target == pytest.approx(want[r.source], abs=1e-6)
+
+
 def test_mix_prefers_high_weights(spark):
     texts = [(i, "w " * 10 if i % 2 else "# " * 10, "a") for i in range(400)] + [(1000, "w " * 9000, "b")]
     df = spark.createDataFrame(texts, "doc_id long, text string, source string")
