@@ -18,6 +18,7 @@ RUNTIME_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     # HTML rows are large: small Arrow batches keep Python workers inside their memory.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 # A written table may be broadcast below both bounds.
