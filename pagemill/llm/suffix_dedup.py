@@ -37,8 +37,8 @@ GRAM, PREFIX = 27, WIDTH - 2
 LONG_GRAM = 41
 # Texts are worked on in batches of about so many bytes; longer ones are cut, with the overlap that windows need.
 BATCH = 1 << 20
-# A range of names holds what comes of about so many bytes of text.
-RANGE_BYTES = 8 << 20
+# A range of names holds what comes of about so many bytes of text: least names are short and few, suffixes are neither.
+NAME_RANGE, RUN_RANGE, SUFFIX_RANGE = 32 << 20, 24 << 20, 8 << 20
 
 # Not a place: a text with this mark holds some of its strings several times, and has asked for them once.
 AGAIN = (1 << 32) - 1
@@ -282,11 +282,14 @@ def _answered(asked: DataFrame, kind: np.dtype, reply: np.dtype, decide: Callabl
 
     def gathered(table: pa.Table) -> pa.Table:
         ids, hashes, counts, records = _held(table.to_pylist(), reply)
-        ends = np.cumsum(counts, dtype=np.int64)
         order = np.lexsort((hashes, ids))
         edges = np.append(np.flatnonzero(_changes(ids[order], hashes[order])), len(order))
-        merged = [merge(np.concatenate([records[ends[i] - counts[i]:ends[i]] for i in order[lo:hi]])).tobytes()
-                  for lo, hi in zip(edges[:-1], edges[1:])]
+        sizes = counts[order].astype(np.int64)
+        ends = np.cumsum(sizes)
+        begins = (np.cumsum(counts, dtype=np.int64) - counts)[order]
+        records = records[np.arange(len(records)) + np.repeat(begins - ends + sizes, sizes)]
+        upto = np.concatenate([[0], ends])[edges].tolist()
+        merged = [merge(records[lo:hi]).tobytes() for lo, hi in zip(upto[:-1], upto[1:])]
         first = order[edges[:-1]]
         return pa.table([pa.array(ids[first]), pa.array(hashes[first]), pa.array(merged, pa.binary())],
                         names=["_id", "_hash", "_records"])
@@ -663,7 +666,7 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = docs.select(F.col(key).cast("bigint").alias("_id"), F.xxhash64(text_of(text)).alias("_hash"), body.alias("_body"))
     known = rows.filter(F.col("_id").isNotNull() & (F.octet_length("_body") >= WIDTH))
     total = known.agg(F.sum(F.octet_length("_body"))).head()[0] or 0
-    parts = int(total // RANGE_BYTES) + 1
+    few, some, parts = (int(total // size) + 1 for size in (NAME_RANGE, RUN_RANGE, SUFFIX_RANGE))
 
     def join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         right = right.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "_records")
@@ -671,9 +674,9 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     parted = known
     for cut in (False, True):  # not broadcast: the names of all texts grow with them
-        names = _answered(parted.mapInArrow(_ask_names(parts, cut), _EXCHANGED), _SEEN, _SEEN, _in_several, _distinct, parts)
+        names = _answered(parted.mapInArrow(_ask_names(few, cut), _EXCHANGED), _SEEN, _SEEN, _in_several, _distinct, few)
         parted = written(join(parted, names, "inner").mapInArrow(_cut_candidates(cut), _CANDIDATES), "candidates")
-    runs = _answered(parted.mapInArrow(_ask_runs(parts), _EXCHANGED), _RUN, _SPAN, _earlier_runs, _merged, parts)
+    runs = _answered(parted.mapInArrow(_ask_runs(some), _EXCHANGED), _RUN, _SPAN, _earlier_runs, _merged, some)
     runs = written(runs, "runs")
     asked = join(parted, runs, "left").mapInArrow(_ask_suffixes(parts), _EXCHANGED)
     suffixes = _answered(asked, _SUFFIX, _SPAN, _earlier_windows, _merged, parts)
