@@ -200,14 +200,19 @@ def subtree_fallback(urls: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def expand_seeds(urls: DataFrame, sites: DataFrame, pages: DataFrame,
-                 seeds: int = SEEDS, per_seed: int | None = None) -> DataFrame:
-    """Links of the first ``seeds`` URLs of each site that pass all checks and were not found before.
+                 seeds: int | None = SEEDS, per_seed: int | None = None) -> DataFrame:
+    """Links of the first ``seeds`` URLs of each site, or of all with None, that pass all checks and were not found before.
 
     Only the seed pages are read for links. With ``per_seed`` each gives so many new links at most; seeds are then
     taken one after the other, because a link one seed has given is not counted for the next.
     """
+    if seeds is None and per_seed is not None:
+        raise ValueError("per_seed needs a number of seeds")
     rules = _rules(sites)
-    first = rank_rows(top_n(urls, ["site"], ["ord"], seeds), "seed")
+    if seeds is None:
+        first = rank_in_group(urls.select("site", "ord", "url"), ["site"], ["ord"], "seed")
+    else:
+        first = rank_rows(top_n(urls, ["site"], ["ord"], seeds), "seed")
     first = small_side(first.withColumnRenamed("url", "src_url").select("site", "seed", "src_url"), "seeds")
     seen = pages.join(first.select(F.col("src_url").alias("url")).distinct(), "url", "left_semi")
     hops = (first.join(link_graph(seen).withColumnRenamed("dst_url", "url"), "src_url").join(rules, "site")
@@ -235,7 +240,7 @@ def rank_rows(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy("site").orderBy("ord")))
 
 
-def sitemap_urls(sites: DataFrame, resources: DataFrame, files: DataFrame, pages: DataFrame, seeds: int = SEEDS,
+def sitemap_urls(sites: DataFrame, resources: DataFrame, files: DataFrame, pages: DataFrame, seeds: int | None = SEEDS,
                  per_seed: int | None = None, **limits: int | None) -> DataFrame:
     """Sorted URLs of all sites that have at least one sitemap URL; ``files`` are the :func:`site_files`.
 

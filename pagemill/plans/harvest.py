@@ -30,16 +30,22 @@ class Harvest:
     manifest_urls: DataFrame
 
 
-def inspect_sites(sites: DataFrame, resources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Discovery only: sites with platform, URLs, whole-site files. Extraction is never planned."""
+def inspect_sites(sites: DataFrame, resources: DataFrame, **limits: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Discovery only: sites with platform, URLs, whole-site files. Extraction is never planned.
+
+    ``limits`` are those of :func:`discover`.
+    """
     sites = written(site_platform(sites, resources), "sites")
-    urls, full = discover(sites, resources)
+    urls, full = discover(sites, resources, **limits)
     return sites, written(urls, "urls"), full
 
 
-def harvest(sites: DataFrame, resources: DataFrame) -> Harvest:
-    """All tables of a run. Page rows are written once, so later outputs never parse HTML again."""
-    sites, urls, full = inspect_sites(sites, resources)
+def harvest(sites: DataFrame, resources: DataFrame, **limits: int | None) -> Harvest:
+    """All tables of a run. Page rows are written once, so later outputs never parse HTML again.
+
+    ``limits`` are those of :func:`discover`, for example ``seeds=None`` to follow the links of every listed page by one hop.
+    """
+    sites, urls, full = inspect_sites(sites, resources, **limits)
     capped = top_pages(urls, sites)
     wanted = small_side(capped.join(sites.select("site", "platform"), "site").drop("source"), "wanted")
     outcomes = page_outcome(resources.join(wanted, "url"))

@@ -181,12 +181,15 @@ def test_subtree_and_expansion(spark):
 
     graph = {"https://a.com/d/x": ["1", "2", "1", "3", "https://a.com/d/x", "https://a.com/e"], "https://a.com/d": ["/d/2", "/d/4", "/d/5", "/d/6"]}
     seeds = spark.createDataFrame([("s", i, u) for i, u in enumerate([*graph, "https://a.com/d/9"])], "site string, ord long, url string")
-    pages = pages_of(spark, {**graph, "https://a.com/d/9": ["/never"]})
-    def expand(per_seed):
-        got = discovery.expand_seeds(seeds, site_rows(spark, ("s", "https://a.com/d/", 0, 0, "auto")), pages, per_seed=per_seed)
+    pages = pages_of(spark, {**graph, "https://a.com/d/9": ["/never", "/d/7"]})
+    def expand(per_seed, **kw):
+        got = discovery.expand_seeds(seeds, site_rows(spark, ("s", "https://a.com/d/", 0, 0, "auto")), pages, per_seed=per_seed, **kw)
         return [r.url.removeprefix("https://a.com/d/") for r in got.orderBy("ord").collect()]
     assert expand(None) == expand(5000) == ["1", "2", "3", "4", "5", "6"]
     assert expand(1) == ["1", "2"] and expand(2) == ["1", "2", "4", "5"]
+    assert expand(None, seeds=None) == ["1", "2", "3", "4", "5", "6", "https://a.com/never", "7"] and expand(None, seeds=1) == ["1", "2", "3"]
+    with pytest.raises(ValueError):
+        expand(1, seeds=None)
 
 
 def test_llms_links(spark):

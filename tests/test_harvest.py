@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagemill.config import SiteConfig, sites_frame
 from pagemill.operators.reports import inspect_full
-from pagemill.plans.harvest import harvest, write_outputs
+from pagemill.plans.harvest import harvest, inspect_sites, write_outputs
 from pagemill.schemas import RESOURCES
 from pagemill.session import scratch_path, shared_folder, small_side
 from pagemill.sources import sinks
@@ -81,6 +81,16 @@ def test_many_sites_end_to_end(spark, tmp_path):
     assert sinks.read_manifests(spark, f"{out}/manifest/sites/*").count() == 4
 
 
+def test_limits_reach_the_discovery(spark):
+    fetched = {"https://map.org/sitemap.xml": sitemap(*(f"https://map.org/{p}" for p in "abc")), "https://map.org/": article("Home"),
+               **{f"https://map.org/{p}": article(p, f"/{p}{p}") for p in "abc"}}
+    stored = spark.createDataFrame([(u, 200, h, 1.0) for u, h in fetched.items()], RESOURCES)
+    sites = sites_frame(spark, [SiteConfig("https://map.org/", formats=["md"])])
+    listed = lambda **kw: {r.url.rsplit("/", 1)[1] for r in inspect_sites(sites, stored, **kw)[1].collect()}
+    assert listed() == {"a", "b", "c", "aa", "bb"} and listed(seeds=None) == {"a", "b", "c", "aa", "bb", "cc"}
+    assert listed(seeds=1) == {"a", "b", "c", "aa"}
+
+
 def test_whole_site_preview(spark):
     full = spark.createDataFrame([("s", "u", "héllo")], "site string, url string, text string")
     assert inspect_full(full).first().chars == 5
