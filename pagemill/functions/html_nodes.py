@@ -15,23 +15,32 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 _NODE_ARROW = pa.struct([
     ("kind", pa.string()), ("level", pa.int32()), ("ordinal", pa.int32()), ("list_no", pa.int32()),
-    ("in_root", pa.bool_()), ("text", pa.string()), ("linked", pa.int32()),
+    ("in_root", pa.bool_()), ("unsure", pa.bool_()), ("text", pa.string()), ("linked", pa.int32()),
     ("rows", pa.list_(pa.list_(pa.string()))),
 ])
 _NODES_ARROW = pa.list_(_NODE_ARROW)
 _MATCHES_ARROW = pa.list_(pa.struct([("nodes", _NODES_ARROW), ("content", pa.string())]))
 
+# Quotes count behind an equals sign only, and a tag ends before the next "<": no opener is scanned for twice.
+_ATTRS = r"(?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|(?P<text>[^<]+|<)", re.S | re.I)
+    rf"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea)(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<[!?][^>]*+(?:>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*+)(?P<attrs>{_ATTRS})>"
+    r"|(?P<text><?[^<]++|<)", re.S | re.I)
 _ATTR = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _BLANKS = re.compile(r"[ \t\r\n\f\v]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_NOISE = frozenset("head nav header footer aside button select".split())
+_NOISE = frozenset("head title nav header footer aside button select".split())
+# Elements whose end tag also closes what stands open inside them; cells and tables hide what is outside.
+_CELLS = frozenset("table caption td th".split())
+_SCOPES = _NOISE | _CELLS | frozenset("html body main article section div form fieldset details figure center address ul ol dl "
+                                      "blockquote".split())
+# What an element without an end tag may still hold; anything else ends it.
+_HEAD_TAGS = frozenset("title meta link base".split())
+_SELECT_TAGS = frozenset("option optgroup hr".split())
 _HEADINGS = {f"h{n}": n for n in range(1, 7)}
 _MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "tt": "`", "kbd": "`",
           "s": "~~", "strike": "~~", "del": "~~", "a": ""}
@@ -53,8 +62,8 @@ class _Page:
 
     def __init__(self) -> None:
         self.nodes: list[dict] = []
-        self.roots: list[str] = []      # open content-root elements
-        self.noise: list[str] = []      # open noise elements; text inside is dropped
+        self.roots: list[list] = []     # open content-root elements: [tag, elements of its kind]
+        self.unsure = False             # behind the start tag of noise that lacks an end tag
         self.lists: list[list] = []     # [ordered, items so far] per open list
         self.list_no = 0
         self.rows: list[list[str]] | None = None
@@ -81,7 +90,7 @@ class _Page:
         self.nodes.append({
             "kind": self.kind, "level": self.level, "ordinal": self.ordinal,
             "list_no": self.list_no if self.kind == "item" else 0,
-            "in_root": bool(self.roots), "text": text, "linked": self.linked, "rows": rows})
+            "in_root": bool(self.roots), "unsure": self.unsure, "text": text, "linked": self.linked, "rows": rows})
 
     def text(self, raw: str) -> None:
         text = entities.unescape(raw)
@@ -243,39 +252,116 @@ class _Page:
         return self.nodes
 
 
+def noise_ends(tokens: list[re.Match]) -> dict[int, tuple[int, bool]]:
+    """Where each noise element ends, by the number of its start tag, and whether by its own end tag.
+
+    Every structural element is on a stack; an end tag also closes what was left open inside its element, and
+    inside a cell nothing outside the table can be closed. Each element is pushed and popped once.
+    """
+    ends: dict[int, tuple[int, bool]] = {}
+    stack: list[tuple[str, int]] = []
+    scopes: list[dict[str, int]] = [{}]     # open elements by tag, anew inside every cell
+    cells: dict[str, int] = {}
+    for no, token in enumerate(tokens):
+        tag = token["tag"] and token["tag"].lower()
+        if tag not in _SCOPES:
+            continue
+        if not token["end"]:
+            stack.append((tag, no))
+            if tag in _CELLS:
+                cells[tag] = cells.get(tag, 0) + 1
+                scopes.append({})
+            else:
+                scopes[-1][tag] = scopes[-1].get(tag, 0) + 1
+        elif (cells if tag in _CELLS else scopes[-1]).get(tag):
+            name = ""
+            while name != tag:
+                name, start = stack.pop()
+                if name in _CELLS:
+                    cells[name] -= 1
+                    scopes.pop()
+                else:
+                    scopes[-1][name] -= 1
+                if name in _NOISE:
+                    ends[start] = no, name == tag
+    for name, start in stack:
+        if name in _NOISE:
+            ends[start] = len(tokens), False
+    return ends
+
+
+def _ends_noise(noise: str, token: re.Match) -> bool:
+    """Whether noise without an end tag stops before this token."""
+    if token["tag"] is None:
+        return noise == "head" and bool((token["text"] or "").strip())
+    tag = token["tag"].lower()
+    if noise == "head":
+        return tag not in _HEAD_TAGS and tag != "head"
+    if noise == "select":
+        return tag not in _SELECT_TAGS and not (token["end"] and tag == "select")
+    return noise == "title" or tag in _BREAKS or tag in _SCOPES
+
+
 def page_nodes(text: str) -> list[dict]:
-    """Content nodes of an HTML text in document order."""
-    page, inside = _Page(), 0
-    for token in _TOKEN.finditer(text):
+    """Content nodes of an HTML text in document order.
+
+    Text between the start and end tag of a noise element is dropped, unless the body or a content root begins
+    there. Without an end tag, ``head`` holds its own elements only, ``select`` its options, ``title`` and ``button``
+    the text up to the next block; what follows an unclosed ``nav``, ``aside``, ``header`` or ``footer`` up to the
+    end of the element around it is kept as ``unsure``.
+    """
+    page, tokens = _Page(), list(_TOKEN.finditer(text))
+    ends = noise_ends(tokens)
+    until = -1          # the end tag of the noise at hand
+    short = ""          # noise without an end tag that stops by itself
+    unsure = -1         # where the element around noise without an end tag ends
+    pending: list[str] = []
+    for no, token in enumerate(tokens):
         tag = token["tag"]
+        if short and until < no and _ends_noise(short, token):
+            short = ""
         if tag is None:
-            if token["text"] and not page.noise:
-                page.text(token["text"])
+            if token["text"] and until < no and not short:
+                pending.append(token["text"])
             continue
+        if pending:
+            page.text("".join(pending))
+            pending.clear()
         tag, end = tag.lower(), token["end"]
-        if page.noise:
-            root = page.roots[-1][0] if page.roots else None
-            if not end and (tag in ("body", "main", "article") or "role" in token["attrs"] and _attributes(token["attrs"]).get("role") == "main"):
-                page.noise.clear()
-            elif end and tag == root and not inside:  # noise that was never closed ends with the element around it
-                page.noise.clear()
-            elif tag in page.noise:
-                page.noise.remove(tag) if end else page.noise.append(tag)
-                continue
+        if until >= no or short:
+            if not end and (tag in ("body", "main", "article")
+                            or "role" in token["attrs"] and _attributes(token["attrs"]).get("role") == "main"):
+                until, short = -1, ""
             else:
-                inside += (-1 if end else 1) * (tag == root)
+                if short == "head" and tag == "title" and not end:
+                    until, short = (ends[no][0], short) if ends[no][1] else (until, "title")
                 continue
+        if page.unsure and no >= unsure:
+            if page.rows is None:
+                page.flush()
+            page.unsure = False
         if end:
-            page.close(tag)
+            if tag not in _NOISE:
+                page.close(tag)
         elif tag in _NOISE and not (page.roots and tag == "header"):
-            page.flush()
-            page.noise.append(tag)
-            inside = 0
+            if page.rows is None and tag not in ("button", "select"):   # controls stand inside a line, a table keeps its cells
+                page.flush()
+            stop, closed = ends[no]
+            if closed:
+                until = stop
+            elif tag in ("head", "title", "select", "button"):
+                short = tag
+            else:
+                unsure, page.unsure = max(unsure, stop), True
         else:
             roots = len(page.roots)
             page.open(tag, _attributes(token["attrs"]) if token["attrs"] else {})
-            if page.roots and len(page.roots) == roots and tag == page.roots[-1][0]:
+            if len(page.roots) > roots:
+                page.unsure = False     # a content root is no part of the noise before it
+            elif page.roots and tag == page.roots[-1][0]:
                 page.roots[-1][1] += 1  # an element of the root's own kind inside it
+    if pending:
+        page.text("".join(pending))
     return page.finish()
 
 
@@ -324,7 +410,7 @@ def nodes_or_error(text: str) -> list[dict]:
     try:
         return page_nodes(text)
     except Exception as error:
-        return [{"kind": "error", "level": 0, "ordinal": 0, "list_no": 0, "in_root": False,
+        return [{"kind": "error", "level": 0, "ordinal": 0, "list_no": 0, "in_root": False, "unsure": False,
                  "text": f"{type(error).__name__}: {error}", "linked": 0, "rows": None}]
 
 

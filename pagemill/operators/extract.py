@@ -18,6 +18,9 @@ from ..functions.text import SPACE, once, strip
 _ANCHOR_SIGNS = rf"[\x{{b6}}\x{{a7}}\x{{200b}}]+[{SPACE}]*\z"
 # Raw text of a selector counts from so many characters on.
 MIN_RAW_TEXT = 50
+# Signs a block's score counts at most, and the score from which an unsure block is text.
+BLOCK_SCORE = 25
+TEXT_SCORE = 16
 
 
 def root_nodes(nodes: Column) -> Column:
@@ -25,10 +28,40 @@ def root_nodes(nodes: Column) -> Column:
     return F.when(F.exists(nodes, lambda n: n["in_root"]), F.filter(nodes, lambda n: n["in_root"])).otherwise(nodes)
 
 
+def signs(node: Column) -> Column:
+    return F.length(F.regexp_replace(node["text"], f"[{SPACE}]", ""))
+
+
+def settled_nodes(nodes: Column) -> Column:
+    """Drops the navigation among ``unsure`` nodes, those behind the start tag of noise without an end tag.
+
+    A block scores its signs outside links less those inside, at most ``BLOCK_SCORE`` either way. One with more text than
+    links stays when twice its score and the scores of two neighbours on either side exceed ``TEXT_SCORE`` (a heading
+    goes with what follows it); one of links only when it stands between two blocks of text.
+    """
+    def score(node: Column) -> Column:
+        net = F.greatest(F.lit(-BLOCK_SCORE), F.least(F.lit(BLOCK_SCORE), signs(node) - 2 * node["linked"]))
+        return F.when(node["kind"] == "code", BLOCK_SCORE).otherwise(net)
+
+    def settle(nodes: Column, scores: Column) -> Column:
+        def at(i: Column) -> Column:
+            return F.coalesce(F.get(scores, i), F.lit(0))
+
+        def stays(node: Column, i: Column) -> Column:
+            before = F.when(node["kind"] == "heading", F.lit(0)).otherwise(at(i - 2) + at(i - 1))
+            text = 2 * at(i) + before + at(i + 1) + at(i + 2) > TEXT_SCORE
+            return ~node["unsure"] | F.when(at(i) > 0, text).otherwise(F.least(at(i - 1), at(i + 1)) > TEXT_SCORE)
+        return F.filter(nodes, stays)
+
+    # The scores are an array of their own, computed once per page and only where a node is unsure.
+    scored = F.transform(F.array(F.transform(nodes, score)), lambda scores: settle(nodes, scores))
+    return F.when(F.exists(nodes, lambda n: n["unsure"]), F.get(scored, F.lit(0))).otherwise(nodes)
+
+
 def has_prose(nodes: Column) -> Column:
     """False for pages of nothing but headings and links: those go to the selector fallback."""
     return F.exists(nodes, lambda n: ~n["kind"].isin("heading", "error") & (
-        F.length(F.regexp_replace(n["text"], f"[{SPACE}]", "")) > n["linked"]))
+        signs(n) > n["linked"]))
 
 
 def heading_title(node: Column) -> Column:
@@ -86,7 +119,8 @@ def content_nodes(pages: DataFrame) -> DataFrame:
     """Adds ``nodes``: the main-content nodes, none when the page has no prose, and ``failure``: why a page
     could not be read, or null."""
     nodes = F.col("nodes")
-    pages = (pages.withColumn("nodes", html_nodes(F.col("html"))).withColumn("nodes", once(root_nodes(nodes)))
+    pages = (pages.withColumn("nodes", html_nodes(F.col("html"))).withColumn("nodes", once(settled_nodes(nodes)))
+             .withColumn("nodes", once(root_nodes(nodes)))
              .withColumn("failure", F.get(F.filter(nodes, lambda n: n["kind"] == "error"), F.lit(0))["text"]))
     return pages.withColumn("nodes", once(F.when(has_prose(nodes), nodes).otherwise(F.slice(nodes, 1, 0))))
 
@@ -109,7 +143,8 @@ def extract_fallback(pages: DataFrame, min_raw_text: int = MIN_RAW_TEXT) -> Data
     """
     def result(match: Column) -> Column:
         raw = strip(F.regexp_replace(match["content"], f"[{SPACE}]*\n[{SPACE}]*", "\n"))
-        return F.when(has_prose(match["nodes"]), markdown_of(match["nodes"])).when(
+        nodes = settled_nodes(match["nodes"])
+        return F.when(has_prose(nodes), markdown_of(nodes)).when(
             F.length(raw) >= min_raw_text, raw).otherwise("")
 
     found = pages.withColumn("_matches", selected_nodes(F.col("html"), selectors_of(F.col("platform"))))

@@ -9,7 +9,8 @@ from ..functions.text import decode_entity_list, once, strip
 from ..functions.urls import (UrlParts, assembled, has_dots, host_of, joined_path, normalize_url, url_parts, url_path,
                               without_dots)
 
-_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+# Without its end, a comment, script or style goes on to the end of the page.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*+>|\z)|<style\b.*?(?:</style\s*+>|\z)"
 # Attributes are walked one by one, quoted values whole, up to the first href.
 _OTHER = r"""(?!href[\s=>/])[^\s=>/"'<]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?+"""
 _HREF = rf"""(?is)<a(?=[\s/])(?:[\s/]*+{_OTHER})*+[\s/]*+href\s*+=\s*+("[^"]*"|'[^']*'|[^\s>"']+)"""

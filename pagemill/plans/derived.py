@@ -98,15 +98,30 @@ SELECT page_id, url, replace(html, '</article>', '<h2>Part ' || w || '¶</h2><p>
   || '</td><td>3</td></tr></table></article>') AS html
 FROM (SELECT page_id, url, html, CAST(page_id * 7 AS STRING) AS n, split_part(url, '/', 3) AS w FROM {pages}) s"""
 
-# Link-list pages without prose inside a platform's content element.
-LINK_LISTS = """
+# The platform's element instead of the page's article, around its own link list or around its whole body; or a
+# page that opens with a root of its own.
+_ELEMENT = """'<div class="' || CASE page_id % 3 WHEN 0 THEN 'document' WHEN 1 THEN 'markdown' ELSE 'markdown-section' END || '">'"""
+_PLAIN = "replace(replace(html, '<article>', '<section>'), '</article>', '</section>')"
+FALLBACK_PAGES = f"""
 SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 'sphinx' WHEN 1 THEN 'docusaurus' ELSE 'gitbook' END AS platform,
-  CASE WHEN page_id % 4 = 3 THEN replace(html, '<body>', '<body><main><p>intro text</p></main>') ELSE
-  '<html><body><div class="' || CASE page_id % 3 WHEN 0 THEN 'document' WHEN 1 THEN 'markdown' ELSE 'markdown-section' END
-  || '"><h1>Links</h1>' || chr(10) || '<ul><li><a href="/a">Article about ' || split_part(url, '/', 3)
-  || '</a></li>' || chr(10) || '  <li><a href="/b">Talk number ' || CAST(page_id AS STRING)
-  || '</a></li></ul></div></body></html>' END AS html
-FROM {pages}"""
+  CASE page_id % 4 WHEN 0 THEN replace(replace(html, '<article>', {_ELEMENT}), '</article>', '</div>')
+  WHEN 1 THEN replace(replace({_PLAIN}, '<nav>', {_ELEMENT}), '</nav>', '</div>')
+  WHEN 2 THEN replace(replace({_PLAIN}, '<body>', '<body>' || {_ELEMENT}), '</body>', '</div></body>')
+  ELSE replace(html, '<body>', '<body><main><p>intro text</p></main>') END AS html
+FROM {{pages}}"""
+
+# Every page's article in a page whose head, navigation or controls lack their end tags.
+_ARTICLE = "split_part(split_part(html, '<article>', 2), '</article>', 1)"
+_MENU = "'<nav><ul><li><a href=\"/a\">Home</a></li><li><a href=\"/b\">Documents</a></li></ul>'"
+UNCLOSED_PAGES = f"""
+SELECT page_id, url, CASE page_id % 7 WHEN 1 THEN '<html><head><title>t</title>' || {_ARTICLE}
+  WHEN 2 THEN '<html><body>' || {_MENU} || '<div>' || {_ARTICLE} || '</div></body></html>'
+  WHEN 3 THEN '<html><body><div>' || {_MENU} || '</div><div>' || {_ARTICLE} || '</div></body></html>'
+  WHEN 4 THEN '<html><body><select><option>English<option>French<div>' || {_ARTICLE} || '</div></body></html>'
+  WHEN 5 THEN '<html><body><button>Menu<div>' || {_ARTICLE} || '</div></body></html>'
+  WHEN 6 THEN '<html><body><p>out</p><main><aside>' || {_ARTICLE} || '</main><p>out</p></body></html>'
+  ELSE html END AS html
+FROM {{pages}}"""
 
 # A document tree on one host: page i links to 2i+1, 2i+2 and back to i/3, besides its own links.
 GRAPH_PAGES = """

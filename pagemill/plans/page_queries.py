@@ -150,7 +150,8 @@ def page_outcome(spark, sf):
 SELECT page_id, 0::BIGINT AS node_no, 'heading' AS kind, 1::BIGINT AS level, heading AS text FROM {_sql_article('pages')}
 UNION ALL SELECT page_id, generate_subscripts(paragraphs, 1)::BIGINT, 'para', 0, unnest(paragraphs) FROM {_sql_article('pages')}""")
 def content_nodes(spark, sf):
-    return (extract.content_nodes(d.rows(spark, sf, "pages")).select("page_id", F.posexplode("nodes").alias("node_no", "n"))
+    """The article's nodes, whether its page is well formed or leaves noise unclosed."""
+    return (extract.content_nodes(d.derive(spark, sf, d.UNCLOSED_PAGES)).select("page_id", F.posexplode("nodes").alias("node_no", "n"))
             .select("page_id", _long("node_no"), "n.kind", F.col("n.level").cast("bigint").alias("level"), "n.text"))
 
 
@@ -217,14 +218,18 @@ def page_markdown(spark, sf):
     return extract.extract_primary(_rich(spark, sf)).select("page_id", "markdown", "raw_title")
 
 
-# A page of links has no prose: the first selector that matches gives its raw text when that is long enough.
+# A list of links has no prose: its raw text counts when it is long enough.
+_SQL_LABELS = _decoded("trim(regexp_replace(split_part(split_part(html, '<nav>', 2), '</nav>', 1), '<[^>]+>', '', 'g'))")
+_SQL_AD = _decoded("trim(regexp_replace(split_part(split_part(html, '<div class=\"ad\">', 2), '</div>', 1), '\\s+', ' ', 'g'))")
+
+
 @query("extract_fallback", f"""
-SELECT page_id, CASE WHEN page_id % 4 = 3 THEN CASE platform WHEN 'gitbook' THEN 'intro text'
-  WHEN 'docusaurus' THEN {_SQL_MARKDOWN} ELSE '' END WHEN length(raw) >= 50 THEN raw ELSE '' END AS markdown
-FROM (SELECT *, 'Links' || {_NL} || 'Article about ' || split_part(url, '/', 3) || {_NL} || 'Talk number ' || page_id AS raw
-      FROM {_sql_article(o.derived(d.LINK_LISTS))})""")
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN {_SQL_MARKDOWN} WHEN 1 THEN CASE WHEN length(raw) >= 50 THEN raw ELSE '' END
+  WHEN 2 THEN ad || {_NL} || {_NL} || {_SQL_MARKDOWN}
+  ELSE CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN {_SQL_MARKDOWN} ELSE 'intro text' END END AS markdown
+FROM (SELECT *, {_SQL_LABELS} AS raw, {_SQL_AD} AS ad FROM {_sql_article('pages')})""")
 def extract_fallback(spark, sf):
-    return extract.extract_fallback(d.derive(spark, sf, d.LINK_LISTS)).select("page_id", "markdown")
+    return extract.extract_fallback(d.derive(spark, sf, d.FALLBACK_PAGES)).select("page_id", "markdown")
 
 
 # chunking ------------------------------------------------------------------------------------------
