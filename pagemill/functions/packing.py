@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 # The ranges of text.CJK in Python syntax, sentence ends, slicing and overlap units.
-_CJK_SET = "぀-ヿ㐀-䶿一-鿿豈-﫿가-힯"
+_CJK_SET = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uac00-\ud7af"
 _CJK = re.compile(f"[{_CJK_SET}]")
 _SENTENCE_END = re.compile(r"(?<=[。！？])(?=\S)|(?<=[.!?])\s+")
 _SLICE_UNIT = re.compile(rf"[{_CJK_SET}]|[^\s{_CJK_SET}]+|\s+")
@@ -118,10 +118,14 @@ def cut_oversized(text: str, limit: int) -> list[str]:
     return pieces + [held] if held else pieces
 
 
-def pack_blocks(blocks: list[dict], max_tokens: int, overlap: int) -> list[dict]:
-    """Chunks of ``{heading_path, text}`` blocks; a chunk is labelled with the path of its last block."""
+def pack_blocks(blocks: list[dict], max_tokens: int, overlap: int, tail: str = "", follows: bool = False) -> list[dict]:
+    """Chunks of ``{heading_path, text}`` blocks; a chunk is labelled with the path of its last block.
+
+    ``tail`` is the end of the text before the blocks; ``follows`` says that a chunk of plain blocks was closed there, so the
+    first chunk starts with it.
+    """
     chunks: list[dict] = []
-    held, held_cjk, path, tail = "", 0, [], ""
+    held, held_cjk, path = "", 0, []
 
     def add(where: list[str], cost: int, text: str) -> None:
         chunks.append({"heading_path": where, "tokens": cost, "text": text})
@@ -140,12 +144,12 @@ def pack_blocks(blocks: list[dict], max_tokens: int, overlap: int) -> list[dict]
                 add(block["heading_path"], _cost(joined), joined)
                 tail = _tail(piece, overlap)
             held, held_cjk = "", 0
-        elif held and full:
+        elif follows or held and full:
             held = f"{tail}\n\n{text}" if tail else text
             held_cjk = _cjk(held)
         else:
             held, held_cjk = f"{held}\n\n{text}".strip(), held_cjk + cjk
-        path = block["heading_path"]
+        path, follows = block["heading_path"], False
     if held:
         add(path, _tokens(held_cjk, len(held)), held.strip())
     return chunks
@@ -159,6 +163,34 @@ def _packer(max_tokens: int, overlap: int):
     return pack
 
 
+@lru_cache(maxsize=None)
+def _part_packer(max_tokens: int, overlap: int):
+    @F.arrow_udf(from_arrow_type(_CHUNKS))
+    def pack(blocks: pa.Array, tails: pa.Array, follows: pa.Array) -> pa.Array:
+        return pa.array([pack_blocks(b or [], max_tokens, overlap, t or "", bool(f)) for b, t, f in
+                         zip(blocks.to_pylist(), tails.to_pylist(), follows.to_pylist())], _CHUNKS)
+    return pack
+
+
+def starts_of_parts(lengths: list[int], size: int) -> list[int]:
+    """First blocks of the parts of a text: a part is closed once it holds ``size`` characters."""
+    starts, held = [], size
+    for no, length in enumerate(lengths):
+        if held >= size:
+            starts.append(no)
+            held = 0
+        held += length
+    return starts
+
+
+@lru_cache(maxsize=None)
+def _part_finder(size: int):
+    @F.arrow_udf(from_arrow_type(pa.list_(pa.int32())))
+    def find(lengths: pa.Array) -> pa.Array:
+        return pa.array([starts_of_parts(v or [], size) for v in lengths.to_pylist()], pa.list_(pa.int32()))
+    return find
+
+
 @lru_cache(maxsize=None)
 def _cutter(max_tokens: int):
     @F.arrow_udf(from_arrow_type(pa.list_(pa.string())))
@@ -171,5 +203,13 @@ def chunks_of(blocks: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERL
     return _packer(max_tokens, overlap)(blocks)
 
 
+def part_starts(lengths: Column, size: int) -> Column:
+    return _part_finder(size)(lengths)
+
+
+def part_chunks(blocks: Column, tail: Column, follows: Column, max_tokens: int, overlap: int) -> Column:
+    return _part_packer(max_tokens, overlap)(blocks, tail, follows)
+
+
 def split_oversized(text: Column, max_tokens: int) -> Column:
     return _cutter(max_tokens)(text)

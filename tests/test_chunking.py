@@ -5,8 +5,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as t
-from pagemill.functions.packing import _cost, cut_oversized, pack_blocks
-from pagemill.operators.chunking import chunk_documents, split_blocks
+from pagemill.functions.packing import _cost, _tail, cut_oversized, pack_blocks, starts_of_parts
+from pagemill.operators.chunking import chunk_documents, chunk_parts, corpus_rows, split_blocks
 
 from test_urls import one
 
@@ -147,3 +147,43 @@ def test_same_chunks_for_any_partitioning(spark):
     for i in range(40):
         seqs = [r.seq for r in one_ if r.id == i]
         assert sorted(seqs) == list(range(len(seqs)))
+
+
+def packed_in_parts(markdown, max_tokens, overlap, size):
+    """Plain version of ``chunk_parts``."""
+    found = [{"heading_path": p, "text": x} for p, x in stack_blocks(markdown)]
+    starts = starts_of_parts([len(b["text"]) for b in found], size)
+    out = []
+    for no, (start, end) in enumerate(zip(starts, starts[1:] + [len(found)])):
+        before = found[starts[no - 1]:start] if no else []
+        out += pack_blocks(found[start:end], max_tokens, overlap, _tail("\n\n".join(b["text"] for b in before), overlap),
+                           bool(before) and _cost(before[-1]["text"]) <= max_tokens)
+    return [(c["heading_path"], c["tokens"], c["text"]) for c in out]
+
+
+def test_parts(spark):
+    """Long texts in parts: many of them, the overlap carried on, numbers without gaps, other columns kept."""
+    section = "{h} Part {n}\n\n" + "Some words in a row. " * 4 + "{x}\n\n"
+    texts = ["".join(section.format(h="#" * (1 + n % 4), n=n, x="long tail " * (60 if n % 5 == 2 else n % 3)) for n in range(k))
+             for k in (40, 1, 7)] + ["", None, CJK_DOC * 9, "no heading " * 300, "# only\n" * 50]
+    frame = spark.createDataFrame(list(enumerate(texts)), "part int, markdown string").withColumnRenamed("part", "id")
+    rows = sorted(chunk_parts(frame, 60, 8, 500).collect(), key=lambda r: (r.id, r.seq))
+    for i, text in enumerate(texts):
+        got = [r for r in rows if r.id == i]
+        assert [r.seq for r in got] == list(range(len(got)))
+        assert [(r.heading_path, r.tokens, r.text) for r in got] == (packed_in_parts(text, 60, 8, 500) if text else [])
+    assert len(starts_of_parts([len(x) for _, x in stack_blocks(texts[0])], 500)) > 5
+
+
+def test_one_part_equals_the_whole(spark):
+    docs = [(i, CJK_DOC * (i + 1) + "word " * (i * 37)) for i in range(12)]
+    frame = spark.createDataFrame(docs + docs[:2], "id int, markdown string")
+    assert sorted(chunk_parts(frame, 60, 8).collect()) == sorted(chunk_documents(frame, 60, 8).collect())
+
+
+def test_corpus_rows_of_both_kinds(spark):
+    pages = [("s", f"u{i}", "p", "t", CJK_DOC * n, e) for i, (n, e) in enumerate([(1, ""), (40, ""), (40, "HTTP 404"), (0, "")])]
+    frame = spark.createDataFrame(pages, "site string, url string, path string, title string, markdown string, error string")
+    rows = sorted(corpus_rows(frame, 60, 8, 300).collect(), key=lambda r: (r.url, r.seq))
+    assert [(r.url, r.seq) for r in rows if r.url == "u1"] == [("u1", i) for i in range(len(packed_in_parts(CJK_DOC * 40, 60, 8, 300)))]
+    assert {r.url for r in rows} == {"u0", "u1"} and [r.seq for r in rows if r.url == "u0"] == [0]
