@@ -136,40 +136,50 @@ def sitemap_tree(candidates: DataFrame, sites: DataFrame, resources: DataFrame,
                  children: int | None = None, depth: int | None = None) -> DataFrame:
     """``(site, ord, url)`` of all sitemap files reachable from ``candidates``.
 
-    One join of the current level with ``resources`` per depth. ``ord`` is a text key that sorts in visit
-    order: a file's children ('0' + child number) come before its own URLs ('1' + position). Every file is read
-    once per site, where it is met first, level by level; so cycles end and nothing is left out.
+    Every file is parsed once, however many sites or levels meet it; the walk joins the current level with narrow edges.
+    ``ord`` is a text key that sorts in visit order: a file's children ('0' + child number) come before its own
+    URLs ('1' + position). Every file is read once per site, where it is met first, level by level; so cycles end and
+    nothing is left out.
 
     The limits are off unless asked for: ``children`` followed per file, ``depth`` of the recursion (a file may
     then be read again on another way), and ``guard``: no file is entered once more URLs were collected before it.
     """
-    rules = _rules(sites)
-    bodies = resources.filter((F.col("status") == 200) & (F.length("html") > 0)).select("url", "html")
-    level = candidates.select("site", _digits(F.col("ord")).alias("file"), "url")
-    found, read, at = [], None, 0
-    while depth is None or at <= depth:
+    own, edges, names = _sitemap_tables(candidates, resources, children)
+    level = candidates.select("site", _digits(F.col("ord")).alias("file"), "url").join(names, "url", "left_semi")
+    visited: list[DataFrame] = []
+    while True:
         if depth is None:
             level = level.groupBy("site", "url").agg(F.min("file").alias("file"))
-            level = level if read is None else level.join(read, ["site", "url"], "left_anti")
-        locs = written(level.join(bodies, "url").select("site", "file", "url", sitemap_locs(F.col("html")).alias("locs")),
-                       "locs")
-        own = (locs.select("site", "file", F.posexplode("locs").alias("pos", "loc"))
-               .select("site", "file", "pos", once(normalize_url(F.col("loc"))).alias("url"))
-               .filter(F.col("url").isNotNull()))
-        own = with_host_path(own, "url").join(rules, "site").filter((F.col("host") == F.col("origin")) & _passes())
-        found.append(own.select(
-            "site", "file", F.concat("file", F.lit("1"), _digits(F.col("pos"))).alias("ord"), "url"))
-        if locs.isEmpty():
+            if visited:
+                seen = reduce(DataFrame.unionByName, visited).select("site", "url")
+                level = level.join(seen, ["site", "url"], "left_anti")
+        visited.append(written(level.select("site", "file", "url"), "level"))
+        if visited[-1].isEmpty() or len(visited) - 1 == depth:
             break
-        done = locs.select("site", "url")
-        read = done if read is None else read.unionByName(done)
-        child = F.filter("locs", _sitemap_name)
-        child = child if children is None else F.slice(child, 1, children)
-        level = (locs.select("site", "file", F.posexplode(child).alias("pos", "url"))
-                 .select("site", F.concat("file", F.lit("0"), _digits(F.col("pos"))).alias("file"), "url"))
-        at += 1
-    urls = written(reduce(DataFrame.unionByName, found), "sitemap")
-    return (urls if guard is None else _guarded(urls, guard)).select("site", "ord", "url")
+        level = (visited[-1].join(edges, "url")
+                 .select("site", F.concat("file", F.lit("0"), _digits(F.col("pos"))).alias("file"), F.col("child").alias("url")))
+    urls = (reduce(DataFrame.unionByName, visited).join(own, "url").join(_rules(sites), "site")
+            .filter((F.col("host") == F.col("origin")) & _passes())
+            .select("site", "file", F.concat("file", F.lit("1"), _digits(F.col("pos"))).alias("ord"), F.col("found").alias("url")))
+    return (urls if guard is None else _guarded(written(urls, "sitemap"), guard)).select("site", "ord", "url")
+
+
+def _sitemap_tables(candidates: DataFrame, resources: DataFrame, children: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the sitemap files say: ``(url, pos, found, host, path)`` of their canonical URLs, ``(url, pos, child)`` of
+    the files they name among those stored, and the ``url`` of every file. A file counts by its name, or as a candidate."""
+    bodies = resources.filter((F.col("status") == 200) & (F.length("html") > 0)).select("url", "html")
+    starts = small_side(candidates.select("url").distinct(), "starts")
+    named = _sitemap_name(F.col("url"))
+    bodies = bodies.filter(named).unionByName(bodies.filter(~named).join(starts, "url", "left_semi"))
+    files = written(bodies.select("url", once(sitemap_locs(F.col("html"))).alias("locs")), "files")
+    names = small_side(files.select("url").distinct(), "names")
+    own = (files.select("url", F.posexplode("locs").alias("pos", "loc"))
+           .select("url", "pos", once(normalize_url(F.col("loc"))).alias("found")).filter(F.col("found").isNotNull()))
+    child = F.filter("locs", _sitemap_name)
+    child = child if children is None else F.slice(child, 1, children)
+    edges = (files.select(F.col("url").alias("file"), F.posexplode(child).alias("pos", "url")).join(names, "url", "left_semi")
+             .select(F.col("file").alias("url"), "pos", F.col("url").alias("child")))
+    return small_side(with_host_path(own, "found"), "own"), small_side(edges, "edges"), names
 
 
 def _guarded(urls: DataFrame, guard: int) -> DataFrame:
