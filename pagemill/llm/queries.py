@@ -95,7 +95,7 @@ _QUERIES = (op1_url_aliases, op2_secret_links, op3_order_minhash, op4_length_his
             op6_lattice_sampling, op7_bayes_dedup, op8_site_lines, op9_pq_dedup, op10_weighted_mix, op11_suffix_dedup,
             op12_ball_tree, op13_turn_repair)
 
-# The tables' pages name no redirects and no canonical links, so only URL forms make aliases here.
+# The tables' pages name no redirects and no canonical links, so every class here is one URL form and its URLs.
 _ORACLE_1 = """
 WITH raw AS (SELECT page_id, url, url LIKE '%://%' AS known, regexp_extract(url, '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
 p AS (SELECT page_id, url, known,

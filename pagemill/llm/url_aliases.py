@@ -64,36 +64,47 @@ def url_edges(pages: DataFrame) -> DataFrame:
             .select("url", resolve_url(F.col("url"), F.col("_stated")).alias("target")).filter("target is not null"))
 
 
+def _url_node(url: Column) -> Column:
+    return F.when(url.contains("://"), F.concat(F.lit("u"), url))
+
+
+def alias_edges(urls: DataFrame, edges: DataFrame) -> DataFrame:
+    """Distinct ``(a, b)`` between nodes: every URL and its canonical form, every URL and each of its targets.
+
+    Nodes are texts, 'u' and a URL or 'f' and a form, so that no form is taken for a URL.
+    """
+    all_urls = urls.select("url").union(edges.select("url")).union(edges.select("target"))
+    forms = all_urls.select(_url_node(F.col("url")).alias("a"), F.concat(F.lit("f"), canonical_form(F.col("url"))).alias("b"))
+    stated = edges.select(_url_node(F.col("url")).alias("a"), _url_node(F.col("target")).alias("b"))
+    return forms.union(stated).filter("a is not null and b is not null").distinct()
+
+
 def judge_urls(urls: DataFrame, edges: DataFrame, rules=RULES, key: str = "page_id") -> DataFrame:
     """``(key, host, path, rule, verdict, propagated)`` for every row of ``urls`` (columns ``key`` and ``url``).
 
-    A URL with a rule gets that rule's verdict. All others get the decision of their redirect class: URLs of
-    one canonical form and URLs joined by ``edges (url, target)`` are aliases; a class with an allowed member
-    is allowed, else one with a blocked member is blocked, else allowed. Targets count as members even where
+    A URL with a rule gets that rule's verdict. All others get the decision of their redirect class, a connected
+    component over the edges between URLs and their canonical forms and over ``edges (url, target)``; a class with an
+    allowed member is allowed, else one with a blocked member is blocked, else allowed. Targets count as members even where
     they are no row themselves. Null URLs and URLs without ``://`` have empty host and path, no rule and no
     alias: allowed. Repeated rows are judged alike and all returned; empty tables give an empty result;
     further columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
-    known = urls.select(F.col(key).alias("_key"), host.alias("host"), path.alias("path"), canonical_form(F.col("url")).alias("node"))
+    known = urls.select(F.col(key).alias("_key"), "url", host.alias("host"), path.alias("path"))
     known = written(known.withColumn("fit", rule_struct(F.col("host"), F.col("path"), rules)), "judged")
     edges = written(edges.select("url", "target"), "stated")  # long expressions end here
-    links = edges.select(canonical_form(F.col("url")).alias("a"), "target")
+    classes = components(written(alias_edges(known, edges), "alias_edges"))
+    root = small_side(classes.select(F.col("id").alias("node"), F.col("component").alias("root")), "classes")
+    known = known.withColumn("node", _url_node(F.col("url"))).drop("url")
     t_host, t_path = host_and_path(F.col("target"))
-    links = written(links.withColumn("b", canonical_form(F.col("target")))
-                    .withColumn("action", rule_struct(t_host, t_path, rules).action).drop("target")
-                    .filter("a is not null and b is not null"), "alias_edges")
-    classes = components(links)
-    said = (known.select("node", F.col("fit.action").alias("action"))
-            .union(links.select(F.col("b").alias("node"), "action")).filter("node is not null and action is not null")
-            .groupBy("node").agg(F.bool_or(F.col("action") == "allow").alias("allowed"),
-                                 F.bool_or(F.col("action") == "block").alias("blocked")))
-    root = small_side(classes.select(F.col("id").alias("node"), "component"), "classes")
-    decided = (said.join(root, "node", "left").groupBy(F.coalesce("component", "node").alias("root"))
-               .agg(F.when(F.bool_or("allowed"), "allow").when(F.bool_or("blocked"), "block").alias("decision")))
+    targets = edges.select(_url_node(F.col("target")).alias("node"), rule_struct(t_host, t_path, rules).action.alias("action"))
+    # The members' own decisions, a row per URL before they meet in their class.
+    said = (known.select("node", F.col("fit.action").alias("action")).union(targets)
+            .filter("node is not null and action is not null").distinct())
+    decided = (said.join(root, "node").groupBy("root")
+               .agg(F.when(F.bool_or(F.col("action") == "allow"), "allow").otherwise("block").alias("decision")))
     decided = small_side(decided, "decided")
-    return (known.join(root, "node", "left").withColumn("root", F.coalesce("component", "node"))
-            .join(decided, "root", "left")
+    return (known.join(root, "node", "left").join(decided, "root", "left")
             .select(F.col("_key").alias(key), "host", "path", F.col("fit.rule").alias("rule"),
                     F.coalesce("fit.action", "decision", F.lit("allow")).alias("verdict"),
                     (F.col("fit").isNull() & F.col("decision").isNotNull()).alias("propagated")))

@@ -1,4 +1,4 @@
-"""Credential links and order sketches against plain Python, and rows that repeat."""
+"""URL classes, credential links and order sketches against plain Python, and rows that repeat."""
 
 import random
 import re
@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pagemill.llm import order_minhash, secret_links
+from pagemill.llm import order_minhash, secret_links, url_aliases
 
 SCOPE = secret_links.SCOPE
 
@@ -117,3 +117,64 @@ def test_fingerprints_of_rows_match_plain_python(spark, texts):
         assert (got[i].n_chars, got[i].edited) == (len(text), edited)
         assert got[i].sketch == plain_sketches(text) and got[i].edited_sketch == plain_sketches(edited)
         assert got[i].next_sketch == plain_sketches(following)
+
+
+def plain_verdicts(urls, edges):
+    """Verdict per URL by union-find over URLs and their forms."""
+    def parts(url):
+        rest = url.split("://", 1)[1]
+        host = re.match("[^/?#]*", rest)[0]
+        return host.lower(), re.match("[^?#]*", rest[len(host):])[0]
+
+    def form(url):
+        host, path = parts(url)
+        path = re.sub(r"/+\Z", "", re.sub(r"/index\.html?\Z", "", path))
+        query = re.match(r"[^?#]*(?:\?([^#]*))?", url)[1] or ""
+        kept = [q for q in query.split("&") if q and not re.match(r"(utm_[a-z]+|ref|gclid|fbclid)=", q)]
+        return "form", host + path + ("?" + "&".join(kept) if kept else "")
+
+    def action(url):
+        host, path = parts(url)
+        fits = [(len(h + p), a) for a, h, p in url_aliases.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    up = {}
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    good = [u for u in urls if u and "://" in u] + [u for e in edges for u in e]
+    for u in good:
+        up[find(u)] = find(form(u))
+    for a, b in edges:
+        up[find(a)] = find(b)
+    said = {}
+    for u in good:
+        said.setdefault(find(u), set()).add(action(u))
+    def verdict(u):
+        if not u or "://" not in u:
+            return "allow", False
+        told = said[find(u)]
+        return (action(u) or ("allow" if "allow" in told or "block" not in told else "block"),
+                action(u) is None and told != {None})
+    return [verdict(u) for u in urls]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_classes_match_union_find(spark, seed):
+    """Chains of forms, redirects and allowed members; a hub of many URLs; repeated, null and odd URLs."""
+    rng = random.Random(seed)
+    hosts = [f"h{i}.org" for i in range(25)] + ["a.net", "b.net", "sub.example.com", "x.org", "WWW.h3.org"]
+    def url():
+        return (rng.choice(["http", "https"]) + "://" + rng.choice(hosts) + rng.choice(["/p", "/q/r", "/es/a", "/fr/b", "/en/c"])
+                + rng.choice(["", "/", "//", "/index.html", "/index.htm"]) + rng.choice(["", "?ref=1", "?a=1&utm_source=x", "?a=1", "#f"]))
+    urls = [url() for _ in range(250)] + [None, "", "nothing", "://"] + [f"http://hub.org/p?utm_source=s{i}" for i in range(200)]
+    urls += urls[:20]
+    edges = [(url(), url()) for _ in range(12)] + [("http://hub.org/p#1", "http://c1.org/"), ("https://c1.org", "http://bad.net/es/1")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumn("root", F.lit("clash"))
+    links = spark.createDataFrame(edges, "url string, target string")
+    got = {r.page_id: (r.verdict, r.propagated) for r in url_aliases.judge_urls(pages, links).collect()}
+    want = dict(enumerate(plain_verdicts(urls, edges)))
+    assert {i: (urls[i], got[i], want[i]) for i in want if got[i] != want[i]} == {}
+    assert len(got) == len(urls) and sum(p for _, p in got.values()) >= 200
