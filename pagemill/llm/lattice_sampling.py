@@ -82,24 +82,34 @@ class Lattice:
     """Edges of distinct units, grouped by start, longest first.
 
     ``log`` is the log share of a start's mass that takes an edge, ``until`` the running share up to and with it.
-    Units stay from group to group, so a unit is weighed once, until ``UNIT_CHARS`` are held and all start anew.
+    Units stay from group to group, so a unit is weighed once, until ``unit_chars`` are held and all start anew.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.numbers = vocabulary, {}
-        self.first, self.end, self.piece = (np.zeros(n, np.int32) for n in (1, 0, 0))
+    def __init__(self, vocabulary: Vocabulary, unit_chars: int = UNIT_CHARS):
+        self.vocabulary, self.numbers, self.unit_chars, self.room = vocabulary, {}, unit_chars, {}
+        self.first, self.start, self.end, self.piece = (np.zeros(n, np.int32) for n in (1, 0, 0, 0))
         self.log, self.until, self.alone = np.zeros(0), np.zeros(0, np.float32), np.zeros(0, bool)
         self.chars = np.zeros(0, np.int32)
         self.unit_start, self.unit_end = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _extend(self, name: str, values: np.ndarray) -> None:
+        """Append in place; an array out of room moves to one of twice its size, so old edges are seldom copied."""
+        held = getattr(self, name)
+        size, room = len(held) + len(values), self.room.get(name)
+        if room is None or len(room) < size:
+            room = self.room[name] = np.empty(max(size, 2 * len(held)), held.dtype)
+            room[:len(held)] = held
+        room[len(held):size] = values
+        setattr(self, name, room[:size])
+
     def start_of(self, edges):
         """The place where an edge, or each of some edges, begins."""
-        return np.searchsorted(self.first, edges, "right") - 1
+        return self.start[edges].astype(np.int64)
 
     def number(self, units: list[str]) -> np.ndarray:
         """The number of each unit; those not held yet are added."""
-        if len(self.chars) > UNIT_CHARS:
-            self.__init__(self.vocabulary)
+        if len(self.chars) > self.unit_chars:
+            self.__init__(self.vocabulary, self.unit_chars)
         new = [u for u in units if u not in self.numbers]
         if new:
             self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
@@ -135,18 +145,16 @@ class Lattice:
         several = np.diff(first)
         until = self._running(np.exp(log), first, several)
         at, edges = len(self.chars), len(self.end)
-        # array by array, so that no more than one is held twice
-        self.first = np.concatenate([self.first, (first[1:] + edges).astype(np.int32)])
-        del start, inner, after, short, first
-        self.end = np.concatenate([self.end, (end + at).astype(np.int32)])
-        self.piece = np.concatenate([self.piece, piece])
-        del end, piece
-        self.log = np.concatenate([self.log, log])
-        self.until = np.concatenate([self.until, until])
-        self.alone = np.concatenate([self.alone, np.repeat(several == 1, several)])
-        self.chars = np.concatenate([self.chars, chars.astype(np.int32)])
-        self.unit_start = np.concatenate([self.unit_start, ends - sizes + at])
-        self.unit_end = np.concatenate([self.unit_end, ends + at])
+        self._extend("first", first[1:] + edges)
+        self._extend("start", start + at)
+        self._extend("end", end + at)
+        self._extend("piece", piece)
+        self._extend("log", log)
+        self._extend("until", until)
+        self._extend("alone", np.repeat(several == 1, several))
+        self._extend("chars", chars)
+        self._extend("unit_start", ends - sizes + at)
+        self._extend("unit_end", ends + at)
 
     def _edges(self, chars: np.ndarray, unit_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(start, end, piece)`` of all pieces at all places, by place, the longest first: mostly the likeliest."""
@@ -469,25 +477,27 @@ _SAMPLE = "ids array<int>, log_prob double, perturbed double, inclusion double"
 
 
 def encode_samples(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", samples: int = SAMPLES,
-                   seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+                   seed: int = SEED, carry: tuple[str, ...] = (), group_chars: int = GROUP_CHARS,
+                   unit_chars: int = UNIT_CHARS) -> DataFrame:
     """``(key, *carry, sample, ids, log_prob, perturbed, inclusion)``: distinct segmentations of each whole text, best first.
 
     The draws depend on the row's key and the seed only. A null or empty text has one segmentation, the empty one.
     A text with fewer segmentations than asked for gives all it has, each certain to be included (score 0).
     Repeated rows are sampled alike; a null key is a key of its own. An empty table gives an empty result.
+    Larger ``group_chars`` and ``unit_chars`` take memory and save processor time; they change no draw.
     """
     names = [key, *carry]
     schema = docs.select(*names).withColumn("sample", F.lit(0)).schema.simpleString()[len("struct<"):-1] + ", " + _SAMPLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary)
+        lattice = Lattice(vocabulary, unit_chars)
         for batch in batches:
             texts = [t or "" for t in batch.column(len(names) + 1).to_pylist()]
             keys = np.asarray(batch.column(len(names))).astype(np.int64).view(np.uint64)
             at = 0
             while at < len(texts):
                 held, stop = 0, at
-                while stop < len(texts) and (held == 0 or held + len(texts[stop]) <= GROUP_CHARS):
+                while stop < len(texts) and (held == 0 or held + len(texts[stop]) <= group_chars):
                     held += len(texts[stop])
                     stop += 1
                 found = sample_group(texts[at:stop], keys[at:stop], lattice, samples)

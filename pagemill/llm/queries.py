@@ -51,7 +51,7 @@ def op5_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = lattice_sampling.load_vocabulary(f"{lattice_sampling.TOKENIZERS}/{lattice_sampling.MODEL}")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    found = lattice_sampling.encode_samples(docs, vocabulary, carry=("text_hash",))
+    found = lattice_sampling.encode_samples(docs, vocabulary, carry=("text_hash",), unit_chars=1_200_000)
     return found.select(
         "doc_id", "sample", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob",
         "inclusion", (F.xxhash64(lattice_sampling.decode_ids(F.col("ids"), vocabulary)) == F.col("text_hash")).alias("round_trip"))
