@@ -14,20 +14,23 @@ from .text import strip
 from .urls import host_of, normalize_url, path_ext, resolve_url, url_path
 
 # Extensions of static assets and data files.
-ASSET_EXTENSIONS = (
-    ".pdf .zip .gz .tar .7z .png .jpg .jpeg .gif .webp .svg .ico .css .js .woff .woff2 .mp4 .webm .mp3 "
-    ".exe .msi .dmg .iso .rss .xml .json .yaml .yml .md .txt .csv .doc .docx .xls .xlsx .ppt .pptx"
-).split()
+ASSET_EXTENSIONS = [
+    ".pdf", ".zip", ".gz", ".tar", ".7z", ".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg", ".ico", ".css", ".js",
+    ".woff", ".woff2", ".mp4", ".webm", ".mp3", ".exe", ".msi", ".dmg", ".iso", ".rss", ".xml", ".json", ".yaml",
+    ".yml", ".md", ".txt", ".csv", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx",
+]
 
 # Path parts that mark pages without content.
-NOISE_PARTS = ("/search /login /signup /account /cart /checkout /feed /rss /atom /wp- /xmlrpc /trackback "
-               "/privacy /terms").split()
+NOISE_PARTS = [
+    "/search", "/login", "/signup", "/account", "/cart", "/checkout", "/feed", "/rss", "/atom", "/wp-", "/xmlrpc",
+    "/trackback", "/privacy", "/terms",
+]
 
 # Paths excluded for every site (globs without wildcards, so exact paths).
-DEFAULT_EXCLUDES = (
-    "/search /tags /categories /feed /rss /atom /404 /login /signup /account /admin /logout /_sources "
-    "/_static /objects.inv /genindex /py-modindex /~gitbook /sitemap"
-).split()
+DEFAULT_EXCLUDES = [
+    "/search", "/tags", "/categories", "/feed", "/rss", "/atom", "/404", "/login", "/signup", "/account", "/admin",
+    "/logout", "/_sources", "/_static", "/objects.inv", "/genindex", "/py-modindex", "/~gitbook", "/sitemap",
+]
 
 
 def contains_any(text: Column, parts) -> Column:

@@ -32,21 +32,27 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _BLANKS = re.compile(r"[ \t\r\n\f\v]+")
 
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_NOISE = frozenset("head title nav header footer aside button select".split())
+_VOID = frozenset({
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr",
+})
+_NOISE = frozenset({"head", "title", "nav", "header", "footer", "aside", "button", "select"})
 # Elements whose end tag also closes what stands open inside them; cells and tables hide what is outside.
-_CELLS = frozenset("table caption td th".split())
-_SCOPES = _NOISE | _CELLS | frozenset("html body main article section div form fieldset details figure center address ul ol dl "
-                                      "blockquote".split())
+_CELLS = frozenset({"table", "caption", "td", "th"})
+_SCOPES = _NOISE | _CELLS | frozenset({
+    "html", "body", "main", "article", "section", "div", "form", "fieldset", "details", "figure", "center",
+    "address", "ul", "ol", "dl", "blockquote",
+})
 # What an element without an end tag may still hold; anything else ends it.
-_HEAD_TAGS = frozenset("title meta link base".split())
-_SELECT_TAGS = frozenset("option optgroup hr".split())
+_HEAD_TAGS = frozenset({"title", "meta", "link", "base"})
+_SELECT_TAGS = frozenset({"option", "optgroup", "hr"})
 _HEADINGS = {f"h{n}": n for n in range(1, 7)}
 _MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "tt": "`", "kbd": "`",
           "s": "~~", "strike": "~~", "del": "~~", "a": ""}
 _CODE = frozenset(("code", "tt", "kbd"))
-_BREAKS = frozenset("p div section article main body ul ol dl dt dd figure figcaption details summary address hr "
-                    "blockquote table caption pre li tr td th".split()) | _HEADINGS.keys()
+_BREAKS = frozenset({
+    "p", "div", "section", "article", "main", "body", "ul", "ol", "dl", "dt", "dd", "figure", "figcaption",
+    "details", "summary", "address", "hr", "blockquote", "table", "caption", "pre", "li", "tr", "td", "th",
+}) | _HEADINGS.keys()
 
 
 def _attributes(text: str) -> dict[str, str]:

@@ -7,18 +7,18 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPHINX_NOISE = "/_sources/ /_static/ /genindex /py-modindex /search /objects.inv /.doctrees".split()
+_SPHINX_NOISE = ["/_sources/", "/_static/", "/genindex", "/py-modindex", "/search", "/objects.inv", "/.doctrees"]
 _SPHINX_ROOTS = ("[role='main']", "div.document", ".body")
 
 # Noise path parts per platform.
 NOISE: dict[str, list[str]] = {
     "sphinx": _SPHINX_NOISE,
     "readthedocs": _SPHINX_NOISE,
-    "docusaurus": "/search /tags/ /assets/ /img/".split(),
-    "mkdocs": "/search.html /404.html /sitemap.xml".split(),
-    "gitbook": "/~gitbook/ /search".split(),
-    "vuepress": "/assets/ /search".split(),
-    "hugo": "/tags/ /categories/".split(),
+    "docusaurus": ["/search", "/tags/", "/assets/", "/img/"],
+    "mkdocs": ["/search.html", "/404.html", "/sitemap.xml"],
+    "gitbook": ["/~gitbook/", "/search"],
+    "vuepress": ["/assets/", "/search"],
+    "hugo": ["/tags/", "/categories/"],
 }
 
 # Content selectors per platform, best first.
