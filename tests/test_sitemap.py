@@ -1,6 +1,8 @@
 """Sitemap files, odd ones included."""
 
 import random
+import time
+from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
@@ -20,7 +22,13 @@ _FILES = [
     ("<loc>", []), ("", []), (None, []), ("plain text", []), ("<html><body><p>404</p></body></html>", []),
     ('<!DOCTYPE x [<!ENTITY e "v">]><urlset><url><loc>&e;&unknown;</loc></url></urlset>', None),
     ("<urlset>\x00\x01<url><loc>퟿</loc></url></urlset>", None), ("<a>" * 3000, []), ("<url><loc>x</loc></url>", None),
-    ("<urlset><url>text<loc>https://s.org/5</loc></url></urlset>", None), ("<urlset>only text</urlset>", []),
+    ("<urlset><!-- <loc>https://s.org/no</loc> --><loc lang='x'>https://s.org/10</loc><loc /><url><loc>a<b/>c</loc></url></urlset >\n",
+     ["https://s.org/10", "a"]),
+    ("<urlset><loc>&#233;&#x1F600;&#38;lt;&amp;#65;&#xD800;&#9;&lt;&quot;</loc><loc>x&copy=1</loc></urlset>",
+     ["é😀&lt;&#65;&#xD800;\t<\"", "x&copy=1"]),
+    ("<urlset><loc>a<![CDATA[&amp;<!-- b -->]]>&amp;<![CDATA[]]>c</loc></urlset>", ["a&amp;<!-- b -->&c"]),
+    ("<urlset><loc>a</loc><!-- open</urlset>", []), ("<urlset><loc>a</loc><![CDATA[ open</urlset>", []),
+    ("text<urlset><url>text<loc>https://s.org/5</loc></url></urlset>", None), ("<urlset>only text</urlset>", []),
 ]
 
 
@@ -41,3 +49,31 @@ def test_damaged_files_do_not_fail(spark):
         damaged.append(("".join(text),))
     rows = spark.createDataFrame(damaged, "body string")
     assert rows.filter(sitemap_locs(F.col("body")).isNotNull()).count() == 300
+
+
+def test_whole_files_as_an_xml_parser_reads_them(spark):
+    rng = random.Random(11)
+    pieces = ["https://s.org/a", "&amp;", "&lt;", "&#65;", "&#xe9;", "é", " ", "<![CDATA[&x;]]>", "<!-- c -->", "\n", "?q=1", "]", "-", ">"]
+    files = []
+    for _ in range(300):
+        prefix = rng.choice(["", "", "s:"])
+        space = f' xmlns{":s" if prefix else ""}="n" xmlns:i="m"'
+        locs = [rng.choice(["{0}loc", "{0}loc", "i:loc", "{0}lastmod"]).format(prefix) for _ in range(rng.randint(0, 5))]
+        inner = "".join(f"<{prefix}url><{n}>{''.join(rng.choices(pieces, k=rng.randint(0, 6)))}</{n}></{prefix}url>" for n in locs)
+        files.append(f"{rng.choice(['', '<?xml version=\'1.0\'?>'])}<{prefix}urlset{space}>{inner}</{prefix}urlset>".replace("]]]>", "]]>"))
+    want = []
+    for text in files:
+        root = ElementTree.fromstring(text)
+        want.append([n.text for n in root.iter(root.tag.replace("urlset", "loc")) if n.text])
+    rows = spark.createDataFrame(list(enumerate(files)), "i int, body string").select("i", sitemap_locs(F.col("body")).alias("locs"))
+    got = {r.i: r.locs for r in rows.collect()}
+    for i, text in enumerate(files):
+        assert got[i] == want[i], text
+
+
+def test_openers_that_never_close_are_read_once(spark):
+    bodies = [(f"<urlset>{opener * (500_000 // len(opener))}</urlset>",) for opener in
+              ("<!--", "<![CDATA[", "<loc>", "<loc ", "<loc><![CDATA[", "</a ", "</", "<?", "&#", "<loc>&#")]
+    rows = spark.createDataFrame(bodies, "body string").select(F.size(sitemap_locs(F.col("body"))).alias("n"))
+    began = time.time()
+    assert len(rows.collect()) == len(bodies) and time.time() - began < 20
