@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.platforms import known_adapter
 from ..operators import discovery, frontier, reports
 from ..operators.links import link_graph
-from ..operators.ranking import rank_in_group
 from ..sources.sitemap import sitemap_locs as locs_of
 from . import derived as d
 from . import oracle as o
@@ -229,8 +228,7 @@ def discover(spark, sf):
     bases = sites.select(F.regexp_replace("url", "/docs/$", "").alias("base"), F.expr("CAST(substr(site, 2) AS BIGINT)").alias("page_id"))
     resources = texts.unionByName(spark.sql(_SITE_FILES, bases=bases))
     urls, full = discovery.discover(sites, discovery.written(resources, "resources"))
-    urls = rank_in_group(urls, ["site"], ["ord"], "pos")
-    return urls.select("site", "source", F.col("pos").alias("ord"), "url").unionByName(
+    return urls.select("site", "source", F.col("ord").cast("bigint").alias("ord"), "url").unionByName(
         full.select("site", F.lit("llms-full").alias("source"), F.lit(1).cast("bigint").alias("ord"), "url"))
 
 
