@@ -32,30 +32,56 @@ def signs(node: Column) -> Column:
     return F.length(F.regexp_replace(node["text"], f"[{SPACE}]", ""))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def settled_nodes(nodes: Column) -> Column:
     """Drops the navigation among ``unsure`` nodes, those behind the start tag of noise without an end tag.
 
     A block scores its signs outside links less those inside, at most ``BLOCK_SCORE`` either way. One with more text than
     links stays when twice its score and the scores of two neighbours on either side exceed ``TEXT_SCORE`` (a heading
-    goes with what follows it); one of links only when it stands between two blocks of text.
+    goes with what follows it). However short, it also stays when no links stand in the two blocks behind it and its run
+    of unsure text blocks holds one that stays by its score, or a heading with text behind it. A block of links stays only
+    when it stands between two blocks of text.
     """
     def score(node: Column) -> Column:
         net = F.greatest(F.lit(-BLOCK_SCORE), F.least(F.lit(BLOCK_SCORE), signs(node) - 2 * node["linked"]))
         return F.when(node["kind"] == "code", BLOCK_SCORE).otherwise(net)
 
-    def settle(nodes: Column, scores: Column) -> Column:
+    def settle(scores: Column) -> Column:
         def at(i: Column) -> Column:
             return F.coalesce(F.get(scores, i), F.lit(0))
 
-        def stays(node: Column, i: Column) -> Column:
+        def text(node: Column, i: Column) -> Column:
             before = F.when(node["kind"] == "heading", F.lit(0)).otherwise(at(i - 2) + at(i - 1))
-            text = 2 * at(i) + before + at(i + 1) + at(i + 2) > TEXT_SCORE
-            return ~node["unsure"] | F.when(at(i) > 0, text).otherwise(F.least(at(i - 1), at(i + 1)) > TEXT_SCORE)
-        return F.filter(nodes, stays)
+            return (at(i) > 0) & (2 * at(i) + before + at(i + 1) + at(i + 2) > TEXT_SCORE)
+
+        def kept(texts: Column, runs: Column) -> Column:
+            def stays(node: Column, i: Column) -> Column:
+                short = F.get(runs, i) & (F.least(at(i + 1), at(i + 2)) >= 0)
+                return ~node["unsure"] | F.when(at(i) > 0, F.get(texts, i) | short).otherwise(
+                    F.least(at(i - 1), at(i + 1)) > TEXT_SCORE)
+            return F.filter(nodes, stays)
+
+        ends = F.filter(F.transform(nodes, lambda n, i: F.when((at(i) <= 0) | ~n["unsure"], i)), lambda i: i.isNotNull())
+        ends = F.concat(F.array(F.lit(-1)), ends, F.array(F.size(nodes)))
+        return _let(F.transform(nodes, text), lambda texts: _let(ends, lambda ends: _let(
+            _runs(nodes, texts, ends), lambda runs: kept(texts, runs))))
 
     # The scores are an array of their own, computed once per page and only where a node is unsure.
-    scored = F.transform(F.array(F.transform(nodes, score)), lambda scores: settle(nodes, scores))
-    return F.when(F.exists(nodes, lambda n: n["unsure"]), F.get(scored, F.lit(0))).otherwise(nodes)
+    return F.when(F.exists(nodes, lambda n: n["unsure"]), _let(F.transform(nodes, score), settle)).otherwise(nodes)
+
+
+def _runs(nodes: Column, texts: Column, ends: Column) -> Column:
+    """For every node, whether the run it stands in is text; ``ends`` are the positions between which the runs lie."""
+    def spread(start: Column, no: Column) -> Column:
+        length = F.get(ends, no + 1) - start
+        headed = F.exists(F.slice(nodes, start + 2, F.greatest(length - 2, F.lit(0))), lambda n: n["kind"] == "heading")
+        return F.array_repeat(headed | F.exists(F.slice(texts, start + 2, length - 1), lambda text: text), length)
+
+    return F.flatten(F.transform(F.slice(ends, 1, F.size(ends) - 1), spread))
 
 
 def has_prose(nodes: Column) -> Column:

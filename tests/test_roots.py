@@ -56,6 +56,18 @@ def test_noise_without_end_tags(spark, html, kept):
     assert [n.text.strip() for n in content_nodes(frame).first().nodes] == kept
 
 
+@pytest.mark.parametrize("html,kept", [
+    (f"<html><body>{MENU}<div><h1>T</h1>{'<p>At ha.</p>' * 3}<p>At</p></div></body>", ["T", "At ha.", "At ha.", "At ha.", "At"]),
+    (f"<html><body>{MENU}<div><h1>T</h1><p>At</p></div></body>", ["T", "At"]),
+    ("<main><aside><h1>T</h1><p>At</p></main><p>out</p>", ["T", "At"]),
+    (f"<body><nav><h2>Menu</h2><ul>{MENU[9:]}<p>v2</p><ul>{MENU[9:]}<p>{LONG}</p></body>", [LONG]),
+])
+def test_short_text_behind_an_open_menu_stays(spark, html, kept):
+    """A short block goes with its run of text where no links follow it."""
+    frame = spark.createDataFrame([(html,)], "html string")
+    assert [n.text.strip() for n in content_nodes(frame).first().nodes] == kept
+
+
 def test_links_between_text_stay(spark):
     html = f'<aside><p>{LONG}</p><p><a href="/x">See the other page on this</a></p><p>{NEXT}</p><ul>{MENU[9:]}'
     nodes = spark.createDataFrame([(page_nodes(html),)], "nodes array<struct<kind:string,level:int,ordinal:int,list_no:int,"
