@@ -15,7 +15,7 @@ from ..functions.filters import in_subtree, path_allowed, path_passes, prefix_of
 from ..functions.platforms import detect_platform
 from ..functions.text import SPACE, lines, once, strip
 from ..functions.urls import base_of, host_of, normalize_url, resolve_url, same_host, url_path
-from ..session import bucketed, scratch_path, small_side, written
+from ..session import LEVEL_ROWS, bucketed, join_side, scratch_path, small_side, written
 from ..sources.sitemap import sitemap_locs
 from .frontier import best_only, dedupe_urls, prefer_source, sort_urls, union_dedupe
 from .links import link_graph, with_host_path
@@ -147,16 +147,19 @@ def sitemap_tree(candidates: DataFrame, sites: DataFrame, resources: DataFrame,
     own, edges, names = _sitemap_tables(candidates, resources, children)
     level = candidates.select("site", _digits(F.col("ord")).alias("file"), "url").join(names, "url", "left_semi")
     visited: list[DataFrame] = []
+    met = 0
     while True:
         if depth is None:
             level = level.groupBy("site", "url").agg(F.min("file").alias("file"))
             if visited:
                 seen = reduce(DataFrame.unionByName, visited).select("site", "url")
-                level = level.join(seen, ["site", "url"], "left_anti")
+                level = level.join(join_side(seen, met, LEVEL_ROWS), ["site", "url"], "left_anti")
         visited.append(written(level.select("site", "file", "url"), "level"))
-        if visited[-1].isEmpty() or len(visited) - 1 == depth:
+        size = visited[-1].count()
+        if not size or len(visited) - 1 == depth:
             break
-        level = (visited[-1].join(edges, "url")
+        met += size
+        level = (join_side(visited[-1], size, LEVEL_ROWS).join(edges, "url")
                  .select("site", F.concat("file", F.lit("0"), _digits(F.col("pos"))).alias("file"), F.col("child").alias("url")))
     urls = (reduce(DataFrame.unionByName, visited).join(own, "url").join(_rules(sites), "site")
             .filter((F.col("host") == F.col("origin")) & _passes())
@@ -179,7 +182,7 @@ def _sitemap_tables(candidates: DataFrame, resources: DataFrame, children: int |
     child = child if children is None else F.slice(child, 1, children)
     edges = (files.select(F.col("url").alias("file"), F.posexplode(child).alias("pos", "url")).join(names, "url", "left_semi")
              .select(F.col("file").alias("url"), "pos", F.col("url").alias("child")))
-    return small_side(with_host_path(own, "found"), "own"), small_side(edges, "edges"), names
+    return small_side(with_host_path(own, "found"), "own"), small_side(edges, "edges", LEVEL_ROWS), names
 
 
 def _guarded(urls: DataFrame, guard: int) -> DataFrame:

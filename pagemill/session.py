@@ -24,6 +24,8 @@ RUNTIME_DEFAULTS = {
 # A written table may be broadcast below both bounds.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
+# Bound for tables that every level of a walk broadcasts anew.
+LEVEL_ROWS = 20_000
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -83,15 +85,23 @@ def bucketed(df: DataFrame, key: str, name: str) -> Iterator[DataFrame]:
         spark.sql(f"DROP TABLE {table}")
 
 
+def join_side(table: DataFrame, rows: int, max_rows: int) -> DataFrame:
+    """A table of ``rows`` rows as a join side: broadcast up to ``max_rows``, else merged.
+
+    Left alone, Spark would go by the size of the compressed files and broadcast many more rows.
+    """
+    return F.broadcast(table) if rows <= max_rows else table.hint("merge")
+
+
 def small_side(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Write a join side, take its size from the files, and broadcast it only when it is small.
 
-    Beyond ``max_rows`` or ``BROADCAST_BYTES`` the written table is returned without a hint, so that Spark
-    shuffles and AQE splits skewed partitions.
+    Beyond ``max_rows`` or ``BROADCAST_BYTES`` the written table is to be merged, so that Spark shuffles and AQE
+    splits skewed partitions.
     """
     table = written(df, name)
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(table) if size <= BROADCAST_BYTES and table.count() <= max_rows else table
+    return join_side(table, table.count() if size <= BROADCAST_BYTES else max_rows + 1, max_rows)
 
 
 def spread(table: DataFrame) -> DataFrame:

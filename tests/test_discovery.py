@@ -9,7 +9,7 @@ from pagemill.config import SiteConfig, sites_frame
 from pagemill.operators import discovery, frontier, reports
 from pagemill.operators.links import extract_links, link_graph
 from pagemill.operators.ranking import rank_in_group, top_n
-from pagemill.session import bucketed
+from pagemill.session import bucketed, small_side
 from pagemill.sources.resources import scan_pages, upsert
 
 RULES = ("site string, url string, platform string, include_re string, exclude_re string, max_depth int, max_pages int, "
@@ -26,6 +26,10 @@ def pages_of(spark, graph):
     return spark.createDataFrame([(u, 200, h) for u, h in html.items()], "url string, status int, html string")
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
 def queue_crawl(graph, start, max_depth, max_pages):
     """Breadth-first order with a plain queue."""
     order, seen, queue = [], set(), deque([(start, 0)])
@@ -168,6 +172,31 @@ def test_sitemap_children_are_capped(spark):
         assert [r.url for r in got.orderBy("ord").collect()] == [f"{host}/p{i}" for i in range(count)]
 
 
+def test_wide_sides_are_merged_however_well_they_compress(spark):
+    wide = small_side(spark.range(30_000).select(F.lit("a").alias("k"), "id"), "wide", 20_000)
+    assert "SortMergeJoin" in plan_of(spark.createDataFrame([("a",)], "k string").join(wide, "k"))
+
+
+def test_sitemap_levels_broadcast_no_long_list(spark, monkeypatch):
+    """Every file names the next two: with the bound at no rows, no level's join is broadcast and the result is the same."""
+    def loc(i):
+        return f"<sitemap><loc>https://h.example/sitemap-{i}.xml</loc></sitemap><url><loc>https://h.example/p{i}</loc></url>"
+    files = spark.createDataFrame([(f"https://h.example/sitemap-{i}.xml", 200, f"<urlset>{loc(i + 1)}{loc(i + 2)}</urlset>")
+                                   for i in range(6)], "url string, status int, html string")
+    candidates = files.select(F.concat(F.lit("s"), F.regexp_extract("url", r"(\d+)", 1)).alias("site"), F.lit(0).alias("ord"), "url")
+    sites = site_rows(spark, *((f"s{i}", "https://h.example/", 0, 0, "auto") for i in range(6)))
+    want = sorted(discovery.sitemap_tree(candidates, sites, files).collect())
+    plans, write = [], discovery.written
+
+    def recorded(df, name):
+        plans.extend([plan_of(df)] if name == "level" else [])
+        return write(df, name)
+    monkeypatch.setattr(discovery, "LEVEL_ROWS", 0, raising=False)
+    monkeypatch.setattr(discovery, "written", recorded)
+    assert sorted(discovery.sitemap_tree(candidates, sites, files).collect()) == want and len(want) > 20
+    assert len(plans) > 3 and not any("BroadcastHashJoin" in plan for plan in plans[1:])
+
+
 def test_subtree_and_expansion(spark):
     sites = site_rows(spark, ("under", "https://a.com/d/", 0, 0, "auto"), ("above", "https://a.com/d/x/y", 0, 0, "auto"),
                       ("apart", "https://a.com/z/", 0, 0, "auto"), ("root", "https://a.com/", 0, 0, "auto"))
