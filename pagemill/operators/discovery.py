@@ -290,28 +290,33 @@ def crawl_graph(sites: DataFrame, links: DataFrame) -> DataFrame:
     root, columns = scratch_path(spark, "crawl"), "site string, url string, rank bigint"
     level = rules.withColumn("path", url_path(F.col("start"))).filter(_passes()).select("site", F.col("start").alias("url"), F.lit(1).cast("bigint").alias("rank"))
     follow = in_subtree(F.col("href"), F.col("path"), F.col("prefix")) & _passes()
-    depth = 0
+    depth = met = 0
     with bucketed(links, "src_url", "graph") as graph:
         while True:
             level.write.parquet(f"{root}/depth={depth}")
             done = spark.read.schema(columns).parquet(f"{root}/depth={depth}")
             seen = spark.read.schema(columns + ", depth int").option("basePath", root).parquet(f"{root}/depth=*")
-            if done.isEmpty():
+            size = done.count()
+            if not size:
                 return seen
-            level = _next_level(done, seen, graph, rules, follow, depth, ranked)
+            met += size
+            level = _next_level(done, size, seen, met, graph, rules, follow, depth, ranked)
             depth += 1
 
 
-def _next_level(done: DataFrame, seen: DataFrame, graph: DataFrame, rules: DataFrame, follow: Column, depth: int,
-                ranked: bool) -> DataFrame:
-    """URLs first reached from the level ``done``, in queue order where a site is capped (none is unless ``ranked``)."""
-    hops = (done.withColumnRenamed("url", "src_url").join(rules, "site")
-            .filter(((F.col("max_depth") == 0) | (F.col("max_depth") > depth)) & F.col("at_home"))
-            .join(graph, "src_url").withColumnRenamed("dst_url", "url").filter(follow))
+def _next_level(done: DataFrame, size: int, seen: DataFrame, met: int, graph: DataFrame, rules: DataFrame, follow: Column,
+                depth: int, ranked: bool) -> DataFrame:
+    """URLs first reached from the level ``done``, in queue order where a site is capped (none is unless ``ranked``).
+
+    ``size`` and ``met`` are the rows of ``done`` and ``seen``: neither the graph nor a long list is broadcast per level.
+    """
+    leaving = (done.withColumnRenamed("url", "src_url").join(rules, "site")
+               .filter(((F.col("max_depth") == 0) | (F.col("max_depth") > depth)) & F.col("at_home")))
+    hops = (join_side(leaving, size, LEVEL_ROWS).join(graph, "src_url").withColumnRenamed("dst_url", "url").filter(follow))
     order = F.min(F.struct("rank", "pos")) if ranked else F.lit(None)
     capped = F.max("max_pages") > 0
     level = (hops.groupBy("site", "url").agg(order.alias("at"), capped.alias("capped"))
-             .join(seen.select("site", "url"), ["site", "url"], "left_anti"))
+             .join(join_side(seen.select("site", "url"), met, LEVEL_ROWS), ["site", "url"], "left_anti"))
     unranked = F.lit(None).cast("bigint").alias("rank")
     if not ranked:
         return level.select("site", "url", unranked)

@@ -94,6 +94,24 @@ def test_graph_join_moves_only_the_frontier(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_crawl_levels_broadcast_only_rules(spark, monkeypatch):
+    """With the bound at no rows, neither the graph nor the URLs met so far are broadcast, and the crawl is the same."""
+    graph = {f"https://h.example/p/{i}": [f"/p/{2 * i + 1}", f"/p/{2 * i + 2}", f"/p/{i // 3}"] for i in range(30)}
+    sites = site_rows(spark, ("a", "https://h.example/p/0", 0, 0, "auto"), ("b", "https://h.example/p/2", 3, 0, "auto"))
+    links = link_graph(pages_of(spark, graph))
+    want = sorted(discovery.crawl_graph(sites, links).collect())
+    plans, following = [], discovery._next_level
+
+    def recorded(*args):
+        level = following(*args)
+        plans.append(plan_of(level))
+        return level
+    monkeypatch.setattr(discovery, "LEVEL_ROWS", 0, raising=False)
+    monkeypatch.setattr(discovery, "_next_level", recorded)
+    assert sorted(discovery.crawl_graph(sites, links).collect()) == want and len(want) > 60
+    assert plans and all(plan.count("BroadcastHashJoin") == 1 for plan in plans)
+
+
 def test_links_of_odd_markup(spark):
     html = ("<a href='/1'>x</a><A class=y HREF = /2>z</A><!-- <a href='/no'> --><script>'<a href=\"/no\">'</script>"
             "<a data-href='/no' href=\"/3?a=1&amp;b=&#50;\"><area href=/no><abbr href=/no><a name=x><a\nhref=''>e")
