@@ -26,6 +26,9 @@ SEEDS = 2
 # Digits of a position inside an order key.
 _DIGITS = 10
 
+# What a source of URLs gives.
+_FOUND = "site string, ord bigint, url string, source string"
+
 _MARKDOWN_LINK = rf"\[[^\]]*\]\(([^){SPACE}]+)\)"
 
 
@@ -312,7 +315,9 @@ def _next_level(done: DataFrame, size: int, seen: DataFrame, met: int, graph: Da
     """
     leaving = (done.withColumnRenamed("url", "src_url").join(rules, "site")
                .filter(((F.col("max_depth") == 0) | (F.col("max_depth") > depth)) & F.col("at_home")))
-    hops = (join_side(leaving, size, LEVEL_ROWS).join(graph, "src_url").withColumnRenamed("dst_url", "url").filter(follow))
+    # The path checks are held back until the join, else Catalyst makes them on the whole graph at every level.
+    hops = (join_side(leaving, size, LEVEL_ROWS).join(graph, "src_url").withColumnRenamed("dst_url", "url")
+            .withColumn("_follow", once(follow)).filter("_follow").drop("_follow"))
     order = F.min(F.struct("rank", "pos")) if ranked else F.lit(None)
     capped = F.max("max_pages") > 0
     level = (hops.groupBy("site", "url").agg(order.alias("at"), capped.alias("capped"))
@@ -353,14 +358,19 @@ def discover(sites: DataFrame, resources: DataFrame, **limits: int | None) -> tu
     files = site_files(resources)
     pages = resources.filter(F.col("status") == 200).select(
         "url", "status", "html", *(c for c in resources.columns if c == "final_url"))
-    listed, full = llms_urls(sites, files)
-    listed = rank_in_group(listed, ["site"], ["ord"], "_pos").withColumn("ord", F.col("_pos")).drop("_pos")
-    listed = written(listed.withColumn("source", F.lit("llms.txt")), "listed")
-    settled = listed.select("site").union(full.select("site")).distinct()
-    open_sites = written(sites.filter(F.col("adapter") != "llmstxt").join(settled, "site", "left_anti"), "open")
-    mapped = written(sitemap_urls(open_sites, resources, files, pages, **limits).withColumn("source", F.lit("sitemap")), "mapped")
-    found = listed.unionByName(mapped)
-    rest = written(open_sites.join(mapped.select("site").distinct(), "site", "left_anti"), "rest")
+    spark = sites.sparkSession
+    found, rest = spark.createDataFrame([], _FOUND), sites.filter(F.col("adapter") != "llmstxt")
+    full = spark.createDataFrame([], "site string, url string, text string")
+    if not files.isEmpty():     # without such files no site is listed or mapped
+        listed, full = llms_urls(sites, files)
+        listed = rank_in_group(listed, ["site"], ["ord"], "_pos").withColumn("ord", F.col("_pos")).drop("_pos")
+        listed = written(listed.withColumn("source", F.lit("llms.txt")), "listed")
+        settled = listed.select("site").union(full.select("site")).distinct()
+        open_sites = written(rest.join(settled, "site", "left_anti"), "open")
+        mapped = written(sitemap_urls(open_sites, resources, files, pages, **limits).withColumn("source", F.lit("sitemap")), "mapped")
+        found = listed.unionByName(mapped)
+        rest = open_sites.join(mapped.select("site").distinct(), "site", "left_anti")
+    rest = written(rest, "rest")
     if not rest.isEmpty():
         hosts = small_side(rest.select(host_of(F.col("url")).alias("host")).distinct(), "hosts")
         ours = pages.withColumn("host", host_of(F.col("url"))).join(hosts, "host", "left_semi").drop("host")

@@ -10,7 +10,7 @@ from ..functions.urls import (UrlParts, assembled, has_dots, host_of, joined_pat
                               without_dots)
 
 # Without its end, a comment, script or style goes on to the end of the page.
-_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*+>|\z)|<style\b.*?(?:</style\s*+>|\z)"
+_HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*+>|\z)|style\b.*?(?:</style\s*+>|\z))"
 # Attributes are walked one by one, quoted values whole, up to the first href.
 _OTHER = r"""(?!href[\s=>/])[^\s=>/"'<]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?+"""
 _HREF = rf"""(?is)<a(?=[\s/])(?:[\s/]*+{_OTHER})*+[\s/]*+href\s*+=\s*+("[^"]*"|'[^']*'|[^\s>"']+)"""
@@ -23,7 +23,9 @@ def extract_links(pages: DataFrame) -> DataFrame:
     """
     moved = [c for c in pages.columns if c == "final_url"]
     hrefs = F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, ""), F.lit(_HREF), F.lit(1))
-    return (pages.select(F.col("url").alias("src_url"), *moved, once(decode_entity_list(hrefs)).alias("hrefs"))
+    # The list is a column of its own before Python sees it, else both patterns would run again around the call.
+    return (pages.select(F.col("url").alias("src_url"), *moved, once(hrefs).alias("hrefs"))
+            .withColumn("hrefs", once(decode_entity_list(F.col("hrefs"))))
             .select("src_url", *moved, F.posexplode("hrefs").alias("pos", "href"))
             .withColumn("href", F.regexp_replace("href", r"""^["']|["']\z""", "")))
 

@@ -9,14 +9,24 @@ from ..functions.pages import is_html, outcome_error
 from ..functions.platforms import is_shell
 from ..functions.text import strip
 from ..functions.urls import rel_path, text_page_title
+from ..session import small_side
 from .extract import extract_pages
 
-_COLUMNS = ["site", "ord", "url", "path", "status", "title", "markdown", "toc", "meta", "error", "needs_render",
+_COLUMNS = ["url", "path", "status", "title", "markdown", "toc", "meta", "error", "needs_render",
             "fetched_at"]
+_KEYS = ["site", "ord"]
 
 
-def page_outcome(pages: DataFrame) -> DataFrame:
-    """Page rows for ``(site, ord, url, status, html, fetched_at, platform)``; ``error`` is '' for pages that made it.
+def site_pages(resources: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Page rows of the ``(site, ord, url, platform)`` wanted. A stored page is parsed once for each platform and then
+    dealt to the sites that list it; the list of these sites (names and positions only) travels with its URL."""
+    listed = wanted.groupBy("url", "platform").agg(F.collect_list(F.struct(*_KEYS)).alias("_listed"))
+    parsed = page_outcome(resources.join(small_side(listed, "wanted"), "url"), ["_listed"])
+    return parsed.select(F.inline("_listed"), *_COLUMNS)
+
+
+def page_outcome(pages: DataFrame, keys: list[str] = _KEYS) -> DataFrame:
+    """Page rows for ``(*keys, url, status, html, fetched_at, platform)``; ``error`` is '' for pages that made it.
 
     Only HTML bodies with status 200 reach the parser: for all other rows it gets a null.
     """
@@ -35,4 +45,4 @@ def page_outcome(pages: DataFrame) -> DataFrame:
             .withColumn("path", rel_path(F.col("url")))
             .withColumn("error", outcome_error(F.col("status"), F.col("_is_html"), F.col("markdown"), F.col("failure")))
             .withColumn("needs_render", (F.col("error") != "") & ok & is_shell(F.col("_body")))
-            .select(*_COLUMNS))
+            .select(*keys, *_COLUMNS))

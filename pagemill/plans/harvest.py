@@ -11,10 +11,10 @@ from ..functions.text import strip
 from ..operators.chunking import corpus_rows
 from ..operators.discovery import discover, site_platform
 from ..operators.frontier import frontier, top_pages, undiscovered
-from ..operators.outcome import page_outcome
+from ..operators.outcome import site_pages
 from ..operators.reports import manifest, manifest_urls
 from ..schemas import TOC
-from ..session import small_side, written
+from ..session import written
 from ..sources import sinks
 
 
@@ -47,8 +47,7 @@ def harvest(sites: DataFrame, resources: DataFrame, **limits: int | None) -> Har
     """
     sites, urls, full = inspect_sites(sites, resources, **limits)
     capped = top_pages(urls, sites)
-    wanted = small_side(capped.join(sites.select("site", "platform"), "site").drop("source"), "wanted")
-    outcomes = page_outcome(resources.join(wanted, "url"))
+    outcomes = site_pages(resources, capped.join(sites.select("site", "platform"), "site").drop("source"))
     pages = written(outcomes.unionByName(_whole_site_pages(full, sites)), "pages")
     source = urls.select("site", "source").distinct().union(
         full.select("site", F.lit("llms.txt").alias("source"))).distinct()

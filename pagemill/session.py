@@ -26,6 +26,8 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 # Bound for tables that every level of a walk broadcasts anew.
 LEVEL_ROWS = 20_000
+# So many times a core's fair share may lie in one scan partition.
+SPREAD_SKEW = 2
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -74,10 +76,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def bucketed(df: DataFrame, key: str, name: str) -> Iterator[DataFrame]:
-    """As :func:`written`, in buckets of ``key``: a join on it shuffles only the other side."""
+    """As :func:`written`, in buckets of ``key``, one file each: a join on it shuffles only the other side."""
     spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}"
-    (df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key)
+    table, buckets = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
      .option("path", scratch_path(spark, name)).saveAsTable(table))
     try:
         yield spark.table(table)
@@ -105,6 +107,18 @@ def small_side(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> Data
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """A scanned table with at least one partition per core; only small inputs are shuffled for it."""
+    """A scanned table whose rows lie on all cores; it is shuffled only when they do not.
+
+    Scan partitions say little: a file of one row group is read by one of them, however many there are. So the rows
+    of each are counted, from the footers alone.
+    """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+    parts = table.rdd.getNumPartitions()
+    if parts >= cores:
+        counts = table.groupBy(F.spark_partition_id().alias("part")).count()
+        largest, rows = counts.agg(F.max("count"), F.sum("count")).first()
+        if (largest or 0) * cores <= SPREAD_SKEW * (rows or 0):
+            return table
+    # Dealt by a number, for a plain repartition would first sort whole rows to be repeatable.
+    return (table.withColumn("_at", F.monotonically_increasing_id())
+            .repartition(max(parts, cores), "_at").drop("_at"))

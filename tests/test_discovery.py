@@ -9,7 +9,7 @@ from pagemill.config import SiteConfig, sites_frame
 from pagemill.operators import discovery, frontier, reports
 from pagemill.operators.links import extract_links, link_graph
 from pagemill.operators.ranking import rank_in_group, top_n
-from pagemill.session import bucketed, small_side
+from pagemill.session import bucketed, small_side, spread
 from pagemill.sources.resources import scan_pages, upsert
 
 RULES = ("site string, url string, platform string, include_re string, exclude_re string, max_depth int, max_pages int, "
@@ -112,6 +112,60 @@ def test_crawl_levels_broadcast_only_rules(spark, monkeypatch):
     assert plans and all(plan.count("BroadcastHashJoin") == 1 for plan in plans)
 
 
+def test_crawl_levels_check_paths_of_reached_links_only(spark, monkeypatch):
+    """No level may run the path patterns over the whole graph, which Catalyst does with any filter it can push below a join."""
+    graph = {"https://h.example/p/0": ["/p/1", "/search", "/p/x.pdf"], "https://h.example/p/1": ["/p/2", "/p/0"]}
+    plans, following = [], discovery._next_level
+
+    def recorded(*args):
+        level = following(*args)
+        plans.append(plan_of(level))
+        return level
+    monkeypatch.setattr(discovery, "_next_level", recorded)
+    got = discovery.crawl_graph(site_rows(spark, ("a", "https://h.example/p/0", 0, 0, "auto")), link_graph(pages_of(spark, graph)))
+    assert sorted((r.url[-1], r.depth) for r in got.collect()) == [("0", 0), ("1", 1), ("2", 2)]
+    assert plans and not any("RLIKE" in line.upper() for plan in plans for line in plan.splitlines() if "Filter" in line)
+
+
+def test_buckets_are_one_file_each(spark):
+    links = spark.range(0, 1000, 1, 6).select(F.concat(F.lit("u"), "id").alias("src_url"), F.col("id").alias("pos"))
+    with bucketed(links, "src_url", "graph") as graph:
+        assert graph.count() == 1000 and len(graph.inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_link_patterns_run_once(spark):
+    found = extract_links(pages_of(spark, {"https://a.com/": ["/x?a=1&amp;b=2", "/y"]}))
+    assert plan_of(found).count("regexp_extract_all(") == 1
+    assert [r.href for r in found.orderBy("pos").collect()] == ["/x?a=1&b=2", "/y"]
+
+
+def test_sites_without_files_are_crawled_at_once(spark, monkeypatch):
+    """Where nothing stored is an llms.txt, robots.txt or sitemap, the steps that read those do not run."""
+    sites = site_rows(spark, ("s", "https://a.com/", 0, 0, "auto"), ("t", "https://a.com/b", 0, 0, "llmstxt"))
+    pages = pages_of(spark, {"https://a.com/": ["/b", "/c"]})
+    want = sorted(map(tuple, discovery.crawl_urls(sites.filter("site = 's'"), link_graph(pages)).collect()))
+    monkeypatch.setattr(discovery, "llms_urls", None)
+    monkeypatch.setattr(discovery, "sitemap_urls", None)
+    urls, full = discovery.discover(sites, pages)
+    assert sorted(map(tuple, urls.select("site", "ord", "url").collect())) == want and len(want) == 3
+    assert {r.source for r in urls.collect()} == {"bfs"} and full.columns == ["site", "url", "text"] and full.isEmpty()
+
+
+def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    spark.range(0, 20_000, 1, 1).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).write.parquet(str(tmp_path / "t"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        table = spark.read.parquet(str(tmp_path / "t"))
+        assert table.rdd.getNumPartitions() >= 4
+        counts = [r["count"] for r in spread(table).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(counts) == 20_000 and max(counts) * 4 <= 2 * 20_000
+        even = table.repartition(8)
+        assert spread(even).rdd.getNumPartitions() == 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_links_of_odd_markup(spark):
     html = ("<a href='/1'>x</a><A class=y HREF = /2>z</A><!-- <a href='/no'> --><script>'<a href=\"/no\">'</script>"
             "<a data-href='/no' href=\"/3?a=1&amp;b=&#50;\"><area href=/no><abbr href=/no><a name=x><a\nhref=''>e")

@@ -4,7 +4,7 @@ from pagemill.functions import pages as p
 from pagemill.functions import platforms
 from pagemill.functions.html_nodes import nodes_or_error, page_nodes, subtree
 from pagemill.operators import extract
-from pagemill.operators.outcome import page_outcome
+from pagemill.operators.outcome import page_outcome, site_pages
 
 from test_urls import one
 
@@ -158,3 +158,17 @@ def test_descriptions_are_whole(spark):
     html = ['<meta name="description" content="' + "d" * 700 + '">']
     assert one(spark, html, p.description(F.col("v"))) == ["d" * 700]
     assert one(spark, html, p.description(F.col("v"), 300)) == ["d" * 300]
+
+
+def test_pages_of_several_sites_are_parsed_once(spark):
+    html = "<html><head><title>T</title></head><body><main><p>Some prose here.</p></main></body></html>"
+    stored = spark.createDataFrame([("https://a.com/x", 200, html, 1.0), ("https://a.com/y", 404, "", 2.0), ("https://a.com/z", 200, html, 3.0)],
+                                   "url string, status int, html string, fetched_at double")
+    wanted = [(s, o, f"https://a.com/{u}", p) for s, o, u, p in
+              (("s", 1, "x", "generic"), ("t", 7, "x", "generic"), ("u", 2, "x", "sphinx"), ("t", 8, "y", "generic"), ("t", 9, "new", "generic"))]
+    wanted = spark.createDataFrame(wanted, "site string, ord bigint, url string, platform string")
+    got = site_pages(stored, wanted)
+    each = page_outcome(stored.join(wanted, "url"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, each.collect())) and got.count() == 4 and got.columns == each.columns
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("ArrowEvalPython")     # dealt to the sites above the parser
