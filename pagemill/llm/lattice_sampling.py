@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, count as counter, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,18 +31,23 @@ LONG_UNIT = 256
 # A branch whose log mass lies this far below its text's is beyond what a double can draw.
 NEGLIGIBLE = 60.0
 
-# The blank of the vocabulary, the stand-in for a text's own U+2581, and bits of a code point.
-_BLANK, _OWN_BLANK, _CHAR_BITS = 0x2581, 0x110001, 21
+# The blank of the vocabulary and the stand-in for a text's own U+2581.
+_BLANK, _OWN_BLANK = 0x2581, 0x110001
 _UNIT = re.compile(r" *[^ ]+| +")
 _TOP = np.float64(2.0 ** -53)
 
 
 @dataclass
 class Vocabulary:
-    """The pieces as a trie in sorted arrays: (state, character) to the next state, and the piece a state ends."""
+    """The pieces as a trie in a double array, and the piece a state ends.
 
-    keys: np.ndarray
-    states: np.ndarray
+    The next state of ``state`` by a character is ``base[state]`` plus the character's class, if ``parent`` names ``state``
+    there. Characters of no piece are of the last class, which leads nowhere; so are all beyond the table's end.
+    """
+
+    class_of: np.ndarray
+    base: np.ndarray
+    parent: np.ndarray
     piece_of: np.ndarray
     weight_of: np.ndarray
     floor: float
@@ -57,25 +63,62 @@ def load_vocabulary(path: str, alpha: float = ALPHA) -> Vocabulary:
     size = model.get_piece_size()
     pieces = [model.id_to_piece(i) for i in range(size)]
     first_byte = pieces.index("<0x00>")
-    trie: dict[tuple[int, int], int] = {}
-    ends = {}
-    for number, piece in enumerate(pieces):
-        if model.is_control(number) or model.is_unknown(number) or model.is_byte(number) or model.is_unused(number):
-            continue
-        state = 0
-        for char in piece:
-            state = trie.setdefault((state, ord(char)), len(trie) + 1)
-        ends[state] = number
-    keys = np.fromiter(((s << _CHAR_BITS) | c for s, c in trie), np.int64, len(trie))
-    order = np.argsort(keys)
-    piece_of = np.full(len(trie) + 1, -1, np.int32)
-    piece_of[list(ends)] = list(ends.values())
+    numbers = [n for n in range(size) if not (model.is_control(n) or model.is_unknown(n) or model.is_byte(n) or model.is_unused(n))]
+    class_of, base, parent, piece_of = _double_array({n: pieces[n] for n in numbers})
     rank = np.maximum(np.arange(size) - first_byte - 255, 1)
     weight_of = -alpha * np.log(rank + 1.0)
     texts = [bytes([i - first_byte]) if model.is_byte(i) else b"" if model.is_control(i) or model.is_unknown(i)
              else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-    return Vocabulary(keys[order], np.fromiter(trie.values(), np.int64, len(trie))[order], piece_of, weight_of,
-                      float(weight_of.min()) - 1.0, first_byte, texts)
+    return Vocabulary(class_of, base, parent, piece_of, weight_of, float(weight_of.min()) - 1.0, first_byte, texts)
+
+
+def _double_array(pieces: dict[int, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(class_of, base, parent, piece_of)`` of the trie of the pieces; states of many children are placed first."""
+    often = Counter(chain.from_iterable(pieces.values()))
+    none = len(often)
+    class_of = np.full(max(map(ord, often)) + 2, none, np.int32)
+    class_of[[ord(c) for c, _ in often.most_common()]] = np.arange(none)  # common ones close together
+    children: list[dict[int, int]] = [{}]
+    ends = {}
+    for number, piece in pieces.items():
+        node = 0
+        for char in class_of[list(map(ord, piece))].tolist():
+            if char not in children[node]:
+                children[node][char] = len(children)
+                children.append({})
+            node = children[node][char]
+        ends[node] = number
+    # a node's children lie at its base plus their classes, the root's from 1 on: slot 0 is its own
+    free = np.ones(len(children) * 4 + 2 * none + 2, bool)
+    free[:none + 1] = False
+    base_of, slot_of, low = [1] + [0] * (len(children) - 1), [0] * len(children), none + 1
+    for node in sorted((n for n, c in enumerate(children) if n == 0 or len(c) > 1), key=lambda n: (n > 0, -len(children[n]))):
+        if node:
+            classes = np.fromiter(children[node], np.int64, len(children[node]))
+            width, spots = 64, np.empty(0, np.int64)
+            while not len(spots):
+                if low + width + none >= len(free):
+                    free = np.append(free, np.ones(len(free), bool))
+                spots = low + np.flatnonzero(free[low:low + width])
+                spots = spots[free[spots[:, None] + (classes - classes.min())].all(axis=1)]
+                low += 0 if len(spots) else width
+            base_of[node] = int(spots[0] - classes.min())
+            free[base_of[node] + classes] = False
+            low = int(spots[0])  # gaps are left to states of one child
+        for char, child in children[node].items():
+            slot_of[child] = base_of[node] + char
+    only = [n for n, c in enumerate(children) if n and len(c) == 1]
+    for node, spot in zip(only, np.flatnonzero(np.append(free, np.ones(len(only), bool))).tolist()):
+        (char, child), = children[node].items()
+        base_of[node], slot_of[child] = spot - char, spot
+    slots = max(max(base_of) + none, max(slot_of)) + 1
+    base, parent, piece_of = np.zeros(slots, np.int32), np.full(slots, -1, np.int32), np.full(slots, -1, np.int32)
+    base[slot_of] = base_of
+    for node, found in enumerate(children):
+        for child in found.values():
+            parent[slot_of[child]] = slot_of[node]
+    piece_of[[slot_of[n] for n in ends]] = list(ends.values())
+    return class_of, base, parent, piece_of
 
 
 class Lattice:
@@ -86,7 +129,12 @@ class Lattice:
     """
 
     def __init__(self, vocabulary: Vocabulary, unit_chars: int = UNIT_CHARS):
-        self.vocabulary, self.numbers, self.unit_chars, self.room = vocabulary, {}, unit_chars, {}
+        self.vocabulary, self.unit_chars, self.room = vocabulary, unit_chars, {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Hold nothing; the arrays' room stays."""
+        self.numbers = defaultdict(counter().__next__)  # a unit asked for the first time gets the next number
         self.first, self.start, self.end, self.piece = (np.zeros(n, np.int32) for n in (1, 0, 0, 0))
         self.log, self.until, self.alone = np.zeros(0), np.zeros(0, np.float32), np.zeros(0, bool)
         self.chars = np.zeros(0, np.int32)
@@ -98,6 +146,7 @@ class Lattice:
         size, room = len(held) + len(values), self.room.get(name)
         if room is None or len(room) < size:
             room = self.room[name] = np.empty(max(size, 2 * len(held)), held.dtype)
+        if held.base is not room:
             room[:len(held)] = held
         room[len(held):size] = values
         setattr(self, name, room[:size])
@@ -106,15 +155,15 @@ class Lattice:
         """The place where an edge, or each of some edges, begins."""
         return self.start[edges].astype(np.int64)
 
-    def number(self, units: list[str]) -> np.ndarray:
-        """The number of each unit; those not held yet are added."""
+    def number(self, units: list[list[str]]) -> np.ndarray:
+        """The number of each unit of some texts; those not held yet are added."""
         if len(self.chars) > self.unit_chars:
-            self.__init__(self.vocabulary, self.unit_chars)
-        new = [u for u in units if u not in self.numbers]
-        if new:
-            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
-            self._add(new)
-        return np.fromiter(map(self.numbers.__getitem__, units), np.int64, len(units))
+            self.clear()
+        held = len(self.numbers)
+        codes = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(units)), np.int64, sum(map(len, units)))
+        if len(self.numbers) > held:
+            self._add(list(islice(reversed(self.numbers), len(self.numbers) - held))[::-1])
+        return codes
 
     def _add(self, units: list[str]) -> None:
         """All pieces at all places of the units, weighed by what can follow.
@@ -128,21 +177,24 @@ class Lattice:
         # only blanks of the text itself are the vocabulary's; its own sign for one has no piece
         chars = np.where(chars == 0x20, _BLANK, np.where(chars == _BLANK, _OWN_BLANK, chars))
         ends = np.cumsum(sizes)
-        unit_end = np.repeat(ends, sizes)
-        start, end, piece = self._edges(chars, unit_end)
-        first = np.searchsorted(start, np.arange(len(chars) + 1))
+        places = len(chars)
+        first, start, end, piece = self._edges(chars, ends - sizes)
+        several = np.diff(first)
         weight = np.where(piece >= 0, vocabulary.weight_of[piece], vocabulary.floor)
-        after = np.zeros(len(chars) + 1)
-        inner = end < unit_end[start]
+        # a unit's first place has its sum behind all places, so the end of the unit before, which is the same place, keeps 0
+        slot = np.arange(places)
+        slot[ends - sizes] = places + 1 + np.arange(len(units))
+        after = np.zeros(places + 1 + len(units))
         long = sizes > LONG_UNIT
-        short = ~np.repeat(long, sizes)[start]
-        self._sums_in_step(start[short], end[short], weight[short], inner[short], (unit_end[start] - start)[short], after)
+        distance = np.repeat(ends, sizes) - np.arange(places)
+        short = np.flatnonzero(np.repeat(~long, sizes)) if long.any() else np.arange(places)
+        self._sums_in_step(short[np.argsort(distance[short].astype(np.uint16), kind="stable")], distance, first, several, end,
+                           weight, slot, after)
         for lo, hi in zip((ends - sizes)[long].tolist(), ends[long].tolist()):
-            self._sums_one_by_one(lo, hi, first, end, weight, after)
+            self._sums_one_by_one(lo, hi, first, end, weight, slot, after)
         log = weight
-        log += np.where(inner, after[end], 0.0)
-        log -= after[start]
-        several = np.diff(first)
+        log += after[end]
+        log -= np.repeat(after[slot], several)
         until = self._running(np.exp(log), first, several)
         at, edges = len(self.chars), len(self.end)
         self._extend("first", first[1:] + edges)
@@ -156,47 +208,62 @@ class Lattice:
         self._extend("unit_start", ends - sizes + at)
         self._extend("unit_end", ends + at)
 
-    def _edges(self, chars: np.ndarray, unit_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(start, end, piece)`` of all pieces at all places, by place, the longest first: mostly the likeliest."""
+    def _edges(self, chars: np.ndarray, unit_start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(first, start, end, piece)``: where a place's edges begin, then all pieces at all places, by place, the longest
+        first: mostly the likeliest."""
         vocabulary = self.vocabulary
-        starts, stops, pieces = [], [], []
-        state, place, length = np.zeros(len(chars), np.int64), np.arange(len(chars)), 0
-        single = np.zeros(len(chars), bool)
+        classes = vocabulary.class_of[np.minimum(chars, len(vocabulary.class_of) - 1)]
+        state, place, length = 1 + classes, np.arange(len(chars), dtype=np.int32), 1
+        hit = vocabulary.parent[state] == 0
+        state, place = state[hit], place[hit]
+        # no piece goes on into the next unit
+        classes = np.append(classes, vocabulary.class_of[-1])
+        classes[unit_start] = vocabulary.class_of[-1]
+        several, levels = np.zeros(len(chars), np.int32), []
         while len(place):
-            key = (state << _CHAR_BITS) | chars[place + length]
-            found = np.minimum(np.searchsorted(vocabulary.keys, key), len(vocabulary.keys) - 1)
-            hit = vocabulary.keys[found] == key
-            state, place, length = vocabulary.states[found[hit]], place[hit], length + 1
             piece = vocabulary.piece_of[state]
-            is_piece = piece >= 0
-            starts.append(place[is_piece])
-            stops.append(place[is_piece] + length)
-            pieces.append(piece[is_piece])
-            if length == 1:
-                single[place[is_piece]] = True
-            inside = place + length < unit_end[place]
-            state, place = state[inside], place[inside]
-        rest = np.flatnonzero(~single)
-        start, end = np.concatenate([*starts[::-1], rest]), np.concatenate([*stops[::-1], rest + 1])
-        piece = np.concatenate([*pieces[::-1], np.full(len(rest), -1, np.int32)]).astype(np.int32)
-        order = np.argsort(start, kind="stable")
-        return start[order], end[order], piece[order]
+            is_piece = np.flatnonzero(piece >= 0)
+            at = place[is_piece]
+            several[at] += 1
+            levels.append((at, at + np.int32(length), piece[is_piece]))
+            following = vocabulary.base[state] + classes[place + length]
+            hit = np.flatnonzero(vocabulary.parent[following] == state)
+            state, place, length = following[hit], place[hit], length + 1
+        single = np.zeros(len(chars), bool)
+        if levels:
+            single[levels[0][0]] = True
+        rest = np.flatnonzero(~single).astype(np.int32)
+        several[rest] += 1
+        levels.insert(0, (rest, rest + np.int32(1), np.full(len(rest), -1, np.int32)))
+        first = np.concatenate([[0], np.cumsum(several)])
+        end, pieces = np.empty(first[-1], np.int32), np.empty(first[-1], np.int32)
+        free = first[1:].copy()
+        for at, stop, piece in levels:
+            free[at] -= 1
+            edge = free[at]
+            end[edge], pieces[edge] = stop, piece
+        return first, np.repeat(np.arange(len(chars), dtype=np.int32), several), end, pieces
 
     @staticmethod
-    def _sums_in_step(start, end, weight, inner, distance, after) -> None:
-        """Backward log sums of short units, all in step: places by their distance from the unit's end."""
-        order = np.argsort(distance.astype(np.uint16), kind="stable")
-        s, e, w, d, inner = start[order], end[order], weight[order], distance[order], inner[order]
-        bounds = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else []
-        for lo, hi in zip(bounds, np.append(bounds[1:], len(d))):
-            value = w[lo:hi] + np.where(inner[lo:hi], after[e[lo:hi]], 0.0)
-            heads = np.flatnonzero(np.concatenate([[True], s[lo + 1:hi] != s[lo:hi - 1]]))
-            peak = np.maximum.reduceat(value, heads)
-            spread = np.repeat(peak, np.diff(np.append(heads, hi - lo)))
-            after[s[lo:hi][heads]] = peak + np.log(np.add.reduceat(np.exp(value - spread), heads))
+    def _sums_in_step(order, distance, first, several, end, weight, slot, after) -> None:
+        """Backward log sums of short units, all in step: ``order`` has their places by the distance from the unit's end."""
+        several = several[order]
+        stops = np.cumsum(several)
+        heads = stops - several
+        edge = np.repeat(first[order] - heads, several) + np.arange(int(several.sum()))
+        end, weight, slot = end[edge], weight[edge], slot[order]
+        bounds = np.cumsum(np.bincount(distance[order])).tolist()
+        for lo, hi in zip(bounds, bounds[1:]):
+            if lo == hi:
+                continue
+            a, b = heads[lo], stops[hi - 1]
+            value = weight[a:b] + after[end[a:b]]
+            peak = np.maximum.reduceat(value, heads[lo:hi] - a)
+            value -= np.repeat(peak, several[lo:hi])
+            after[slot[lo:hi]] = peak + np.log(np.add.reduceat(np.exp(value, out=value), heads[lo:hi] - a))
 
     @staticmethod
-    def _sums_one_by_one(lo: int, hi: int, first, end, weight, after) -> None:
+    def _sums_one_by_one(lo: int, hi: int, first, end, weight, slot, after) -> None:
         """Backward log sums of one long unit, place by place: steps of one place are too small for arrays."""
         at = first[lo:hi + 1].tolist()
         ends, weights = (end[at[0]:at[-1]] - lo).tolist(), weight[at[0]:at[-1]].tolist()
@@ -205,7 +272,7 @@ class Lattice:
             values = [weights[k] + sums[ends[k]] for k in range(at[place] - base, at[place + 1] - base)]
             peak = max(values)
             sums[place] = peak + math.log(sum([math.exp(v - peak) for v in values]))
-        after[lo:hi] = sums[:-1]
+        after[slot[lo:hi]] = sums[:-1]
 
     @staticmethod
     def _running(chance: np.ndarray, first: np.ndarray, several: np.ndarray) -> np.ndarray:
@@ -232,15 +299,24 @@ def units_of(text: str) -> list[str]:
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) that depend on seed and counter only, not on what else is drawn."""
-    bits = _mix(seed ^ _mix(counter.astype(np.uint64)))
-    return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) * _TOP
+    bits = _mix(counter.astype(np.uint64))
+    bits ^= seed
+    bits = _mix(bits)
+    bits >>= np.uint64(11)
+    draw = bits.astype(np.float64)
+    draw += 0.5
+    draw *= _TOP
+    return draw
 
 
 def walk(lattice: Lattice, place: np.ndarray, end: np.ndarray, text_place: np.ndarray, seed: np.ndarray,
@@ -320,7 +396,8 @@ class _Paths:
         of_text = np.repeat(np.arange(len(sizes)), sizes)
         self.before = _segment_sums(step, sizes, log)
         self.log = log + np.bincount(of_text, step, len(sizes))
-        near = np.flatnonzero(~lattice.alone[edges] & (self.before > log[of_text] - NEGLIGIBLE))
+        near = np.flatnonzero(self.before > (log - NEGLIGIBLE)[of_text])
+        near = near[~lattice.alone[edges[near]]]
         text = of_text[near]
         with np.errstate(divide="ignore"):
             mass = self.before[near] + np.log(np.maximum(-np.expm1(step[near]), 0.0))
@@ -348,12 +425,9 @@ def sample_group(texts: list[str], keys: np.ndarray, lattice: Lattice, samples:
     """
     count = len(texts)
     parts = [units_of(t) for t in texts]
-    flat = np.empty(sum(map(len, parts)), object)
-    flat[:] = [u for p in parts for u in p]
-    codes, distinct = pd.factorize(flat)
-    if not len(flat):
+    if not any(parts):
         return [[(np.empty(0, np.int32), 0.0, 0.0, 0.0)] for _ in texts]
-    codes = lattice.number(distinct.tolist())[codes]
+    codes = lattice.number(parts)
     per_text = np.fromiter(map(len, parts), np.int64, count)
     unit_first = np.cumsum(per_text) - per_text
     of_text = np.repeat(np.arange(count), per_text)
@@ -454,23 +528,24 @@ def sample_group(texts: list[str], keys: np.ndarray, lattice: Lattice, samples:
 
 def ids_of(lattice: Lattice, edges: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of paths laid end to end, and ids per path; a character without a piece becomes its bytes."""
-    ids = lattice.piece[edges]
-    owner = np.repeat(np.arange(len(sizes)), sizes)
+    ids, lengths_of = lattice.piece[edges], np.asarray(sizes, np.int64)
     missing = np.flatnonzero(ids < 0)
     if len(missing):
         chars = lattice.chars[lattice.start_of(edges[missing])]
         distinct, which = np.unique(chars, return_inverse=True)
         spelled = [chr(_BLANK if c == _OWN_BLANK else c).encode("utf-8", "surrogatepass") for c in distinct.tolist()]
-        width = np.fromiter(map(len, spelled), np.int64, len(spelled))[which]
+        lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        width = lengths[which]
+        owner = np.searchsorted(np.cumsum(lengths_of), missing, side="right")
+        lengths_of = lengths_of + np.bincount(owner, width - 1, len(sizes)).astype(np.int64)
         widths = np.ones(len(ids), np.int64)
         widths[missing] = width
-        ids, owner = np.repeat(ids, widths), np.repeat(owner, widths)
+        ids = np.repeat(ids, widths)
         as_bytes = np.frombuffer(b"".join(spelled), np.uint8).astype(np.int32) + lattice.vocabulary.first_byte
-        lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
         begins = (np.cumsum(lengths) - lengths)[which]
         step = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
         ids[ids < 0] = as_bytes[np.repeat(begins, width) + step]
-    return ids, np.bincount(owner, minlength=len(sizes))
+    return ids, lengths_of
 
 
 _SAMPLE = "ids array<int>, log_prob double, perturbed double, inclusion double"

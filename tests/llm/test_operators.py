@@ -269,6 +269,37 @@ def test_round_trip_of_odd_texts(vocabulary, text):
         assert b"".join(vocabulary.texts[i] for i in ids.tolist())[1:].decode() == text
 
 
+def test_edges_are_all_pieces_without_a_search_per_character(vocabulary, monkeypatch):
+    units = ["the", "thé", "", "  ", "x" * 300, "▁a▁", "naïve\nover", "漢字\U0001F600", "\U0010FFFF", "rest"]
+    searched = []
+    search = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest, **more: searched.append(np.size(v)) or search(a, v, *rest, **more))
+    lattice = lattice_sampling.Lattice(vocabulary)
+    assert lattice.number([units[:4], units[2:]]).tolist() == [0, 1, 2, 3, *range(2, 10)]
+    assert sum(searched) == 0
+    pieces = {}
+    for i, piece in enumerate(vocabulary.texts):
+        if piece and not vocabulary.first_byte <= i < vocabulary.first_byte + 256:
+            pieces[piece.decode()] = i
+    edges = zip(*(getattr(lattice, name).tolist() for name in ("start", "end", "piece")))
+    at, want = 0, []
+    for unit in units:
+        line = " " + unit
+        for i in range(len(line)):
+            found = [(at + i, at + j, pieces[line[i:j]]) for j in range(len(line), i, -1) if line[i:j] in pieces]
+            want += found if found and found[-1][1] == at + i + 1 else [*found, (at + i, at + i + 1, -1)]
+        at += len(line)
+    assert list(edges) == want
+
+
+def test_draws_do_not_depend_on_what_is_held(vocabulary):
+    texts = [f"some words {i} and {'other' * (i % 7)} ones, ünd " + "y" * (i * 9) for i in range(40)]
+    keys = np.arange(40, dtype=np.uint64)
+    draws = lambda lattice: [[(s[0].tolist(), *s[1:]) for s in f]
+                             for i in range(0, 40, 5) for f in lattice_sampling.sample_group(texts[i:i + 5], keys[i:i + 5], lattice, 2)]
+    assert draws(lattice_sampling.Lattice(vocabulary)) == draws(lattice_sampling.Lattice(vocabulary, 50))
+
+
 def test_samples_follow_the_distribution(vocabulary):
     text, weights = "the thé", {}
     pieces = {t.decode().replace(" ", "▁"): i for i, t in enumerate(vocabulary.texts)
